@@ -89,7 +89,9 @@ def export_name(path, ext: str = "csv") -> Column:
 def backup_name(path) -> Column:
     """``<dir/base>_backup.<ext>`` next to the original."""
     p = _c(path)
-    return F.regexp_replace(p, r"(\.[^./]*)?$", BACKUP_SUFFIX + "$1")
+    ext = F.regexp_extract(p, r"\.[^./]*$", 0)
+    stem = F.regexp_replace(p, r"\.[^./]*$", "")
+    return F.concat(stem, F.lit(BACKUP_SUFFIX), ext)
 
 
 def percent(done, total) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions.ids import is_valid_gstin, strip_ws
-from regspark.functions.text import format_stamp, join_codes
+from regspark.functions.text import format_stamp, join_codes, stamp
 from regspark.operators.results import NO_RECORDS
 from regspark.operators.schema import drop_if_present
 

@@ -95,12 +95,12 @@ def apply_results(sheet: DataFrame, rollup: DataFrame, as_of: _dt.datetime,
     upd = (firsts.join(rollup.select(F.col("pan").alias("_key"), F.col("gstin_count").alias("_count"),
                                      F.col("status").alias("_status")), "_key")
            .select("row_id", "_count", "_status", F.lit(True).alias("_hit")))
-    stamp = stamp(as_of)
+    ts = stamp(as_of)
     out = sheet.join(upd, "row_id", "left")
     return out.select(
         *[F.col(c) for c in PAN_DATA_COLS if c not in ("gstin_count", "last_updated", "status")],
         F.coalesce(F.col("_count"), F.col("gstin_count")).cast("long").alias("gstin_count"),
-        F.when(F.col("_hit"), stamp).otherwise(F.col("last_updated")).alias("last_updated"),
+        F.when(F.col("_hit"), ts).otherwise(F.col("last_updated")).alias("last_updated"),
         F.coalesce(F.col("_status"), F.col("status")).alias("status"),
     ).select(*PAN_DATA_COLS)
 

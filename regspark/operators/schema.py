@@ -40,6 +40,11 @@ PAN_EXPORT_NAMES = dict(zip(list(PAN_DATA_SCHEMA)[1:], PAN_SHEET_COLUMNS))
 GSTIN_EXPORT_NAMES = dict(zip(list(GSTIN_DATA_SCHEMA)[1:], GSTIN_SHEET_COLUMNS))
 
 
+def _q(name: str):
+    """A column by its exact header, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _find_column(columns, target: str, aliases, first_match: bool) -> str | None:
     up = [(c, c.upper()) for c in columns]
     exact = lambda u: u == target
@@ -118,8 +123,8 @@ def convert_legacy(df: DataFrame, as_of: _dt.datetime, first_match: bool = False
         raise LayoutError("Could not find PAN column in the old format table")
     contacts = {t.lower(): contact_column(df.columns, t) for t in CONTACT_COLUMNS}
     base = df.select(
-        "row_id", F.col(pan_col).alias("_raw_pan"),
-        *[(F.col(src) if src else F.lit(None)).cast("string").alias(dst) for dst, src in contacts.items()])
+        "row_id", _q(pan_col).alias("_raw_pan"),
+        *[(_q(src) if src else F.lit(None)).cast("string").alias(dst) for dst, src in contacts.items()])
     pans = normalize_valid_pans(base, "_raw_pan", keep=list(contacts))
     pan_data = conform(pans, PAN_DATA_SCHEMA)
 
@@ -127,12 +132,12 @@ def convert_legacy(df: DataFrame, as_of: _dt.datetime, first_match: bool = False
     if gstin_col is None:
         empty = df.sparkSession.createDataFrame([], "row_id long")
         return pan_data, conform(empty, GSTIN_DATA_SCHEMA)
-    status = F.col("GSTIN Status") if "GSTIN Status" in df.columns else F.lit(None)
-    state = F.col("State") if "State" in df.columns else F.lit(None)
-    rows = (df.where(legacy_pair_ok(F.col(pan_col), F.col(gstin_col)))
+    status = _q("GSTIN Status") if "GSTIN Status" in df.columns else F.lit(None)
+    state = _q("State") if "State" in df.columns else F.lit(None)
+    rows = (df.where(legacy_pair_ok(_q(pan_col), _q(gstin_col)))
             .select("row_id",
-                    normalize_id(pan_col).alias("pan_reference"),
-                    normalize_id(gstin_col).alias("gstin"),
+                    normalize_id(_q(pan_col)).alias("pan_reference"),
+                    normalize_id(_q(gstin_col)).alias("gstin"),
                     F.coalesce(status.cast("string"), F.lit("")).alias("gstin_status"),
                     F.coalesce(state.cast("string"), F.lit("")).alias("state"),
                     stamp(as_of).alias("last_updated")))

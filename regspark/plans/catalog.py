@@ -92,7 +92,7 @@ C_ROLLUP = c_rollup()
 C_CODES = [
     ("cf", "SELECT gstin, hsn_code, min(pos) AS pos FROM details_hsn WHERE coalesce(hsn_code, '') <> '' "
            "GROUP BY gstin, hsn_code"),
-    ("codes", "SELECT gstin, string_agg(hsn_code, ', ' ORDER BY pos) AS codes FROM cf GROUP BY gstin"),
+    ("codes", "SELECT gstin, string_agg(hsn_code, ', ' ORDER BY pos, hsn_code) AS codes FROM cf GROUP BY gstin"),
     ("dd", "SELECT d.gstin, d.trade_name, d.registration_date, c.codes FROM details d LEFT JOIN codes c USING (gstin)"),
 ]
 C_DDREQ = ("ddreq", "SELECT * FROM dd WHERE gstin IN (SELECT gstin FROM requested_gstins WHERE length(gstin) = 15)")
@@ -406,7 +406,7 @@ def q_enrich_sheet(spark, d):
     out = pl.enrich_sheet(sheet, en.codes_text(_details_arrays(spark, d)), AS_OF)
     dst = scratch_path(spark, "enrich-out")
     sio.write_csv(out, dst)
-    back = spark.read.option("header", True).csv(dst)
+    back = sio.read_csv_text(spark, dst)
     return back.select(
         F.col("row_id").cast("long").alias("row_id"), *[F.col(f"`{c}`") for c in back.columns if c != "row_id"])
 
@@ -457,7 +457,7 @@ def q_extract_details(spark, d):
 
 @register("extract_details_alt", oracle(["details", "details_hsn"], [], """
 SELECT h.gstin, h.pos // 1000 AS page_no, d.trade_name, d.registration_date,
-  string_agg(h.hsn_code, ', ' ORDER BY h.pos) AS hsn_codes
+  string_agg(h.hsn_code, ', ' ORDER BY h.pos, h.hsn_code) AS hsn_codes
 FROM details_hsn h JOIN details d USING (gstin) GROUP BY h.gstin, h.pos // 1000, d.trade_name, d.registration_date"""))
 def q_extract_details_alt(spark, d):
     return pg.details_with_text(pg.extract_details_alt(fp.detail_pages_alt(spark, d)))
@@ -695,7 +695,7 @@ def q_export_from_two_tables(spark, d):
     _, g = sio.read_two_tables(spark, root)
     out = scratch_path(spark, "export")
     sio.write_csv(pl.export_simplified(g), out)
-    return spark.read.option("header", True).csv(out)
+    return sio.read_csv_text(spark, out)
 
 
 @register("csv_roundtrip", oracle(["gstin_sheet"], [], """

@@ -24,6 +24,9 @@ from regspark.functions.text import file_extension
 ALLOWED_EXTENSIONS = ("xlsx", "xls", "csv")
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
 CURRENT_POINTER = "_CURRENT"
+# JSON time stamps keep microseconds (the default format stops at milliseconds).
+JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+                "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 # ---------------------------------------------------------------------------
 
 RESULT_ITEM = StructType([
@@ -104,17 +107,27 @@ def read_sheet(spark: SparkSession, path: str, na_tokens=NA_TOKENS, row_id: str
     ``row_id`` is ``monotonically_increasing_id``: increasing in file order
     (splits are numbered in order), not dense.
     """
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    df = (spark.read.option("header", True).option("inferSchema", False)
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     df = df.select(*[null_if_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns])
     if row_id is None or row_id in df.columns:
         return df
     return df.withColumn(row_id, F.monotonically_increasing_id())
 
 
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV written by ``write_csv`` back exactly: every column as text, a quoted
+    empty field as '', an empty unquoted field as NULL (no missing-value tokens)."""
+    return (spark.read.option("header", True).option("inferSchema", False)
+            .option("nullValue", "\u0001").option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Flat CSV with a header. ``single_file`` (one task) is for small exports only."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("errorifexists").option("header", True).csv(path)
+    (out.write.mode("errorifexists").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -141,22 +154,23 @@ def write_checkpoint(done: DataFrame, results: DataFrame, path: str, batch: int,
     Done keys and results are separate records; results are nested per PAN and
     block of ``block`` order keys, so no record grows with a PAN's result count.
     """
-    stamp = stamp(as_of).alias("timestamp")
+    ts = stamp(as_of).alias("timestamp")
     keys = done.select(F.lit(batch).cast("long").alias("batch"), F.array("pan").alias("processed_pans"),
-                       F.lit(None).cast(CHECKPOINT_SCHEMA["results"].dataType).alias("results"), stamp)
+                       F.lit(None).cast(CHECKPOINT_SCHEMA["results"].dataType).alias("results"), ts)
     items = (results.groupBy("pan", F.floor(F.col("ord") / block).alias("_blk"))
              .agg(F.array_sort(F.collect_list(F.struct(*RESULT_ITEM.names))).alias("items")))
     nested = items.select(F.lit(batch).cast("long").alias("batch"),
                           F.lit(None).cast("array<string>").alias("processed_pans"),
-                          F.create_map("pan", "items").alias("results"), stamp)
-    keys.unionByName(nested).write.mode("append").json(path)
+                          F.create_map("pan", "items").alias("results"), ts)
+    keys.unionByName(nested).write.mode("append").options(**JSON_OPTIONS).json(path)
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(done keys, flat results); an absent checkpoint gives two empty tables and
     malformed records are dropped."""
     try:
-        raw = spark.read.schema(CHECKPOINT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+        raw = (spark.read.schema(CHECKPOINT_SCHEMA).options(**JSON_OPTIONS)
+               .option("mode", "DROPMALFORMED").json(path))
         raw.schema  # noqa: B018 - resolve now so a missing path fails here
     except Exception:  # noqa: BLE001
         raw = spark.createDataFrame([], CHECKPOINT_SCHEMA)
@@ -176,11 +190,11 @@ def write_run_log(jobs: DataFrame, path: str) -> None:
         F.when(F.col("status") == "completed", F.concat(F.lit("uploads/"), F.col("filename"))).alias("result_file"),
         F.lit(None).cast("string").alias("error"),
         F.struct("headless", "test_mode", F.col("max_pans").alias("limit"), "resume").alias("parameters"))
-    jobs.select(F.to_json(F.create_map("job_id", rec)).alias("value")).write.mode("errorifexists").text(path)
+    jobs.select(F.to_json(F.create_map("job_id", rec), JSON_OPTIONS).alias("value")).write.mode("errorifexists").text(path)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     """The run log back as one row per job."""
     lines = spark.read.text(path)
-    return lines.select(F.explode(F.from_json("value", RUN_LOG_LINE)).alias("job_id", "job")).select(
+    return lines.select(F.explode(F.from_json("value", RUN_LOG_LINE, JSON_OPTIONS)).alias("job_id", "job")).select(
         "job_id", "job.*")
