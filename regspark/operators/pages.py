@@ -56,10 +56,13 @@ def _has_classes(table: Column, classes) -> Column:
 
 def select_tables(html: Column) -> Column:
     """Tables with the result-table classes; if there are none, any ``table``-class table."""
-    tables = _all(html, TABLE_RE, 0)
+    return _choose_tables(_all(html, TABLE_RE, 0))
+
+
+def _choose_tables(tables: Column) -> Column:
     specific = F.filter(tables, lambda t: _has_classes(t, RESULT_TABLE_CLASSES))
-    generic = F.filter(tables, lambda t: _has_classes(t, GENERIC_TABLE_CLASSES))
-    return F.when(F.size(specific) > 0, specific).otherwise(generic)
+    return F.when(F.exists(tables, lambda t: _has_classes(t, RESULT_TABLE_CLASSES)), specific) \
+        .otherwise(F.filter(tables, lambda t: _has_classes(t, GENERIC_TABLE_CLASSES)))
 
 
 def body_rows(tables: Column) -> Column:
@@ -75,8 +78,26 @@ def result_items(html: Column) -> Column:
     return F.filter(body_rows(select_tables(html)), lambda r: F.size(r) >= 4)
 
 
+def parse_result_pages(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
+    """Each page parsed once: ``_outcome`` (X2) and ``_rows`` (X1 + X3).
+
+    Two projections, so every regular expression runs once per page (the
+    optimizer does not inline a costly expression used more than once).
+    """
+    h = F.col(html)
+    step1 = pages.select(*keys, h.contains(NO_RECORDS).alias("_nr"), _all(h, TABLE_RE, 0).alias("_all_tables"))
+    step2 = step1.select(*keys, "_nr", _choose_tables(F.col("_all_tables")).alias("_tables"))
+    step3 = step2.select(*keys, "_nr", F.size("_tables").alias("_nt"),
+                         F.filter(body_rows(F.col("_tables")), lambda r: F.size(r) >= 4).alias("_rows"))
+    outcome = (F.when(F.col("_nr"), F.lit(NO_RECORDS))
+               .when(F.col("_nt") == 0, F.lit(ERR_NO_TABLE))
+               .when(F.size("_rows") == 0, F.lit(ERR_NO_ROWS)))
+    return step3.select(*keys, outcome.alias("_outcome"), "_rows")
+
+
 def page_outcome(html: Column) -> Column:
-    """X2: 'No records found' (tested first), no table, or no usable row; NULL when rows exist."""
+    """X2 as one expression: 'No records found' (tested first), no table, or no usable
+    row; NULL when rows exist."""
     tables = select_tables(html)
     return (F.when(html.contains(NO_RECORDS), F.lit(NO_RECORDS))
             .when(F.size(tables) == 0, F.lit(ERR_NO_TABLE))
@@ -87,8 +108,8 @@ def extract_result_rows(pages: DataFrame, keys=("pan", "page_no"), html: str = "
     """X1 + X3 + X5: one row per result row: serial, GSTIN, status, state (cells 1-4)
     and ``bad_length`` (kept, only flagged, when the GSTIN is not 15 characters)."""
     k = list(keys)
-    items = pages.where(~F.col(html).contains(NO_RECORDS)).select(*k, result_items(F.col(html)).alias("_rows"))
-    return items.select(*k, F.posexplode("_rows").alias("row_no", "_c")).select(
+    parsed = parse_result_pages(pages, k, html).where(F.col("_outcome").isNull())
+    return parsed.select(*k, F.posexplode("_rows").alias("row_no", "_c")).select(
         *k, F.col("row_no").cast("long").alias("row_no"),
         F.col("_c")[0].alias("serial"), F.col("_c")[1].alias("gstin"),
         F.col("_c")[2].alias("gstin_status"), F.col("_c")[3].alias("state"),
@@ -97,24 +118,23 @@ def extract_result_rows(pages: DataFrame, keys=("pan", "page_no"), html: str = "
 
 def page_outcomes(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
     """X2 per page, with the number of usable rows."""
-    h = F.col(html)
-    return pages.select(*keys, page_outcome(h).alias("outcome"),
-                        F.when(h.contains(NO_RECORDS), F.lit(0))
-                        .otherwise(F.size(result_items(h))).cast("long").alias("n_rows"))
+    parsed = parse_result_pages(pages, keys, html)
+    return parsed.select(*keys, F.col("_outcome").alias("outcome"),
+                         F.when(F.col("_outcome").isNull(), F.size("_rows")).otherwise(F.lit(0))
+                         .cast("long").alias("n_rows"))
 
 
 def page_results(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
     """Q5, first half: pages back to result items; a page with an outcome yields one
     item carrying that text, as the original lookup recorded it."""
-    h = F.col(html)
-    outcome = page_outcome(h)
+    parsed = parse_result_pages(pages, keys, html)
+    null = F.lit(None).cast("string")
     item = lambda r: F.struct(r[0].alias("serial"), r[1].alias("gstin"), r[2].alias("gstin_status"),
-                              r[3].alias("state"), F.lit(None).cast("string").alias("result"))
-    fail = F.array(F.struct(F.lit(None).cast("string").alias("serial"), F.lit(None).cast("string").alias("gstin"),
-                            F.lit(None).cast("string").alias("gstin_status"),
-                            F.lit(None).cast("string").alias("state"), outcome.alias("result")))
-    items = F.when(outcome.isNull(), F.transform(result_items(h), item)).otherwise(fail)
-    return pages.select(*keys, F.posexplode(items).alias("item_no", "_i")).select(
+                              r[3].alias("state"), null.alias("result"))
+    fail = F.array(F.struct(null.alias("serial"), null.alias("gstin"), null.alias("gstin_status"),
+                            null.alias("state"), F.col("_outcome").alias("result")))
+    items = F.when(F.col("_outcome").isNull(), F.transform("_rows", item)).otherwise(fail)
+    return parsed.select(*keys, F.posexplode(items).alias("item_no", "_i")).select(
         *keys, F.col("item_no").cast("long").alias("item_no"), "_i.*")
 
 

@@ -48,22 +48,28 @@ def rollup_results(results: DataFrame, order=None) -> DataFrame:
     """Per PAN: count of 15-character GSTINs (A1), of any GSTIN (A2), the first
     error text in item order (A5) and the status (A4).
 
-    All four are partial aggregates, so a PAN with a huge result list is
-    combined map-side before the shuffle on ``pan``.
+    The counts and flags are fixed-width partial aggregates (hash aggregation,
+    combined map-side, so a PAN with a huge result list ships one row per
+    partition). Only the error items, a small subset, go through the text
+    aggregate that picks the first error; it is joined back on ``pan``, and both
+    sides are already partitioned by it.
     """
     err = F.coalesce(F.col("result"), F.lit("")).contains(ERROR_MARK)
     order = F.col("ord") if order is None else order
-    agg = results.groupBy("pan").agg(
+    counts = results.groupBy("pan").agg(
         F.count_if(is_valid_gstin("gstin")).alias("gstin_count"),
         F.count("gstin").alias("raw_gstin_count"),
         F.bool_or(_any_contains(NO_RECORDS)).alias("_no_records"),
-        F.min_by(F.col("result"), F.when(err, order)).alias("first_error"),
+        F.bool_or(err).alias("_has_error"),
     )
+    errors = (results.where(err).groupBy(F.col("pan").alias("_epan"))
+              .agg(F.min_by(F.col("result"), F.struct(order.alias("o"), F.col("result"))).alias("first_error")))
+    agg = counts.join(errors, (F.col("pan") == F.col("_epan")) & F.col("_has_error"), "left").drop("_epan")
     status = (F.when(F.col("gstin_count") > 0, F.lit(STATUS_SUCCESS))
               .when(F.col("_no_records"), F.lit(STATUS_NONE_FOUND))
               .when(F.col("first_error").isNotNull(), F.col("first_error"))
               .otherwise(F.lit(STATUS_UNKNOWN)))
-    return agg.withColumn("status", status).drop("_no_records")
+    return agg.withColumn("status", status).drop("_no_records", "_has_error")
 
 
 def status_by_pan(valid: DataFrame, results: DataFrame) -> DataFrame:
