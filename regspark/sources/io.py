@@ -50,6 +50,21 @@ JOB_RECORD = StructType([
         StructField("limit", IntegerType()), StructField("resume", BooleanType())])),
 ])
 RUN_LOG_LINE = MapType(StringType(), JOB_RECORD)
+# Schemas of the landed responses (S12): what came back per PAN and per GSTIN.
+LANDED_SCHEMAS = {
+    "lookup_results": StructType([
+        StructField("pan", StringType()), StructField("ord", LongType()), StructField("gstin", StringType()),
+        StructField("gstin_status", StringType()), StructField("state", StringType()),
+        StructField("result", StringType()), StructField("seen_at", TimestampNTZType())]),
+    "details": StructType([
+        StructField("gstin", StringType()), StructField("trade_name", StringType()),
+        StructField("registration_date", StringType())]),
+    "details_hsn": StructType([
+        StructField("gstin", StringType()), StructField("pos", LongType()), StructField("hsn_code", StringType())]),
+    "lookup_pages": StructType([
+        StructField("pan", StringType()), StructField("page_no", LongType()), StructField("html", StringType())]),
+    "detail_pages": StructType([StructField("gstin", StringType()), StructField("html", StringType())]),
+}
 
 
 def _local(path: str) -> str:
@@ -98,6 +113,19 @@ def read_two_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
             spark.read.parquet(os.path.join(v, "gstin_data")))
 
 
+# --- S12: landed responses ---------------------------------------------------------
+
+def write_landed(df: DataFrame, path: str, kind: str) -> None:
+    """Land a response table (Parquet) in the shape ``read_landed`` expects."""
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LANDED_SCHEMAS[kind].fields]
+    df.select(*cols).write.mode("append").parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Landed responses with their declared schema (no inference, pruned scans)."""
+    return spark.read.schema(LANDED_SCHEMAS[kind]).parquet(path)
+
+
 # --- S2, S3, S4, S10: CSV ----------------------------------------------------------
 
 def read_sheet(spark: SparkSession, path: str, na_tokens=NA_TOKENS, row_id: str | None = "row_id") -> DataFrame:

@@ -91,3 +91,12 @@ def test_stream_resume_equals_batch(spark, sf_dir):
     batch = append_new(old, new_gstin_rows(lr, AS_OF))
     assert first < out.count() == batch.count()
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+
+
+def test_landed_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "t-landed")
+    lr = fixture(spark, sf_dir, "lookup_results")
+    sio.write_landed(lr, path, "lookup_results")
+    back = sio.read_landed(spark, path, "lookup_results")
+    assert back.schema == sio.LANDED_SCHEMAS["lookup_results"]
+    assert back.exceptAll(lr).count() == 0 and lr.exceptAll(back).count() == 0

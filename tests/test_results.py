@@ -109,3 +109,34 @@ def test_key_presence_and_invalid_rows(spark):
     sp = va.split_gstins(spark.createDataFrame([("X" * 15,), ("X" * 14,), (None,)], "gstin string"))
     assert [r["is_valid"] for r in sp.collect()] == [True, False, False]
     assert F is not None
+
+
+def test_hot_key_rollup_matches_brute_force(spark):
+    """One PAN holds a third of all result items; results equal a plain Python rollup."""
+    random.seed(3)
+    rows = []
+    for i in range(3000):
+        pan = "HOTPN0000H" if i % 3 == 0 else f"PAN{i % 97:02d}0000X"
+        kind = random.random()
+        if kind < 0.6:
+            rows.append((pan, i, "G" * random.choice([14, 15]), "Active", "KA", None))
+        elif kind < 0.8:
+            rows.append((pan, i, None, None, None, random.choice(["Error: a", "Error: b", "No records found"])))
+        else:
+            rows.append((pan, i, None, None, None, "Timed out"))
+    df = spark.createDataFrame(rows, ITEM).repartition(8)
+    got = {r["pan"]: (r["gstin_count"], r["raw_gstin_count"], r["status"]) for r in rs.rollup_results(df).collect()}
+    expect = {}
+    for pan in {r[0] for r in rows}:
+        items = sorted((r for r in rows if r[0] == pan), key=lambda r: r[1])
+        n15 = sum(1 for r in items if r[2] is not None and len(r[2]) == 15)
+        nraw = sum(1 for r in items if r[2] is not None)
+        errs = [r[5] for r in items if r[5] and "Error" in r[5]]
+        if n15:
+            st = "Success"
+        elif any(r[5] == "No records found" for r in items):
+            st = "No GSTINs found"
+        else:
+            st = errs[0] if errs else "Unknown"
+        expect[pan] = (n15, nraw, st)
+    assert got == expect
