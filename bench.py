@@ -1,7 +1,9 @@
 """Benchmark: headline pipelines at one scale factor, one JSON line on stdout.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-     BENCH_REPEAT (default 2; the best run of each query is reported).
+     BENCH_REPEAT (default 2; the best run of each query is reported),
+     BENCH_WARMUP (default 1; untimed passes over all queries first, so JIT
+     compilation and codegen caches are warm as in a long-running session).
 Each query is executed in full with the ``noop`` sink (nothing is collected).
 """
 
@@ -39,7 +41,10 @@ def main() -> None:
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="regspark-bench")
     spark.sparkContext.setLogLevel("ERROR")
-    QUERIES["normalize_valid_pans"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+    warmup = int(os.environ.get("BENCH_WARMUP", "1"))
+    for _ in range(warmup):
+        for name in HEADLINE:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         best = None

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.fixtures import fixture
+from regspark.fixtures import fixture, landed
 from regspark.operators.enrich import details_table
 
 # --- fixed values -----------------------------------------------------------
@@ -52,6 +52,10 @@ def _third(key: str) -> Column:
 
 def lookup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pan, page_no, html): search-result pages, and outcome pages for PANs without hits."""
+    return landed(spark, sf_dir, "lookup_pages", lambda: _lookup_pages(spark, sf_dir))
+
+
+def _lookup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lr = fixture(spark, sf_dir, "lookup_results")
     hits = lr.where(F.col("gstin").isNotNull()).select(
         "pan", F.floor(F.col("ord") / PAGE_BLOCK).cast("long").alias("page_no"), "ord",
@@ -83,6 +87,10 @@ def details_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gstin, html) for every requested 15-character GSTIN; two thirds label/value
     cells, one third an HSN table; unknown GSTINs get a 'No records found' page."""
+    return landed(spark, sf_dir, "detail_pages", lambda: _detail_pages(spark, sf_dir))
+
+
+def _detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lr = fixture(spark, sf_dir, "lookup_results")
     ids = lr.where(F.length("gstin") == 15).select("gstin").distinct()
     d = ids.join(details_landed(spark, sf_dir).withColumn("_known", F.lit(True)), "gstin", "left")
@@ -110,6 +118,10 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detail_pages_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gstin, page_no, html) in the second source's layout, code rows with repeats."""
+    return landed(spark, sf_dir, "detail_pages_alt", lambda: _detail_pages_alt(spark, sf_dir))
+
+
+def _detail_pages_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = fixture(spark, sf_dir, "details_hsn").select(
         "gstin", F.floor(F.col("pos") / PAGE_BLOCK).cast("long").alias("page_no"), "pos",
         F.concat(F.lit("<tr><td>"), esc("hsn_code"), F.lit("</td><td>Goods</td></tr>")).alias("tr"))

@@ -482,8 +482,9 @@ def q_ingest_pages_results(spark, d):
     C_ITEMS, ("items2", "SELECT *, page_no * 1000000 + item_no AS seq FROM items"), c_rollup("items2", "seq")],
     "SELECT pan, gstin_count, raw_gstin_count, status FROM r"))
 def q_ingest_pages_status(spark, d):
-    """Q5 -> A4: the status of every PAN computed from its landed pages."""
-    _, status, _ = pl.ingest_pages(fp.lookup_pages(spark, d), fp.detail_pages(spark, d))
+    """Q5 -> A4: the status of every PAN computed from its landed pages (items written once)."""
+    _, status, _ = pl.ingest_pages(fp.lookup_pages(spark, d), fp.detail_pages(spark, d),
+                                   items_dir=scratch_path(spark, "items"))
     return status.select("pan", "gstin_count", "raw_gstin_count", "status")
 
 

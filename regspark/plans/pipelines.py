@@ -90,7 +90,15 @@ def export_simplified(gstin_data: DataFrame) -> DataFrame:
     return simplified_export(to_sheet_names(conform(gstin_data, GSTIN_DATA_SCHEMA), GSTIN_EXPORT_NAMES))
 
 
-def ingest_pages(lookup_pages: DataFrame, detail_pages: DataFrame):
-    """Q5: landed pages -> (result items, per-PAN status, details)."""
+def ingest_pages(lookup_pages: DataFrame, detail_pages: DataFrame, items_dir: str | None = None):
+    """Q5: landed pages -> (result items, per-PAN status, details).
+
+    With ``items_dir`` the extracted items are written there once (the landed
+    ``lookup_results`` of this run) and the rollup reads that table, so the
+    pages are parsed a single time although the rollup reads its input twice.
+    """
     items = page_results(lookup_pages)
+    if items_dir is not None:
+        items.write.mode("errorifexists").parquet(items_dir)
+        items = lookup_pages.sparkSession.read.schema(items.schema).parquet(items_dir)
     return items, rollup_results(items, order=F.struct("page_no", "item_no")), extract_details(detail_pages)
