@@ -29,7 +29,8 @@ from regspark.operators import validate as va
 from regspark.plans import pipelines as pl
 from regspark.session import AS_OF, AS_OF_SQL, scratch_path
 from regspark.sources import io as sio
-from regspark.streaming.apply_results import land_results, stream_apply_results
+from regspark.streaming.apply_results import (land_results, land_results_by_pan, stream_apply_results,
+                                               stream_map_pans)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -673,6 +674,25 @@ def q_stream_apply_results(spark, d):
                                 scratch_path(spark, "stream-ckpt"), AS_OF)
 
 
+def _stream_map_pans(spark, d):
+    landing = scratch_path(spark, "landing")
+    land_results_by_pan(fx(spark, d, "lookup_results"), landing, files=4)
+    return stream_map_pans(spark, landing, fx(spark, d, "pan_sheet"), _gstin_sheet(spark, d),
+                           scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"), AS_OF)
+
+
+@register("stream_map_pans_pan_data", oracle(["pan_sheet", "lookup_results"], [C_V, C_FIRSTS, C_ROLLUP, C_UPD],
+                                             PAN_DATA_SELECT))
+def q_stream_map_pans_pan_data(spark, d):
+    """T1 with foreachBatch: per-batch rollups applied to the PAN table."""
+    return _stream_map_pans(spark, d)[0]
+
+
+@register("stream_map_pans_gstin_data", oracle(["gstin_sheet", "lookup_results"], [C_OLD, c_new()], APPEND_SELECT))
+def q_stream_map_pans_gstin_data(spark, d):
+    return _stream_map_pans(spark, d)[1]
+
+
 # --------------------------------------------------------------------------- IO round trips
 
 @register("two_table_roundtrip", oracle(Q1_FIX, _q1_ctes(None), APPEND_SELECT))

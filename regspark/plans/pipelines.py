@@ -55,11 +55,10 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
     if test_mode:
         todo = first_n(todo, 1)
     todo = first_n(todo, limit)
+    # only the responses of the PANs this run processes (and of the checkpointed
+    # ones) take part; the landed table may hold responses for other sheets
     chosen = todo.select("pan") if keys is None else todo.select("pan").unionByName(keys)
-    if keys is None and limit is None and not test_mode:
-        results = responses
-    else:
-        results = responses.join(chosen.distinct(), "pan", "left_semi")
+    results = responses.join(chosen.distinct(), "pan", "left_semi")
     new_pan = apply_results(pan_data, rollup_results(results), as_of, match=match)
     new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of))
     return new_pan, new_gstin

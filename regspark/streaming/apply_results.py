@@ -44,3 +44,59 @@ def stream_apply_results(spark: SparkSession, landing_dir: str, old: DataFrame,
         raise q.exception()
     appended = spark.read.schema(fresh.schema).parquet(sink_dir)
     return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
+
+
+def land_results_by_pan(results: DataFrame, landing_dir: str, files: int = 4) -> None:
+    """Land result items so that all items of one PAN are in one file (one response
+    is atomic, as a lookup returns all of a PAN's rows at once)."""
+    results.repartition(files, "pan").write.mode("append").parquet(landing_dir)
+
+
+def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old: DataFrame, out_dir: str,
+                    checkpoint_dir: str, as_of: _dt.datetime, files_per_trigger: int = 1,
+                    timeout_s: float = 600.0):
+    """T1 with ``foreachBatch``: every micro-batch rolls up its PANs (A1, A4) and
+    appends new GSTIN rows (J2, U1); at the end the PAN table takes each PAN's
+    latest rollup (J4). Returns (pan_data, gstin_data).
+
+    Each batch writes into folders named by its epoch with overwrite, so a batch
+    replayed after a failure replaces its own output instead of duplicating it;
+    the query checkpoint records which files each epoch consumed.
+    """
+    import os
+
+    from regspark.operators.results import apply_results, rollup_results
+    from regspark.operators.schema import PAN_DATA_SCHEMA
+
+    schema = spark.read.parquet(landing_dir).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+              .parquet(landing_dir))
+    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
+    upd_dir, new_dir = os.path.join(out_dir, "pan_updates"), os.path.join(out_dir, "new_gstins")
+
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        # a micro-batch is bounded by maxFilesPerTrigger; keep it while both writes read it
+        batch = batch.persist()
+        try:
+            roll = rollup_results(batch).withColumn("epoch", F.lit(epoch).cast("long"))
+            roll.write.mode("overwrite").parquet(os.path.join(upd_dir, f"epoch={epoch}"))
+            fresh = new_gstin_rows(batch, as_of).join(keys, "gstin", "left_anti")
+            fresh.write.mode("overwrite").parquet(os.path.join(new_dir, f"epoch={epoch}"))
+        finally:
+            batch.unpersist()
+
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
+         .trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("stream did not finish")
+    if q.exception() is not None:
+        raise q.exception()
+    updates = spark.read.parquet(upd_dir)
+    latest = updates.groupBy("pan").agg(F.max_by(F.struct("gstin_count", "status"), "epoch").alias("_u")) \
+        .select("pan", "_u.gstin_count", "_u.status")
+    pan_data = apply_results(conform(sheet, PAN_DATA_SCHEMA), latest, as_of)
+    appended = spark.read.parquet(new_dir).drop("epoch")
+    gstin_data = conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
+    return pan_data, gstin_data
