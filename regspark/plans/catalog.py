@@ -479,6 +479,15 @@ def q_ingest_pages_results(spark, d):
     return items
 
 
+@register("ingest_pages", oracle(["lookup_results"], [C_ITEMS], "SELECT * FROM items"))
+def q_ingest_pages(spark, d):
+    """Q5 end to end: result pages parsed once and written as this run's landed
+    ``lookup_results`` table, which is what is returned (read back)."""
+    items, _, _ = pl.ingest_pages(fp.lookup_pages(spark, d), fp.detail_pages(spark, d),
+                                  items_dir=scratch_path(spark, "items"))
+    return items
+
+
 @register("ingest_pages_status", oracle(["lookup_results"], [
     C_ITEMS, ("items2", "SELECT *, page_no * 1000000 + item_no AS seq FROM items"), c_rollup("items2", "seq")],
     "SELECT pan, gstin_count, raw_gstin_count, status FROM r"))

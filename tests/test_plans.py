@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 # queries that write files while being built are checked by test_oracles instead
 WRITERS = {"enrich_sheet", "processed_count", "stream_apply_results", "two_table_roundtrip",
            "export_from_two_tables", "csv_roundtrip", "run_log_roundtrip", "run_report",
-           "checkpoint_roundtrip", "discover_inputs", "ingest_pages_status",
+           "checkpoint_roundtrip", "discover_inputs", "ingest_pages_status", "ingest_pages",
            "stream_map_pans_pan_data", "stream_map_pans_gstin_data"}
 NAMES = [n for n in E.queries() if n not in WRITERS]
 

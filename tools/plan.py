@@ -13,11 +13,6 @@ from regspark.plans.catalog import QUERIES  # noqa: E402
 from regspark.session import get_spark  # noqa: E402
 
 
-def tree(df) -> str:
-    plan = df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
-    return plan
-
-
 def main() -> None:
     spark = get_spark("local[8]", 16)
     spark.sparkContext.setLogLevel("ERROR")
