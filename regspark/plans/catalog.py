@@ -50,6 +50,13 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return fixture(spark, sf_dir, name)
 
 
+def nullable_counts(df: DataFrame, *cols: str) -> DataFrame:
+    """Integer columns that hold NULLs are presented as DOUBLE (as a sheet cell holds a
+    number), in the Spark query and its oracle alike: Spark hands a nullable long to
+    pandas as float64, DuckDB as Int64, and the two print differently."""
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 # --------------------------------------------------------------------------- oracle text
 
 WS = WHITESPACE_CLASS
@@ -114,7 +121,8 @@ FROM {src} l WHERE length(gstin) = 15 AND NOT EXISTS (SELECT 1 FROM gstin_sheet
 APPEND_SELECT = f"SELECT {GSTIN_COLS} FROM old UNION ALL SELECT {GSTIN_COLS} FROM newrows"
 PAN_DATA_SELECT = f"""
 SELECT s.row_id, s.pan, s.name, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone, s.address,
-  u.gstin_count, CASE WHEN u.row_id IS NOT NULL THEN {AS_OF_SQL} END AS last_updated, u.status
+  CAST(u.gstin_count AS DOUBLE) AS gstin_count, CASE WHEN u.row_id IS NOT NULL THEN {AS_OF_SQL} END AS last_updated,
+  u.status
 FROM pan_sheet s LEFT JOIN upd u USING (row_id)"""
 
 
@@ -214,7 +222,8 @@ C_UPD = ("upd", "SELECT f.row_id, r.gstin_count, r.status FROM firsts f JOIN r U
 
 @register("apply_results", oracle(["pan_sheet", "lookup_results"], [C_V, C_FIRSTS, C_ROLLUP, C_UPD], PAN_DATA_SELECT))
 def q_apply_results(spark, d):
-    return rs.apply_results(_sheet(spark, d), rs.rollup_results(fx(spark, d, "lookup_results")), AS_OF)
+    return nullable_counts(
+        rs.apply_results(_sheet(spark, d), rs.rollup_results(fx(spark, d, "lookup_results")), AS_OF), "gstin_count")
 
 
 @register("apply_results_raw", oracle(["pan_sheet", "lookup_results"], [
@@ -223,7 +232,8 @@ def q_apply_results(spark, d):
     ("upd", "SELECT f.row_id, r.gstin_count, r.status FROM rawfirst f JOIN r USING (pan)")], PAN_DATA_SELECT))
 def q_apply_results_raw(spark, d):
     """J4 with the original raw-text match: lower-case or padded rows are never updated."""
-    return rs.apply_results(_sheet(spark, d), rs.rollup_results(fx(spark, d, "lookup_results")), AS_OF, match="raw")
+    return nullable_counts(rs.apply_results(_sheet(spark, d), rs.rollup_results(fx(spark, d, "lookup_results")),
+                                            AS_OF, match="raw"), "gstin_count")
 
 
 # --------------------------------------------------------------------------- P7 F2 J2 U1
@@ -254,11 +264,11 @@ def _legacy_df(spark, d):
     ("lf", f"SELECT pan, min(row_id) AS row_id, arg_min(name, row_id) AS name FROM lv "
            f"WHERE regexp_matches(pan, '{PAT}') GROUP BY pan")], """
 SELECT row_id, pan, name, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone,
-  CAST(NULL AS VARCHAR) AS address, CAST(NULL AS BIGINT) AS gstin_count, CAST(NULL AS TIMESTAMP) AS last_updated,
+  CAST(NULL AS VARCHAR) AS address, CAST(NULL AS DOUBLE) AS gstin_count, CAST(NULL AS TIMESTAMP) AS last_updated,
   CAST(NULL AS VARCHAR) AS status FROM lf"""))
 def q_legacy_pan_rows(spark, d):
     pan_data, _ = sc.convert_legacy(_legacy_df(spark, d), AS_OF)
-    return pan_data
+    return nullable_counts(pan_data, "gstin_count")
 
 
 @register("legacy_gstin_rows", oracle(["legacy_sheet"], [], f"""
@@ -565,12 +575,13 @@ def _limit_text():
 
 
 @register("run_limits", oracle(["jobs"], [], f"""
-SELECT job_id, limit_text, CASE WHEN regexp_matches(limit_text, '^[0-9]+$') THEN TRY_CAST(limit_text AS INTEGER) END AS max_pans
+SELECT job_id, limit_text,
+  CAST(CASE WHEN regexp_matches(limit_text, '^[0-9]+$') THEN TRY_CAST(limit_text AS INTEGER) END AS DOUBLE) AS max_pans
 FROM (SELECT job_id, {LIMIT_TEXT_SQL} AS limit_text FROM jobs) t"""))
 def q_run_limits(spark, d):
     """The limit field of the run form parsed (blank or non-digit -> none)."""
     jobs = fx(spark, d, "jobs").select("job_id", _limit_text().alias("limit_text"))
-    return jobs.select("job_id", "limit_text", parse_limit("limit_text").alias("max_pans"))
+    return nullable_counts(jobs.select("job_id", "limit_text", parse_limit("limit_text").alias("max_pans")), "max_pans")
 
 
 UPLOAD_SQL = """concat('uploads/', replace(filename, '.csv',
@@ -653,7 +664,7 @@ Q1_FIX = ["pan_sheet", "gstin_sheet", "lookup_results", "done_keys"]
 
 @register("map_pans_pan_data", oracle(Q1_FIX, _q1_ctes(None), PAN_DATA_SELECT))
 def q_map_pans_pan_data(spark, d):
-    return _map_pans(spark, d)[0]
+    return nullable_counts(_map_pans(spark, d)[0], "gstin_count")
 
 
 @register("map_pans_gstin_data", oracle(Q1_FIX, _q1_ctes(None), APPEND_SELECT))
@@ -664,7 +675,7 @@ def q_map_pans_gstin_data(spark, d):
 @register("map_pans_limited_pan_data", oracle(Q1_FIX, _q1_ctes(50), PAN_DATA_SELECT))
 def q_map_pans_limited_pan_data(spark, d):
     """Q1 with resume and the run option "at most 50 new PANs"."""
-    return _map_pans(spark, d, limit=50)[0]
+    return nullable_counts(_map_pans(spark, d, limit=50)[0], "gstin_count")
 
 
 @register("map_pans_limited_gstin_data", oracle(Q1_FIX, _q1_ctes(50), APPEND_SELECT))
@@ -694,7 +705,7 @@ def _stream_map_pans(spark, d):
                                              PAN_DATA_SELECT))
 def q_stream_map_pans_pan_data(spark, d):
     """T1 with foreachBatch: per-batch rollups applied to the PAN table."""
-    return _stream_map_pans(spark, d)[0]
+    return nullable_counts(_stream_map_pans(spark, d)[0], "gstin_count")
 
 
 @register("stream_map_pans_gstin_data", oracle(["gstin_sheet", "lookup_results"], [C_OLD, c_new()], APPEND_SELECT))
@@ -746,15 +757,15 @@ def q_csv_roundtrip(spark, d):
 
 
 @register("run_log_roundtrip", oracle(["jobs"], [], """
-SELECT job_id, filename, status, created_at, max_pans AS "limit",
+SELECT job_id, filename, status, created_at, CAST(max_pans AS DOUBLE) AS "limit",
   CASE WHEN status = 'completed' THEN concat('uploads/', filename) END AS result_file FROM jobs"""))
 def q_run_log_roundtrip(spark, d):
     """The run log written as JSON lines keyed by job id and read back."""
     path = scratch_path(spark, "runlog")
     sio.write_run_log(fx(spark, d, "jobs"), path)
     log = sio.read_run_log(spark, path)
-    return log.select("job_id", "filename", "status", "created_at", F.col("parameters.limit").alias("limit"),
-                      "result_file")
+    return nullable_counts(log.select("job_id", "filename", "status", "created_at",
+                                      F.col("parameters.limit").alias("limit"), "result_file"), "limit")
 
 
 @register("run_report", oracle(["jobs"], [], RUN_HISTORY_SELECT))
