@@ -11,6 +11,7 @@ from regspark.functions.ids import is_valid_gstin, strip_ws
 from regspark.functions.text import format_stamp, join_codes, stamp
 from regspark.operators.results import NO_RECORDS
 from regspark.operators.schema import drop_if_present
+from regspark.operators.skew import DEFAULT, SkewConfig, skew_join
 
 
 def distinct_codes(codes: DataFrame, key: str = "gstin") -> DataFrame:
@@ -35,17 +36,17 @@ def details_table(details: DataFrame, codes: DataFrame) -> DataFrame:
         F.coalesce(F.col("hsn_codes"), F.array().cast("array<string>")).alias("hsn_codes"))
 
 
-def lookup_details(requested: DataFrame, details: DataFrame) -> DataFrame:
+def lookup_details(requested: DataFrame, details: DataFrame, skew: SkewConfig = DEFAULT) -> DataFrame:
     """Each valid requested GSTIN (list order and repeats kept) with its details,
     or ``error = 'No records found'`` when nothing was landed for it."""
     valid = requested.where(is_valid_gstin("gstin"))
     found = details.withColumn("_found", F.lit(True))
-    out = valid.join(found, "gstin", "left")
+    out = skew_join(valid, found, "gstin", "left", skew)
     return out.withColumn("error", F.when(F.col("_found").isNull(), F.lit(NO_RECORDS))).drop("_found")
 
 
 def enrich(sheet: DataFrame, details: DataFrame, as_of: _dt.datetime,
-           gstin_col: str = "GSTIN") -> DataFrame:
+           gstin_col: str = "GSTIN", skew: SkewConfig = DEFAULT) -> DataFrame:
     """The sheet with Trade_Name, Registration_Date, HSN_Codes and Last_Updated.
 
     The lookup list is the sheet's non-null GSTINs stripped (F6, not upper-cased);
@@ -58,9 +59,9 @@ def enrich(sheet: DataFrame, details: DataFrame, as_of: _dt.datetime,
     """
     base = drop_if_present(sheet).drop("Last_Updated")
     raw = F.col(f"`{gstin_col}`")
-    d = details.select(F.col("gstin").alias("_d_gstin"), F.col("trade_name").alias("_d_name"),
+    d = details.select(F.col("gstin").alias(gstin_col), F.col("trade_name").alias("_d_name"),
                        F.col("registration_date").alias("_d_date"), F.col("hsn_codes").alias("_d_codes"))
-    joined = base.join(d, raw == F.col("_d_gstin"), "left")
+    joined = skew_join(base, d, gstin_col, "left", skew)
     looked_up = raw.isNotNull() & (raw == strip_ws(raw))
     def pick(c):
         return F.when(looked_up, F.coalesce(F.col(c), F.lit("")))

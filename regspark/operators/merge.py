@@ -14,6 +14,7 @@ from regspark.functions.ids import is_valid_gstin, non_empty_or
 from regspark.functions.text import join_codes
 from regspark.operators.ordering import first_by_key
 from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform
+from regspark.operators.skew import DEFAULT, SkewConfig, skew_join
 
 
 def new_gstin_rows(results: DataFrame, as_of: _dt.datetime) -> DataFrame:
@@ -25,16 +26,17 @@ def new_gstin_rows(results: DataFrame, as_of: _dt.datetime) -> DataFrame:
     return conform(rows, GSTIN_DATA_SCHEMA)
 
 
-def append_new(old: DataFrame, new: DataFrame, dedup: bool = False) -> DataFrame:
+def append_new(old: DataFrame, new: DataFrame, dedup: bool = False, skew: SkewConfig = DEFAULT) -> DataFrame:
     """J2 + U1: old rows, then the new rows whose GSTIN is not in the old table.
 
     A left anti join (NULL keys on the right are harmless, unlike ``NOT IN``).
     The right side is reduced to its distinct keys first, which Spark does
     map-side, so a repeated GSTIN ships once per partition. New rows are not
     deduplicated among themselves unless ``dedup`` (then the first by row_id).
+    A GSTIN holding a large share of the new rows is salted (``operators.skew``).
     """
     keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
-    fresh = new.join(keys, "gstin", "left_anti")
+    fresh = skew_join(new, keys, "gstin", "left_anti", skew)
     if dedup:
         fresh = first_by_key(fresh, "gstin", "row_id", [c for c in fresh.columns])
     return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(fresh, GSTIN_DATA_SCHEMA))
@@ -65,15 +67,16 @@ def _prefixed(details: DataFrame, key: str) -> DataFrame:
         F.col("hsn_codes").alias("_new_hsn_codes"))
 
 
-def upsert_details_all(target: DataFrame, details: DataFrame) -> DataFrame:
+def upsert_details_all(target: DataFrame, details: DataFrame, skew: SkewConfig = DEFAULT) -> DataFrame:
     """J5 (flat CSV): every row with a GSTIN that has details gets F10 updates; no stamp.
 
     ``details`` is one row per GSTIN with ``hsn_codes`` as an array. The join is
     a left join on ``gstin``; AQE turns it into a broadcast join when the
-    details side is measured small at run time, and splits a skewed GSTIN.
+    details side is measured small at run time, and a GSTIN holding a large
+    share of the table is salted (``operators.skew``).
     """
     target = conform(target, GSTIN_DATA_SCHEMA)
-    joined = target.join(_prefixed(details, "gstin"), "gstin", "left")
+    joined = skew_join(target, _prefixed(details, "gstin"), "gstin", "left", skew)
     return joined.withColumns(_updated()).select(*GSTIN_DATA_SCHEMA)
 
 

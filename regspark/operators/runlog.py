@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions.text import capitalize_first, percent, run_label, short_id
+from regspark.operators.skew import skew_join
 
 # --- fixed values -----------------------------------------------------------
 STATUS_COMPLETED = "completed"
@@ -30,7 +31,7 @@ def batch_outcomes(looked_up: DataFrame, target: DataFrame) -> DataFrame:
     that is not in the target table fails with the table-update error.
     """
     present = target.where(F.col("gstin").isNotNull()).select("gstin").distinct().withColumn("_in", F.lit(True))
-    j = looked_up.join(present, "gstin", "left")
+    j = skew_join(looked_up, present, "gstin", "left")
     error = F.when(F.col("error").isNotNull(), F.col("error")) \
         .when(F.col("_in").isNull(), F.lit(ERR_NOT_IN_TABLE))
     return j.select("gstin", error.isNull().alias("success"), error.alias("error"))

@@ -67,6 +67,7 @@ def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old
 
     from regspark.operators.results import apply_results, rollup_results
     from regspark.operators.schema import PAN_DATA_SCHEMA
+    from regspark.operators.skew import skew_join
 
     schema = spark.read.parquet(landing_dir).schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -80,7 +81,7 @@ def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old
         try:
             roll = rollup_results(batch).withColumn("epoch", F.lit(epoch).cast("long"))
             roll.write.mode("overwrite").parquet(os.path.join(upd_dir, f"epoch={epoch}"))
-            fresh = new_gstin_rows(batch, as_of).join(keys, "gstin", "left_anti")
+            fresh = skew_join(new_gstin_rows(batch, as_of), keys, "gstin", "left_anti")
             fresh.write.mode("overwrite").parquet(os.path.join(new_dir, f"epoch={epoch}"))
         finally:
             batch.unpersist()
