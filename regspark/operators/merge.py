@@ -14,7 +14,7 @@ from regspark.functions.ids import is_valid_gstin, non_empty_or
 from regspark.functions.text import join_codes
 from regspark.operators.ordering import first_by_key
 from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform
-from regspark.operators.skew import DEFAULT, SkewConfig, skew_join
+from regspark.operators.skew import DEFAULT, SkewConfig, salted_join, skew_join
 
 
 def new_gstin_rows(results: DataFrame, as_of: _dt.datetime) -> DataFrame:
@@ -26,17 +26,20 @@ def new_gstin_rows(results: DataFrame, as_of: _dt.datetime) -> DataFrame:
     return conform(rows, GSTIN_DATA_SCHEMA)
 
 
-def append_new(old: DataFrame, new: DataFrame, dedup: bool = False, skew: SkewConfig = DEFAULT) -> DataFrame:
+def append_new(old: DataFrame, new: DataFrame, dedup: bool = False, skew: SkewConfig = DEFAULT,
+               hot: list | None = None) -> DataFrame:
     """J2 + U1: old rows, then the new rows whose GSTIN is not in the old table.
 
     A left anti join (NULL keys on the right are harmless, unlike ``NOT IN``).
     The right side is reduced to its distinct keys first, which Spark does
     map-side, so a repeated GSTIN ships once per partition. New rows are not
     deduplicated among themselves unless ``dedup`` (then the first by row_id).
-    A GSTIN holding a large share of the new rows is salted (``operators.skew``).
+    A GSTIN holding a large share of the new rows is salted (``operators.skew``);
+    ``hot`` passes hot GSTINs found upstream (on a cheaper input) instead.
     """
     keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
-    fresh = skew_join(new, keys, "gstin", "left_anti", skew)
+    fresh = (skew_join(new, keys, "gstin", "left_anti", skew) if hot is None
+             else salted_join(new, keys, "gstin", "left_anti", hot, skew.salts))
     if dedup:
         fresh = first_by_key(fresh, "gstin", "row_id", [c for c in fresh.columns])
     return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(fresh, GSTIN_DATA_SCHEMA))

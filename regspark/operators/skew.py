@@ -53,6 +53,27 @@ def hot_keys(df: DataFrame, key: str, cfg: SkewConfig = DEFAULT) -> list:
     return [r["_k"] for r in rows]
 
 
+def hot_keys_by_column(df: DataFrame, keys, cfg: SkewConfig = DEFAULT) -> dict:
+    """``hot_keys`` for several key columns of one input in a single sampled job."""
+    keys = list(keys)
+    if not cfg.enabled:
+        return {k: [] for k in keys}
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(k).cast("string").alias("_k"))
+                                for i, k in enumerate(keys)]))
+    sample = df.select(pairs.alias("_p")).select("_p._c", "_p._k").where(F.col("_k").isNotNull())
+    if cfg.sample_fraction < 1.0:
+        sample = sample.sample(fraction=cfg.sample_fraction, seed=cfg.seed)
+    need = max(1, int(cfg.min_rows * cfg.sample_fraction))
+    counted = sample.groupBy("_c", "_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
+    rows = counted.orderBy(F.desc("_n"), F.asc("_c"), F.asc("_k")).limit(cfg.max_hot * len(keys)).collect()
+    out: dict = {k: [] for k in keys}
+    for r in rows:
+        lst = out[keys[r["_c"]]]
+        if len(lst) < cfg.max_hot:
+            lst.append(r["_k"])
+    return out
+
+
 def salted_join(large: DataFrame, small: DataFrame, key: str, how: str, hot: list,
                 salts: int = DEFAULT.salts) -> DataFrame:
     """``large.join(small, key, how)`` with the ``hot`` keys spread over ``salts`` tasks.

@@ -14,7 +14,7 @@ from regspark.operators.ordering import first_n
 from regspark.operators.pages import extract_details, page_results
 from regspark.operators.results import apply_results, pending_pans, rollup_results
 from regspark.operators.runlog import batch_outcomes, batch_progress
-from regspark.operators.skew import skew_join
+from regspark.operators.skew import DEFAULT as SKEW, hot_keys_by_column, salted_join
 from regspark.operators.schema import (GSTIN_DATA_SCHEMA, GSTIN_EXPORT_NAMES, PAN_DATA_SCHEMA, conform,
                                        simplified_export, to_sheet_names)
 from regspark.operators.validate import key_presence, normalize_valid_pans
@@ -59,9 +59,12 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
     # only the responses of the PANs this run processes (and of the checkpointed
     # ones) take part; the landed table may hold responses for other sheets
     chosen = todo.select("pan") if keys is None else todo.select("pan").unionByName(keys)
-    results = skew_join(responses, chosen.distinct(), "pan", "left_semi")
+    # hot PANs and GSTINs are found once, on the landed responses (a plain scan),
+    # and used by both salted joins below
+    hot = hot_keys_by_column(responses, ["pan", "gstin"])
+    results = salted_join(responses, chosen.distinct(), "pan", "left_semi", hot["pan"], SKEW.salts)
     new_pan = apply_results(pan_data, rollup_results(results), as_of, match=match)
-    new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of))
+    new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of), hot=hot["gstin"])
     return new_pan, new_gstin
 
 

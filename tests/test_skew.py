@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from regspark.operators import enrich as en
 from regspark.operators import merge as mg
 from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform
-from regspark.operators.skew import SkewConfig, hot_keys, salted_join
+from regspark.operators.skew import SkewConfig, hot_keys, hot_keys_by_column, salted_join
 
 AS_OF = dt.datetime(2025, 1, 1)
 HOT = "27HOTTT0000H1Z5"
@@ -41,6 +41,7 @@ def test_hot_key_detection(spark):
     assert hot_keys(_results(spark), "gstin", CFG) == [HOT]
     assert hot_keys(_results(spark), "gstin", OFF) == []
     assert hot_keys(_results(spark), "gstin", SkewConfig()) == []   # 10,000 rows is not hot by default
+    assert hot_keys_by_column(_results(spark), ["pan", "gstin"], CFG) == {"pan": [], "gstin": [HOT]}
 
 
 @pytest.fixture()
