@@ -8,10 +8,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regspark.functions.text import stamp
-
 from regspark.functions.ids import is_valid_gstin, non_empty_or
-from regspark.functions.text import join_codes
+from regspark.functions.text import join_codes, stamp
 from regspark.operators.ordering import first_by_key
 from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform
 from regspark.operators.skew import DEFAULT, SkewConfig, salted_join, skew_join

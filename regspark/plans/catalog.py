@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from regspark import fixture_pages as fp
 from regspark.fixtures import FIXTURE_SQL, _REF, _closure, fixture
-from regspark.functions.ids import WHITESPACE_CLASS, is_valid_gstin, strip_ws
+from regspark.functions.ids import WHITESPACE_CLASS
 from regspark.functions.text import not_available, parse_limit, export_name, backup_name, file_extension
 from regspark.operators import enrich as en
 from regspark.operators import merge as mg

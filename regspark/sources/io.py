@@ -12,13 +12,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from regspark.functions.text import stamp
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, MapType, StringType,
                                StructField, StructType, TimestampNTZType)
 
 from regspark.functions.ids import NA_TOKENS, null_if_tokens
-from regspark.functions.text import file_extension
+from regspark.functions.text import file_extension, stamp
 
 # --- fixed values -----------------------------------------------------------
 ALLOWED_EXTENSIONS = ("xlsx", "xls", "csv")
