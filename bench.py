@@ -2,6 +2,7 @@
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
      BENCH_REPEAT (default 2; the best run of each query is reported),
+     BENCH_DRIVER_MEMORY (default 4g; local mode runs in the driver JVM),
      BENCH_WARMUP (default 1; untimed passes over all queries first, so JIT
      compilation and codegen caches are warm as in a long-running session).
 Each query is executed in full with the ``noop`` sink (nothing is collected).
@@ -39,7 +40,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="regspark-bench")
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), app_name="regspark-bench",
+                      driver_memory=os.environ.get("BENCH_DRIVER_MEMORY", "4g"))
     spark.sparkContext.setLogLevel("ERROR")
     warmup = int(os.environ.get("BENCH_WARMUP", "1"))
     for _ in range(warmup):

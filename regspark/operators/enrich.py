@@ -11,7 +11,7 @@ from regspark.functions.ids import is_valid_gstin, strip_ws
 from regspark.functions.text import format_stamp, join_codes, stamp
 from regspark.operators.results import NO_RECORDS
 from regspark.operators.schema import drop_if_present
-from regspark.operators.skew import DEFAULT, SkewConfig, skew_join
+from regspark.operators.skew import DEFAULT, SkewConfig, salted_join, skew_join
 
 
 def distinct_codes(codes: DataFrame, key: str = "gstin") -> DataFrame:
@@ -36,12 +36,14 @@ def details_table(details: DataFrame, codes: DataFrame) -> DataFrame:
         F.coalesce(F.col("hsn_codes"), F.array().cast("array<string>")).alias("hsn_codes"))
 
 
-def lookup_details(requested: DataFrame, details: DataFrame, skew: SkewConfig = DEFAULT) -> DataFrame:
+def lookup_details(requested: DataFrame, details: DataFrame, skew: SkewConfig = DEFAULT,
+                   hot: list | None = None) -> DataFrame:
     """Each valid requested GSTIN (list order and repeats kept) with its details,
     or ``error = 'No records found'`` when nothing was landed for it."""
     valid = requested.where(is_valid_gstin("gstin"))
     found = details.withColumn("_found", F.lit(True))
-    out = skew_join(valid, found, "gstin", "left", skew)
+    out = (skew_join(valid, found, "gstin", "left", skew) if hot is None
+           else salted_join(valid, found, "gstin", "left", hot, skew.salts))
     return out.withColumn("error", F.when(F.col("_found").isNull(), F.lit(NO_RECORDS))).drop("_found")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions.text import capitalize_first, percent, run_label, short_id
-from regspark.operators.skew import skew_join
+from regspark.operators.skew import DEFAULT as SKEW, salted_join, skew_join
 
 # --- fixed values -----------------------------------------------------------
 STATUS_COMPLETED = "completed"
@@ -24,14 +24,15 @@ def run_history(jobs: DataFrame) -> DataFrame:
     ).orderBy(F.desc("created_at"), F.desc("job_id"))
 
 
-def batch_outcomes(looked_up: DataFrame, target: DataFrame) -> DataFrame:
+def batch_outcomes(looked_up: DataFrame, target: DataFrame, hot: list | None = None) -> DataFrame:
     """Per requested GSTIN of a details run: success, or the error that stopped it.
 
     ``looked_up`` is the output of ``lookup_details`` (J7); an id with details
     that is not in the target table fails with the table-update error.
     """
     present = target.where(F.col("gstin").isNotNull()).select("gstin").distinct().withColumn("_in", F.lit(True))
-    j = skew_join(looked_up, present, "gstin", "left")
+    j = (skew_join(looked_up, present, "gstin", "left") if hot is None
+         else salted_join(looked_up, present, "gstin", "left", hot, SKEW.salts))
     error = F.when(F.col("error").isNotNull(), F.col("error")) \
         .when(F.col("_in").isNull(), F.lit(ERR_NOT_IN_TABLE))
     return j.select("gstin", error.isNull().alias("success"), error.alias("error"))

@@ -325,9 +325,8 @@ def q_details_upsert_first(spark, d):
                                    C_CODES + [C_DDREQ] + C_HITS_FIRST, UPSERT_FIRST_SELECT))
 def q_update_details(spark, d):
     """Q2: the table after a details run over every requested id."""
-    table, _, _ = pl.update_details(_gstin_sheet(spark, d), fx(spark, d, "requested_gstins"),
-                                    _details_arrays(spark, d), AS_OF)
-    return table
+    return pl.update_details(_gstin_sheet(spark, d), fx(spark, d, "requested_gstins"),
+                             _details_arrays(spark, d), AS_OF)
 
 
 C_OUTCOMES = ("outc", """
@@ -341,8 +340,8 @@ FROM requested_gstins q LEFT JOIN dd USING (gstin) WHERE length(q.gstin) = 15"""
                                             C_CODES + [C_OUTCOMES], "SELECT gstin, error IS NULL AS success, error FROM outc"))
 def q_update_details_outcomes(spark, d):
     """J7 + A6 per id: each requested valid GSTIN, success or its error."""
-    _, outcomes, _ = pl.update_details(_gstin_sheet(spark, d), fx(spark, d, "requested_gstins"),
-                                       _details_arrays(spark, d), AS_OF)
+    outcomes, _ = pl.details_run_outcomes(_gstin_sheet(spark, d), fx(spark, d, "requested_gstins"),
+                                          _details_arrays(spark, d))
     return outcomes
 
 
@@ -352,8 +351,8 @@ SELECT count(*) AS total, count(*) AS processed, count(*) FILTER (WHERE error IS
   count(*) FILTER (WHERE error IS NOT NULL) AS failed,
   CAST(round(100.0 * count(*) / nullif(count(*), 0)) AS BIGINT) AS percent_done FROM outc"""))
 def q_batch_progress(spark, d):
-    _, _, progress = pl.update_details(_gstin_sheet(spark, d), fx(spark, d, "requested_gstins"),
-                                       _details_arrays(spark, d), AS_OF)
+    _, progress = pl.details_run_outcomes(_gstin_sheet(spark, d), fx(spark, d, "requested_gstins"),
+                                          _details_arrays(spark, d))
     return progress
 
 
@@ -364,8 +363,7 @@ def q_single_details(spark, d):
     """Q6: one id (the smallest GSTIN of the table) looked up and written to its first row."""
     target = _gstin_sheet(spark, d)
     one = target.agg(F.min("gstin").alias("gstin"))
-    table, _, _ = pl.update_details(target, one, _details_arrays(spark, d), AS_OF)
-    return table
+    return pl.update_details(target, one, _details_arrays(spark, d), AS_OF)
 
 
 @register("details_display", oracle(["details"], [], """

@@ -14,7 +14,7 @@ from regspark.operators.ordering import first_n
 from regspark.operators.pages import extract_details, page_results
 from regspark.operators.results import apply_results, pending_pans, rollup_results
 from regspark.operators.runlog import batch_outcomes, batch_progress
-from regspark.operators.skew import DEFAULT as SKEW, hot_keys_by_column, salted_join
+from regspark.operators.skew import DEFAULT as SKEW, hot_keys, hot_keys_by_column, salted_join
 from regspark.operators.schema import (GSTIN_DATA_SCHEMA, GSTIN_EXPORT_NAMES, PAN_DATA_SCHEMA, conform,
                                        simplified_export, to_sheet_names)
 from regspark.operators.validate import key_presence, normalize_valid_pans
@@ -69,18 +69,24 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
 
 
 def update_details(target: DataFrame, requested: DataFrame, details: DataFrame, as_of: _dt.datetime,
-                   first_only: bool = True):
-    """Q2: (updated table, per-id outcomes, progress).
+                   first_only: bool = True) -> DataFrame:
+    """Q2: the table after a details run.
 
     Valid requested ids (F9) are looked up in the landed details (J7) and the
     table is upserted in one join (J6 on the first row, stamped; J5 on every
     row for a flat CSV), instead of one file rewrite per id.
     """
     found = requested_with_details(requested, details)
-    table = (upsert_details_first(target, found, as_of) if first_only
-             else upsert_details_all(target, found))
-    outcomes = batch_outcomes(lookup_details(requested, details), target)
-    return table, outcomes, batch_progress(outcomes)
+    return (upsert_details_first(target, found, as_of) if first_only
+            else upsert_details_all(target, found))
+
+
+def details_run_outcomes(target: DataFrame, requested: DataFrame, details: DataFrame):
+    """Q2's job record: (per-id outcomes, progress) (J7, A6, A8). Hot ids are found
+    once on the request list and salted in both joins."""
+    hot = hot_keys(requested, "gstin")
+    outcomes = batch_outcomes(lookup_details(requested, details, hot=hot), target, hot=hot)
+    return outcomes, batch_progress(outcomes)
 
 
 def enrich_sheet(sheet: DataFrame, details_text: DataFrame, as_of: _dt.datetime) -> DataFrame:

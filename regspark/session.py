@@ -16,11 +16,13 @@ AS_OF_SQL = "TIMESTAMP '2025-01-01 00:00:00'"
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "regspark") -> SparkSession:
+              app_name: str = "regspark", driver_memory: str | None = None) -> SparkSession:
     """Session with the settings the library assumes (UTC, AQE, no UI)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -140,3 +140,24 @@ def test_hot_key_rollup_matches_brute_force(spark):
             st = errs[0] if errs else "Unknown"
         expect[pan] = (n15, nraw, st)
     assert got == expect
+
+
+def test_retry_failed_and_key_validation(spark):
+    from regspark.plans.pipelines import ValidationError, check_key_column
+
+    sheet = _sheet(spark)
+    valid = va.normalize_valid_pans(sheet)
+    done = spark.createDataFrame([("ABCDE1234F",), ("QWERT1234Y",)], "pan string")
+    failed = spark.createDataFrame([("QWERT1234Y",)], "pan string")
+    assert sorted(r["pan"] for r in rs.pending_pans(valid, done).collect()) == ["ZZZZZ0000Z"]
+    again = rs.pending_pans(valid, done, retry_failed=True, failed=failed)
+    assert sorted(r["pan"] for r in again.collect()) == ["QWERT1234Y", "ZZZZZ0000Z"]
+    check_key_column(sheet)   # has values: no error
+    empty = spark.createDataFrame([(0, None)], "row_id long, pan string")
+    for bad in (empty, empty.drop("pan")):
+        try:
+            check_key_column(bad)
+        except ValidationError:
+            pass
+        else:
+            raise AssertionError("expected a validation error")
