@@ -143,6 +143,13 @@ def convert_legacy(df: DataFrame, as_of: _dt.datetime, first_match: bool = False
     return pan_data, conform(rows, GSTIN_DATA_SCHEMA)
 
 
+def legacy_orphans(pan_data: DataFrame, gstin_data: DataFrame) -> DataFrame:
+    """Legacy GSTIN rows whose PAN passed the weaker pair test but is not a valid
+    PAN row (children without a parent), reported rather than dropped."""
+    return gstin_data.join(pan_data.select(F.col("pan").alias("pan_reference")).distinct(),
+                           "pan_reference", "left_anti")
+
+
 def simplified_export(df: DataFrame) -> DataFrame:
     """PAN_Reference, GSTIN, GSTIN Status; without status two columns; else all."""
     cols = df.columns

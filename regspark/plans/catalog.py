@@ -282,6 +282,21 @@ def q_legacy_gstin_rows(spark, d):
     return gstin_data
 
 
+@register("legacy_orphans", oracle(["legacy_sheet"], [
+    ("lv", f"SELECT row_id, {NORM('pan_no')} AS pan FROM legacy_sheet WHERE pan_no IS NOT NULL"),
+    ("lp", f"SELECT DISTINCT pan FROM lv WHERE regexp_matches(pan, '{PAT}')")], f"""
+SELECT row_id, {NORM('pan_no')} AS pan_reference, {NORM('gstin')} AS gstin,
+  coalesce(gstin_status, '') AS gstin_status, coalesce(state, '') AS state, CAST(NULL AS VARCHAR) AS trade_name,
+  CAST(NULL AS VARCHAR) AS registration_date, CAST(NULL AS VARCHAR) AS hsn_codes, {AS_OF_SQL} AS last_updated
+FROM legacy_sheet
+WHERE length(coalesce({NORM('pan_no')}, '')) = 10 AND length(coalesce({NORM('gstin')}, '')) = 15
+  AND {NORM('pan_no')} NOT IN (SELECT pan FROM lp)"""))
+def q_legacy_orphans(spark, d):
+    """Legacy GSTIN rows whose PAN is not a valid PAN row."""
+    pan_data, gstin_data = sc.convert_legacy(_legacy_df(spark, d), AS_OF)
+    return sc.legacy_orphans(pan_data, gstin_data)
+
+
 # --------------------------------------------------------------------------- F9 J5 J6 J7 A6 A8
 
 @register("split_gstins", oracle(["requested_gstins"], [], """
