@@ -118,23 +118,17 @@ LANDED = ("base", "pan_sheet", "lookup_results", "details", "details_hsn")
 _LANDED_PATHS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
-    return fs.exists(jvm_path.suffix("/_SUCCESS"))
-
-
 def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """``build()`` written once as a Parquet table and read back (later calls read only)."""
-    from regspark.session import scratch_path
+    from regspark.session import app_id, parallelism, path_exists, scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (app_id(spark), sf_dir, name)
     hit = _LANDED_PATHS.get(key)
-    if hit is None or not _path_exists(spark, hit[0]):
+    if hit is None or not path_exists(spark, hit[0] + "/_SUCCESS"):
         path = scratch_path(spark, f"landed-{name}")
         df = build()
         # many files, like a landing folder, so reads are parallel at any size
-        df.repartition(spark.sparkContext.defaultParallelism).write.mode("errorifexists").parquet(path)
+        df.repartition(parallelism(spark)).write.mode("errorifexists").parquet(path)
         hit = (path, df.schema)
         _LANDED_PATHS[key] = hit
     return spark.read.schema(hit[1]).parquet(hit[0])

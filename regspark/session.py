@@ -43,24 +43,62 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and points to shared storage.
     Only when it is unset (local tests) a private temporary folder is used.
     """
+    sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    if not root and sc is not None:
+        root = sc.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="regspark-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(root)
     return root
 
 
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Number of task slots (files to write for a landing, partitions to aim for)."""
+    sc = _context(spark)
+    if sc is not None:
+        return max(1, sc.defaultParallelism)
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def hadoop_fs(spark: SparkSession, path: str):
+    """(FileSystem, Path) of the session's Hadoop configuration; None without a JVM gateway."""
+    try:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path  # noqa: SLF001
+    except Exception:  # noqa: BLE001 - Spark Connect: no JVM access from the client
+        return None
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence of a path on the file system the cluster resolves it to."""
+    hit = hadoop_fs(spark, path)
+    if hit is not None:
+        fs, p = hit
+        return bool(fs.exists(p))
+    return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused location below the checkpoint root."""
     root = checkpoint_root(spark)

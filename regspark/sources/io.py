@@ -17,6 +17,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, Ma
 
 from regspark.functions.ids import NA_TOKENS, null_if_tokens
 from regspark.functions.text import file_extension, stamp
+from regspark.session import hadoop_fs
 
 # --- fixed values -----------------------------------------------------------
 ALLOWED_EXTENSIONS = ("xlsx", "xls", "csv")
@@ -95,8 +96,13 @@ def table_names(spark: SparkSession, version_dir: str | None) -> list[str]:
     """Names of the tables present in a version directory (for C4)."""
     if version_dir is None:
         return []
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(version_dir)  # noqa: SLF001
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    hit = hadoop_fs(spark, version_dir)
+    if hit is None:
+        local = _local(version_dir)
+        if not os.path.isdir(local):
+            return []
+        return sorted(n for n in os.listdir(local) if os.path.isdir(os.path.join(local, n)))
+    fs, jvm_path = hit
     if not fs.exists(jvm_path):
         return []
     return [s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory()]
