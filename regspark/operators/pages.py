@@ -210,3 +210,7 @@ def extract_details_alt(pages: DataFrame, keys=("gstin", "page_no"), html: str =
 def details_with_text(details: DataFrame) -> DataFrame:
     """The stored form: codes as ", "-joined text."""
     return details.withColumn("hsn_codes", join_codes("hsn_codes"))
+
+
+classify_page = page_outcome            # X2, the survey's name
+table_selector = select_tables          # X3

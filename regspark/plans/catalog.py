@@ -378,7 +378,7 @@ def q_single_details(spark, d):
     """Q6: one id (the smallest GSTIN of the table) looked up and written to its first row."""
     target = _gstin_sheet(spark, d)
     one = target.agg(F.min("gstin").alias("gstin"))
-    return pl.update_details(target, one, _details_arrays(spark, d), AS_OF)
+    return pl.single_details(target, one, _details_arrays(spark, d), AS_OF)
 
 
 @register("details_display", oracle(["details"], [], """
@@ -786,11 +786,7 @@ def q_run_report(spark, d):
     """Q7: history report over the persisted run log (S11 -> L3, P11, P12)."""
     path = scratch_path(spark, "runlog")
     sio.write_run_log(fx(spark, d, "jobs"), path)
-    log = sio.read_run_log(spark, path).select(
-        "job_id", "filename", "status", "created_at", F.col("parameters.headless").alias("headless"),
-        F.col("parameters.test_mode").alias("test_mode"), F.col("parameters.limit").alias("max_pans"),
-        F.col("parameters.resume").alias("resume"))
-    return rl.run_history(log)
+    return pl.run_report(sio.read_run_log(spark, path))
 
 
 @register("checkpoint_roundtrip", oracle(["lookup_results", "done_keys"], [], """

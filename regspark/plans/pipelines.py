@@ -111,3 +111,20 @@ def ingest_pages(lookup_pages: DataFrame, detail_pages: DataFrame, items_dir: st
         items.write.mode("errorifexists").parquet(items_dir)
         items = lookup_pages.sparkSession.read.schema(items.schema).parquet(items_dir)
     return items, rollup_results(items, order=F.struct("page_no", "item_no")), extract_details(detail_pages)
+
+
+def single_details(target: DataFrame, gstin: DataFrame, details: DataFrame, as_of: _dt.datetime) -> DataFrame:
+    """Q6: one id (a one-row frame) looked up and written to its first row in ``target``
+    (the latest completed run's table, A9)."""
+    return update_details(target, gstin, details, as_of)
+
+
+def run_report(log: DataFrame) -> DataFrame:
+    """Q7: the history report over a run log read with ``sources.io.read_run_log``."""
+    from regspark.operators.runlog import run_history
+
+    flat = log.select(
+        "job_id", "filename", "status", "created_at", F.col("parameters.headless").alias("headless"),
+        F.col("parameters.test_mode").alias("test_mode"), F.col("parameters.limit").alias("max_pans"),
+        F.col("parameters.resume").alias("resume"))
+    return run_history(flat)

@@ -230,3 +230,9 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     return lines.select(F.explode(F.from_json("value", RUN_LOG_LINE, JSON_OPTIONS)).alias("job_id", "job")).select(
         "job_id", "job.*")
+
+
+# Names used by the survey's inventory for the same readers.
+read_flat_csv = read_sheet              # S3: a flat CSV of GSTIN rows reads like a sheet
+read_landed_responses = read_landed     # S12
+na_to_null = null_if_tokens             # S4
