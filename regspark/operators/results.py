@@ -85,18 +85,23 @@ PAN_DATA_COLS = ("row_id", "pan", "name", "email", "phone", "address",
 
 
 def apply_results(sheet: DataFrame, rollup: DataFrame, as_of: _dt.datetime,
-                  match: str = "normalized") -> DataFrame:
+                  match: str = "normalized", firsts: DataFrame | None = None) -> DataFrame:
     """Write count, time and status on the first sheet row of each looked-up PAN.
 
     ``match='normalized'`` finds the row by its cleaned PAN; ``match='raw'``
     compares the raw cell text with the key, as the original tool did (so a
     lower-case row is looked up but never updated). Other rows are untouched.
+    ``firsts`` (pan, row_id) may pass the first rows already found by A3 for the
+    normalized match, which saves one aggregation over the sheet.
     """
-    if match == "raw":
+    if firsts is not None and match != "raw":
+        firsts = firsts.select(F.col("pan").alias("_key"), "row_id")
+    elif match == "raw":
         keyed = sheet.where(F.col("pan").isNotNull()).select("row_id", F.col("pan").alias("_key"))
+        firsts = first_by_key(keyed, "_key", "row_id")
     else:
         keyed = sheet.where(F.col("pan").isNotNull()).select("row_id", normalize_id("pan").alias("_key"))
-    firsts = first_by_key(keyed, "_key", "row_id")
+        firsts = first_by_key(keyed, "_key", "row_id")
     upd = (firsts.join(rollup.select(F.col("pan").alias("_key"), F.col("gstin_count").alias("_count"),
                                      F.col("status").alias("_status")), "_key")
            .select("row_id", "_count", "_status", F.lit(True).alias("_hit")))

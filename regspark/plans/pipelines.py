@@ -63,7 +63,8 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
     # and used by both salted joins below
     hot = hot_keys_by_column(responses, ["pan", "gstin"])
     results = salted_join(responses, chosen.distinct(), "pan", "left_semi", hot["pan"], SKEW.salts)
-    new_pan = apply_results(pan_data, rollup_results(results), as_of, match=match)
+    new_pan = apply_results(pan_data, rollup_results(results), as_of, match=match,
+                            firsts=valid if match != "raw" else None)
     new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of), hot=hot["gstin"])
     return new_pan, new_gstin
 
