@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +32,21 @@ def stream_apply_results(spark: SparkSession, landing_dir: str, old: DataFrame,
     schema = spark.read.parquet(landing_dir).schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(landing_dir))
-    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
+    # the static side is read by every micro-batch: keep it for the stream's lifetime
+    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     fresh = new_gstin_rows(stream, as_of).join(keys, "gstin", "left_anti")
     q = (fresh.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).outputMode("append").start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    try:
+        q.awaitTermination(timeout_s)
+        if q.isActive:
+            q.stop()
+            raise TimeoutError("stream did not finish")
+        if q.exception() is not None:
+            raise q.exception()
+    finally:
+        keys.unpersist()
     appended = spark.read.schema(fresh.schema).parquet(sink_dir)
     return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
 
@@ -72,7 +77,7 @@ def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old
     schema = spark.read.parquet(landing_dir).schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(landing_dir))
-    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
+    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     upd_dir, new_dir = os.path.join(out_dir, "pan_updates"), os.path.join(out_dir, "new_gstins")
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
@@ -88,12 +93,15 @@ def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    try:
+        q.awaitTermination(timeout_s)
+        if q.isActive:
+            q.stop()
+            raise TimeoutError("stream did not finish")
+        if q.exception() is not None:
+            raise q.exception()
+    finally:
+        keys.unpersist()
     updates = spark.read.parquet(upd_dir)
     latest = updates.groupBy("pan").agg(F.max_by(F.struct("gstin_count", "status"), "epoch").alias("_u")) \
         .select("pan", "_u.gstin_count", "_u.status")
