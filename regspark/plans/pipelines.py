@@ -129,3 +129,19 @@ def run_report(log: DataFrame) -> DataFrame:
         F.col("parameters.test_mode").alias("test_mode"), F.col("parameters.limit").alias("max_pans"),
         F.col("parameters.resume").alias("resume"))
     return run_history(flat)
+
+
+def load_tables(spark, root: str, as_of: _dt.datetime, legacy_csv: str | None = None):
+    """Q1's front (S1, C4, C5, S8): the current two-table version under ``root``; when
+    it lacks a table (old layout), the one-sheet CSV ``legacy_csv`` is converted
+    and written as a new version first, then read back."""
+    from regspark.operators.schema import LayoutError, convert_legacy, is_legacy_layout
+    from regspark.sources import io as sio
+
+    if not is_legacy_layout(sio.table_names(spark, sio.current_version(spark, root))):
+        return sio.read_two_tables(spark, root)
+    if legacy_csv is None:
+        raise LayoutError(f"no two-table version under {root} and no legacy sheet given")
+    pan_data, gstin_data = convert_legacy(sio.read_sheet(spark, legacy_csv), as_of)
+    sio.write_two_tables(pan_data, gstin_data, root)
+    return sio.read_two_tables(spark, root)

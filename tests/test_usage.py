@@ -42,3 +42,22 @@ def test_readme_flow(spark, sf_dir):
     q_gstin = E.queries()["map_pans_gstin_data"](spark, sf_dir)
     assert _same(p2.withColumn("gstin_count", F.col("gstin_count").cast("double")), q_pan)
     assert _same(g2, q_gstin)
+
+
+def test_load_tables_converts_legacy_once(spark, sf_dir):
+    root = scratch_path(spark, "legacy-wb")
+    csv = os.path.join(root, "old_sheet")
+    legacy = fixture(spark, sf_dir, "legacy_sheet").orderBy("row_id").select(
+        F.col("pan_no").alias("PAN NO."), F.col("name").alias("NAME"), "gstin",
+        F.col("gstin_status").alias("GSTIN Status"), F.col("state").alias("State"))
+    io.write_csv(legacy, csv, single_file=True)
+    pan_data, gstin_data = pl.load_tables(spark, os.path.join(root, "workbook"), AS_OF, legacy_csv=csv)
+    # same PANs and GSTIN rows as the conversion of the fixture itself
+    want_pan = E.queries()["legacy_pan_rows"](spark, sf_dir)
+    want_g = E.queries()["legacy_gstin_rows"](spark, sf_dir)
+    assert _same(pan_data.select("pan"), want_pan.select("pan"))
+    cols = ["pan_reference", "gstin", "gstin_status", "state"]
+    assert _same(gstin_data.select(cols), want_g.select(cols))
+    # second open: the converted version is read, the legacy sheet is not needed
+    again, _ = pl.load_tables(spark, os.path.join(root, "workbook"), AS_OF)
+    assert _same(again, pan_data)
