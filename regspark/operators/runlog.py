@@ -24,7 +24,8 @@ def run_history(jobs: DataFrame) -> DataFrame:
     ).orderBy(F.desc("created_at"), F.desc("job_id"))
 
 
-def batch_outcomes(looked_up: DataFrame, target: DataFrame, hot: list | None = None) -> DataFrame:
+def batch_outcomes(looked_up: DataFrame, target: DataFrame, hot: list | None = None,
+                   salts: int = SKEW.salts) -> DataFrame:
     """Per requested GSTIN of a details run: success, or the error that stopped it.
 
     ``looked_up`` is the output of ``lookup_details`` (J7); an id with details
@@ -32,7 +33,7 @@ def batch_outcomes(looked_up: DataFrame, target: DataFrame, hot: list | None = N
     """
     present = target.where(F.col("gstin").isNotNull()).select("gstin").distinct().withColumn("_in", F.lit(True))
     j = (skew_join(looked_up, present, "gstin", "left") if hot is None
-         else salted_join(looked_up, present, "gstin", "left", hot, SKEW.salts))
+         else salted_join(looked_up, present, "gstin", "left", hot, salts))
     error = F.when(F.col("error").isNotNull(), F.col("error")) \
         .when(F.col("_in").isNull(), F.lit(ERR_NOT_IN_TABLE))
     return j.select("gstin", error.isNull().alias("success"), error.alias("error"))

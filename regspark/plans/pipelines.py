@@ -14,7 +14,7 @@ from regspark.operators.ordering import first_n
 from regspark.operators.pages import extract_details, page_results
 from regspark.operators.results import apply_results, pending_pans, rollup_results
 from regspark.operators.runlog import batch_outcomes, batch_progress
-from regspark.operators.skew import DEFAULT as SKEW, hot_keys, hot_keys_by_column, salted_join
+from regspark.operators.skew import DEFAULT as SKEW, SkewConfig, hot_keys, hot_keys_by_column, salted_join
 from regspark.operators.schema import (GSTIN_DATA_SCHEMA, GSTIN_EXPORT_NAMES, PAN_DATA_SCHEMA, conform,
                                        simplified_export, to_sheet_names)
 from regspark.operators.validate import key_presence, normalize_valid_pans
@@ -35,7 +35,8 @@ def check_key_column(pan_data: DataFrame) -> None:
 
 def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, as_of: _dt.datetime,
              done: DataFrame | None = None, resume: bool = False, limit: int | None = None,
-             test_mode: bool = False, match: str = "normalized", validate: bool = False):
+             test_mode: bool = False, match: str = "normalized", validate: bool = False,
+             skew: SkewConfig = SKEW):
     """Q1: (updated pan_data, updated gstin_data).
 
     Distinct valid PANs (A3) minus the checkpointed ones (J1, when ``resume``),
@@ -61,16 +62,16 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
     chosen = todo.select("pan") if keys is None else todo.select("pan").unionByName(keys)
     # hot PANs and GSTINs are found once, on the landed responses (a plain scan),
     # and used by both salted joins below
-    hot = hot_keys_by_column(responses, ["pan", "gstin"])
-    results = salted_join(responses, chosen.distinct(), "pan", "left_semi", hot["pan"], SKEW.salts)
+    hot = hot_keys_by_column(responses, ["pan", "gstin"], skew)
+    results = salted_join(responses, chosen.distinct(), "pan", "left_semi", hot["pan"], skew.salts)
     new_pan = apply_results(pan_data, rollup_results(results), as_of, match=match,
                             firsts=valid if match != "raw" else None)
-    new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of), hot=hot["gstin"])
+    new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of), skew=skew, hot=hot["gstin"])
     return new_pan, new_gstin
 
 
 def update_details(target: DataFrame, requested: DataFrame, details: DataFrame, as_of: _dt.datetime,
-                   first_only: bool = True) -> DataFrame:
+                   first_only: bool = True, skew: SkewConfig = SKEW) -> DataFrame:
     """Q2: the table after a details run.
 
     Valid requested ids (F9) are looked up in the landed details (J7) and the
@@ -79,20 +80,22 @@ def update_details(target: DataFrame, requested: DataFrame, details: DataFrame,
     """
     found = requested_with_details(requested, details)
     return (upsert_details_first(target, found, as_of) if first_only
-            else upsert_details_all(target, found))
+            else upsert_details_all(target, found, skew=skew))
 
 
-def details_run_outcomes(target: DataFrame, requested: DataFrame, details: DataFrame):
+def details_run_outcomes(target: DataFrame, requested: DataFrame, details: DataFrame, skew: SkewConfig = SKEW):
     """Q2's job record: (per-id outcomes, progress) (J7, A6, A8). Hot ids are found
     once on the request list and salted in both joins."""
-    hot = hot_keys(requested, "gstin")
-    outcomes = batch_outcomes(lookup_details(requested, details, hot=hot), target, hot=hot)
+    hot = hot_keys(requested, "gstin", skew)
+    outcomes = batch_outcomes(lookup_details(requested, details, skew=skew, hot=hot), target, hot=hot,
+                              salts=skew.salts)
     return outcomes, batch_progress(outcomes)
 
 
-def enrich_sheet(sheet: DataFrame, details_text: DataFrame, as_of: _dt.datetime) -> DataFrame:
+def enrich_sheet(sheet: DataFrame, details_text: DataFrame, as_of: _dt.datetime,
+                 skew: SkewConfig = SKEW) -> DataFrame:
     """Q3: the sheet's GSTINs looked up and merged back."""
-    return enrich(sheet, details_text, as_of)
+    return enrich(sheet, details_text, as_of, skew=skew)
 
 
 def export_simplified(gstin_data: DataFrame) -> DataFrame:

@@ -94,3 +94,16 @@ def test_salted_upsert_and_enrich_equal_plain(spark, no_broadcast):
     assert e.where(F.col("Trade_Name") == "Hot Co").count() == 10000
     looked = en.lookup_details(target.select("gstin"), details, skew=CFG)
     assert _same(looked, en.lookup_details(target.select("gstin"), details, skew=OFF))
+
+
+def test_pipeline_skew_config_passes_through(spark, sf_dir, no_broadcast):
+    from regspark.fixtures import fixture
+    from regspark.plans.pipelines import map_pans
+
+    sheet = fixture(spark, sf_dir, "pan_sheet")
+    old = conform(fixture(spark, sf_dir, "gstin_sheet"), GSTIN_DATA_SCHEMA)
+    res = fixture(spark, sf_dir, "lookup_results")
+    low = SkewConfig(salts=4, max_hot=5, min_rows=5, sample_fraction=1.0)   # every busy PAN/GSTIN is "hot"
+    p1, g1 = map_pans(sheet, old, res, AS_OF)
+    p2, g2 = map_pans(sheet, old, res, AS_OF, skew=low)
+    assert _same(p1, p2) and _same(g1, g2)
