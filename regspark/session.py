@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as _dt
-import os
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Fixed run time used by every registered query, so outputs are reproducible
@@ -69,19 +70,26 @@ def _context(spark: SparkSession):
         return None
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and points to shared storage.
-    Only when it is unset (local tests) a private temporary folder is used.
+    On a cluster the deployment sets it and it points to shared storage; without
+    it a cluster session is refused. Only a local session (tests) falls back to a
+    temporary folder, kept in this module as the setting itself is static.
     """
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
         root = sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="regspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster session needs a shared folder")
+        root = _LOCAL_ROOTS.setdefault(app_id(spark), "") or tempfile.mkdtemp(prefix="regspark-")
+        _LOCAL_ROOTS[app_id(spark)] = root
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
@@ -114,12 +122,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     if hit is not None:
         fs, p = hit
         return bool(fs.exists(p))
-    return os.path.exists(path[len("file:"):] if path.startswith("file:") else path)
+    try:  # no JVM gateway: let the cluster itself list the path
+        spark.read.format("binaryFile").load(path).limit(0).collect()
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused location below the checkpoint root."""
-    root = checkpoint_root(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, "regspark", f"{name}-{uuid.uuid4().hex}")
+    """A fresh, never reused location below the checkpoint root (its scheme is kept)."""
+    return f"{checkpoint_root(spark).rstrip('/')}/regspark/{name}-{uuid.uuid4().hex}"
