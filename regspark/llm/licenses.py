@@ -85,24 +85,24 @@ def block_counts(blocks: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in rows}
 
 
+def _phrase_places(words: Column, phrase: str, label: str) -> Column:
+    parts = phrase.split()
+
+    def here(i):
+        out = F.get(words, i) == F.lit(parts[0])
+        for k, p in enumerate(parts[1:], 1):
+            out = out & (F.get(words, i + k) == F.lit(p))
+        return F.coalesce(out, F.lit(False))
+
+    spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
+    present = F.array_contains(words, parts[0]) & F.array_contains(words, parts[-1])
+    return (F.when(present, F.transform(spots, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))))
+            .otherwise(F.array().cast("array<struct<start:bigint,label:string>>")))
+
+
 def _places(words: Column, phrases) -> Column:
     """Array of (start, label) of every place of every phrase."""
-    found = []
-    for phrase, label in phrases:
-        parts = phrase.split()
-
-        def here(i, parts=parts):
-            out = F.get(words, i) == F.lit(parts[0])
-            for k, p in enumerate(parts[1:], 1):
-                out = out & (F.get(words, i + k) == F.lit(p))
-            return F.coalesce(out, F.lit(False))
-
-        spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
-        present = F.array_contains(words, parts[0]) & F.array_contains(words, parts[-1])
-        found.append(F.when(present, F.transform(spots, lambda i, label=label: F.struct(
-            i.cast("long").alias("start"), F.lit(label).alias("label"))))
-            .otherwise(F.array().cast("array<struct<start:bigint,label:string>>")))
-    return F.concat(*found)
+    return F.concat(*[_phrase_places(words, phrase, label) for phrase, label in phrases])
 
 
 def match_templates(candidates: DataFrame, spark, templates, order: list[str], threshold: float) -> DataFrame:

@@ -81,7 +81,7 @@ def train(docs: DataFrame, labelled: DataFrame, cfg: MixConfig, key: str, text:
         return {"domains": ["all"], "base": [0.0], "weights": {}}
     sample = rows.join(F.broadcast(picked), "_m_id")  # at most per_domain ids a domain
     features = sample.select("_m_domain", F.explode(F.array_distinct(F.concat(words, F.array(mark)))).alias("f"))
-    counted = features.groupBy("f").pivot("_m_domain", names).agg(F.count("*")).fillna(0)
+    counted = features.groupBy("f").pivot("_m_domain", names).agg(F.count("f")).fillna(0)
     total = sum(sizes.values())
 
     def share(d):

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from regspark.llm import chat, langid, licenses, mixing, neardup, packing, pii, quality, substring, topk
 from regspark.llm.common import table
 
-JOINED = ", "
-
-
 def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, d, "documents"))
     starts = F.transform("places", lambda p: p["start"])
@@ -41,9 +38,11 @@ def op4_pii(spark: SparkSession, d: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
             ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def of_kind(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-              for k in pii.BASE]
+    counts = [of_kind(k) for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
