@@ -97,7 +97,8 @@ def _with_text(keyed: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def _windows(with_anchors: DataFrame, cfg: SubstringConfig) -> DataFrame:
-    """(w1, w2, id, th, pos, more): one leading row per window hash and chunk; ``more`` are sure repeats."""
+    """(w1, w2, id, th, pos, more): one leading row per window hash and chunk; rows with ``more`` hold sure
+    repeats of a document and stand alone."""
     id_type = with_anchors.schema["id"].dataType
     out_type = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()),
                              T.StructField("id", id_type), T.StructField("th", T.LongType()),
@@ -137,8 +138,8 @@ def _windows(with_anchors: DataFrame, cfg: SubstringConfig) -> DataFrame:
             of_s, pos_s = of[sure][by], pos[sure][by]
             docs, start = np.unique(of_s, return_index=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(pos_s)), pa.int32()), pa.array(pos_s))
-            nothing = pa.nulls(len(docs), pa.int64())
-            yield as_batch(schema, nothing, nothing, ids.take(pa.array(docs)), ths.take(pa.array(docs)),
+            alone = mix((start + rows.num_rows).astype(np.uint64) ^ w1[sure][by][start]).view(np.int64)  # no group needed
+            yield as_batch(schema, alone, alone, ids.take(pa.array(docs)), ths.take(pa.array(docs)),
                            pa.nulls(len(docs), pa.int32()), lists)
 
     return with_anchors.select("id", "th", "text", "anchors").mapInArrow(extend, out_type)
@@ -159,12 +160,10 @@ def _ranks(ids: pa.Array, ths: pa.Array) -> np.ndarray:
 
 def _repeated(windows: DataFrame) -> DataFrame:
     """(id, th, starts): the starts of the windows that occur earlier, per document."""
-    first = F.rank().over(Window.partitionBy("w1", "w2").orderBy("id", "th", "pos"))
-    led = (windows.filter("more is null").withColumn("place", first).filter("place > 1")
-           .select("id", "th", F.array("pos").alias("starts")))
-    sure = windows.filter("more is not null").select("id", "th", F.col("more").alias("starts"))
-    return (led.unionByName(sure).groupBy("id", "th")
-            .agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    place = F.rank().over(Window.partitionBy("w1", "w2").orderBy("id", "th", "pos"))
+    found = windows.withColumn("place", place).filter("more is not null or place > 1")
+    return (found.select("id", "th", F.coalesce("more", F.array("pos")).alias("starts"))
+            .groupBy("id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts")))
 
 
 def dedup_substrings(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(), key: str = "doc_id",
@@ -173,10 +172,8 @@ def dedup_substrings(docs: DataFrame, cfg: SubstringConfig = SubstringConfig(),
     check_cover(cfg)
     keyed = _keyed(docs, key, text)
     found = store(_candidates(_anchors(keyed, cfg)), "anchors")
-    windows = store(_windows(_with_text(keyed, found, "inner"), cfg), "windows")
-    repeated = store(_repeated(windows), "repeats")
+    repeated = store(_repeated(_windows(_with_text(keyed, found, "inner"), cfg)), "repeats")
     discard(found)
-    discard(windows)
     out_type = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()),
                              T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
