@@ -10,10 +10,11 @@ Documents with one and the same set form a class (its key: 128 bits of the set's
 hash), so exact copies are never compared. Classes are linked in two steps, which
 find every component that all candidate pairs would give:
 
-1. every class is compared with one smaller class of its buckets;
-2. buckets whose classes are then still in different components are compared in full
-   across components, in blocks of at most ``block`` classes a side, so no task
-   gets a whole bucket; equal buckets of several bands are compared once.
+1. every class is compared with the best connected class of its buckets;
+2. in buckets whose classes are then still in different components, the classes outside the
+   largest component are compared with all classes of the bucket, in cells of at most
+   ``block`` classes a side, so no task gets a whole bucket; equal buckets of several
+   bands are compared once, and a cell returns links between components, not pairs.
 
 Candidates are confirmed on full sets. Defined cases: null or wordless text has an empty
 set, no links and itself as component; fewer than five words make one shingle;
@@ -44,7 +45,6 @@ class NearDupConfig:
     bands: int = 40
     rows: int = 4
     block: int = 512
-    margin: float = 0.25  # candidates whose estimate lies this far below the threshold are not confirmed
 
     @property
     def permutations(self) -> int:
@@ -104,11 +104,10 @@ def band_keys(sig: np.ndarray, cfg: NearDupConfig) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, cfg: NearDupConfig, key: str, text: str) -> DataFrame:
-    """(id, th, n, cls, sig, bands) of every row; the last three are null for an empty set."""
+    """(id, th, n, cls, bands) of every row; the last two are null for an empty set."""
     inner = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"))
     out_type = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("th", T.LongType()),
                              T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()),
-                             T.StructField("sig", T.BinaryType()),
                              T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def sketch(batches):
@@ -116,13 +115,13 @@ def _sketches(docs: DataFrame, cfg: NearDupConfig, key: str, text: str) -> DataF
         for rows, texts in chunks(batches):
             keys, bounds = shingle_sets(texts, cfg.width)
             n = np.diff(bounds)
-            cls, sig, bands = class_keys(keys, bounds), [None] * len(n), [None] * len(n)
+            cls, bands = class_keys(keys, bounds), [None] * len(n)
             if len(keys):
-                s = signatures(keys, bounds, cfg.permutations)
-                for i, x, y in zip(np.flatnonzero(n), s, band_keys(s, cfg), strict=True):
-                    sig[i], bands[i] = x.tobytes(), y
+                found = band_keys(signatures(keys, bounds, cfg.permutations), cfg)
+                for i, b in zip(np.flatnonzero(n), found, strict=True):
+                    bands[i] = b
             cls = [c if m else None for c, m in zip(cls, n, strict=True)]
-            yield as_batch(schema, rows.column(0), rows.column(1), n, cls, sig, bands)
+            yield as_batch(schema, rows.column(0), rows.column(1), n, cls, bands)
 
     return inner.mapInArrow(sketch, out_type)
 
@@ -162,32 +161,98 @@ def _confirm(pairs: DataFrame, sets: DataFrame, cfg: NearDupConfig) -> DataFrame
     return both.mapInArrow(compare, "a binary, b binary")
 
 
-def _plausible(buckets: DataFrame, sigs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """(a, b) across components within buckets of (bucket, cls, root): estimate and length filter, by blocks."""
-    sized = buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("m")), "bucket")
-    parts = F.ceil(F.col("m") / cfg.block).cast("int")
-    part = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    cells = (sized.withColumn("parts", parts).withColumn("part", part)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-             .select("bucket", "i", "j", "part", "cls", "root").join(sigs, "cls"))
+def _pivots(members: DataFrame) -> DataFrame:
+    """(a, b): each class of (band, cls, m) and the best connected class of its buckets.
+
+    A class's connections are the sizes of its buckets, so the text that others were copied from
+    leads its buckets, and one comparison links most copies.
+    """
+    weight = members.groupBy("cls").agg(F.sum("m").alias("weight"))
+    ranked = members.join(weight, "cls").withColumn("rank", F.struct("weight", "cls"))
+    lead = ranked.groupBy("band").agg(F.max("rank").alias("lead"))
+    best = members.join(lead, "band").groupBy("cls").agg(F.max("lead").alias("lead"))
+    return best.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).filter("a <> b")
+
+
+def _links_across(placed: DataFrame, sets: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(a, b): links that join the components met in one bucket of (band, cls, root).
+
+    In each bucket the classes outside its largest component are compared with all its
+    classes, in cells of at most ``block`` classes a side. Cells hold full sets and count all
+    intersections at once; a cell returns at most one link per component it holds.
+    """
+    shares = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("h"))
+    mixed = (shares.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("m"),
+                                        F.count("*").alias("roots"), F.sum("h").alias("same")).filter("roots > 1")
+             .groupBy("same", "m").agg(F.min(F.struct("band", "most")).alias("x"))
+             .select("x.band", "x.most", "m"))
+    rows = placed.join(mixed, "band").withColumn("outside", F.col("root") != F.col("most.root"))
+    i_parts = F.ceil((F.col("m") - F.col("most.n")) / cfg.block).cast("int")
+    j_parts = F.ceil(F.col("m") / cfg.block).cast("int")
+    rows = rows.select("band", "cls", "root", "outside", i_parts.alias("ni"), j_parts.alias("nj"), F.xxhash64("cls").alias("z"))
+    left = (rows.filter("outside").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)))
+            .select("band", F.pmod("z", "ni").cast("int").alias("i"), "j", F.lit(True).alias("left"), "cls", "root"))
+    right = (rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+             .select("band", "i", F.pmod("z", "nj").cast("int").alias("j"), F.lit(False).alias("left"), "cls", "root"))
+    cells = left.unionByName(right).join(sets, "cls")
 
     def compare(p: pd.DataFrame) -> pd.DataFrame:
-        left, right = p[p.part == p.i], p[p.part == p.j]
-        x, y = (np.frombuffer(b"".join(q.sig), np.uint32).reshape(len(q), -1) for q in (left, right))
-        roots = pd.factorize(pd.concat([left.root, right.root]))[0]
-        rx, ry = roots[:len(left)], roots[len(left):]
-        nx, ny = left.n.to_numpy(), right.n.to_numpy()
-        cx, cy = left.cls.to_numpy(), right.cls.to_numpy()
+        x, y = p[p.left], p[~p.left]
         out: list = []
-        for k in range(len(left)):
-            like = ((rx[k] != ry) & (100 * np.minimum(nx[k], ny) >= cfg.percent * np.maximum(nx[k], ny)))
-            at = np.flatnonzero(like)
-            at = at[(x[k][None, :] == y[at]).mean(1) >= cfg.percent / 100 - cfg.margin] if len(at) else at
-            out += [(max(cx[k], cy[i]), min(cx[k], cy[i])) for i in at]
+        if len(x) and len(y):
+            a, b = ([np.frombuffer(v, np.uint64) for v in q.shingles] for q in (x, y))
+            codes = pd.factorize(pd.concat([x.root, y.root]))[0]
+            rx, ry = codes[:len(x)], codes[len(x):]
+            nx, ny = np.array([len(v) for v in a]), np.array([len(v) for v in b])
+            fit = rx[:, None] != ry[None, :]
+            fit &= 100 * np.minimum(nx[:, None], ny[None, :]) >= cfg.percent * np.maximum(nx[:, None], ny[None, :])
+            common = intersections(a, b, fit)
+            linked = fit & (100 * common >= cfg.percent * (nx[:, None] + ny[None, :] - common))
+            parent = list(range(codes.max() + 1))
+            cx, cy = x.cls.to_numpy(), y.cls.to_numpy()
+            for k, i in zip(*np.nonzero(linked), strict=True):
+                r, t = _root(parent, rx[k]), _root(parent, ry[i])
+                if r != t:
+                    parent[r] = t
+                    out.append((max(cx[k], cy[i]), min(cx[k], cy[i])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return cells.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    return cells.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def _root(parent: list, x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def intersections(a: list, b: list, fit: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all fitting pairs of ascending distinct sets."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    pairs = np.argwhere(fit)
+    if len(pairs) <= 4 * (len(a) + len(b)):
+        for i, j in pairs:
+            m = np.sort(np.concatenate([a[i], b[j]]), kind="stable")
+            out[i, j] = int((m[1:] == m[:-1]).sum())
+        return out
+    rows, cols = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
+    keys = np.concatenate([a[i] for i in rows] + [b[j] for j in cols])
+    sizes = [len(a[i]) for i in rows] + [len(b[j]) for j in cols]
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    word = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+    total = np.zeros((len(rows), len(cols)), np.float64)
+    for first in range(0, int(word[-1]) + 1, columns):  # shingles as 0/1 columns, so many at a time
+        lo, hi = np.searchsorted(word, [first, first + columns])
+        m = np.zeros((len(sizes), min(columns, int(word[-1]) + 1 - first)), np.float32)
+        m[of[lo:hi], word[lo:hi] - first] = 1
+        both = m[:, m[:len(rows)].any(0) & m[len(rows):].any(0)]
+        if both.shape[1]:
+            total += both[:len(rows)] @ both[len(rows):].T
+    out[np.ix_(rows, cols)] = total.astype(np.int64)
+    return out
 
 
 def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig(), key: str = "doc_id",
@@ -196,33 +261,25 @@ def near_duplicates(docs: DataFrame, cfg: NearDupConfig = NearDupConfig(), key:
     sketches = store(_sketches(docs, cfg, key, text), "sketches")
     classes = store(sketches.filter("cls is not null").groupBy("cls")
                     .agg(F.min("id").alias("id"), F.min(F.struct("id", "th")).alias("rep"),
-                         F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands")), "classes")
+                         F.min("bands").alias("bands")), "classes")
     rows = classes.select("cls", F.explode("bands").alias("band"))
-    low = rows.groupBy("band").agg(F.min("cls").alias("low"), F.count("*").alias("m")).filter("m > 1")
-    members = store(rows.join(low.select("band", "low"), "band"), "buckets")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    members = store(rows.join(sizes, "band"), "buckets")
     wanted = members.select("cls").distinct().join(classes.select("cls", "rep.id", "rep.th"), "cls")
     sets = store(_sets(docs, wanted, cfg, key, text), "sets")
 
-    first = members.filter("cls <> low").groupBy(F.col("cls").alias("a")).agg(F.min("low").alias("b"))
-    links = store(_confirm(first, sets, cfg), "links-first")
+    links = store(_confirm(_pivots(members), sets, cfg), "links-first")
     roots = components(links)
     placed = store(members.join(roots, members["cls"] == roots["vertex"], "left")
                    .select("band", "cls", F.coalesce("root", "cls").alias("root")), "placed")
-    mixed = (placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"),
-                                        F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("same"),
-                                        F.count("*").alias("m"))
-             .filter("x <> y").groupBy("same", "m").agg(F.min("band").alias("band")).select("band"))
-    open_buckets = placed.join(mixed, "band").withColumnRenamed("band", "bucket")
-    more = store(_plausible(open_buckets, classes.select("cls", "n", "sig"), cfg), "pairs-second")
-    tried = more.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = store(_confirm(tried, sets, cfg), "links-second")
+    second = store(_links_across(placed, sets, cfg), "links-second")
     final = components(links.unionByName(second))
 
     named = classes.select("cls", "id").join(final, classes["cls"] == final["vertex"], "left")
     named = named.select("cls", F.coalesce("root", "cls").alias("root"), "id")
     of_root = named.groupBy("root").agg(F.min("id").alias("component"))
     of_class = store(named.join(of_root, "root").select("cls", "component"), "components")
-    for step in (members, sets, placed, more, links, second, classes):
+    for step in (members, sets, placed, links, second, classes):
         discard(step)
     return (sketches.select("id", "th", "n", "cls").join(of_class, "cls", "left")
             .select("id", "th", "n", F.when(F.col("cls").isNull(), F.col("id"))
