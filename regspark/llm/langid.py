@@ -37,9 +37,9 @@ LETTER = re.compile(rb"[A-Za-z]")
 class LangConfig:
     window: int = 256
     filters: int = 16  # of each width
-    per_language: int = 1500
+    per_language: int = 1000
     max_languages: int = 200
-    epochs: int = 3
+    epochs: int = 4
     rate: float = 0.02
     batch: int = 64
     seed: int = 6

@@ -38,7 +38,7 @@ MAX_CELLS = 100_000
 class MixConfig:
     """Bounds of the sample and the model, target shares of tokens and the size of the mix."""
 
-    per_domain: int = 1500
+    per_domain: int = 1000
     features: int = 300
     least_share: float = 0.02
     grid: int = 20
