@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regspark.session import hadoop_fs, scratch_path
@@ -63,6 +63,20 @@ def ascii_lower(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bounded_sample(rows: DataFrame, group: str, order: str, n: int, groups: int) -> DataFrame:
+    """The ``n`` rows of smallest ``order`` (a hash) of each group, for the ``groups`` largest groups.
+
+    Only about 2 n rows a group, those below a cut in the hash, reach the window, however large
+    the group is; ties in the hash go by all columns.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), group).limit(groups)
+    share = F.least(F.lit(1.0), F.lit(2.0 * n) / F.col("_size"))
+    near = (rows.join(F.broadcast(sizes), group)
+            .filter(F.pmod(order, F.lit(1 << 31)) <= share * float(1 << 31)).drop("_size"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(order, F.lit(1 << 31)), *near.columns))
+    return near.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
 # -- Arrow chunks ---------------------------------------------------------------------------
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",

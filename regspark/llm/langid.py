@@ -22,12 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from regspark.llm.common import as_batch, chunks
+from regspark.llm.common import as_batch, bounded_sample, chunks
 
 WIDTHS = (2, 3, 4)
 LETTER = re.compile(rb"[A-Za-z]")
@@ -154,10 +154,8 @@ def sample(labelled: DataFrame, cfg: LangConfig, text: str, lang: str) -> list:
     at = F.pmod(F.xxhash64(F.lit("place"), F.col(text)), F.greatest(F.length(text) - cfg.window, F.lit(1)))
     cut = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("order"),
                       F.substring(F.col(text), (at + 1).cast("int"), F.lit(cfg.window)).alias("text"))
-    picked = (cut.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
-              .filter(F.col("place") <= cfg.per_language))
-    most = picked.groupBy("lang").agg(F.max("place").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_languages)
-    return picked.join(most.select("lang"), "lang").orderBy("lang", "order", "text").select("lang", "text").collect()
+    picked = bounded_sample(cut, "lang", "order", cfg.per_language, cfg.max_languages)
+    return picked.orderBy("lang", "order", "text").select("lang", "text").collect()
 
 
 def train(labelled: DataFrame, cfg: LangConfig = LangConfig(), text: str = "text", lang: str = "lang") -> ByteCNN:

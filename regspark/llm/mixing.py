@@ -25,13 +25,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regspark.llm.common import store
+from regspark.llm.common import bounded_sample, store
 
 JUNK = "#*$%&|<>"
 MAX_CELLS = 100_000
+MAX_DOMAINS = 50
 
 
 @dataclass(frozen=True)
@@ -70,12 +71,11 @@ def train(docs: DataFrame, labelled: DataFrame, cfg: MixConfig, key: str, text:
     """Naive Bayes model as plain numbers: domains, base scores and per feature weights."""
     words, mark = marks(F.col("_m_text"))
     rows = docs.select(docs[key].alias("_m_id"), docs[text].alias("_m_text")).filter("_m_id is not null")
-    order = F.row_number().over(Window.partitionBy("_m_domain").orderBy(F.xxhash64("_m_id"), "_m_id", "_m_th"))
-    ids = (rows.select("_m_id", F.xxhash64("_m_text").alias("_m_th")).join(labelled, "_m_id")
-           .withColumn("_m_place", order).filter(F.col("_m_place") <= cfg.per_domain))
-    picked = store(ids.select("_m_id", "_m_domain").distinct(), "mix-sample")
+    known = rows.select("_m_id").distinct().join(labelled, "_m_id").withColumn("_m_order", F.xxhash64("_m_id"))
+    ids = bounded_sample(known, "_m_domain", "_m_order", cfg.per_domain, MAX_DOMAINS)
+    picked = store(ids.select("_m_id", "_m_domain"), "mix-sample")
     sizes = {r[0]: r[1] for r in picked.groupBy("_m_domain").count().collect()}
-    prior = {r[0]: r[1] for r in labelled.join(rows.select("_m_id").distinct(), "_m_id").groupBy("_m_domain").count().collect()}
+    prior = {r[0]: r[1] for r in known.groupBy("_m_domain").count().collect()}
     names = sorted(sizes)
     if not names:
         return {"domains": ["all"], "base": [0.0], "weights": {}}
