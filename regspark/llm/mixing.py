@@ -1,7 +1,7 @@
 """Mixing sources to target weights: soft domain membership and projected-gradient rates.
 
-1. A labelled table gives the domain of some documents. A Bernoulli naive Bayes
-   classifier over words and shape marks is counted on a bounded sample
+1. A labelled table gives the domain of some documents. A naive Bayes classifier
+   over the words and shape marks that occur is counted on a bounded sample
    (``per_domain`` labelled documents of each domain) and keeps the ``features`` most telling ones.
 2. Every document gets posteriors of the domains; they are rounded to a grid of
    ``grid`` steps, and tokens and expected tokens per domain are summed per grid cell. There are at
@@ -41,7 +41,8 @@ class MixConfig:
 
     per_domain: int = 1000
     features: int = 300
-    least_share: float = 0.02
+    least_share: float = 0.02  # of a domain's sample that must hold a feature
+    least_ratio: float = 3.0  # between the domains' shares
     grid: int = 20
     steps: int = 40
     pull: float = 0.002
@@ -57,19 +58,22 @@ def domains(labels: DataFrame, key: str = "doc_id") -> DataFrame:
                        .when(F.col("q") == 0, "poor").alias("_m_domain")).filter("_m_domain is not null"))
 
 
-def marks(text: Column) -> tuple[Column, Column]:
-    """(tokens, distinct features): words in lower case without edge punctuation, and a mark for the share of junk."""
-    whole = F.coalesce(text, F.lit(""))
+def with_words(rows: DataFrame, text: str) -> DataFrame:
+    """Adds _m_words (lower case, without punctuation) and _m_marks, which tell a text's shape: its share
+    of junk characters, its length and its share of distinct words."""
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = F.filter(F.split(F.lower(whole), r"[\s.,;:!?\"()#*$%&|<>]+", -1), lambda w: w != "")
-    size = F.greatest(F.length(whole), F.lit(1))
-    junk = size - F.greatest(F.length(F.translate(whole, JUNK, "")), F.lit(0))
-    level = F.least(F.lit(5), F.ceil(40 * junk / size)).cast("int")
-    return words, F.concat(F.lit("<junk "), level.cast("string"), F.lit(">"))
+    size = F.length(whole)
+    junk = F.ceil(40 * (size - F.length(F.translate(whole, JUNK, ""))) / F.greatest(size, F.lit(1)))
+    rows = rows.withColumn("_m_words", words).withColumn("_m_junk", F.least(F.lit(5), junk))
+    n = F.greatest(F.size("_m_words"), F.lit(1))
+    levels = {"junk": F.col("_m_junk"), "size": F.floor(F.log2(n)),
+              "distinct": F.floor(10 * F.size(F.array_distinct("_m_words")) / n)}
+    return rows.withColumn("_m_marks", F.array(*[F.format_string(f"<{k} %d>", v.cast("int")) for k, v in levels.items()]))
 
 
 def train(docs: DataFrame, labelled: DataFrame, cfg: MixConfig, key: str, text: str) -> dict:
     """Naive Bayes model as plain numbers: domains, base scores and per feature weights."""
-    words, mark = marks(F.col("_m_text"))
     rows = docs.select(docs[key].alias("_m_id"), docs[text].alias("_m_text")).filter("_m_id is not null")
     known = rows.select("_m_id").distinct().join(labelled, "_m_id").withColumn("_m_order", F.xxhash64("_m_id"))
     ids = bounded_sample(known, "_m_domain", "_m_order", cfg.per_domain, MAX_DOMAINS)
@@ -80,47 +84,41 @@ def train(docs: DataFrame, labelled: DataFrame, cfg: MixConfig, key: str, text:
     if not names:
         return {"domains": ["all"], "base": [0.0], "weights": {}}
     sample = rows.join(F.broadcast(picked), "_m_id")  # at most per_domain ids a domain
-    features = sample.select("_m_domain", F.explode(F.array_distinct(F.concat(words, F.array(mark)))).alias("f"))
+    features = with_words(sample, "_m_text").select(
+        "_m_domain", F.explode(F.array_distinct(F.concat("_m_words", "_m_marks"))).alias("f"))
     counted = features.groupBy("f").pivot("_m_domain", names).agg(F.count("f")).fillna(0)
-    total = sum(sizes.values())
 
     def share(d):
         return (F.col(f"`{d}`") + 0.5) / (sizes[d] + 1.0)
 
-    everywhere = sum((F.col(f"`{d}`") for d in names), F.lit(0)) / float(total)
-    spread = F.greatest(*[F.abs(share(d) - everywhere) for d in names]) if len(names) > 1 else F.lit(0.0)
-    best = (counted.withColumn("spread", spread)
-            .filter(F.greatest(*[share(d) for d in names], F.lit(0.0)) >= cfg.least_share)
-            .orderBy(F.desc("spread"), "f").limit(cfg.features).collect())
+    low, high = (f(*[share(d) for d in names], F.lit(start)) for f, start in ((F.least, 1.0), (F.greatest, 0.0)))
+    best = (counted.withColumn("gap", high - low).filter((high >= cfg.least_share) & (high >= cfg.least_ratio * low))
+            .orderBy(F.desc("gap"), "f").limit(cfg.features).collect()) if len(names) > 1 else []
     seen = sum(prior.values())
     base = [math.log(prior[d] / seen) for d in names]
     weights = {}
     for r in best:
-        p = [min(1 - 1e-3, (r[d] + 0.5) / (sizes[d] + 1.0)) for d in names]
-        for k in range(len(names)):
-            base[k] += math.log(1 - p[k])
-        weights[r["f"]] = [math.log(x / (1 - x)) for x in p]
+        p = [(r[d] + 0.5) / (sizes[d] + 1.0) for d in names]
+        middle = sum(p) / len(p)
+        weights[r["f"]] = [math.log(x / middle) for x in p]
     return {"domains": names, "base": base, "weights": weights}
 
 
-def posteriors(text: Column, model: dict) -> tuple[Column, Column]:
-    """(tokens long, posteriors array<double> in the order of the domains)."""
-    words, mark = marks(text)
-    found = F.array_intersect(F.concat(words, F.array(mark)), F.array(*[F.lit(f) for f in model["weights"]])
-                              if model["weights"] else F.array().cast("array<string>"))
+def _score(model: dict) -> Column:
+    """Log scores by domain from _m_words and _m_marks; only features that occur count."""
     start = F.array(*[F.lit(float(b)) for b in model["base"]])
-    score = start
-    if model["weights"]:
-        table = F.create_map(*[x for f, w in model["weights"].items()
-                               for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in w]))])
-        score = F.aggregate(found, start, lambda a, f: F.zip_with(a, table[f], lambda x, y: x + y))
-    return F.size(words).cast("long"), score
+    if not model["weights"]:
+        return start
+    found = F.array_intersect(F.concat("_m_words", "_m_marks"), F.array(*[F.lit(f) for f in model["weights"]]))
+    table = F.create_map(*[x for f, w in model["weights"].items()
+                           for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in w]))])
+    return F.aggregate(found, start, lambda a, f: F.zip_with(a, table[f], lambda x, y: x + y))
 
 
 def soft(docs: DataFrame, model: dict, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns, _m_tokens and _m_p (posteriors)."""
-    tokens, score = posteriors(F.col(f"`{text}`"), model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], tokens.alias("_m_tokens"), score.alias("_m_s"))
+    rows = with_words(docs, text).select(*[F.col(f"`{c}`") for c in keep],
+                                         F.size("_m_words").cast("long").alias("_m_tokens"), _score(model).alias("_m_s"))
     top = F.array_max("_m_s")
     rows = rows.withColumn("_m_e", F.transform("_m_s", lambda s: F.exp(s - top)))
     total = F.aggregate("_m_e", F.lit(0.0), lambda a, x: a + x)
