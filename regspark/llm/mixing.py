@@ -202,9 +202,9 @@ def mix_report(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(),
 def resample(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), key: str = "doc_id",
              text: str = "text") -> DataFrame:
     """The documents as often as their copies say, columns as they were."""
-    model, _, rate_of = rates(docs, labels, cfg, key, text)
-    hashed = docs.withColumn("_m_hash", F.xxhash64(docs[key], docs[text]))
-    rows = soft(hashed, model, hashed.columns, text).withColumn("_m_cell", cell_of(cfg))
-    return (with_copies(rows, rate_of).filter("_m_copies > 0")
-            .withColumn("_m_i", F.explode(F.sequence(F.lit(1), F.col("_m_copies").cast("int"))))
+    _, lean, rate_of = rates(docs, labels, cfg, key, text)
+    copies = (with_copies(lean, rate_of).filter("_m_copies > 0")
+              .groupBy("_m_hash").agg(F.min("_m_copies").cast("int").alias("_m_copies")))
+    return (docs.withColumn("_m_hash", F.xxhash64(docs[key], docs[text])).join(copies, "_m_hash")
+            .withColumn("_m_i", F.explode(F.sequence(F.lit(1), F.col("_m_copies"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
