@@ -41,7 +41,7 @@ SELECT clean_pan AS pan, o_orderkey AS ord,
          chr(CAST(65 + (o_custkey * 11) % 26 AS INT))), 1, CASE WHEN o_orderkey % 31 = 4 THEN 14 ELSE 15 END) AS gstin,
   CASE o_orderstatus WHEN 'F' THEN 'Cancelled' WHEN 'P' THEN 'Suspended' ELSE 'Active' END AS gstin_status,
   n_name AS state, CAST(NULL AS VARCHAR(200)) AS result, o_orderdate AS seen_at
-FROM {orders} JOIN {base} ON o_custkey = c_custkey WHERE o_custkey % 3 <> 0
+FROM {orders} JOIN {base} ON c_custkey = CASE WHEN o_custkey % 3 <> 0 THEN o_custkey WHEN o_custkey > 1 THEN o_custkey - 1 ELSE o_custkey + 1 END
 UNION ALL
 SELECT clean_pan, 0, NULL, NULL, NULL,
   CASE WHEN c_custkey % 6 = 0 THEN 'No records found' WHEN c_custkey % 9 = 3 THEN 'Timed out'
@@ -56,7 +56,7 @@ FROM {lookup_results} l JOIN {base} b ON b.clean_pan = l.pan JOIN {pan_sheet} p
     "details": """
 SELECT gstin, CASE WHEN ord % 7 = 0 THEN '' ELSE concat('Trade ', substr(gstin, 3, 5)) END AS trade_name,
   concat(lpad(CAST(1 + ord % 28 AS VARCHAR(20)), 2, '0'), '/', lpad(CAST(1 + ord % 12 AS VARCHAR(20)), 2, '0'), '/2017') AS registration_date
-FROM (SELECT gstin, min(ord) AS ord FROM {lookup_results} WHERE length(gstin) = 15 GROUP BY gstin) t WHERE ord % 5 <> 0""",
+FROM (SELECT gstin, min(ord) AS ord FROM {lookup_results} WHERE length(gstin) = 15 GROUP BY gstin) t""",
     "details_hsn": """
 SELECT gstin, l_orderkey * 10 + l_linenumber AS pos, lpad(CAST(l_partkey % 97 AS VARCHAR(20)), 4, '0') AS hsn_code
 FROM {lookup_results} JOIN {lineitem} ON l_orderkey = ord WHERE length(gstin) = 15""",
@@ -70,7 +70,9 @@ FROM {events}""",
     "done_keys": """
 SELECT clean_pan AS pan FROM {base} WHERE c_custkey % 4 = 0""",
     "requested_gstins": """
-SELECT gstin FROM {lookup_results} WHERE gstin IS NOT NULL""",
+SELECT gstin FROM {lookup_results} WHERE gstin IS NOT NULL
+UNION ALL
+SELECT concat('99', substr(gstin, 3, 13)) FROM {lookup_results} WHERE ord % 5 = 0 AND length(gstin) = 15""",
 }
 
 _REF = re.compile(r"\{(\w+)\}")

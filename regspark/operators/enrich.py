@@ -39,12 +39,14 @@ def details_table(details: DataFrame, codes: DataFrame) -> DataFrame:
 def lookup_details(requested: DataFrame, details: DataFrame, skew: SkewConfig = DEFAULT,
                    hot: list | None = None) -> DataFrame:
     """Each valid requested GSTIN (list order and repeats kept) with its details,
-    or ``error = 'No records found'`` when nothing was landed for it."""
+    the error landed with them, or ``error = 'No records found'`` when nothing was landed for it."""
     valid = requested.where(is_valid_gstin("gstin"))
-    found = details.withColumn("_found", F.lit(True))
+    found = details.withColumnRenamed("error", "_error").withColumn("_found", F.lit(True))
     out = (skew_join(valid, found, "gstin", "left", skew) if hot is None
            else salted_join(valid, found, "gstin", "left", hot, skew.salts))
-    return out.withColumn("error", F.when(F.col("_found").isNull(), F.lit(NO_RECORDS))).drop("_found")
+    landed = F.col("_error") if "_error" in out.columns else F.lit(None).cast("string")
+    return out.withColumn("error", F.coalesce(landed, F.when(F.col("_found").isNull(), F.lit(NO_RECORDS)))) \
+        .drop("_found", "_error")
 
 
 def enrich(sheet: DataFrame, details: DataFrame, as_of: _dt.datetime,

@@ -46,6 +46,8 @@ def append_new(old: DataFrame, new: DataFrame, dedup: bool = False, skew: SkewCo
 def requested_with_details(requested: DataFrame, details: DataFrame) -> DataFrame:
     """Details of the valid requested GSTINs (semi join on the distinct valid ids)."""
     ids = requested.where(is_valid_gstin("gstin")).select("gstin").distinct()
+    if "error" in details.columns:  # a failed lookup updates nothing
+        details = details.where(F.col("error").isNull()).drop("error")
     return details.join(ids, "gstin", "left_semi")
 
 
@@ -85,12 +87,12 @@ def upsert_details_first(target: DataFrame, details: DataFrame, as_of: _dt.datet
     """J6 (workbook): only the first row (by row_id) of each GSTIN is updated, and stamped.
 
     The first row per GSTIN is a partial ``min`` aggregate; the update then
-    joins back on the unique ``row_id``.
+    joins back on GSTIN and ``row_id``, so equal row ids of two firms never mix.
     """
     target = conform(target, GSTIN_DATA_SCHEMA)
     firsts = first_by_key(target.where(F.col("gstin").isNotNull()).select("gstin", "row_id"), "gstin", "row_id")
-    hits = firsts.join(_prefixed(details, "gstin"), "gstin").drop("gstin").withColumn("_hit", F.lit(True))
-    joined = target.join(hits, "row_id", "left")
+    hits = firsts.join(_prefixed(details, "gstin"), "gstin").withColumn("_hit", F.lit(True))
+    joined = target.join(hits, ["gstin", "row_id"], "left")
     cols = _updated()
     cols["last_updated"] = F.when(F.col("_hit"), stamp(as_of)).otherwise(F.col("last_updated"))
     return joined.withColumns(cols).select(*GSTIN_DATA_SCHEMA)

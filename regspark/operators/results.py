@@ -43,6 +43,25 @@ def _any_contains(text: str) -> Column:
     return out
 
 
+def rollup_parts(results: DataFrame) -> DataFrame:
+    """Per PAN, what ``merge_parts`` can combine over several inputs: count, flag, first error with its order."""
+    err = F.coalesce(F.col("result"), F.lit("")).contains(ERROR_MARK)
+    return results.groupBy("pan").agg(
+        F.count_if(is_valid_gstin("gstin")).alias("gstin_count"),
+        F.bool_or(_any_contains(NO_RECORDS)).alias("no_records"),
+        F.min(F.when(err, F.struct(F.col("ord").alias("o"), F.col("result").alias("text")))).alias("error"))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """(pan, gstin_count, status) of PANs whose items came in several parts."""
+    whole = parts.groupBy("pan").agg(F.sum("gstin_count").alias("gstin_count"),
+                                     F.bool_or("no_records").alias("no_records"), F.min("error").alias("error"))
+    status = (F.when(F.col("gstin_count") > 0, F.lit(STATUS_SUCCESS))
+              .when(F.col("no_records"), F.lit(STATUS_NONE_FOUND))
+              .otherwise(F.coalesce(F.col("error.text"), F.lit(STATUS_UNKNOWN))))
+    return whole.select("pan", "gstin_count", status.alias("status"))
+
+
 def rollup_results(results: DataFrame, order=None) -> DataFrame:
     """Per PAN: count of 15-character GSTINs (A1), of any GSTIN (A2), the first
     error text in item order (A5) and the status (A4).

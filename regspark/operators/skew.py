@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,13 +65,9 @@ def hot_keys_by_column(df: DataFrame, keys, cfg: SkewConfig = DEFAULT) -> dict:
         sample = sample.sample(fraction=cfg.sample_fraction, seed=cfg.seed)
     need = max(1, int(cfg.min_rows * cfg.sample_fraction))
     counted = sample.groupBy("_c", "_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
-    rows = counted.orderBy(F.desc("_n"), F.asc("_c"), F.asc("_k")).limit(cfg.max_hot * len(keys)).collect()
-    out: dict = {k: [] for k in keys}
-    for r in rows:
-        lst = out[keys[r["_c"]]]
-        if len(lst) < cfg.max_hot:
-            lst.append(r["_k"])
-    return out
+    place = F.row_number().over(Window.partitionBy("_c").orderBy(F.desc("_n"), F.asc("_k")))
+    rows = counted.withColumn("_place", place).where(F.col("_place") <= cfg.max_hot).orderBy("_c", "_place").collect()
+    return {k: [r["_k"] for r in rows if r["_c"] == i] for i, k in enumerate(keys)}
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, how: str, hot: list,
@@ -79,14 +75,14 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, how: str, hot: lis
     """``large.join(small, key, how)`` with the ``hot`` keys spread over ``salts`` tasks.
 
     ``how`` is one of inner, left, left_semi, left_anti (the large side is the left).
+    The salt comes from the row's place in its partition, so rows that are equal in
+    every column spread too; rows with a NULL key match nothing and are always spread.
     """
-    if not hot:
-        return large.join(small, key, how)
-    is_hot_l = F.col(key).isin(hot)
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in large.columns])
-    l_salted = large.withColumn(_SALT, F.when(is_hot_l, F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)))
+    wide = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    l_salted = large.withColumn(_SALT, F.when(wide, salt).otherwise(F.lit(0)))
     copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    s_salted = small.withColumn(_SALT, F.explode(copies))
+    s_salted = small.withColumn(_SALT, F.explode(copies) if hot else F.lit(0))
     return l_salted.join(s_salted, [key, _SALT], how).drop(_SALT)
 
 

@@ -10,18 +10,19 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, MapType, StringType,
                                StructField, StructType, TimestampNTZType)
 
 from regspark.functions.ids import NA_TOKENS, null_if_tokens
 from regspark.functions.text import file_extension, stamp
-from regspark.session import hadoop_fs
+from regspark.session import hadoop_fs, path_exists
 
 # --- fixed values -----------------------------------------------------------
 ALLOWED_EXTENSIONS = ("xlsx", "xls", "csv")
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
+CSV_QUOTING = {"escape": '"', "multiLine": "true"}
 CURRENT_POINTER = "_CURRENT"
 # JSON time stamps keep microseconds (the default format stops at milliseconds).
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -85,10 +86,10 @@ def write_two_tables(pan_data: DataFrame, gstin_data: DataFrame, root: str) -> s
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    try:
-        rows = spark.read.text(os.path.join(root, CURRENT_POINTER)).take(1)
-    except Exception:  # noqa: BLE001 - absent pointer means no version yet
+    pointer = os.path.join(root, CURRENT_POINTER)
+    if not path_exists(spark, pointer):  # any other failure to read it is an error
         return None
+    rows = spark.read.text(pointer).take(1)
     return os.path.join(root, rows[0][0]) if rows else None
 
 
@@ -136,45 +137,50 @@ def read_sheet(spark: SparkSession, path: str, na_tokens=NA_TOKENS, row_id: str
     """S2/S3 + S4: a CSV sheet with a header row, every column as text (ids stay text),
     missing-value spellings turned into NULL, and a ``row_id`` in file order.
 
-    ``row_id`` is ``monotonically_increasing_id``: increasing in file order
-    (splits are numbered in order), not dense.
+    Quotes are doubled inside quoted cells and a quoted cell may hold line breaks, so a
+    file is read by one task. ``row_id`` increases by file path, then place in the file; it is not dense.
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    df = df.select(*[null_if_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns])
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).options(**CSV_QUOTING).csv(path))
+    cols = [null_if_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns]
     if row_id is None or row_id in df.columns:
-        return df
-    return df.withColumn(row_id, F.monotonically_increasing_id())
+        return df.select(*cols)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.select(*cols, F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    numbered = files.withColumn("_n", F.row_number().over(Window.orderBy("_file")) - 1)  # one row per file
+    return (rows.join(numbered, "_file").withColumn(row_id, F.col("_n").cast("long") * (1 << 33) + F.col("_place"))
+            .drop("_file", "_n", "_place"))
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """A CSV written by ``write_csv`` back exactly: every column as text, a quoted
     empty field as '', an empty unquoted field as NULL (no missing-value tokens)."""
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("nullValue", "\u0001").option("emptyValue", "")
+            .option("nullValue", "\u0001").option("emptyValue", "").options(**CSV_QUOTING)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     """Flat CSV with a header. ``single_file`` (one task) is for small exports only."""
     out = df.coalesce(1) if single_file else df
-    (out.write.mode("errorifexists").option("header", True)
+    (out.write.mode("errorifexists").option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
 # --- S5: input discovery ------------------------------------------------------------
 
-def discover_inputs(spark: SparkSession, root: str, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
-    """Files below ``root`` with an accepted extension and size; only path and
-    length are read (``content`` is pruned away)."""
+def discover_inputs(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """Files below ``root`` with an accepted extension and, if ``max_bytes`` is
+    given (the web form's bound is ``MAX_UPLOAD_BYTES``), size; only path and length are read (``content`` is pruned away)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .select("path", "length"))
     ext = file_extension(F.col("path"))
     return files.select(
         F.substring_index("path", "/", -1).alias("name"), ext.alias("extension"),
         F.col("length").cast("long").alias("length"),
-        (ext.isin(*ALLOWED_EXTENSIONS) & (F.col("length") <= max_bytes)).alias("accepted"))
+        (ext.isin(*ALLOWED_EXTENSIONS) & (F.lit(max_bytes is None) | (F.col("length") <= F.lit(max_bytes or 0)))).alias("accepted"))
 
 
 # --- S6, S7: checkpoint ----------------------------------------------------------------
@@ -198,13 +204,11 @@ def write_checkpoint(done: DataFrame, results: DataFrame, path: str, batch: int,
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(done keys, flat results); an absent checkpoint gives two empty tables and
-    malformed records are dropped."""
-    try:
-        raw = (spark.read.schema(CHECKPOINT_SCHEMA).options(**JSON_OPTIONS)
-               .option("mode", "DROPMALFORMED").json(path))
-        raw.schema  # noqa: B018 - resolve now so a missing path fails here
-    except Exception:  # noqa: BLE001
+    """(done keys, flat results); an absent checkpoint gives two empty tables; a
+    malformed record or an unreadable path is an error, so no result is lost unseen."""
+    if path_exists(spark, path):
+        raw = spark.read.schema(CHECKPOINT_SCHEMA).options(**JSON_OPTIONS).option("mode", "FAILFAST").json(path)
+    else:
         raw = spark.createDataFrame([], CHECKPOINT_SCHEMA)
     done = raw.select(F.explode("processed_pans").alias("pan"), "timestamp")
     flat = raw.select(F.explode("results").alias("pan", "items")).select(
@@ -230,9 +234,3 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path)
     return lines.select(F.explode(F.from_json("value", RUN_LOG_LINE, JSON_OPTIONS)).alias("job_id", "job")).select(
         "job_id", "job.*")
-
-
-# Names used by the survey's inventory for the same readers.
-read_flat_csv = read_sheet              # S3: a flat CSV of GSTIN rows reads like a sheet
-read_landed_responses = read_landed     # S12
-na_to_null = null_if_tokens             # S4

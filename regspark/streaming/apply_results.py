@@ -26,11 +26,10 @@ def land_results(results: DataFrame, landing_dir: str, files: int = 4) -> None:
 
 
 def stream_apply_results(spark: SparkSession, landing_dir: str, old: DataFrame, sink_dir: str,
-                         checkpoint_dir: str, as_of: _dt.datetime, files_per_trigger: int = 1,
-                         timeout_s: float = 600.0) -> DataFrame:
+                         checkpoint_dir: str, as_of: _dt.datetime, bytes_per_trigger: int = 1 << 30) -> DataFrame:
     """Run the stream until every landed file is processed; return old rows + appended rows."""
     schema = spark.read.parquet(landing_dir).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    stream = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
               .parquet(landing_dir))
     # the static side is read by every micro-batch: keep it for the stream's lifetime
     keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct().persist(StorageLevel.MEMORY_AND_DISK)
@@ -39,10 +38,7 @@ def stream_apply_results(spark: SparkSession, landing_dir: str, old: DataFrame,
          .option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).outputMode("append").start())
     try:
-        q.awaitTermination(timeout_s)
-        if q.isActive:
-            q.stop()
-            raise TimeoutError("stream did not finish")
+        q.awaitTermination()
         if q.exception() is not None:
             raise q.exception()
     finally:
@@ -58,11 +54,10 @@ def land_results_by_pan(results: DataFrame, landing_dir: str, files: int = 4) ->
 
 
 def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old: DataFrame, out_dir: str,
-                    checkpoint_dir: str, as_of: _dt.datetime, files_per_trigger: int = 1,
-                    timeout_s: float = 600.0):
+                    checkpoint_dir: str, as_of: _dt.datetime, bytes_per_trigger: int = 1 << 30):
     """T1 with ``foreachBatch``: every micro-batch rolls up its PANs (A1, A4) and
     appends new GSTIN rows (J2, U1); at the end the PAN table takes each PAN's
-    latest rollup (J4). Returns (pan_data, gstin_data).
+    rollup over all batches (J4), so a PAN's items may come in any files. Returns (pan_data, gstin_data).
 
     Each batch writes into folders named by its epoch with overwrite, so a batch
     replayed after a failure replaces its own output instead of duplicating it;
@@ -70,22 +65,21 @@ def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old
     """
     import os
 
-    from regspark.operators.results import apply_results, rollup_results
+    from regspark.operators.results import apply_results, merge_parts, rollup_parts
     from regspark.operators.schema import PAN_DATA_SCHEMA
     from regspark.operators.skew import skew_join
 
     schema = spark.read.parquet(landing_dir).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    stream = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
               .parquet(landing_dir))
     keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     upd_dir, new_dir = os.path.join(out_dir, "pan_updates"), os.path.join(out_dir, "new_gstins")
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        # a micro-batch is bounded by maxFilesPerTrigger; keep it while both writes read it
+        # a micro-batch is bounded by maxBytesPerTrigger; keep it while both writes read it
         batch = batch.persist()
         try:
-            roll = rollup_results(batch).withColumn("epoch", F.lit(epoch).cast("long"))
-            roll.write.mode("overwrite").parquet(os.path.join(upd_dir, f"epoch={epoch}"))
+            rollup_parts(batch).write.mode("overwrite").parquet(os.path.join(upd_dir, f"epoch={epoch}"))
             fresh = skew_join(new_gstin_rows(batch, as_of), keys, "gstin", "left_anti")
             fresh.write.mode("overwrite").parquet(os.path.join(new_dir, f"epoch={epoch}"))
         finally:
@@ -94,18 +88,13 @@ def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     try:
-        q.awaitTermination(timeout_s)
-        if q.isActive:
-            q.stop()
-            raise TimeoutError("stream did not finish")
+        q.awaitTermination()
         if q.exception() is not None:
             raise q.exception()
     finally:
         keys.unpersist()
-    updates = spark.read.parquet(upd_dir)
-    latest = updates.groupBy("pan").agg(F.max_by(F.struct("gstin_count", "status"), "epoch").alias("_u")) \
-        .select("pan", "_u.gstin_count", "_u.status")
-    pan_data = apply_results(conform(sheet, PAN_DATA_SCHEMA), latest, as_of)
+    whole = merge_parts(spark.read.parquet(upd_dir).drop("epoch"))
+    pan_data = apply_results(conform(sheet, PAN_DATA_SCHEMA), whole, as_of)
     appended = spark.read.parquet(new_dir).drop("epoch")
     gstin_data = conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
     return pan_data, gstin_data
