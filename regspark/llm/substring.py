@@ -5,7 +5,7 @@ positions whose remainder modulo 13 is in the cover {0, 1, 3, 9}: for any two po
 some shift below 13 brings both onto the cover, so two equal windows (8 + 12 words)
 always share an aligned anchor. Repeated anchors are extended to the windows that hold
 them; a window is repeated if an earlier start (by document id, then a hash of the
-text, then position) has the same 128-bit hash of its 20 words.
+text, then position) has the same 96-bit hash of its 20 words.
 
 Before each shuffle a task keeps one row per hash and chunk; further occurrences
 within the chunk are then known to be repeats and need no group, so an anchor or window that
@@ -100,7 +100,7 @@ def _windows(with_anchors: DataFrame, cfg: SubstringConfig) -> DataFrame:
     """(w1, w2, id, th, pos, more): one leading row per window hash and chunk; rows with ``more`` hold sure
     repeats of a document and stand alone."""
     id_type = with_anchors.schema["id"].dataType
-    out_type = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()),
+    out_type = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.IntegerType()),
                              T.StructField("id", id_type), T.StructField("th", T.LongType()),
                              T.StructField("pos", T.IntegerType()), T.StructField("more", T.ArrayType(T.IntegerType()))])
 
@@ -118,6 +118,7 @@ def _windows(with_anchors: DataFrame, cfg: SubstringConfig) -> DataFrame:
             at = at[np.cumsum(opened)[at] > 0]
             w1 = window_hashes(w.h, cfg.window)[at]
             w2 = window_hashes(mix(w.h + np.uint64(0x632BE59BD9B4E019)), cfg.window, 0xA0761D6478BD642F)[at]
+            w2 = (w2 >> np.uint64(32)).astype(np.uint32)
             of = w.text_of[at]
             ids, ths = rows.column(0), rows.column(1)
             # rows of one (id, th) are one document: they share a rank, and so are no repeats of each other
@@ -130,7 +131,7 @@ def _windows(with_anchors: DataFrame, cfg: SubstringConfig) -> DataFrame:
             lead = ~same
             first = np.maximum.accumulate(np.where(lead, np.arange(len(w1)), 0))
             twin = same & (rank == rank[first]) & (pos == pos[first])  # the leading window itself, in a repeated row
-            yield as_batch(schema, w1[lead].view(np.int64), w2[lead].view(np.int64),
+            yield as_batch(schema, w1[lead].view(np.int64), w2[lead].view(np.int32),
                            ids.take(pa.array(of[lead])), ths.take(pa.array(of[lead])), pos[lead],
                            pa.nulls(int(lead.sum()), pa.list_(pa.int32())))
             sure = same & ~twin
@@ -139,7 +140,7 @@ def _windows(with_anchors: DataFrame, cfg: SubstringConfig) -> DataFrame:
             docs, start = np.unique(of_s, return_index=True)
             lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(pos_s)), pa.int32()), pa.array(pos_s))
             alone = mix((start + rows.num_rows).astype(np.uint64) ^ w1[sure][by][start]).view(np.int64)  # no group needed
-            yield as_batch(schema, alone, alone, ids.take(pa.array(docs)), ths.take(pa.array(docs)),
+            yield as_batch(schema, alone, np.zeros(len(docs), np.int32), ids.take(pa.array(docs)), ths.take(pa.array(docs)),
                            pa.nulls(len(docs), pa.int32()), lists)
 
     return with_anchors.select("id", "th", "text", "anchors").mapInArrow(extend, out_type)
