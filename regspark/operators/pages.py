@@ -1,16 +1,22 @@
-"""Page extraction (X1-X9) as native column expressions over a table of landed pages.
+"""Page extraction (X1-X9) over a table of landed pages.
 
-Each page is one row; regular expressions split it into tables, rows and cells
-(``regexp_extract_all``) and higher-order functions (``transform``/``filter``)
-walk them, so the work stays inside whole-stage codegen with no Python.
+A page is one row. Its markup is read by a small parser in an Arrow-batched
+function, once per page, because nested tables, quoting, entities and implicit
+elements are beyond regular expressions; choosing tables, outcomes, rows and
+codes are native expressions over what it returns.
 """
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from regspark.functions.ids import GSTIN_LENGTH, strip_ws
+from regspark.functions.ids import GSTIN_LENGTH
 from regspark.functions.text import join_codes
 from regspark.operators.results import NO_RECORDS
 
@@ -26,82 +32,189 @@ LABEL_HSN = "HSN"
 LABEL_EFFECTIVE_DATE = "Effective Date of registration"
 # ---------------------------------------------------------------------------
 
-TABLE_RE = r"(?is)<table\b[^>]*>.*?</table>"
-CLASS_RE = r"(?is)^<table\b[^>]*?\bclass\s*=\s*\"([^\"]*)\""
-TBODY_RE = r"(?is)<tbody\b[^>]*>(.*?)</tbody>"
-THEAD_RE = r"(?is)<thead\b[^>]*>(.*?)</thead>"
-TR_RE = r"(?is)<tr\b[^>]*>(.*?)</tr>"
-TD_RE = r"(?is)<td\b[^>]*>(.*?)</td>"
-TH_RE = r"(?is)<th\b[^>]*>(.*?)</th>"
-TAG_RE = r"(?s)<[^>]*>"
-
-
-def _all(text: Column, regex: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(regex), group)
-
-
-def cell_text(c: Column) -> Column:
-    """Visible text of a cell: tags removed, common entities decoded, stripped."""
-    t = F.regexp_replace(c, TAG_RE, "")
-    for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                    ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return strip_ws(t)
-
-
-def _has_classes(table: Column, classes) -> Column:
-    tokens = F.split(F.regexp_extract(table, CLASS_RE, 1), r"\s+")
-    return F.size(F.array_except(F.array(*[F.lit(c) for c in classes]), tokens)) == 0
-
-
-def select_tables(html: Column) -> Column:
-    """Tables with the result-table classes; if there are none, any ``table``-class table."""
-    return _choose_tables(_all(html, TABLE_RE, 0))
-
-
-def _choose_tables(tables: Column) -> Column:
-    specific = F.filter(tables, lambda t: _has_classes(t, RESULT_TABLE_CLASSES))
-    return F.when(F.exists(tables, lambda t: _has_classes(t, RESULT_TABLE_CLASSES)), specific) \
-        .otherwise(F.filter(tables, lambda t: _has_classes(t, GENERIC_TABLE_CLASSES)))
-
-
-def body_rows(tables: Column) -> Column:
-    """Cell texts of every ``tbody tr`` of every table, in page order."""
-    per_table = F.transform(tables, lambda t: F.flatten(F.transform(
-        _all(t, TBODY_RE), lambda b: F.transform(
-            _all(b, TR_RE), lambda r: F.transform(_all(r, TD_RE), cell_text)))))
-    return F.flatten(per_table)
-
-
-def result_items(html: Column) -> Column:
-    """Rows with at least four cells (shorter ones, such as footers, are skipped)."""
-    return F.filter(body_rows(select_tables(html)), lambda r: F.size(r) >= 4)
+# Page structure rules of HTML that a raw page may leave implicit (fixed values).
+VOID_TAGS = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+SECTIONS = frozenset(("tbody", "thead", "tfoot"))
+CELLS = frozenset(("td", "th"))
+ENDS_PARAGRAPH = frozenset(("p", "div", "table", "ul", "ol", "section", "h1", "h2", "h3", "h4", "h5", "h6"))
+
+TEXTS = ArrayType(StringType())
+TABLES_TYPE = ArrayType(StructType().add("classes", TEXTS).add("headers", TEXTS).add("rows", ArrayType(TEXTS)))
+FIELDS_TYPE = StructType().add("trade_name", StringType()).add("registration_date", StringType()).add("hsn_codes", TEXTS)
+
+
+class PageTree(HTMLParser):
+    """One page's elements and texts in document order: element ``i`` spans
+    ``i + 1 .. end[i] - 1``. Adds what a browser adds: a missing ``tbody``, and the
+    ends of cells, rows, sections and paragraphs."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.attrs, self.parent, self.end, self.data = [], [], [], [], []
+        self._open: list[int] = []
+        self.feed(html)
+        self.close()
+        self._leave(0)
+
+    def _add(self, tag, attrs=None, data=""):
+        self.tag.append(tag)
+        self.attrs.append(attrs)
+        self.parent.append(self._open[-1] if self._open else -1)
+        self.end.append(len(self.tag))
+        self.data.append(data)
+        return len(self.tag) - 1
+
+    def _leave(self, depth):
+        for i in self._open[depth:]:
+            self.end[i] = len(self.tag)
+        del self._open[depth:]
+
+    def _shut(self, tags, inside):
+        """End the innermost open element of ``tags``, unless one of ``inside`` is nearer."""
+        for depth in range(len(self._open) - 1, -1, -1):
+            tag = self.tag[self._open[depth]]
+            if tag in tags:
+                return self._leave(depth)
+            if tag in inside:
+                return None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in CELLS:
+            self._shut(CELLS, ("tr", "table"))
+        elif tag == "tr":
+            self._shut(("tr",), ("table",))
+            if self._open and self.tag[self._open[-1]] == "table":
+                self._open.append(self._add("tbody"))
+        elif tag in SECTIONS:
+            self._shut(SECTIONS, ("table",))
+        elif tag in ENDS_PARAGRAPH:
+            self._shut(("p",), ("td", "th", "table"))
+        i = self._add(tag, dict(attrs))
+        if tag not in VOID_TAGS:
+            self._open.append(i)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)  # "/>" ends void elements only
+
+    def handle_endtag(self, tag):
+        if tag == "table":
+            self._shut((tag,), ())
+        else:
+            self._shut((tag,), ("table",) if tag == "tr" or tag in CELLS or tag in SECTIONS else ("td", "th", "table"))
+
+    def handle_data(self, data):
+        if not self._open or self.tag[self._open[-1]] not in ("script", "style"):
+            self._add("#text", data=data)
+
+    def inside(self, i, *tags):
+        return [j for j in range(i + 1, self.end[i]) if self.tag[j] in tags]
+
+    def every(self, tag):
+        return [j for j, t in enumerate(self.tag) if t == tag]
+
+    def text(self, i):
+        """Visible text, entities decoded, non-breaking blanks as blanks, stripped."""
+        return "".join(self.data[j] for j in range(i + 1, self.end[i])).replace("\xa0", " ").strip()
+
+    def labelled(self, tag, label):
+        """Elements whose first own text holds ``label`` (its case counts)."""
+        out = []
+        for i in self.every(tag):
+            own = next((j for j in range(i + 1, self.end[i]) if self.tag[j] == "#text" and self.parent[j] == i), None)
+            if own is not None and label in self.data[own]:
+                out.append(i)
+        return out
+
+    def values(self, tag, label, value_tag):
+        """``value_tag`` siblings after the labelled elements, in document order."""
+        hits, by_parent = set(), {}
+        for i in self.every(value_tag):
+            by_parent.setdefault(self.parent[i], []).append(i)
+        for i in self.labelled(tag, label):
+            hits.update(j for j in by_parent.get(self.parent[i], ()) if j > i)
+        return [self.text(j) for j in sorted(hits)]
+
+    def within(self, i, tag):
+        """Whether element ``i`` has an ancestor ``tag``."""
+        up = self.parent[i]
+        while up >= 0 and self.tag[up] != tag:
+            up = self.parent[up]
+        return up >= 0
+
+
+def _tables(html: str) -> list:
+    t = PageTree(html)
+    body = {r for b in t.every("tbody") for r in t.inside(b, "tr")}
+    head = {h for s in t.every("thead") for h in t.inside(s, "th")}
+    return [{"classes": (t.attrs[i].get("class") or "").split(),
+             "headers": [t.text(h) for h in t.inside(i, "th") if h in head],
+             "rows": [[t.text(c) for c in t.inside(r, "td")] for r in t.inside(i, "tr") if r in body]}
+            for i in t.every("table")]
+
+
+def _fields(html: str) -> dict:
+    t = PageTree(html)
+    codes = t.values("td", LABEL_HSN, "td")
+    if not codes:  # the first column of the first table with an HSN header, header row skipped
+        heads = set(t.labelled("th", LABEL_HSN))
+        table = next((i for i in t.every("table") if "table" in (t.attrs[i].get("class") or "")
+                      and any(h in heads for h in t.inside(i, "th"))), None)
+        rows = [] if table is None else [t.inside(r, "td") for r in t.inside(table, "tr")[1:]]
+        codes = [t.text(r[0]) for r in rows if r]
+    return {"trade_name": next(iter(t.values("td", LABEL_TRADE_NAME, "td")), ""),
+            "registration_date": next(iter(t.values("td", LABEL_REG_DATE, "td")), ""), "hsn_codes": codes}
+
+
+def _fields_alt(html: str) -> dict:
+    t = PageTree(html)
+    firsts = {}
+    for c in t.every("td"):
+        firsts.setdefault(t.parent[c], c)
+    codes = [t.text(c) for r, c in firsts.items()
+             if r >= 0 and t.tag[r] == "tr" and t.within(r, "tbody") and t.within(r, "table")]
+    return {"trade_name": next(iter(t.values("h6", LABEL_TRADE_NAME, "p")), ""),
+            "registration_date": next(iter(t.values("h6", LABEL_EFFECTIVE_DATE, "p")), ""), "hsn_codes": codes}
+
+
+def _parser(read, returns: DataType):
+    """A page reader as an Arrow-batched function of the html column (NULL reads as an empty page)."""
+    arrow_type = to_arrow_type(returns)
+
+    @F.arrow_udf(returns)
+    def parse(html: pa.Array) -> pa.Array:
+        return pa.array([read(h or "") for h in html.to_pylist()], type=arrow_type)
+
+    return parse
+
+
+page_tables = _parser(_tables, TABLES_TYPE)             # every table: classes, header cells, body rows
+page_fields = _parser(_fields, FIELDS_TYPE)             # details, label and value cells
+page_fields_alt = _parser(_fields_alt, FIELDS_TYPE)     # details, headings and paragraphs
+
+
+def _with_classes(tables, classes) -> Column:
+    wanted = F.array(*[F.lit(c) for c in classes])
+    return F.filter(tables, lambda t: F.size(F.array_except(wanted, t["classes"])) == 0)
+
+
+def chosen_tables(pages: DataFrame, keys, html: str) -> DataFrame:
+    """Per page ``_tables``, those with the result-table classes; if there are none, any ``table``-class table."""
+    parsed = pages.select(*keys, F.coalesce(F.col(html).contains(NO_RECORDS), F.lit(False)).alias("_nr"),
+                          page_tables(F.col(html)).alias("_all"))
+    specific = parsed.withColumn("_specific", _with_classes(F.col("_all"), RESULT_TABLE_CLASSES))
+    return specific.select(*keys, "_nr", F.when(F.size("_specific") > 0, F.col("_specific"))
+                           .otherwise(_with_classes(F.col("_all"), GENERIC_TABLE_CLASSES)).alias("_tables"))
 
 
 def parse_result_pages(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
-    """Each page parsed once: ``_outcome`` (X2) and ``_rows`` (X1 + X3).
-
-    Two projections, so every regular expression runs once per page (the
-    optimizer does not inline a costly expression used more than once).
-    """
-    h = F.col(html)
-    step1 = pages.select(*keys, h.contains(NO_RECORDS).alias("_nr"), _all(h, TABLE_RE, 0).alias("_all_tables"))
-    step2 = step1.select(*keys, "_nr", _choose_tables(F.col("_all_tables")).alias("_tables"))
-    step3 = step2.select(*keys, "_nr", F.size("_tables").alias("_nt"),
-                         F.filter(body_rows(F.col("_tables")), lambda r: F.size(r) >= 4).alias("_rows"))
+    """Each page parsed once: ``_outcome`` (X2: 'No records found' is tested first) and
+    ``_rows`` (X1 + X3: rows with at least four cells; shorter ones, such as footers, are skipped)."""
+    rows = F.filter(F.flatten(F.transform("_tables", lambda t: t["rows"])), lambda r: F.size(r) >= 4)
+    found = chosen_tables(pages, keys, html).select(*keys, "_nr", F.size("_tables").alias("_nt"), rows.alias("_rows"))
     outcome = (F.when(F.col("_nr"), F.lit(NO_RECORDS))
                .when(F.col("_nt") == 0, F.lit(ERR_NO_TABLE))
                .when(F.size("_rows") == 0, F.lit(ERR_NO_ROWS)))
-    return step3.select(*keys, outcome.alias("_outcome"), "_rows")
-
-
-def page_outcome(html: Column) -> Column:
-    """X2 as one expression: 'No records found' (tested first), no table, or no usable
-    row; NULL when rows exist."""
-    tables = select_tables(html)
-    return (F.when(html.contains(NO_RECORDS), F.lit(NO_RECORDS))
-            .when(F.size(tables) == 0, F.lit(ERR_NO_TABLE))
-            .when(F.size(result_items(html)) == 0, F.lit(ERR_NO_ROWS)))
+    return found.select(*keys, outcome.alias("_outcome"), "_rows")
 
 
 def extract_result_rows(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
@@ -140,77 +253,37 @@ def page_results(pages: DataFrame, keys=("pan", "page_no"), html: str = "html")
 
 def table_headers(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
     """Header cell texts (``thead th``) of each selected table."""
-    tables = select_tables(F.col(html))
-    heads = F.transform(tables, lambda t: F.transform(
-        F.flatten(F.transform(_all(t, THEAD_RE), lambda h: _all(h, TH_RE))), cell_text))
-    return pages.select(*keys, F.posexplode(heads).alias("table_no", "headers")).withColumn(
+    heads = F.transform("_tables", lambda t: t["headers"])
+    return chosen_tables(pages, keys, html).select(*keys, F.posexplode(heads).alias("table_no", "headers")).withColumn(
         "table_no", F.col("table_no").cast("long"))
 
 
-def _label_value(html: Column, label: str, tag: str = "td", value_tag: str = "td") -> Column:
-    """First value cell after a ``tag`` whose text contains ``label``; '' when absent."""
-    rx = (rf"(?is)<{tag}\b[^>]*>[^<]*{label}[^<]*</{tag}>\s*.*?<{value_tag}\b[^>]*>(.*?)</{value_tag}>"
-          if tag != "td" else
-          rf"(?is)<td\b[^>]*>[^<]*{label}[^<]*</td>\s*<td\b[^>]*>(.*?)</td>")
-    return cell_text(F.regexp_extract(html, rx, 1))
-
-
-def _clean_codes(codes: Column) -> Column:
-    return F.filter(F.transform(codes, cell_text), lambda x: x != "")
-
-
-def hsn_codes(html: Column) -> Column:
-    """Values after every ``HSN`` label cell; if there is none, the first column of
-    the first ``table`` with an HSN header (header row skipped). Blanks dropped,
-    distinct, first order kept."""
-    label_cells = F.flatten(F.transform(
-        _all(html, TR_RE),
-        lambda r: _all(F.regexp_extract(r, rf"(?is)<td\b[^>]*>[^<]*{LABEL_HSN}[^<]*</td>(.*)$", 1), TD_RE)))
-    tables = F.filter(_all(html, TABLE_RE, 0),
-                      lambda t: F.regexp_extract(t, CLASS_RE, 1).contains("table")
-                      & t.rlike(rf"(?is)<th\b[^>]*>[^<]*{LABEL_HSN}"))
-    first_table = F.coalesce(F.get(tables, 0), F.lit(""))
-    rows = _all(first_table, TR_RE)
-    fallback = F.transform(F.filter(F.slice(rows, 2, 1 << 30),
-                                    lambda r: F.size(_all(r, TD_RE)) > 0),
-                           lambda r: F.get(_all(r, TD_RE), 0))
-    chosen = F.when(F.size(label_cells) > 0, label_cells).otherwise(fallback)
-    return F.array_distinct(_clean_codes(chosen))
+def _without_blanks(codes: Column) -> Column:
+    return F.filter(codes, lambda x: x != "")
 
 
 def extract_details(pages: DataFrame, key: str = "gstin", html: str = "html") -> DataFrame:
-    """X6 + X7 + X9: name, registration date, distinct codes; ``error`` for pages
-    saying 'No records found' (their fields are NULL)."""
-    h = F.col(html)
-    err = F.when(h.contains(NO_RECORDS), F.lit(NO_RECORDS))
-    ok = err.isNull()
-    return pages.select(
+    """X6 + X7 + X9: name, registration date, codes (blanks dropped, distinct, first order
+    kept); ``error`` for pages saying 'No records found' (their fields are NULL)."""
+    err = F.when(F.col(html).contains(NO_RECORDS), F.lit(NO_RECORDS))
+    parsed = pages.select(key, err.alias("error"), page_fields(F.col(html)).alias("_f"))
+    ok = F.col("error").isNull()
+    return parsed.select(
         key,
-        F.when(ok, _label_value(h, LABEL_TRADE_NAME)).alias("trade_name"),
-        F.when(ok, _label_value(h, LABEL_REG_DATE)).alias("registration_date"),
-        F.when(ok, hsn_codes(h)).alias("hsn_codes"),
-        err.alias("error"))
+        F.when(ok, F.col("_f.trade_name")).alias("trade_name"),
+        F.when(ok, F.col("_f.registration_date")).alias("registration_date"),
+        F.when(ok, F.array_distinct(_without_blanks(F.col("_f.hsn_codes")))).alias("hsn_codes"),
+        "error")
 
 
 def extract_details_alt(pages: DataFrame, keys=("gstin", "page_no"), html: str = "html") -> DataFrame:
-    """The second source's layout: heading + paragraph for name and effective date,
-    first cell of every table body row as a code, repeats kept, blanks dropped."""
-    h = F.col(html)
-    codes = F.flatten(F.transform(
-        F.flatten(F.transform(_all(h, TABLE_RE, 0), lambda t: _all(t, TBODY_RE))),
-        lambda b: F.transform(F.filter(_all(b, TR_RE), lambda r: F.size(_all(r, TD_RE)) > 0),
-                              lambda r: F.get(_all(r, TD_RE), 0))))
-    return pages.select(
-        *keys,
-        _label_value(h, LABEL_TRADE_NAME, "h6", "p").alias("trade_name"),
-        _label_value(h, LABEL_EFFECTIVE_DATE, "h6", "p").alias("registration_date"),
-        _clean_codes(codes).alias("hsn_codes"))
+    """The second source's layout: heading and a paragraph beside it for name and effective
+    date, first cell of every table body row as a code, repeats kept, blanks dropped."""
+    parsed = pages.select(*keys, page_fields_alt(F.col(html)).alias("_f"))
+    return parsed.select(*keys, "_f.trade_name", "_f.registration_date",
+                         _without_blanks(F.col("_f.hsn_codes")).alias("hsn_codes"))
 
 
 def details_with_text(details: DataFrame) -> DataFrame:
     """The stored form: codes as ", "-joined text."""
     return details.withColumn("hsn_codes", join_codes("hsn_codes"))
-
-
-classify_page = page_outcome            # X2, the survey's name
-table_selector = select_tables          # X3

@@ -69,3 +69,31 @@ def test_details_alt_keeps_repeats(spark):
     d = spark.createDataFrame([("G", 0, html)], "gstin string, page_no long, html string")
     r = pg.extract_details_alt(d).first()
     assert (r["trade_name"], r["registration_date"], r["hsn_codes"]) == ("Foo", "02/03/2018", ["11", "11", "22"])
+
+
+def test_raw_page_variants(spark):
+    """Nested tables, no tbody, single or no quotes, entities, missing end tags, NULL pages."""
+    pages = _pages(spark, [
+        ("nested", 0, '<table class="table"><tbody><tr><td>1</td><td>G<table><tr><td>x</td></tr></table></td><td>S</td>'
+                      "<td>T</td></tr><tr><td>2</td><td>H</td><td>S</td><td>T</td></tr></tbody></table>"),
+        ("raw", 0, "<TABLE class='table x'><tr><td>1<td>J&#38;K &eacute;<td>A&nbsp;B<td>T</table>"),
+        ("bare", 0, "<table class=table><thead><tr><th>N</th></tr></thead><tr><td>1</td><td>G</td><td>S</td><td>T</td></tr></table>"),
+        ("null", 0, None), ("empty", 0, "")])
+    got = sorted((r["pan"], r["row_no"], r["gstin"], r["gstin_status"]) for r in pg.extract_result_rows(pages).collect())
+    # the nested cell is a cell of its row too, as in a browser's descendant search
+    assert got == [("bare", 0, "G", "S"), ("nested", 0, "Gx", "x"), ("nested", 1, "H", "S"), ("raw", 0, "J&K \xe9", "A B")]
+    out = {r["pan"]: r["outcome"] for r in pg.page_outcomes(pages).collect()}
+    assert out == {"nested": None, "raw": None, "bare": None, "null": pg.ERR_NO_TABLE, "empty": pg.ERR_NO_TABLE}
+
+
+def test_labels_are_case_sensitive_and_values_are_siblings(spark):
+    det = ("<table><tr><td>trade name history</td><td>OLD</td></tr><tr><td>Trade Name</td><td>NEW</td></tr>"
+           "<tr><td><b>Date of Registration</b></td><td>wrapped</td></tr></table>")
+    d = spark.createDataFrame([("G", det), ("N", None)], "gstin string, html string")
+    out = {r["gstin"]: tuple(r)[1:] for r in pg.extract_details(d).collect()}
+    assert out == {"G": ("NEW", "", [], None), "N": ("", "", [], None)}
+    alt = ("<div><div><h6>Trade Name</h6></div><div><h6>Effective Date of registration</h6><span>-</span><p>01/02/2018</p></div>"
+           "<p>other</p></div>")
+    a = spark.createDataFrame([("G", 0, alt)], "gstin string, page_no long, html string")
+    r = pg.extract_details_alt(a).first()
+    assert (r["trade_name"], r["registration_date"], r["hsn_codes"]) == ("", "01/02/2018", [])
