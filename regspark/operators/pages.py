@@ -8,7 +8,8 @@ codes are native expressions over what it returns.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,22 +44,31 @@ TABLES_TYPE = ArrayType(StructType().add("classes", TEXTS).add("headers", TEXTS)
 FIELDS_TYPE = StructType().add("trade_name", StringType()).add("registration_date", StringType()).add("hsn_codes", TEXTS)
 
 
-class PageTree(HTMLParser):
+# Comments and scripts; a tag with its name and attributes (quoted values may hold ">"); declarations; text.
+HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
+TOKEN = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>]++)*+)>|<[!?][^>]*>|([^<]+|<)""")
+CLASS = re.compile(r"""(?i)(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
+
+class PageTree:
     """One page's elements and texts in document order: element ``i`` spans
     ``i + 1 .. end[i] - 1``. Adds what a browser adds: a missing ``tbody``, and the
     ends of cells, rows, sections and paragraphs."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.tag, self.attrs, self.parent, self.end, self.data = [], [], [], [], []
+        self.tag, self.parent, self.end, self.data = [], [], [], []
+        self.css = {}  # class text of the tables
         self._open: list[int] = []
-        self.feed(html)
-        self.close()
+        for m in TOKEN.finditer(HIDDEN.sub("", html)):
+            closing, name, attrs, data = m.groups()
+            if data:
+                self._add("#text", unescape(data) if "&" in data else data)
+            elif name:
+                self._ends(name.lower()) if closing else self._starts(name.lower(), attrs)
         self._leave(0)
 
-    def _add(self, tag, attrs=None, data=""):
+    def _add(self, tag, data=""):
         self.tag.append(tag)
-        self.attrs.append(attrs)
         self.parent.append(self._open[-1] if self._open else -1)
         self.end.append(len(self.tag))
         self.data.append(data)
@@ -78,7 +88,7 @@ class PageTree(HTMLParser):
             if tag in inside:
                 return None
 
-    def handle_starttag(self, tag, attrs):
+    def _starts(self, tag, attrs):
         if tag in CELLS:
             self._shut(CELLS, ("tr", "table"))
         elif tag == "tr":
@@ -89,23 +99,19 @@ class PageTree(HTMLParser):
             self._shut(SECTIONS, ("table",))
         elif tag in ENDS_PARAGRAPH:
             self._shut(("p",), ("td", "th", "table"))
-        i = self._add(tag, dict(attrs))
+        i = self._add(tag)
+        if tag == "table":
+            m = CLASS.search(attrs)
+            self.css[i] = unescape(m[1] or m[2] or m[3] or "") if m else ""
         if tag not in VOID_TAGS:
             self._open.append(i)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # "/>" ends void elements only
-
-    def handle_endtag(self, tag):
+    def _ends(self, tag):
         if tag == "table":
             self._shut((tag,), ())
         else:
             self._shut((tag,), ("table",) if tag == "tr" or tag in CELLS or tag in SECTIONS else ("td", "th", "table"))
 
-    def handle_data(self, data):
-        if not self._open or self.tag[self._open[-1]] not in ("script", "style"):
-            self._add("#text", data=data)
-
     def inside(self, i, *tags):
         return [j for j in range(i + 1, self.end[i]) if self.tag[j] in tags]
 
@@ -146,7 +152,7 @@ def _tables(html: str) -> list:
     t = PageTree(html)
     body = {r for b in t.every("tbody") for r in t.inside(b, "tr")}
     head = {h for s in t.every("thead") for h in t.inside(s, "th")}
-    return [{"classes": (t.attrs[i].get("class") or "").split(),
+    return [{"classes": t.css[i].split(),
              "headers": [t.text(h) for h in t.inside(i, "th") if h in head],
              "rows": [[t.text(c) for c in t.inside(r, "td")] for r in t.inside(i, "tr") if r in body]}
             for i in t.every("table")]
@@ -157,7 +163,7 @@ def _fields(html: str) -> dict:
     codes = t.values("td", LABEL_HSN, "td")
     if not codes:  # the first column of the first table with an HSN header, header row skipped
         heads = set(t.labelled("th", LABEL_HSN))
-        table = next((i for i in t.every("table") if "table" in (t.attrs[i].get("class") or "")
+        table = next((i for i in t.every("table") if "table" in t.css[i]
                       and any(h in heads for h in t.inside(i, "th"))), None)
         rows = [] if table is None else [t.inside(r, "td") for r in t.inside(table, "tr")[1:]]
         codes = [t.text(r[0]) for r in rows if r]
