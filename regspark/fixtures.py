@@ -64,7 +64,12 @@ FROM {lookup_results} JOIN {lineitem} ON l_orderkey = ord WHERE length(gstin) =
 SELECT CAST(event_id AS VARCHAR(20)) AS job_id, concat('file_', CAST(user_id AS VARCHAR(20)), '.csv') AS filename,
   CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'failed' END AS status,
   ts AS created_at, event_id % 2 = 0 AS headless, event_id % 3 = 0 AS test_mode, event_id % 5 = 0 AS resume,
-  CASE WHEN event_id % 7 = 0 THEN 10 END AS max_pans
+  CASE WHEN event_id % 7 = 0 THEN 10 END AS max_pans,
+  concat('uploads/file_', CAST(user_id AS VARCHAR(20)), '.csv') AS file_path,
+  CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 1 MINUTE END AS start_time,
+  CASE WHEN event_id % 4 > 1 THEN CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 9 DAY ELSE ts + INTERVAL 5 MINUTE END END AS end_time,
+  CASE WHEN event_id % 8 = 2 THEN concat('uploads/file_', CAST(user_id AS VARCHAR(20)), '.csv') END AS result_file,
+  CASE WHEN event_id % 4 = 3 THEN 'Error: no sheet' END AS error
 FROM {events}""",
     # Spark-side inputs of FIXTURES.md section 4 that are plain SQL.
     "done_keys": """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,9 +83,10 @@ def file_base(path) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def export_name(path, ext: str = "csv") -> Column:
-    """``<base>_simplified.<ext>``."""
-    return F.concat(file_base(path), F.lit(SIMPLIFIED_SUFFIX + "." + ext))
+def export_name(path, ext: str = "csv", as_of=None) -> Column:
+    """``<base>_simplified.<ext>``, with ``as_of`` (UTC) ``<base>_simplified_<epoch seconds>.<ext>``."""
+    when = "" if as_of is None else f"_{int(as_of.replace(tzinfo=timezone.utc).timestamp())}"
+    return F.concat(file_base(path), F.lit(f"{SIMPLIFIED_SUFFIX}{when}.{ext}"))
 
 
 def backup_name(path) -> Column:

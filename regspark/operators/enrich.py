@@ -36,12 +36,21 @@ def details_table(details: DataFrame, codes: DataFrame) -> DataFrame:
         F.coalesce(F.col("hsn_codes"), F.array().cast("array<string>")).alias("hsn_codes"))
 
 
+def one_per_gstin(details: DataFrame, key: str = "gstin") -> DataFrame:
+    """One details row per GSTIN, so that no join multiplies its target: a row without
+    error before one with an error, then the least by the other columns."""
+    rest = [c for c in details.columns if c != key]
+    failed = F.col("error").isNotNull() if "error" in rest else F.lit(False)
+    best = details.groupBy(key).agg(F.min(F.struct(failed.alias("_failed"), *[F.col(c) for c in rest])).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
 def lookup_details(requested: DataFrame, details: DataFrame, skew: SkewConfig = DEFAULT,
                    hot: list | None = None) -> DataFrame:
     """Each valid requested GSTIN (list order and repeats kept) with its details,
     the error landed with them, or ``error = 'No records found'`` when nothing was landed for it."""
     valid = requested.where(is_valid_gstin("gstin"))
-    found = details.withColumnRenamed("error", "_error").withColumn("_found", F.lit(True))
+    found = one_per_gstin(details).withColumnRenamed("error", "_error").withColumn("_found", F.lit(True))
     out = (skew_join(valid, found, "gstin", "left", skew) if hot is None
            else salted_join(valid, found, "gstin", "left", hot, skew.salts))
     landed = F.col("_error") if "_error" in out.columns else F.lit(None).cast("string")
@@ -63,7 +72,7 @@ def enrich(sheet: DataFrame, details: DataFrame, as_of: _dt.datetime,
     """
     base = drop_if_present(sheet).drop("Last_Updated")
     raw = F.col(f"`{gstin_col}`")
-    d = details.select(F.col("gstin").alias(gstin_col), F.col("trade_name").alias("_d_name"),
+    d = one_per_gstin(details).select(F.col("gstin").alias(gstin_col), F.col("trade_name").alias("_d_name"),
                        F.col("registration_date").alias("_d_date"), F.col("hsn_codes").alias("_d_codes"))
     joined = skew_join(base, d, gstin_col, "left", skew)
     looked_up = raw.isNotNull() & (raw == strip_ws(raw))

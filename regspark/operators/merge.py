@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from regspark.functions.ids import is_valid_gstin, non_empty_or
 from regspark.functions.text import join_codes, stamp
+from regspark.operators.enrich import one_per_gstin
 from regspark.operators.ordering import first_by_key
-from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform
+from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform, need_row_ids
 from regspark.operators.skew import DEFAULT, SkewConfig, salted_join, skew_join
 
 
@@ -63,7 +64,7 @@ def _updated(target_prefix: str = "", new_prefix: str = "_new_"):
 
 
 def _prefixed(details: DataFrame, key: str) -> DataFrame:
-    return details.select(
+    return one_per_gstin(details).select(
         F.col("gstin").alias(key),
         F.col("trade_name").alias("_new_trade_name"),
         F.col("registration_date").alias("_new_registration_date"),
@@ -73,7 +74,7 @@ def _prefixed(details: DataFrame, key: str) -> DataFrame:
 def upsert_details_all(target: DataFrame, details: DataFrame, skew: SkewConfig = DEFAULT) -> DataFrame:
     """J5 (flat CSV): every row with a GSTIN that has details gets F10 updates; no stamp.
 
-    ``details`` is one row per GSTIN with ``hsn_codes`` as an array. The join is
+    ``details`` has ``hsn_codes`` as an array (``one_per_gstin`` picks a row). The join is
     a left join on ``gstin``; AQE turns it into a broadcast join when the
     details side is measured small at run time, and a GSTIN holding a large
     share of the table is salted (``operators.skew``).
@@ -89,6 +90,7 @@ def upsert_details_first(target: DataFrame, details: DataFrame, as_of: _dt.datet
     The first row per GSTIN is a partial ``min`` aggregate; the update then
     joins back on GSTIN and ``row_id``, so equal row ids of two firms never mix.
     """
+    need_row_ids(target)
     target = conform(target, GSTIN_DATA_SCHEMA)
     firsts = first_by_key(target.where(F.col("gstin").isNotNull()).select("gstin", "row_id"), "gstin", "row_id")
     hits = firsts.join(_prefixed(details, "gstin"), "gstin").withColumn("_hit", F.lit(True))

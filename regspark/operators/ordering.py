@@ -40,13 +40,20 @@ def global_position(df: DataFrame, order_col: str = "row_id", out: str = "positi
     ``order_col`` is a unique integer (the sheet row index). Rows fall into
     buckets of ``bucket_rows`` consecutive values; a window numbers the rows
     inside each bucket (each bucket holds at most ``bucket_rows`` rows), and the
-    running total of bucket sizes (one small row per bucket) gives the offset.
+    running total of bucket sizes, again in two levels, gives the offset.
     """
     bucket = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long")
     tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # running totals in two levels: buckets inside a shelf of as many buckets, then whole shelves
+    shelf = F.floor(F.col("_bucket") / F.lit(bucket_rows)).cast("long")
+    sizes = sizes.withColumn("_shelf", shelf)
+    shelves = sizes.groupBy("_shelf").agg(F.sum("_n").alias("_n"))
+    above = Window.orderBy("_shelf").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket_rows ** 2 ids
+    shelves = shelves.select("_shelf", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    before = Window.partitionBy("_shelf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+               .join(shelves, "_shelf").select("_bucket", (F.col("_before") + F.col("_above")).alias("_offset")))
     local = F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col))
     return (tagged.withColumn("_local", local)
             .join(offsets, "_bucket")

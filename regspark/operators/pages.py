@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from regspark.functions.ids import GSTIN_LENGTH
-from regspark.functions.text import join_codes
+from regspark.functions.text import join_codes, stamp
 from regspark.operators.results import NO_RECORDS
 
 # --- fixed values -----------------------------------------------------------
@@ -257,6 +257,12 @@ def page_results(pages: DataFrame, keys=("pan", "page_no"), html: str = "html")
         *keys, F.col("item_no").cast("long").alias("item_no"), "_i.*")
 
 
+def landed_items(items: DataFrame, as_of) -> DataFrame:
+    """Q5's items as landed lookup results: ``ord`` is page and item number in one, ``seen_at`` the run time."""
+    return items.select("pan", (F.shiftleft(F.col("page_no"), 32) + F.col("item_no")).alias("ord"),
+                        "gstin", "gstin_status", "state", "result", stamp(as_of).alias("seen_at"))
+
+
 def table_headers(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
     """Header cell texts (``thead th``) of each selected table."""
     heads = F.transform("_tables", lambda t: t["headers"])

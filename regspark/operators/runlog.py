@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regspark.functions.text import capitalize_first, percent, run_label, short_id
-from regspark.operators.skew import DEFAULT as SKEW, salted_join, skew_join
+from regspark.operators.skew import salted_join, skew_join
 
 # --- fixed values -----------------------------------------------------------
 STATUS_COMPLETED = "completed"
@@ -25,7 +25,7 @@ def run_history(jobs: DataFrame) -> DataFrame:
 
 
 def batch_outcomes(looked_up: DataFrame, target: DataFrame, hot: list | None = None,
-                   salts: int = SKEW.salts) -> DataFrame:
+                   salts: int | None = None) -> DataFrame:
     """Per requested GSTIN of a details run: success, or the error that stopped it.
 
     ``looked_up`` is the output of ``lookup_details`` (J7); an id with details
@@ -55,12 +55,11 @@ def processed_count(done: DataFrame) -> DataFrame:
 
 
 def latest_completed(jobs: DataFrame) -> DataFrame:
-    """The result of the most recent completed run (ties: larger job id)."""
-    done = jobs.where(F.col("status") == STATUS_COMPLETED)
-    order = F.struct("created_at", "job_id")
-    return done.agg(
-        F.max_by(F.struct("job_id", "filename", "created_at"), order).alias("_last")
-    ).select("_last.job_id", F.col("_last.filename").alias("result_file"), "_last.created_at")
+    """The completed run with the newest result (ties: larger job id); runs without
+    a result file do not count, and with none at all there is no row."""
+    done = jobs.where((F.col("status") == STATUS_COMPLETED) & F.col("result_file").isNotNull())
+    last = done.agg(F.max(F.struct("end_time", "job_id", "result_file")).alias("_last"))
+    return last.where(F.col("_last").isNotNull()).select("_last.job_id", "_last.result_file", "_last.end_time")
 
 
 def drop_runs(jobs: DataFrame, ids: DataFrame) -> DataFrame:

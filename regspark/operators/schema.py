@@ -39,6 +39,12 @@ PAN_EXPORT_NAMES = dict(zip(list(PAN_DATA_SCHEMA)[1:], PAN_SHEET_COLUMNS))
 GSTIN_EXPORT_NAMES = dict(zip(list(GSTIN_DATA_SCHEMA)[1:], GSTIN_SHEET_COLUMNS))
 
 
+def need_row_ids(table: DataFrame) -> None:
+    """Updates of a key's first row need the sheet order; without it they would change nothing, unseen."""
+    if "row_id" not in table.columns:
+        raise ValueError("the table has no row_id column (read_sheet adds one)")
+
+
 def _q(name: str):
     """A column by its exact header, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -6,9 +6,9 @@ join) or a distinct on the small side switches that off. So the large joins of
 the library salt hot keys explicitly:
 
 1. ``hot_keys``: a seeded sample of the large side's key column is counted per
-   key; the ``max_hot`` hottest keys with at least ``min_rows`` estimated rows
-   come back (a bounded top-k, so the list that reaches the driver is at most
-   ``max_hot`` values).
+   key; keys with at least ``share`` of the sampled rows come back, hottest first.
+   At most ``1 / share`` keys can have that share, so the list that reaches the
+   driver is bounded without a cut. By default ``share`` is four mean partitions.
 2. ``salted_join``: large-side rows of a hot key get a salt in ``[0, salts)``
    from a hash of the row (deterministic, so a recomputed task yields the same
    salt); small-side rows of a hot key are copied once per salt; every other
@@ -21,16 +21,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class SkewConfig:
-    salts: int = 32
-    max_hot: int = 1000
-    min_rows: int = 1_000_000
+    salts: int | None = None        # None: as many as shuffle partitions
+    share: float | None = None      # None: four mean partitions, a tenth of the rows at most
     sample_fraction: float = 0.01
+    min_hits: int = 20              # sampled rows below which a share is only noise
     seed: int = 17
     enabled: bool = True
 
@@ -39,45 +39,39 @@ DEFAULT = SkewConfig()
 _SALT = "_salt"
 
 
+def _partitions(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hot_keys(df: DataFrame, key: str, cfg: SkewConfig = DEFAULT) -> list:
-    """Keys estimated to hold at least ``cfg.min_rows`` rows, hottest first, at most ``cfg.max_hot``."""
+    """Keys holding at least ``cfg.share`` of the rows whose key is not NULL, hottest first."""
     if not cfg.enabled:
         return []
-    k = F.col(key)
-    sample = df.select(k.alias("_k")).where(F.col("_k").isNotNull())
+    share = cfg.share or min(0.1, 4 / _partitions(df))
+    sample = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull())
     if cfg.sample_fraction < 1.0:
         sample = sample.sample(fraction=cfg.sample_fraction, seed=cfg.seed)
-    need = max(1, int(cfg.min_rows * cfg.sample_fraction))
-    rows = (sample.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
-            .orderBy(F.desc("_n"), F.asc("_k")).limit(cfg.max_hot).collect())
-    return [r["_k"] for r in rows]
+    # the grand total comes with the counts and sorts first, then at most 1 / share hot keys
+    rows = (sample.rollup("_k").agg(F.count(F.lit(1)).alias("_n"), F.grouping("_k").alias("_total"))
+            .orderBy(F.desc("_n"), F.desc("_total"), F.asc("_k")).limit(int(1 / share) + 1).collect())
+    need = max(cfg.min_hits, share * rows[0]["_n"]) if rows else 0
+    return [r["_k"] for r in rows if not r["_total"] and r["_n"] >= need]
 
 
 def hot_keys_by_column(df: DataFrame, keys, cfg: SkewConfig = DEFAULT) -> dict:
-    """``hot_keys`` for several key columns of one input in a single sampled job."""
-    keys = list(keys)
-    if not cfg.enabled:
-        return {k: [] for k in keys}
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(k).cast("string").alias("_k"))
-                                for i, k in enumerate(keys)]))
-    sample = df.select(pairs.alias("_p")).select("_p._c", "_p._k").where(F.col("_k").isNotNull())
-    if cfg.sample_fraction < 1.0:
-        sample = sample.sample(fraction=cfg.sample_fraction, seed=cfg.seed)
-    need = max(1, int(cfg.min_rows * cfg.sample_fraction))
-    counted = sample.groupBy("_c", "_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
-    place = F.row_number().over(Window.partitionBy("_c").orderBy(F.desc("_n"), F.asc("_k")))
-    rows = counted.withColumn("_place", place).where(F.col("_place") <= cfg.max_hot).orderBy("_c", "_place").collect()
-    return {k: [r["_k"] for r in rows if r["_c"] == i] for i, k in enumerate(keys)}
+    """``hot_keys`` of several key columns of one input."""
+    return {k: hot_keys(df, k, cfg) for k in keys}
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, how: str, hot: list,
-                salts: int = DEFAULT.salts) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """``large.join(small, key, how)`` with the ``hot`` keys spread over ``salts`` tasks.
 
     ``how`` is one of inner, left, left_semi, left_anti (the large side is the left).
     The salt comes from the row's place in its partition, so rows that are equal in
     every column spread too; rows with a NULL key match nothing and are always spread.
     """
+    salts = salts or max(32, _partitions(large))
     wide = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     l_salted = large.withColumn(_SALT, F.when(wide, salt).otherwise(F.lit(0)))

@@ -381,6 +381,29 @@ def q_single_details(spark, d):
     return pl.single_details(target, one, _details_arrays(spark, d), AS_OF)
 
 
+@register("single_details_latest", oracle(["gstin_sheet", "details", "details_hsn", "requested_gstins"], C_CODES + [
+    ("ddreq", "SELECT * FROM dd WHERE gstin = (SELECT min(gstin) FROM gstin_sheet)")] + C_HITS_FIRST,
+    UPSERT_FIRST_SELECT))
+def q_single_details_latest(spark, d):
+    """A9 -> Q6: the tables of the latest completed run in the log, updated as a new version."""
+    base, target = scratch_path(spark, "runs"), _gstin_sheet(spark, d)
+    log = fx(spark, d, "jobs").withColumn(
+        "result_file", F.when(F.col("result_file").isNotNull(), F.concat(F.lit(base + "/"), F.col("job_id"))))
+    sio.write_two_tables(_sheet(spark, d), target, rl.latest_completed(log).first()["result_file"])
+    root = pl.update_latest(spark, log, target.agg(F.min("gstin").alias("gstin")), _details_arrays(spark, d), AS_OF)
+    return sio.read_two_tables(spark, root)[1]
+
+
+@register("update_details_from_pages", oracle(
+    ["gstin_sheet", "lookup_results", "details", "details_hsn", "requested_gstins"], C_CODES + [C_DDREQ] + C_HITS_FIRST,
+    UPSERT_FIRST_SELECT))
+def q_update_details_from_pages(spark, d):
+    """Q5 -> Q2: details extracted from landed pages, each page landed twice; pages that report an error update nothing."""
+    pages = fp.detail_pages(spark, d)
+    return pl.update_details(_gstin_sheet(spark, d), fx(spark, d, "requested_gstins"),
+                             pg.extract_details(pages.unionByName(pages)), AS_OF)
+
+
 @register("details_display", oracle(["details"], [], """
 SELECT gstin, coalesce(nullif(trade_name, ''), 'Not available') AS trade_name_display,
   coalesce(nullif(registration_date, ''), 'Not available') AS registration_date_display FROM details"""))
@@ -563,8 +586,8 @@ def q_run_history(spark, d):
 
 
 @register("latest_completed", oracle(["jobs"], [], """
-SELECT job_id, filename AS result_file, created_at FROM jobs WHERE status = 'completed'
-ORDER BY created_at DESC, job_id DESC LIMIT 1"""))
+SELECT job_id, result_file, end_time FROM jobs WHERE status = 'completed' AND result_file IS NOT NULL
+ORDER BY end_time DESC, job_id DESC LIMIT 1"""))
 def q_latest_completed(spark, d):
     return rl.latest_completed(fx(spark, d, "jobs"))
 
@@ -612,6 +635,7 @@ def _upload():
 SELECT job_id, path, lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS extension,
   lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('xlsx', 'xls', 'csv') AS accepted,
   concat(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', ''), '_simplified.csv') AS simplified_name,
+  concat(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', ''), '_simplified_1735689600.csv') AS download_name,
   concat(regexp_replace(path, '\\.[^./]*$', ''), '_backup', regexp_extract(path, '\\.[^./]*$', 0)) AS backup_name
 FROM (SELECT job_id, {UPLOAD_SQL} AS path FROM jobs) t"""))
 def q_export_names(spark, d):
@@ -619,7 +643,8 @@ def q_export_names(spark, d):
     p = fx(spark, d, "jobs").select("job_id", _upload().alias("path"))
     ext = file_extension("path")
     return p.select("job_id", "path", ext.alias("extension"), ext.isin("xlsx", "xls", "csv").alias("accepted"),
-                    export_name("path").alias("simplified_name"), backup_name("path").alias("backup_name"))
+                    export_name("path").alias("simplified_name"),
+                    export_name("path", as_of=AS_OF).alias("download_name"), backup_name("path").alias("backup_name"))
 
 
 # --------------------------------------------------------------------------- A7 A10
@@ -696,6 +721,47 @@ def q_map_pans_limited_gstin_data(spark, d):
     return _map_pans(spark, d, limit=50)[1]
 
 
+def _map_resumed(spark, d):
+    """S7 -> S6 -> Q1: responses of the done PANs exist in the checkpoint only."""
+    path, done, lr = scratch_path(spark, "checkpoint"), fx(spark, d, "done_keys"), fx(spark, d, "lookup_results")
+    sio.write_checkpoint(done, lr.join(done, "pan", "left_semi"), path, batch=0, as_of=AS_OF)
+    keys, results = sio.read_checkpoint(spark, path)
+    return pl.map_pans(fx(spark, d, "pan_sheet"), _gstin_sheet(spark, d), lr.join(done, "pan", "left_anti"), AS_OF,
+                       done=keys, resume=True, checkpointed=results)
+
+
+@register("map_pans_resumed_pan_data", oracle(Q1_FIX, _q1_ctes(None), PAN_DATA_SELECT))
+def q_map_pans_resumed_pan_data(spark, d):
+    return nullable_counts(_map_resumed(spark, d)[0], "gstin_count")
+
+
+@register("map_pans_resumed_gstin_data", oracle(Q1_FIX, _q1_ctes(None), APPEND_SELECT))
+def q_map_pans_resumed_gstin_data(spark, d):
+    return _map_resumed(spark, d)[1]
+
+
+C_PAGE_ITEMS = [C_ITEMS, ("page_items", "SELECT *, page_no * 4294967296 + item_no AS ord FROM items")]
+C_PAGE_LR = ("lr", "SELECT * FROM page_items WHERE pan IN (SELECT pan FROM firsts)")
+
+
+def _map_from_pages(spark, d):
+    return pl.map_from_pages(spark, fx(spark, d, "pan_sheet"), _gstin_sheet(spark, d), fp.lookup_pages(spark, d),
+                             scratch_path(spark, "landed-items"), AS_OF)
+
+
+@register("map_from_pages_pan_data", oracle(["pan_sheet", "gstin_sheet", "lookup_results"], [
+    C_V, C_FIRSTS, *C_PAGE_ITEMS, C_PAGE_LR, c_rollup("lr"), C_UPD], PAN_DATA_SELECT))
+def q_map_from_pages_pan_data(spark, d):
+    """Q5 -> S12 -> Q1: the PAN table mapped from landed result pages."""
+    return nullable_counts(_map_from_pages(spark, d)[0], "gstin_count")
+
+
+@register("map_from_pages_gstin_data", oracle(["pan_sheet", "gstin_sheet", "lookup_results"], [
+    C_V, C_FIRSTS, *C_PAGE_ITEMS, C_PAGE_LR, C_OLD, c_new("lr")], APPEND_SELECT))
+def q_map_from_pages_gstin_data(spark, d):
+    return _map_from_pages(spark, d)[1]
+
+
 # --------------------------------------------------------------------------- T1 streaming
 
 @register("stream_apply_results", oracle(["gstin_sheet", "lookup_results"], [C_OLD, c_new()], APPEND_SELECT))
@@ -740,6 +806,16 @@ def q_two_table_roundtrip(spark, d):
     return g
 
 
+@register("two_table_roundtrip_pan", oracle(Q1_FIX, _q1_ctes(None), PAN_DATA_SELECT))
+def q_two_table_roundtrip_pan(spark, d):
+    """S8 -> S1: the PAN table of a second version, read back."""
+    root = scratch_path(spark, "workbook")
+    pan_data, gstin_data = _map_pans(spark, d)
+    sio.write_two_tables(_sheet(spark, d), _gstin_sheet(spark, d), root)
+    sio.write_two_tables(pan_data, gstin_data, root)
+    return nullable_counts(sio.read_two_tables(spark, root)[0], "gstin_count")
+
+
 @register("export_from_two_tables", oracle(Q1_FIX, _q1_ctes(None), f"""
 SELECT pan_reference AS "PAN_Reference", gstin AS "GSTIN", gstin_status AS "GSTIN Status" FROM ({APPEND_SELECT}) t"""))
 def q_export_from_two_tables(spark, d):
@@ -771,14 +847,15 @@ def q_csv_roundtrip(spark, d):
 
 @register("run_log_roundtrip", oracle(["jobs"], [], """
 SELECT job_id, filename, status, created_at, CAST(max_pans AS DOUBLE) AS "limit",
-  CASE WHEN status = 'completed' THEN concat('uploads/', filename) END AS result_file FROM jobs"""))
+  file_path, start_time, end_time, result_file, error FROM jobs"""))
 def q_run_log_roundtrip(spark, d):
     """The run log written as JSON lines keyed by job id and read back."""
     path = scratch_path(spark, "runlog")
     sio.write_run_log(fx(spark, d, "jobs"), path)
     log = sio.read_run_log(spark, path)
     return nullable_counts(log.select("job_id", "filename", "status", "created_at",
-                                      F.col("parameters.limit").alias("limit"), "result_file"), "limit")
+                                      F.col("parameters.limit").alias("limit"),
+                                      "file_path", "start_time", "end_time", "result_file", "error"), "limit")
 
 
 @register("run_report", oracle(["jobs"], [], RUN_HISTORY_SELECT))
@@ -803,6 +880,13 @@ def q_checkpoint_roundtrip(spark, d):
     return flat
 
 
+@register("discover_inputs_kinds", """
+SELECT 'csv' AS extension, true AS accepted, true AS sized UNION ALL SELECT 'parquet', false, true""")
+def q_discover_inputs_kinds(spark, d):
+    """Which kinds of file a folder of exports holds, and whether they are taken."""
+    return q_discover_inputs(spark, d).groupBy("extension", "accepted").agg((F.sum("length") > 0).alias("sized"))
+
+
 @register("discover_inputs")
 def q_discover_inputs(spark, d):
     """S5 over a folder of exports derived from the tables (rows-only check)."""

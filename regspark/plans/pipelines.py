@@ -11,13 +11,15 @@ from regspark.operators.enrich import enrich, lookup_details
 from regspark.operators.merge import (append_new, new_gstin_rows, requested_with_details,
                                       upsert_details_all, upsert_details_first)
 from regspark.operators.ordering import first_n
-from regspark.operators.pages import extract_details, page_results
+from regspark.operators.pages import extract_details, landed_items, page_results
 from regspark.operators.results import apply_results, pending_pans, rollup_results
-from regspark.operators.runlog import batch_outcomes, batch_progress
+from regspark.operators.runlog import batch_outcomes, batch_progress, latest_completed
 from regspark.operators.skew import DEFAULT as SKEW, SkewConfig, hot_keys, hot_keys_by_column, salted_join
-from regspark.operators.schema import (GSTIN_DATA_SCHEMA, GSTIN_EXPORT_NAMES, PAN_DATA_SCHEMA, conform,
+from regspark.operators.schema import (GSTIN_DATA_SCHEMA, GSTIN_EXPORT_NAMES, PAN_DATA_SCHEMA, conform, need_row_ids,
                                        simplified_export, to_sheet_names)
-from regspark.operators.validate import key_presence, normalize_valid_pans
+from regspark.sources import io as sio
+from regspark.sources.io import RESULT_ITEM
+from regspark.operators.validate import normalize_valid_pans, split_gstins
 
 
 class ValidationError(ValueError):
@@ -28,32 +30,39 @@ def check_key_column(pan_data: DataFrame) -> None:
     """F8 before any repair (H10): the PAN column must exist and hold a value."""
     if "pan" not in pan_data.columns:
         raise ValidationError("PAN column is missing in the PAN sheet")
-    row = key_presence(pan_data).first()
-    if row["all_missing"]:
+    if pan_data.where(F.col("pan").isNotNull()).isEmpty():  # stops at the first value
         raise ValidationError("PAN column is empty in the PAN sheet")
 
 
+def check_requested(requested: DataFrame) -> None:
+    """a details run needs at least one valid id."""
+    if split_gstins(requested).where("is_valid").isEmpty():
+        raise ValidationError("No valid GSTINs provided")
+
+
 def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, as_of: _dt.datetime,
              done: DataFrame | None = None, resume: bool = False, limit: int | None = None,
-             test_mode: bool = False, match: str = "normalized", validate: bool = False,
-             skew: SkewConfig = SKEW):
+             test_mode: bool = False, match: str = "normalized", validate: bool = True,
+             skew: SkewConfig = SKEW, checkpointed: DataFrame | None = None):
     """Q1: (updated pan_data, updated gstin_data).
 
     Distinct valid PANs (A3) minus the checkpointed ones (J1, when ``resume``),
     the first PAN only in ``test_mode`` (L2), the first ``limit`` (L1); the
-    landed responses of those PANs plus the checkpointed responses are rolled
+    landed responses of those PANs plus the responses of the checkpointed PANs
+    (from ``checkpointed``, the results of ``read_checkpoint``, else the landed ones) are rolled
     up (A1, A4) and written to the first sheet row of each PAN (J4); their
     15-character GSTINs not yet in the table are appended (J2, U1).
     """
     if validate:
         check_key_column(pan_data)
+    need_row_ids(pan_data)
     pan_data = conform(pan_data, PAN_DATA_SCHEMA)
     valid = normalize_valid_pans(pan_data).select("pan", "row_id")
     todo = valid
     keys = None
     if resume and done is not None:
         todo = pending_pans(valid, done)
-        keys = done.select("pan")
+        keys = done.select("pan") if checkpointed is None else None
     if test_mode:
         todo = first_n(todo, 1)
     todo = first_n(todo, limit)
@@ -64,6 +73,10 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
     # and used by both salted joins below
     hot = hot_keys_by_column(responses, ["pan", "gstin"], skew)
     results = salted_join(responses, chosen.distinct(), "pan", "left_semi", hot["pan"], skew.salts)
+    if resume and done is not None and checkpointed is not None:
+        cols = ["pan", *RESULT_ITEM.names]
+        kept = salted_join(checkpointed, done.select("pan").distinct(), "pan", "left_semi", hot["pan"], skew.salts)
+        results = results.select(cols).unionByName(kept.select(cols))
     new_pan = apply_results(pan_data, rollup_results(results), as_of, match=match,
                             firsts=valid if match != "raw" else None)
     new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of), skew=skew, hot=hot["gstin"])
@@ -78,6 +91,7 @@ def update_details(target: DataFrame, requested: DataFrame, details: DataFrame,
     table is upserted in one join (J6 on the first row, stamped; J5 on every
     row for a flat CSV), instead of one file rewrite per id.
     """
+    check_requested(requested)
     found = requested_with_details(requested, details)
     return (upsert_details_first(target, found, as_of) if first_only
             else upsert_details_all(target, found, skew=skew))
@@ -86,6 +100,7 @@ def update_details(target: DataFrame, requested: DataFrame, details: DataFrame,
 def details_run_outcomes(target: DataFrame, requested: DataFrame, details: DataFrame, skew: SkewConfig = SKEW):
     """Q2's job record: (per-id outcomes, progress) (J7, A6, A8). Hot ids are found
     once on the request list and salted in both joins."""
+    check_requested(requested)
     hot = hot_keys(requested, "gstin", skew)
     outcomes = batch_outcomes(lookup_details(requested, details, skew=skew, hot=hot), target, hot=hot,
                               salts=skew.salts)
@@ -118,11 +133,29 @@ def ingest_pages(lookup_pages: DataFrame, detail_pages: DataFrame, items_dir: st
 
 
 def single_details(target: DataFrame, gstin: DataFrame, details: DataFrame, as_of: _dt.datetime) -> DataFrame:
-    """Q6: one id (a one-row frame) looked up and written to its first row in ``target``
-    (the latest completed run's table, A9)."""
+    """Q6: one id (a one-row frame) looked up and written to its first row in ``target``."""
     return update_details(target, gstin, details, as_of)
 
 
+def update_latest(spark, log: DataFrame, requested: DataFrame, details: DataFrame, as_of: _dt.datetime) -> str:
+    """Q2/Q6 on the result of the latest completed run of the log (A9): its tables are
+    read, updated and written as a new version. Returns the folder updated."""
+    last = latest_completed(log).first()
+    if last is None:
+        raise ValidationError("No completed run with a result to update")
+    root = last["result_file"]
+    pan_data, gstin_data = sio.read_two_tables(spark, root)
+    sio.write_two_tables(pan_data, update_details(gstin_data, requested, details, as_of), root)
+    return root
+
+
+def map_from_pages(spark, pan_data: DataFrame, gstin_data: DataFrame, lookup_pages: DataFrame, landing: str,
+                   as_of: _dt.datetime, **options):
+    """Q5 -> Q1: pages parsed once into the landed lookup results at ``landing`` (S12), which the mapping reads."""
+    sio.write_landed(landed_items(page_results(lookup_pages), as_of), landing, "lookup_results")
+    return map_pans(pan_data, gstin_data, sio.read_landed(spark, landing, "lookup_results"), as_of, **options)
+
+
 def run_report(log: DataFrame) -> DataFrame:
     """Q7: the history report over a run log read with ``sources.io.read_run_log``."""
     from regspark.operators.runlog import run_history
@@ -139,8 +172,6 @@ def load_tables(spark, root: str, as_of: _dt.datetime, legacy_csv: str | None =
     it lacks a table (old layout), the one-sheet CSV ``legacy_csv`` is converted
     and written as a new version first, then read back."""
     from regspark.operators.schema import LayoutError, convert_legacy, is_legacy_layout
-    from regspark.sources import io as sio
-
     if not is_legacy_layout(sio.table_names(spark, sio.current_version(spark, root))):
         return sio.read_two_tables(spark, root)
     if legacy_csv is None:

@@ -1,13 +1,14 @@
 """Sources and sinks.
 
 A "workbook" is a directory holding two tables (``pan_data``, ``gstin_data``);
-every write goes to a new version directory and a small pointer file names the
-current one, so a table is never overwritten while it is read (S8, S9).
+every write goes to a new numbered version directory, and a marker written there
+last makes it the current one, so nothing is ever overwritten (S8, S9).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,7 @@ from regspark.session import hadoop_fs, path_exists
 ALLOWED_EXTENSIONS = ("xlsx", "xls", "csv")
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
 CSV_QUOTING = {"escape": '"', "multiLine": "true"}
-CURRENT_POINTER = "_CURRENT"
+COMPLETE_MARKER = "_COMPLETE"
 # JSON time stamps keep microseconds (the default format stops at milliseconds).
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
                 "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -43,8 +44,18 @@ CHECKPOINT_SCHEMA = StructType([
 JOB_RECORD = StructType([
     StructField("id", StringType()), StructField("filename", StringType()),
     StructField("file_path", StringType()), StructField("status", StringType()),
-    StructField("created_at", TimestampNTZType()), StructField("result_file", StringType()),
-    StructField("error", StringType()),
+    StructField("type", StringType()),
+    StructField("created_at", TimestampNTZType()), StructField("start_time", TimestampNTZType()),
+    StructField("end_time", TimestampNTZType()), StructField("result_file", StringType()),
+    StructField("excel_file", StringType()), StructField("error", StringType()),
+    StructField("gstins", ArrayType(StringType())),
+    StructField("progress", StructType([
+        StructField("total", LongType()), StructField("processed", LongType()),
+        StructField("successful", LongType()), StructField("failed", LongType()),
+        StructField("processed_count", LongType()), StructField("timestamp", TimestampNTZType())])),
+    StructField("results", ArrayType(StructType([
+        StructField("gstin", StringType()), StructField("success", BooleanType()),
+        StructField("error", StringType())]))),
     StructField("parameters", StructType([
         StructField("headless", BooleanType()), StructField("test_mode", BooleanType()),
         StructField("limit", IntegerType()), StructField("resume", BooleanType())])),
@@ -74,27 +85,35 @@ def _local(path: str) -> str:
 # --- S1, S8, S9: two-table workbook -------------------------------------------
 
 def write_two_tables(pan_data: DataFrame, gstin_data: DataFrame, root: str) -> str:
-    """Both tables into a fresh version directory, then the pointer moves (S9 keeps the old)."""
-    version = f"v-{uuid.uuid4().hex}"
-    target = os.path.join(root, version)
+    """Both tables into a fresh version directory, then its marker (S9 keeps the old).
+
+    Versions are numbered; the current one is the last that holds the marker, so a
+    write that fails at any point leaves the earlier version current.
+    """
+    spark = pan_data.sparkSession
+    number = max((int(v.split("-")[1]) for v in _versions(spark, root)), default=0) + 1
+    target = os.path.join(root, f"v-{number:010d}-{uuid.uuid4().hex}")
     pan_data.write.mode("errorifexists").parquet(os.path.join(target, "pan_data"))
     gstin_data.write.mode("errorifexists").parquet(os.path.join(target, "gstin_data"))
-    spark = pan_data.sparkSession
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(root, CURRENT_POINTER))
+    spark.range(1).coalesce(1).write.mode("errorifexists").parquet(os.path.join(target, COMPLETE_MARKER))
     return target
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    pointer = os.path.join(root, CURRENT_POINTER)
-    if not path_exists(spark, pointer):  # any other failure to read it is an error
-        return None
-    rows = spark.read.text(pointer).take(1)
-    return os.path.join(root, rows[0][0]) if rows else None
+    """The last complete version directory; None if there is none (any other failure is an error)."""
+    for version in reversed(_versions(spark, root)):
+        target = os.path.join(root, version)
+        if path_exists(spark, os.path.join(target, COMPLETE_MARKER, "_SUCCESS")):
+            return target
+    return None
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    return sorted(n for n in table_names(spark, root) if re.fullmatch(r"v-[0-9]{10,}-[0-9a-f]{32}", n))
 
 
 def table_names(spark: SparkSession, version_dir: str | None) -> list[str]:
-    """Names of the tables present in a version directory (for C4)."""
+    """Names of the folders in a directory: the tables of a version (for C4), or the versions."""
     if version_dir is None:
         return []
     hit = hadoop_fs(spark, version_dir)
@@ -102,11 +121,12 @@ def table_names(spark: SparkSession, version_dir: str | None) -> list[str]:
         local = _local(version_dir)
         if not os.path.isdir(local):
             return []
-        return sorted(n for n in os.listdir(local) if os.path.isdir(os.path.join(local, n)))
+        return sorted(n for n in os.listdir(local) if n[0] != "_" and os.path.isdir(os.path.join(local, n)))
     fs, jvm_path = hit
     if not fs.exists(jvm_path):
         return []
-    return [s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory()]
+    names = [s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory()]
+    return [n for n in names if n[0] != "_"]
 
 
 def read_two_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +162,7 @@ def read_sheet(spark: SparkSession, path: str, na_tokens=NA_TOKENS, row_id: str
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).options(**CSV_QUOTING).csv(path))
-    cols = [null_if_tokens(F.col(f"`{c}`"), na_tokens).alias(c) for c in df.columns]
+    cols = [null_if_tokens(F.col(f"`{c}`").cast("string"), na_tokens).alias(c) for c in df.columns]
     if row_id is None or row_id in df.columns:
         return df.select(*cols)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -219,13 +239,16 @@ def read_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 # --- S11: run log --------------------------------------------------------------------------
 
 def write_run_log(jobs: DataFrame, path: str) -> None:
-    """The run log as JSON lines, each an object keyed by job id (one job per line)."""
-    rec = F.struct(
-        F.col("job_id").alias("id"), "filename",
-        F.concat(F.lit("uploads/"), F.col("filename")).alias("file_path"), "status", "created_at",
-        F.when(F.col("status") == "completed", F.concat(F.lit("uploads/"), F.col("filename"))).alias("result_file"),
-        F.lit(None).cast("string").alias("error"),
-        F.struct("headless", "test_mode", F.col("max_pans").alias("limit"), "resume").alias("parameters"))
+    """The run log as JSON lines, each an object keyed by job id (one job per line).
+
+    A field is the column of its name; a column that ``jobs`` lacks is left out of the
+    record. ``job_id`` and the run options may stand as plain columns.
+    """
+    given = {"id": F.col("job_id")} if "id" not in jobs.columns else {}
+    if "parameters" not in jobs.columns:
+        given["parameters"] = F.struct("headless", "test_mode", F.col("max_pans").alias("limit"), "resume")
+    rec = F.struct(*[given.get(f.name, F.col(f.name) if f.name in jobs.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                     for f in JOB_RECORD.fields])
     jobs.select(F.to_json(F.create_map("job_id", rec), JSON_OPTIONS).alias("value")).write.mode("errorifexists").text(path)
 
 

@@ -23,9 +23,7 @@ def spark():
                .config("spark.sql.session.timeZone", "UTC"))
     s = builder.getOrCreate()
     if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="regspark-test-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="regspark-test-"))  # the setting itself is static
     s.sparkContext.setLogLevel("ERROR")
     configure(s)
     yield s

@@ -100,3 +100,36 @@ def test_landed_roundtrip(spark, sf_dir):
     back = sio.read_landed(spark, path, "lookup_results")
     assert back.schema == sio.LANDED_SCHEMAS["lookup_results"]
     assert back.exceptAll(lr).count() == 0 and lr.exceptAll(back).count() == 0
+
+
+def test_unfinished_version_is_not_current(spark):
+    root = scratch_path(spark, "t-wb")
+    p = spark.createDataFrame([("A",)], "pan string")
+    v1 = sio.write_two_tables(p, p, root)
+    p.write.parquet(os.path.join(root, f"v-{9:010d}-{'0' * 32}", "pan_data"))  # a write that died half-way
+    assert sio.current_version(spark, root) == v1
+    assert sio.current_version(spark, os.path.join(root, "absent")) is None
+
+
+def test_csv_quotes_line_breaks_and_file_order(spark):
+    path = scratch_path(spark, "t-csv")
+    df = spark.createDataFrame([(i, '12, "A" Block\nX', f"v{i}") for i in range(40)], "k int, a string, b string")
+    for part, rows in enumerate((df.where("k < 3"), df.where("k >= 3"))):  # files of unequal size
+        sio.write_csv(rows.orderBy("k"), os.path.join(path, f"part={part}"), single_file=True)
+    back = sio.read_sheet(spark, path).orderBy("row_id").collect()
+    assert [r["k"] for r in back] == [str(i) for i in range(40)]
+    assert {r["a"] for r in back} == {'12, "A" Block\nX'}
+
+
+def test_run_log_keeps_every_field(spark):
+    path = scratch_path(spark, "t-log")
+    job = spark.sql("""SELECT 'j' AS job_id, 'f.csv' AS filename, 'failed' AS status, 'batch' AS type, 'boom' AS error,
+        array('G1') AS gstins, named_struct('total', 1L, 'processed', 1L, 'successful', 0L, 'failed', 1L,
+        'processed_count', 1L, 'timestamp', TIMESTAMP_NTZ '2025-01-01 00:00:00') AS progress,
+        array(named_struct('gstin', 'G1', 'success', false, 'error', 'x')) AS results, 'w.xlsx' AS excel_file,
+        true AS headless, false AS test_mode, 5 AS max_pans, false AS resume""")
+    sio.write_run_log(job, path)
+    r = sio.read_run_log(spark, path).first()
+    assert (r["error"], r["type"], r["gstins"], r["excel_file"]) == ("boom", "batch", ["G1"], "w.xlsx")
+    assert r["progress"]["failed"] == 1 and r["results"][0]["error"] == "x" and r["parameters"]["limit"] == 5
+    assert r["file_path"] is None and r["result_file"] is None  # nothing invented

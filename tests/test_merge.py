@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from regspark.operators import enrich as en
 from regspark.operators import merge as mg
 from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform
@@ -88,3 +90,37 @@ def test_distinct_codes_first_order(spark):
     codes = spark.createDataFrame([("G", 5, "b"), ("G", 1, "a"), ("G", 3, "b"), ("G", 9, ""), ("G", 2, "c")],
                                   "gstin string, pos long, hsn_code string")
     assert en.distinct_codes(codes).first()["hsn_codes"] == ["a", "c", "b"]
+
+
+def test_details_errors_and_duplicates(spark):
+    from regspark.operators.enrich import lookup_details
+    from regspark.plans import pipelines as pl
+
+    a, b, c = "27AAAAA0000A1Z1", "27BBBBB0000B1Z2", "27CCCCC0000C1Z3"
+    details = spark.createDataFrame(
+        [(a, "B", "", ["2"], None), (a, "A", "", ["1"], None), (a, None, None, None, "No records found"),
+         (b, None, None, None, "No records found")],
+        "gstin string, trade_name string, registration_date string, hsn_codes array<string>, error string")
+    asked = spark.createDataFrame([(a,), (b,), (c,), ("short",)], "gstin string")
+    got = sorted((r["gstin"], r["trade_name"], r["error"]) for r in lookup_details(asked, details).collect())
+    assert got == [(a, "A", None), (b, None, "No records found"), (c, None, "No records found")]
+    target = conform(spark.createDataFrame([(0, a, "old"), (0, b, "old"), (1, a, "old")],
+                                           "row_id long, gstin string, trade_name string"), GSTIN_DATA_SCHEMA)
+    rows = sorted((r["gstin"], r["row_id"], r["trade_name"], r["last_updated"] is not None)
+                  for r in pl.update_details(target, asked, details, AS_OF).collect())
+    assert rows == [(a, 0, "A", True), (a, 1, "old", False), (b, 0, "old", False)]
+    _, progress = pl.details_run_outcomes(target, asked, details)
+    assert (progress.first()["successful"], progress.first()["failed"]) == (1, 2)
+    for call in (pl.update_details, pl.details_run_outcomes):
+        with pytest.raises(pl.ValidationError):
+            call(target, asked.where("gstin = 'short'"), details, *([AS_OF] if call is pl.update_details else []))
+
+
+def test_tables_without_row_ids_are_refused(spark):
+    from regspark.plans import pipelines as pl
+
+    sheet = spark.createDataFrame([("ABCDE1234F",)], "pan string")
+    with pytest.raises(ValueError, match="row_id"):
+        pl.map_pans(sheet, sheet, sheet, AS_OF)
+    with pytest.raises(ValueError, match="row_id"):
+        mg.upsert_details_first(sheet, sheet, AS_OF)

@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 WRITERS = {"enrich_sheet", "processed_count", "stream_apply_results", "two_table_roundtrip",
            "export_from_two_tables", "csv_roundtrip", "run_log_roundtrip", "run_report",
            "checkpoint_roundtrip", "discover_inputs", "ingest_pages_status", "ingest_pages",
-           "stream_map_pans_pan_data", "stream_map_pans_gstin_data"}
+           "stream_map_pans_pan_data", "single_details_latest", "map_pans_resumed_pan_data",
+           "map_pans_resumed_gstin_data", "map_from_pages_pan_data", "map_from_pages_gstin_data", "two_table_roundtrip_pan",
+           "discover_inputs_kinds", "stream_map_pans_gstin_data"}
 NAMES = [n for n in E.queries() if n not in WRITERS]
 
 

@@ -16,7 +16,7 @@ from regspark.operators.skew import SkewConfig, hot_keys, hot_keys_by_column, sa
 
 AS_OF = dt.datetime(2025, 1, 1)
 HOT = "27HOTTT0000H1Z5"
-CFG = SkewConfig(salts=8, max_hot=10, min_rows=1000, sample_fraction=0.2)
+CFG = SkewConfig(salts=8, share=0.03, sample_fraction=0.2)
 OFF = SkewConfig(enabled=False)
 
 
@@ -40,7 +40,7 @@ def _plan(df) -> str:
 def test_hot_key_detection(spark):
     assert hot_keys(_results(spark), "gstin", CFG) == [HOT]
     assert hot_keys(_results(spark), "gstin", OFF) == []
-    assert hot_keys(_results(spark), "gstin", SkewConfig()) == []   # 10,000 rows is not hot by default
+    assert hot_keys(_results(spark), "gstin", SkewConfig()) == [HOT]   # a share, so alike at every size
     assert hot_keys_by_column(_results(spark), ["pan", "gstin"], CFG) == {"pan": [], "gstin": [HOT]}
 
 
@@ -103,7 +103,15 @@ def test_pipeline_skew_config_passes_through(spark, sf_dir, no_broadcast):
     sheet = fixture(spark, sf_dir, "pan_sheet")
     old = conform(fixture(spark, sf_dir, "gstin_sheet"), GSTIN_DATA_SCHEMA)
     res = fixture(spark, sf_dir, "lookup_results")
-    low = SkewConfig(salts=4, max_hot=5, min_rows=5, sample_fraction=1.0)   # every busy PAN/GSTIN is "hot"
+    low = SkewConfig(salts=4, share=0.001, min_hits=1, sample_fraction=1.0)   # every busy PAN/GSTIN is "hot"
     p1, g1 = map_pans(sheet, old, res, AS_OF)
     p2, g2 = map_pans(sheet, old, res, AS_OF, skew=low)
     assert _same(p1, p2) and _same(g1, g2)
+
+
+def test_null_keys_and_equal_rows_spread(spark, no_broadcast):
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit("K")).alias("gstin"))
+    one = spark.createDataFrame([("K", 1)], "gstin string, v int")
+    out = salted_join(rows, one, "gstin", "left", ["K"], 8).withColumn("p", F.spark_partition_id())
+    parts = {r["gstin"]: r["n"] for r in out.groupBy("gstin").agg(F.count_distinct("p").alias("n")).collect()}
+    assert out.count() == 3000 and parts["K"] > 2 and parts[None] > 2
