@@ -25,6 +25,13 @@ def new_gstin_rows(results: DataFrame, as_of: _dt.datetime) -> DataFrame:
     return conform(rows, GSTIN_DATA_SCHEMA)
 
 
+def fresh_rows(old: DataFrame, new: DataFrame, skew: SkewConfig = DEFAULT, hot: list | None = None) -> DataFrame:
+    """The new rows whose GSTIN is not in the old table."""
+    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
+    return (skew_join(new, keys, "gstin", "left_anti", skew) if hot is None
+            else salted_join(new, keys, "gstin", "left_anti", hot, skew.salts))
+
+
 def append_new(old: DataFrame, new: DataFrame, dedup: bool = False, skew: SkewConfig = DEFAULT,
                hot: list | None = None) -> DataFrame:
     """J2 + U1: old rows, then the new rows whose GSTIN is not in the old table.
@@ -36,9 +43,7 @@ def append_new(old: DataFrame, new: DataFrame, dedup: bool = False, skew: SkewCo
     A GSTIN holding a large share of the new rows is salted (``operators.skew``);
     ``hot`` passes hot GSTINs found upstream (on a cheaper input) instead.
     """
-    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
-    fresh = (skew_join(new, keys, "gstin", "left_anti", skew) if hot is None
-             else salted_join(new, keys, "gstin", "left_anti", hot, skew.salts))
+    fresh = fresh_rows(old, new, skew, hot)
     if dedup:
         fresh = first_by_key(fresh, "gstin", "row_id", [c for c in fresh.columns])
     return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(fresh, GSTIN_DATA_SCHEMA))

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +69,7 @@ def drop_runs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     return jobs.join(ids.select("job_id").distinct(), "job_id", "left_anti")
 
 
-def run_summary(metrics: dict[str, DataFrame]) -> DataFrame:
-    """A10: named one-value aggregates as (metric, value) rows (a union, no cross join)."""
-    parts = [df.select(F.lit(name).alias("metric"), F.col(df.columns[0]).cast("long").alias("value"))
-             for name, df in metrics.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def run_summary(*counts: DataFrame) -> DataFrame:
+    """A10: one-row frames of named counts as (metric, value) rows (a union, no cross join)."""
+    parts = [c.unpivot([], [F.col(n).cast("long").alias(n) for n in c.columns], "metric", "value") for c in counts]
+    return reduce(DataFrame.unionByName, parts)

@@ -12,6 +12,7 @@ from pyspark.sql.types import DataType, LongType, StringType, TimestampNTZType
 
 from regspark.functions.ids import legacy_pair_ok, normalize_id
 from regspark.functions.text import stamp
+from regspark.operators.skew import skew_join
 
 # --- fixed values -----------------------------------------------------------
 PAN_ALIASES = ("PAN_NUMBER", "PANNUMBER", "PAN_NO", "PANNO")
@@ -152,8 +153,8 @@ def convert_legacy(df: DataFrame, as_of: _dt.datetime, first_match: bool = False
 def legacy_orphans(pan_data: DataFrame, gstin_data: DataFrame) -> DataFrame:
     """Legacy GSTIN rows whose PAN passed the weaker pair test but is not a valid
     PAN row (children without a parent), reported rather than dropped."""
-    return gstin_data.join(pan_data.select(F.col("pan").alias("pan_reference")).distinct(),
-                           "pan_reference", "left_anti")
+    known = pan_data.select(F.col("pan").alias("pan_reference")).distinct()
+    return skew_join(gstin_data, known, "pan_reference", "left_anti")
 
 
 def simplified_export(df: DataFrame) -> DataFrame:

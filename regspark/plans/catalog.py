@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from regspark import fixture_pages as fp
 from regspark.fixtures import FIXTURE_SQL, _REF, _closure, fixture
-from regspark.functions.ids import WHITESPACE_CLASS
+from regspark.functions.ids import WHITESPACE_CLASS, is_valid_pan, normalize_id
 from regspark.functions.text import not_available, parse_limit, export_name, backup_name, file_extension
 from regspark.operators import enrich as en
 from regspark.operators import merge as mg
@@ -29,8 +29,7 @@ from regspark.operators import validate as va
 from regspark.plans import pipelines as pl
 from regspark.session import AS_OF, AS_OF_SQL, scratch_path
 from regspark.sources import io as sio
-from regspark.streaming.apply_results import (land_results, land_results_by_pan, stream_apply_results,
-                                               stream_map_pans)
+from regspark.streaming.apply_results import land_results, stream_apply_results, stream_map_pans
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -669,17 +668,15 @@ UNION ALL SELECT 'unique_gstins', count(DISTINCT gstin) FROM ({APPEND_SELECT}) t
 UNION ALL SELECT 'added_gstin_rows', count(*) FROM newrows"""))
 def q_run_summary(spark, d):
     """A10: counts reported at the end of a run, as (metric, value) rows."""
-    sheet = fx(spark, d, "pan_sheet")
-    table = q_append_new_gstins(spark, d)
-    new = mg.new_gstin_rows(fx(spark, d, "lookup_results"), AS_OF)
-    old_keys = _gstin_sheet(spark, d).where(F.col("gstin").isNotNull()).select("gstin").distinct()
-    return rl.run_summary({
-        "unique_pans": _valid(spark, d).agg(F.count(F.lit(1))),
-        "invalid_pan_rows": va.invalid_pan_rows(sheet).agg(F.count(F.lit(1))),
-        "gstin_rows": table.agg(F.count(F.lit(1))),
-        "unique_gstins": table.agg(F.count_distinct("gstin")),
-        "added_gstin_rows": new.join(old_keys, "gstin", "left_anti").agg(F.count(F.lit(1))),
-    })
+    pan = fx(spark, d, "pan_sheet").where(F.col("pan").isNotNull()).select(normalize_id("pan").alias("pan"))
+    valid = is_valid_pan("pan", normalized=True)
+    old = _gstin_sheet(spark, d)
+    new = mg.fresh_rows(old, mg.new_gstin_rows(fx(spark, d, "lookup_results"), AS_OF))
+    table = old.select("gstin", F.lit(0).alias("added")).unionByName(new.select("gstin", F.lit(1).alias("added")))
+    return rl.run_summary(
+        pan.agg(F.count_distinct(F.when(valid, F.col("pan"))).alias("unique_pans"), F.count_if(~valid).alias("invalid_pan_rows")),
+        table.agg(F.count(F.lit(1)).alias("gstin_rows"), F.count_distinct("gstin").alias("unique_gstins"),
+                  F.sum("added").alias("added_gstin_rows")))
 
 
 # --------------------------------------------------------------------------- Q1 composed
@@ -766,16 +763,16 @@ def q_map_from_pages_gstin_data(spark, d):
 
 @register("stream_apply_results", oracle(["gstin_sheet", "lookup_results"], [C_OLD, c_new()], APPEND_SELECT))
 def q_stream_apply_results(spark, d):
-    """The landed responses as a file stream, several micro-batches, one sink."""
+    """The landed responses as a file stream into one sink."""
     landing = scratch_path(spark, "landing")
-    land_results(fx(spark, d, "lookup_results"), landing, files=4)
+    land_results(fx(spark, d, "lookup_results"), landing)
     return stream_apply_results(spark, landing, _gstin_sheet(spark, d), scratch_path(spark, "sink"),
                                 scratch_path(spark, "stream-ckpt"), AS_OF)
 
 
 def _stream_map_pans(spark, d):
     landing = scratch_path(spark, "landing")
-    land_results_by_pan(fx(spark, d, "lookup_results"), landing, files=4)
+    land_results(fx(spark, d, "lookup_results"), landing)
     return stream_map_pans(spark, landing, fx(spark, d, "pan_sheet"), _gstin_sheet(spark, d),
                            scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"), AS_OF)
 

@@ -3,96 +3,85 @@
 The original tool processed PANs in batches of ten, saved a checkpoint after
 each batch and resumed from it. Here the landed result files are a file
 stream: each micro-batch keeps result items with a 15-character GSTIN, drops
-those whose GSTIN is already in the existing table (stream-static left anti
-join), and appends to a Parquet sink. The sink's commit log and the query
-checkpoint give exactly-once output and resume after a failure.
+those whose GSTIN is already in the existing table (anti join, hot GSTINs
+salted), and writes into a folder named by its epoch with overwrite. A batch
+replayed after a failure replaces its own output instead of doubling it; the
+query checkpoint records which files each epoch consumed.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.operators.merge import new_gstin_rows
-from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform
+from regspark.operators.results import apply_results, merge_parts, rollup_parts
+from regspark.operators.schema import GSTIN_DATA_SCHEMA, PAN_DATA_SCHEMA, conform
+from regspark.operators.skew import skew_join
+from regspark.session import scratch_path
 
 
-def land_results(results: DataFrame, landing_dir: str, files: int = 4) -> None:
-    """Write result items as ``files`` Parquet files, the way responses would arrive."""
-    results.repartition(files).write.mode("append").parquet(landing_dir)
+def land_results(results: DataFrame, landing_dir: str, files: int | None = None) -> None:
+    """Write result items as Parquet files, the way responses would arrive: as many
+    files as the input has partitions, or ``files``. A PAN's items may be in any of them."""
+    out = results if files is None else results.repartition(files)
+    out.write.mode("append").parquet(landing_dir)
 
 
-def stream_apply_results(spark: SparkSession, landing_dir: str, old: DataFrame, sink_dir: str,
-                         checkpoint_dir: str, as_of: _dt.datetime, bytes_per_trigger: int = 1 << 30) -> DataFrame:
-    """Run the stream until every landed file is processed; return old rows + appended rows."""
+def _known_gstins(old: DataFrame) -> DataFrame:
+    """The old table's keys, written once to shared storage: every micro-batch reads them."""
+    spark, path = old.sparkSession, scratch_path(old.sparkSession, "known-gstins")
+    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()
+    keys.write.parquet(path)
+    return spark.read.schema(keys.schema).parquet(path)
+
+
+def _run(spark: SparkSession, landing_dir: str, checkpoint_dir: str, bytes_per_trigger: int, per_batch) -> None:
+    """Every landed file not yet consumed, in micro-batches; returns when all are done."""
     schema = spark.read.parquet(landing_dir).schema
     stream = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
               .parquet(landing_dir))
-    # the static side is read by every micro-batch: keep it for the stream's lifetime
-    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    fresh = new_gstin_rows(stream, as_of).join(keys, "gstin", "left_anti")
-    q = (fresh.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).outputMode("append").start())
-    try:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise q.exception()
-    finally:
-        keys.unpersist()
-    appended = spark.read.schema(fresh.schema).parquet(sink_dir)
-    return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
+    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
 
+def _write_epoch(df: DataFrame, folder: str, epoch: int) -> None:
+    df.write.mode("overwrite").parquet(os.path.join(folder, f"epoch={epoch}"))
 
-def land_results_by_pan(results: DataFrame, landing_dir: str, files: int = 4) -> None:
-    """Land result items so that all items of one PAN are in one file (one response
-    is atomic, as a lookup returns all of a PAN's rows at once)."""
-    results.repartition(files, "pan").write.mode("append").parquet(landing_dir)
+
+def stream_apply_results(spark: SparkSession, landing_dir: str, old: DataFrame, sink_dir: str,
+                         checkpoint_dir: str, as_of: _dt.datetime, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """Run the stream until every landed file is processed; return old rows + appended rows."""
+    keys = _known_gstins(old)
+
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        _write_epoch(skew_join(new_gstin_rows(batch, as_of), keys, "gstin", "left_anti"), sink_dir, epoch)
+
+    _run(spark, landing_dir, checkpoint_dir, bytes_per_trigger, per_batch)
+    appended = spark.read.parquet(sink_dir).drop("epoch")
+    return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
 
 
 def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old: DataFrame, out_dir: str,
                     checkpoint_dir: str, as_of: _dt.datetime, bytes_per_trigger: int = 1 << 30):
-    """T1 with ``foreachBatch``: every micro-batch rolls up its PANs (A1, A4) and
+    """T1 with the PAN table: every micro-batch rolls up its PANs (A1, A4) and
     appends new GSTIN rows (J2, U1); at the end the PAN table takes each PAN's
     rollup over all batches (J4), so a PAN's items may come in any files. Returns (pan_data, gstin_data).
-
-    Each batch writes into folders named by its epoch with overwrite, so a batch
-    replayed after a failure replaces its own output instead of duplicating it;
-    the query checkpoint records which files each epoch consumed.
     """
-    import os
-
-    from regspark.operators.results import apply_results, merge_parts, rollup_parts
-    from regspark.operators.schema import PAN_DATA_SCHEMA
-    from regspark.operators.skew import skew_join
-
-    schema = spark.read.parquet(landing_dir).schema
-    stream = (spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
-              .parquet(landing_dir))
-    keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    keys = _known_gstins(old)
     upd_dir, new_dir = os.path.join(out_dir, "pan_updates"), os.path.join(out_dir, "new_gstins")
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        # a micro-batch is bounded by maxBytesPerTrigger; keep it while both writes read it
-        batch = batch.persist()
-        try:
-            rollup_parts(batch).write.mode("overwrite").parquet(os.path.join(upd_dir, f"epoch={epoch}"))
-            fresh = skew_join(new_gstin_rows(batch, as_of), keys, "gstin", "left_anti")
-            fresh.write.mode("overwrite").parquet(os.path.join(new_dir, f"epoch={epoch}"))
-        finally:
-            batch.unpersist()
+        _write_epoch(rollup_parts(batch), upd_dir, epoch)
+        _write_epoch(skew_join(new_gstin_rows(batch, as_of), keys, "gstin", "left_anti"), new_dir, epoch)
 
-    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
-         .trigger(availableNow=True).start())
-    try:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise q.exception()
-    finally:
-        keys.unpersist()
+    _run(spark, landing_dir, checkpoint_dir, bytes_per_trigger, per_batch)
     whole = merge_parts(spark.read.parquet(upd_dir).drop("epoch"))
     pan_data = apply_results(conform(sheet, PAN_DATA_SCHEMA), whole, as_of)
     appended = spark.read.parquet(new_dir).drop("epoch")

@@ -133,3 +133,19 @@ def test_run_log_keeps_every_field(spark):
     assert (r["error"], r["type"], r["gstins"], r["excel_file"]) == ("boom", "batch", ["G1"], "w.xlsx")
     assert r["progress"]["failed"] == 1 and r["results"][0]["error"] == "x" and r["parameters"]["limit"] == 5
     assert r["file_path"] is None and r["result_file"] is None  # nothing invented
+
+
+def test_stream_of_scattered_items_equals_batch(spark, sf_dir):
+    """PANs spread over all files, one file a micro-batch."""
+    from regspark.operators.results import apply_results, rollup_results
+    from regspark.operators.schema import PAN_DATA_SCHEMA
+    from regspark.streaming.apply_results import stream_map_pans
+
+    lr, sheet = fixture(spark, sf_dir, "lookup_results"), conform(fixture(spark, sf_dir, "pan_sheet"), PAN_DATA_SCHEMA)
+    old = conform(fixture(spark, sf_dir, "gstin_sheet"), GSTIN_DATA_SCHEMA)
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("t-land", "t-out", "t-sck"))
+    land_results(lr, landing, files=3)
+    pan, _ = stream_map_pans(spark, landing, sheet, old, out, ckpt, AS_OF, bytes_per_trigger=1)
+    assert spark.read.parquet(os.path.join(out, "pan_updates")).select("epoch").distinct().count() == 3
+    batch = apply_results(sheet, rollup_results(lr), AS_OF)
+    assert pan.exceptAll(batch).count() == 0 and batch.exceptAll(pan).count() == 0
