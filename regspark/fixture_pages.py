@@ -91,8 +91,8 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lr = fixture(spark, sf_dir, "lookup_results")
-    ids = lr.where(F.length("gstin") == 15).select("gstin").distinct()
+    asked = fixture(spark, sf_dir, "requested_gstins")
+    ids = asked.where(F.length("gstin") == 15).select("gstin").distinct()
     d = ids.join(details_landed(spark, sf_dir).withColumn("_known", F.lit(True)), "gstin", "left")
     codes = F.col("hsn_codes")
     head = F.concat(F.lit('<table class="table"><tbody><tr><td>GSTIN</td><td>'), esc("gstin"),

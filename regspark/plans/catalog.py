@@ -488,7 +488,7 @@ def q_page_headers(spark, d):
     return h.withColumn("headers", F.array_join("headers", " | "))
 
 
-C_IDS = ("ids", "SELECT DISTINCT gstin FROM lookup_results WHERE length(gstin) = 15")
+C_IDS = ("ids", "SELECT DISTINCT gstin FROM requested_gstins WHERE length(gstin) = 15")
 DETAILS_SELECT = """
 SELECT i.gstin, dd.trade_name, dd.registration_date,
   CASE WHEN dd.gstin IS NOT NULL THEN coalesce(dd.codes, '') END AS hsn_codes,
@@ -496,7 +496,7 @@ SELECT i.gstin, dd.trade_name, dd.registration_date,
 FROM ids i LEFT JOIN dd USING (gstin)"""
 
 
-@register("extract_details", oracle(["lookup_results", "details", "details_hsn"], C_CODES + [C_IDS], DETAILS_SELECT))
+@register("extract_details", oracle(["requested_gstins", "details", "details_hsn"], C_CODES + [C_IDS], DETAILS_SELECT))
 def q_extract_details(spark, d):
     return pg.details_with_text(pg.extract_details(fp.detail_pages(spark, d)))
 
@@ -543,7 +543,7 @@ def q_ingest_pages_status(spark, d):
     return status.select("pan", "gstin_count", "raw_gstin_count", "status")
 
 
-@register("ingest_pages_details", oracle(["lookup_results", "details", "details_hsn"], C_CODES + [C_IDS], DETAILS_SELECT))
+@register("ingest_pages_details", oracle(["requested_gstins", "details", "details_hsn"], C_CODES + [C_IDS], DETAILS_SELECT))
 def q_ingest_pages_details(spark, d):
     _, _, det = pl.ingest_pages(fp.lookup_pages(spark, d), fp.detail_pages(spark, d))
     return pg.details_with_text(det)
