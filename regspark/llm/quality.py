@@ -2,16 +2,20 @@
 
 The language model is a modified Kneser-Ney model of order 4 over 64 symbol
 classes (letters folded, digits, white space, punctuation, UTF-8 lead and
-continuation bytes). Spark counts its 4-grams over all documents; at most 64^4
-(16.8 million) of them exist whatever the size of the corpus, which bounds what is
-gathered and broadcast. The model is kept as sorted arrays of packed n-grams with
-their log-probabilities; a task spreads the highest order over a direct table.
+continuation bytes). Spark counts its 4-grams over whole texts in two rounds: a first
+model is counted over all documents and scores all of them; the final one is counted over
+every document whose score lies in the core of its language (``median`` plus or minus
+``core * spread``), so junk that is common in the corpus does not teach the model that it is
+usual. The counts grow with the corpus; their keys are at most 64^4 (16.8 million), which
+bounds what the driver gathers and broadcasts. The model is kept as sorted arrays of packed
+n-grams with their log-probabilities; a task spreads the highest order over a direct table.
 
 A document's verdict is true if its mean log-probability per byte lies within its
 language's band: ``median - low * spread - slack`` to ``median + high * spread + slack``,
 where spread is the larger of half the distance between the quartiles and
-``least_spread``, exact on a histogram of all documents that pass the base rules, and
-slack is ``noise / sqrt(bytes)``: the mean over a short text varies more.
+``least_spread``, exact on a histogram of all texts that pass the base rules (each
+distinct text once, so a group of copies does not narrow a band), and slack is
+``noise / sqrt(bytes)``: the mean over a short text varies more.
 
 Defined cases: null text has no words and scores 0 with no verdict of its own (the base
 rules reject it); null language is a group of its own; rows repeat as given;
@@ -25,17 +29,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from regspark.llm.common import Words, as_batch, chunks, discard, mix, range_hashes, store, window_hashes
+from regspark.operators.skew import skew_join
 
 ORDER = 4
 BITS = 6
 SYMBOLS = 1 << BITS
 PAD = 27  # newline
+MAX_BROADCAST = 10_000
 
 
 @dataclass(frozen=True)
@@ -44,6 +51,7 @@ class QualityConfig:
 
     least_words: int = 50
     repeat_percent: int = 50
+    core: float = 1.0
     low: float = 4.0
     high: float = 4.0
     least_spread: float = 0.012
@@ -91,12 +99,18 @@ def ngrams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], np.repeat(np.arange(len(texts)), sizes)
 
 
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, n): 4-gram counts over whole texts, summed per task before the shuffle."""
+def count_ngrams(docs: DataFrame, text: str = "text", chosen=None) -> DataFrame:
+    """(key, n): 4-gram counts over whole texts, summed per task before the shuffle.
+
+    ``chosen(rows, keys, text_of)`` may pick the documents to count, as a mask over the rows of a chunk.
+    """
     def count(batches):
         keys, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for _, texts in chunks(batches, text):
-            k, n = np.unique(ngrams(texts)[0], return_counts=True)
+        for rows, texts in chunks(batches, text):
+            k, of = ngrams(texts)
+            if chosen:
+                k = k[chosen(rows, k, of)[of]]
+            k, n = np.unique(k, return_counts=True)
             both = np.concatenate([keys, k])
             keys, at = np.unique(both, return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
@@ -104,7 +118,7 @@ def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
         for i in range(0, len(keys), 100_000):
             yield as_batch(schema, keys[i:i + 100_000].astype(np.int64), counts[i:i + 100_000])
 
-    return docs.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class KneserNey:
@@ -166,12 +180,33 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame, text: str = "text") -> KneserNey:
-    """Model of all documents; at most 64^4 counts reach the driver."""
-    t = count_ngrams(docs, text).toArrow()
+def gathered(counts: DataFrame) -> KneserNey:
+    """Model of (key, n) rows; at most 64^4 of them reach the driver."""
+    t = counts.toArrow()
     return KneserNey(t.column("key").to_numpy(), t.column("n").to_numpy())
 
 
+def train(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> KneserNey:
+    """Model of the documents in the core of their language, as judged by a first model of all documents."""
+    rows = docs.select(docs[lang].alias("_q_l"), docs[text].alias("_q_text"))
+    first = gathered(count_ngrams(rows.select("_q_text"), "_q_text"))
+    scored = store(score_rows(rows, first, ["_q_l"], "_q_text", rules=False), "quality-first")
+    limits = store(bands(scored, "_q_k0", cfg.core, cfg.core, cfg), "quality-core")
+    discard(scored)
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def in_core(batch, keys, of):
+        n = batch.num_rows
+        lo, hi = (pc.fill_null(batch.column(i), np.nan).to_numpy(zero_copy_only=False) for i in (1, 2))
+        log_p = mean_log_p(shared.value, keys, of, n)[0]
+        return (log_p >= lo) & (log_p <= hi)
+
+    inside = with_limits(rows, limits, "_q_l").select("_q_text", "_q_lo", "_q_hi")
+    model = gathered(count_ngrams(inside, "_q_text", in_core))
+    discard(limits)
+    return model if len(model.keys[ORDER]) else first
+
+
 def rule_counts(texts: list) -> dict[str, np.ndarray]:
     """Base counts of each text of a chunk."""
     w = Words(texts)
@@ -207,25 +242,31 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _table: dict = {}
 
 
-def score_rows(docs: DataFrame, model: KneserNey, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns, the base counts, ``log_p`` (mean log-probability per byte) and 1/sqrt(bytes)."""
+def mean_log_p(model: KneserNey, keys: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-probability per byte of each of n texts (0 if empty) and their numbers of bytes."""
+    if _table.get("of") is not model:
+        _table.update({"of": model, "direct": model.direct()})
+    size = np.bincount(of, minlength=n)
+    return np.bincount(of, model.score(keys, _table["direct"]), n) / np.maximum(size, 1), size
+
+
+def score_rows(docs: DataFrame, model: KneserNey, keep: list[str], text: str = "text", rules: bool = True) -> DataFrame:
+    """``keep`` columns, the text's hash, the base counts (with ``rules``), ``log_p`` (mean log-probability
+    per byte) and 1/sqrt(bytes)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = docs.select(*[docs[c].alias(f"_q_k{i}") for i, c in enumerate(keep)], docs[text].alias("_q_text"))
+    inner = docs.select(*[docs[c].alias(f"_q_k{i}") for i, c in enumerate(keep)], F.xxhash64(docs[text]).alias("_q_th"),
+                        docs[text].alias("_q_text"))
+    names = COUNTS if rules else []
     fields = [T.StructField(f"_q_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    fields += [T.StructField(f"_q_{c}", T.LongType()) for c in COUNTS] + [T.StructField(f"_q_{c}", T.DoubleType()) for c in ("log_p", "slack")]
-    out_type = T.StructType(fields)
+    fields += [T.StructField(f"_q_{c}", T.LongType()) for c in ["th", *names]]
+    out_type = T.StructType(fields + [T.StructField(f"_q_{c}", T.DoubleType()) for c in ("log_p", "slack")])
 
     def score(batches):
-        kn, schema = shared.value, to_arrow_schema(out_type)
-        if _table.get("of") is not kn:
-            _table.update({"of": kn, "direct": kn.direct()})
+        schema = to_arrow_schema(out_type)
         for rows, texts in chunks(batches, "_q_text"):
-            counts = rule_counts(texts)
-            keys, of = ngrams(texts)
-            bytes_of = np.bincount(of, minlength=len(texts))
-            log_p = np.bincount(of, kn.score(keys, _table["direct"]), len(texts)) / np.maximum(bytes_of, 1)
-            yield as_batch(schema, *rows.columns[:-1], *[counts[c] for c in COUNTS], log_p,
-                           1 / np.sqrt(np.maximum(bytes_of, 1)))
+            counts = rule_counts(texts) if rules else {}
+            log_p, size = mean_log_p(shared.value, *ngrams(texts), len(texts))
+            yield as_batch(schema, *rows.columns[:-1], *[counts[c] for c in names], log_p, 1 / np.sqrt(np.maximum(size, 1)))
 
     return inner.mapInArrow(score, out_type)
 
@@ -235,11 +276,11 @@ def base_failed(cfg: QualityConfig):
             | (100 * F.col("_q_n_repeat_words") > cfg.repeat_percent * F.col("_q_n_words")))
 
 
-def bands(scored: DataFrame, cfg: QualityConfig, lang: str) -> DataFrame:
-    """(_q_lang, _q_lo, _q_hi) from a histogram of the rows that pass the base rules."""
-    hist = (scored.filter(~base_failed(cfg))
-            .groupBy(F.col(lang).alias("_q_lang"), F.floor(F.col("_q_log_p") / cfg.bin_width).alias("bin"))
-            .agg(F.count("*").alias("n")))
+def bands(scored: DataFrame, lang: str, low: float, high: float, cfg: QualityConfig) -> DataFrame:
+    """(_q_lang, _q_lo, _q_hi): median - low * spread and median + high * spread, from a histogram of distinct texts."""
+    texts = (scored.select(F.col(lang).alias("_q_lang"), "_q_th", F.floor(F.col("_q_log_p") / cfg.bin_width).alias("bin"))
+             .filter("_q_th is not null").distinct())
+    hist = texts.groupBy("_q_lang", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("_q_lang")
     run = (hist.withColumn("upto", F.sum("n").over(w.orderBy("bin")))
            .withColumn("share", F.col("upto") / F.sum("n").over(w)))
@@ -249,26 +290,40 @@ def bands(scored: DataFrame, cfg: QualityConfig, lang: str) -> DataFrame:
 
     q = run.groupBy("_q_lang").agg(quantile(0.25).alias("a"), quantile(0.5).alias("m"), quantile(0.75).alias("b"))
     spread = F.greatest((F.col("b") - F.col("a")) / 2, F.lit(cfg.least_spread))
-    return q.select("_q_lang", (F.col("m") - cfg.low * spread).alias("_q_lo"),
-                    (F.col("m") + cfg.high * spread).alias("_q_hi"))
+    return q.select("_q_lang", (F.col("m") - low * spread).alias("_q_lo"), (F.col("m") + high * spread).alias("_q_hi"))
+
+
+def with_limits(rows: DataFrame, limits: DataFrame, lang: str) -> DataFrame:
+    """Adds _q_lo and _q_hi of a row's language. The stored limits hold one row a language: up to
+    ``MAX_BROADCAST`` of them (counted) are broadcast, more are joined with hot languages salted."""
+    if limits.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(limits), rows[lang].eqNullSafe(limits["_q_lang"]), "left").drop("_q_lang")
+
+    def named(c):
+        return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
+
+    keyed = limits.withColumn("_q_key", named(limits["_q_lang"])).drop("_q_lang")
+    return skew_join(rows.withColumn("_q_key", named(rows[lang])), keyed, "_q_key", "left").drop("_q_key")
 
 
 def judge(scored: DataFrame, limits: DataFrame, cfg: QualityConfig, lang: str) -> DataFrame:
     """Adds ``_q_failed`` and ``_q_kept``; one row of limits per language."""
     slack = cfg.noise * F.col("_q_slack")
     fine = F.coalesce(F.col("_q_log_p").between(F.col("_q_lo") - slack, F.col("_q_hi") + slack), F.lit(False))
-    return (scored.join(limits, scored[lang].eqNullSafe(limits["_q_lang"]), "left")
-            .withColumn("_q_failed", base_failed(cfg))
-            .withColumn("_q_kept", ~F.col("_q_failed") & fine)
-            .drop("_q_lang", "_q_lo", "_q_hi"))
+    return (with_limits(scored, limits, lang).withColumn("_q_failed", base_failed(cfg))
+            .withColumn("_q_kept", ~F.col("_q_failed") & fine).drop("_q_lo", "_q_hi"))
+
+
+def _final_bands(scored: DataFrame, cfg: QualityConfig, lang: str) -> DataFrame:
+    return store(bands(scored.filter(~base_failed(cfg)), lang, cfg.low, cfg.high, cfg), "quality-limits")
 
 
 def quality_report(docs: DataFrame, cfg: QualityConfig = QualityConfig(), key: str = "doc_id",
                    text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document: key, counts, base_failed, kept, log_perplexity and perplexity per byte."""
-    model = train(docs, text)
+    """One row per document: key, counts, base_failed, kept and perplexity per byte."""
+    model = train(docs, cfg, text, lang)
     scored = store(score_rows(docs, model, [key, lang], text), "quality-scores")
-    judged = judge(scored, bands(scored, cfg, "_q_k1"), cfg, "_q_k1")
+    judged = judge(scored, _final_bands(scored, cfg, "_q_k1"), cfg, "_q_k1")
     return judged.select(F.col("_q_k0").alias(key), *[F.col(f"_q_{c}").alias(c) for c in COUNTS],
                          F.col("_q_failed").alias("base_failed"), F.col("_q_kept").alias("kept"),
                          F.exp(-F.col("_q_log_p")).alias("perplexity"))
@@ -276,9 +331,9 @@ def quality_report(docs: DataFrame, cfg: QualityConfig = QualityConfig(), key: s
 
 def keep_good(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that pass, all columns as they were."""
-    model = train(docs, text)
+    model = train(docs, cfg, text, lang)
     scored = store(score_rows(docs, model, [lang], text), "quality-bands")
-    limits = store(bands(scored, cfg, "_q_k0"), "quality-limits")
+    limits = _final_bands(scored, cfg, "_q_k0")
     discard(scored)
     again = score_rows(docs, model, docs.columns, text)
     at = f"_q_k{docs.columns.index(lang)}"
