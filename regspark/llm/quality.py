@@ -52,10 +52,10 @@ class QualityConfig:
     least_words: int = 50
     repeat_percent: int = 50
     core: float = 1.0
-    low: float = 4.0
-    high: float = 4.0
+    low: float = 6.0
+    high: float = 6.0
     least_spread: float = 0.012
-    noise: float = 3.0
+    noise: float = 4.0
     bin_width: float = 0.005
 
 

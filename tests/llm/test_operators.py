@@ -164,6 +164,20 @@ def test_pii(docs, empty):
     assert pii.find_pii(empty).count() == 0 and pii.redact(empty).count() == 0
 
 
+def test_pii_candidates_do_not_overlap():
+    rng, parts = random.Random(8), ["key=ab12cd34ef56ab78zz", "x@y.zz", "10.0.0.1", "555-12-3456", "(555) 123-4567", "+1 988 555 2485", "pwd: 10.0.0.12"]
+    for _ in range(200):
+        t = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(12))
+        base = pii.base_spans(t)
+        more = [(a, b) for _, a, b, _ in pii.candidates(t, base)]
+        held = [(a, b) for _, a, b in base]
+        for a, b in more:
+            assert not any(a < y and x < b for x, y in held)
+            held.append((a, b))
+    long = "key=ab12cd34ef56ab78zz x@y.zz 10.0.0.1 555-12-3456 " * 20_000
+    assert len(pii.spans_of(long.encode())[2]) == 40_000
+
+
 def test_label_model():
     patterns = np.array([[1, 2, 2, 0, 2, 0, 1], [1, 1, 1, 0, 1, 0, 1]])
     m = pii.fit(patterns, np.array([50.0, 50.0]))
@@ -262,6 +276,28 @@ def test_quality_keeps_clean(spark):
     d = "/root/testdata/sf0.01"
     r = queries.op7_quality_rules(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed")
     assert r.filter("quality = 1 and not kept").count() == 0
+    junk = r.filter("quality = 0 and toxic = 0")
+    assert 4 * junk.filter("not kept").count() >= 3 * junk.count()
+
+
+def test_quality_hot_copies(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    hot = docs.limit(1).withColumns({"text": F.lit(LONG), "lang": F.lit("en")})
+    copies = spark.range(docs.count() // 2).crossJoin(hot.drop("doc_id")).withColumnRenamed("id", "doc_id")
+    good = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+    both = docs.join(good, "doc_id").withColumn("doc_id", F.col("doc_id") + 10_000_000).select("doc_id", "text", "lang").unionByName(
+        copies.select("doc_id", "text", "lang"))
+    r = quality.quality_report(both).filter("doc_id >= 10000000 and not base_failed")
+    assert r.filter("not kept").count() == 0
+
+
+def test_quality_many_languages(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} " * 3 + " ".join(f"w{i}x{k}" for k in range(60)), None if i % 5 == 0 else f"l{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = sorted(map(tuple, quality.quality_report(df).collect()))
+    monkeypatch.setattr(quality, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, quality.quality_report(df).collect())) == few
 
 
 # -- 8 packing ------------------------------------------------------------------------------
