@@ -154,22 +154,21 @@ def top_k(vectors: DataFrame, is_query, cfg: TopKConfig = TopKConfig(), key: str
     buckets = store(_packed(ordered, cfg.bucket).withColumn("bucket", F.monotonically_increasing_id()), "vector-buckets")
     queries = rows.filter(is_query)
     spread = queries.repartition(max(1, -(-queries.count() // cfg.query_block)), "id")
-    leading = buckets.orderBy(F.desc("top"), "bucket").limit(1).withColumnsRenamed(
-        {c: f"b_{c}" for c in ("ids", "dims", "vs", "n", "norms", "top", "bucket")})
+    lead = spark.sparkContext.broadcast(buckets.orderBy(F.desc("top"), "bucket").limit(1).collect())  # one bucket at most
 
     def seed(frames):
         for p in frames:
             floors = []
             for r in p.itertuples():
                 qid, q, qn = _unpack(r)
-                lead = tuple(np.frombuffer(getattr(r, f"b_{c}"), d) for c, d in (("ids", np.int64), ("vs", np.int64), ("norms", np.float64)))
                 best = Best(len(qid), cfg.k, np.full(len(qid), -np.inf))
-                search(best, qid, q, qn, (lead[0], lead[1].reshape(r.b_n, r.b_dims), lead[2]), cfg)
+                for bucket in lead.value:
+                    search(best, qid, q, qn, _unpack(bucket), cfg)
                 floors.append(best.floor.astype(np.float64).tobytes())
             yield p[["ids", "dims", "vs", "n", "norms"]].assign(floors=floors)
 
-    one = _packed(spread, cfg.query_block).withColumn("one", F.lit(1)).join(leading.withColumn("one", F.lit(1)), "one")
-    blocks = store(one.mapInPandas(seed, "ids binary, dims int, vs binary, n int, norms binary, floors binary"), "query-blocks")
+    blocks = store(_packed(spread, cfg.query_block).mapInPandas(
+        seed, "ids binary, dims int, vs binary, n int, norms binary, floors binary"), "query-blocks")
 
     n_groups = max(1, -(-buckets.count() // cfg.buckets_a_group))
     q_groups = max(1, -(-blocks.count() // cfg.blocks_a_group))
