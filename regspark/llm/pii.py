@@ -18,6 +18,7 @@ further columns are kept by ``redact``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,10 +131,18 @@ def candidates(t: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int
     found = [("secret", *m.span(3), m.group(1)) for m in PAIR.finditer(t)] if "=" in t or ":" in t else []
     for kind, pattern in (("iban", IBAN), ("secret", ACCESS_KEY), ("ssn", SSN), ("phone", NATIONAL)):
         found += [(kind, *m.span(), "") for m in pattern.finditer(t)]
-    out, held = [], sorted((a, b) for _, a, b in taken)
+    out, starts, ends = [], [], []
+    for a, b in sorted((a, b) for _, a, b in taken):  # merged, so a search finds what overlaps a candidate
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, a, b, name in found:
-        if not any(a < y and x < b for x, y in held):
-            held.append((a, b))
+        i = bisect_left(starts, b)
+        if i == 0 or ends[i - 1] <= a:
+            starts.insert(i, a)
+            ends.insert(i, b)
             out.append((kind, a, b, (EXTRA.index(kind), *votes(t, kind, a, b, name), min(3, (b - a) // 12))))
     return out
 
