@@ -8,8 +8,9 @@
    most ``MAX_CELLS`` cells (checked), whatever the size of the corpus.
 3. Rates of the cells, r >= 0, minimise
    ``sum_d ((sum_c r_c E_cd - target_d) / total)^2 + pull * sum_c (T_c / total) (r_c - 1)^2``
-   by projected gradient steps; each step is an aggregation over the cells. Domain totals
-   are sums of exact expected tokens, so rounding only makes documents share a rate.
+   by Newton steps on the dual, until converged (else an error); each step is an aggregation over the cells.
+   ``pull`` is at most ``rare`` times the share of the rarest domain, so a rare domain reaches its target too.
+   Domain totals are sums of exact expected tokens, so rounding only makes documents share a rate.
 4. A document's copies are its rate rounded up or down by a hash of its id and text, so
    expected totals are kept.
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ from regspark.llm.common import bounded_sample, store
 JUNK = "#*$%&|<>"
 MAX_CELLS = 100_000
 MAX_DOMAINS = 50
+LEAST_SHARE = 1e-9  # domains below it do not narrow the pull
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,9 @@ class MixConfig:
     least_ratio: float = 3.0  # between the domains' shares
     grid: int = 20
     steps: int = 40
+    tolerance: float = 1e-6  # of the gradient, relative to a domain's target or tokens
     pull: float = 0.002
+    rare: float = 0.01  # bound of pull, as a part of the rarest domain's share
     budget: float = 1.1  # tokens of the mix as a multiple of the tokens there are
     shares: dict = field(default_factory=lambda: {"clean": 0.97, "poor": 0.03, "toxic": 0.0})
 
@@ -129,46 +134,78 @@ def cell_of(cfg: MixConfig) -> Column:
     return F.transform("_m_p", lambda p: F.round(p * cfg.grid).cast("int"))
 
 
+def _targets(names: list[str], cfg: MixConfig, total: float) -> list[float]:
+    target = [cfg.budget * total * cfg.shares.get(d, 0.0) for d in names]
+    return target if any(target) else [cfg.budget * total / len(names)] * len(names)
+
+
+def _rate(mu, k: int) -> Column:
+    """Best rate of a cell for the multipliers ``mu`` of the domains."""
+    x = sum((F.col(f"e_{i}") * F.lit(float(mu[i])) for i in range(k)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1.0 - x / F.greatest("tokens", F.lit(1)))
+
+
 def fit_rates(cells: DataFrame, names: list[str], cfg: MixConfig) -> DataFrame:
-    """(cell, rate) of the cells (cell, tokens, e_0, e_1, ...) by projected gradient least squares."""
+    """(cell, rate) of the cells (cell, tokens, e_0, e_1, ...): the least-squares optimum.
+
+    At the optimum a cell's rate is max(0, 1 - sum_d mu_d E_d / T), where pull * mu_d is what domain d misses its
+    target by. The mu minimise a convex function of as many numbers as there are domains; Newton steps
+    with halving run until the gradient of each domain is below ``tolerance`` of its target or tokens.
+    """
     k = len(names)
-    sums = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("t"),
-                     *[F.sum(F.col(f"e_{i}") * F.col(f"e_{j}") / F.greatest("tokens", F.lit(1))).alias(f"g_{i}_{j}")
-                       for i in range(k) for j in range(k)]).first()
+    sums = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), *[F.sum(f"e_{i}").alias(f"e_{i}") for i in range(k)]).first()
     if sums["n"] > MAX_CELLS:
         raise ValueError(f"{sums['n']} cells; the bound is {MAX_CELLS}: use a coarser grid")
-    total = float(sums["t"] or 0) or 1.0
-    target = [cfg.budget * total * cfg.shares.get(d, 0.0) for d in names]
-    if not any(target):
-        target = [cfg.budget * total / k] * k
-    # steps are taken per token of a cell, so the curvature is bounded by the trace of E'T^-1E / total
-    curve = sum(float(sums[f"g_{i}_{i}"] or 0) for i in range(k)) / total + cfg.pull
-    step = 1.0 / max(curve, 1e-12)
-    gradients: list[list[float]] = []
-
-    def rate() -> Column:
-        r = F.lit(1.0)
-        if gradients:
-            share = [F.col(f"e_{i}") / F.greatest("tokens", F.lit(1)) for i in range(k)]
-            past = F.array(*[F.array(*[F.lit(x) for x in g]) for g in gradients])
-            own = F.array(*share)
-            r = F.aggregate(past, F.lit(1.0), lambda a, g: F.greatest(F.lit(0.0), a - step * (
-                F.aggregate(F.zip_with(g, own, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-                + cfg.pull * (a - 1.0))))
-        return r
-
+    total = float(sums["t"] or 0)
+    if not total:
+        return cells.select("cell", F.lit(1.0).alias("rate"))
+    held = np.array([float(sums[f"e_{i}"] or 0) for i in range(k)]) / total
+    aim = np.array(_targets(names, cfg, total)) / total
+    pull = min(cfg.pull, cfg.rare * min(h for h in held if h > LEAST_SHARE))
+    near = cfg.tolerance * np.maximum(held, aim) + 1e-12
+
+    def measured(mu):
+        """Value, gradient and curvature at mu, from one aggregation over the cells."""
+        r = F.col("r")
+        row = cells.withColumn("r", _rate(mu, k)).agg(
+            F.sum(F.col("tokens") * r * r).alias("q"), *[F.sum(r * F.col(f"e_{i}")).alias(f"s_{i}") for i in range(k)],
+            *[F.sum(F.when(r > 0, F.col(f"e_{i}") * F.col(f"e_{j}") / F.greatest("tokens", F.lit(1)))).alias(f"g_{i}_{j}")
+              for i in range(k) for j in range(i, k)]).first()
+        g = np.array([[row[f"g_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) / total
+        slope = pull * mu + aim - np.array([row[f"s_{i}"] for i in range(k)]) / total
+        return pull * mu @ mu / 2 + mu @ aim + row["q"] / total / 2, slope, g + pull * np.eye(k)
+
+    mu = np.zeros(k)
+    value, slope, curve = measured(mu)
     for _ in range(cfg.steps):
-        now = cells.select(rate().alias("r"), *[f"e_{i}" for i in range(k)]).agg(
-            *[F.sum(F.col("r") * F.col(f"e_{i}")).alias(f"s_{i}") for i in range(k)]).first()
-        off = [(float(now[f"s_{i}"] or 0) - target[i]) / total for i in range(k)]
-        if gradients and max(abs(x - y) for x, y in zip(off, gradients[-1], strict=True)) < 1e-7:
-            break
-        gradients.append(off)
-    return cells.select("cell", rate().alias("rate"))
+        if (np.abs(slope) <= near).all():
+            return cells.select("cell", _rate(mu, k).alias("rate"))
+        step, size = -np.linalg.solve(curve, slope), 1.0
+        while True:
+            after = measured(mu + size * step)
+            if after[0] <= value + 1e-4 * size * (slope @ step) + 1e-13 * abs(value) or size < 1e-6:
+                break
+            size /= 2
+        mu = mu + size * step
+        value, slope, curve = after
+    if (np.abs(slope) <= near).all():
+        return cells.select("cell", _rate(mu, k).alias("rate"))
+    raise ArithmeticError(f"rates have not converged after {cfg.steps} steps: gradient {slope.tolist()}")
+
+
+def reached(cells: DataFrame, rate_of: DataFrame, names: list[str], cfg: MixConfig) -> DataFrame:
+    """(domain, tokens, target, reached): expected tokens there are, are aimed at and are in the mix."""
+    k = len(names)
+    both = cells.join(F.broadcast(rate_of), "cell")  # at most MAX_CELLS rates
+    s = both.agg(F.sum("tokens").alias("t"), *[F.sum(f"e_{i}").alias(f"e_{i}") for i in range(k)],
+                 *[F.sum(F.col("rate") * F.col(f"e_{i}")).alias(f"r_{i}") for i in range(k)]).first()
+    target = _targets(names, cfg, float(s["t"] or 0))
+    rows = [(d, float(s[f"e_{i}"] or 0), target[i], float(s[f"r_{i}"] or 0)) for i, d in enumerate(names)]
+    return cells.sparkSession.createDataFrame(rows, "domain string, tokens double, target double, reached double")
 
 
-def rates(docs: DataFrame, labels: DataFrame, cfg: MixConfig, key: str, text: str) -> tuple[dict, DataFrame, DataFrame]:
-    """(model, documents, rates): stored _m_key, _m_hash, _m_tokens, _m_p, _m_cell of every row; rate per cell."""
+def _cells(docs: DataFrame, labels: DataFrame, cfg: MixConfig, key: str, text: str) -> tuple[dict, DataFrame, DataFrame]:
+    """(model, documents, cells): stored _m_key, _m_hash, _m_tokens, _m_p, _m_cell of every row; sums per cell."""
     model = train(docs, domains(labels), cfg, key, text)
     own = F.xxhash64(docs[key], docs[text]).alias("_m_hash")
     rows = docs.select(docs[key].alias("_m_key"), docs[text].alias("_m_text"), own)
@@ -176,9 +213,22 @@ def rates(docs: DataFrame, labels: DataFrame, cfg: MixConfig, key: str, text: st
     cells = store(lean.groupBy(F.col("_m_cell").alias("cell")).agg(
         F.sum("_m_tokens").alias("tokens"),
         *[F.sum(F.col("_m_tokens") * F.col("_m_p")[i]).alias(f"e_{i}") for i in range(len(model["domains"]))]), "mix-cells")
+    return model, lean, cells
+
+
+def rates(docs: DataFrame, labels: DataFrame, cfg: MixConfig, key: str, text: str) -> tuple[dict, DataFrame, DataFrame]:
+    """(model, documents, rates): the documents of ``_cells`` and the rate per cell."""
+    model, lean, cells = _cells(docs, labels, cfg, key, text)
     return model, lean, store(fit_rates(cells, model["domains"], cfg), "mix-rates")
 
 
+def mix_totals(docs: DataFrame, labels: DataFrame, cfg: MixConfig = MixConfig(), key: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """One row per domain: its expected tokens, its target and what the rates reach."""
+    model, _, cells = _cells(docs, labels, cfg, key, text)
+    return reached(cells, store(fit_rates(cells, model["domains"], cfg), "mix-rates"), model["domains"], cfg)
+
+
 def with_copies(rows: DataFrame, rate_of: DataFrame) -> DataFrame:
     """Adds _m_rate and _m_copies; at most MAX_CELLS rates are broadcast."""
     share = F.pmod("_m_hash", F.lit(1_000_003)) / 1_000_003.0
