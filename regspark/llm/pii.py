@@ -58,6 +58,8 @@ ABSTAIN, NO, YES = 0, 1, 2
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9+/_-])")
 WORD = re.compile(r"[A-Za-z_]+")
 ANY_DIGIT = re.compile(rb"[0-9]")
+COLON_VALUE = re.compile(rb":[ ]?[\"']?[A-Za-z0-9+/_.-]{8}")
+CAPITALS = re.compile(rb"[A-Z]{20}")
 
 
 def luhn(digits: str) -> bool:
@@ -148,8 +150,9 @@ def candidates(t: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int
 
 
 def spans_of(value: bytes | None) -> tuple[str, list, list]:
-    """Text, base spans and candidates; texts without @, = or digits have none."""
-    if not value or not (b"@" in value or b"=" in value or ANY_DIGIT.search(value)):
+    """Text, base spans and candidates; none without @, =, a digit, a value after a colon or 20 capital letters."""
+    if not value or not (b"@" in value or b"=" in value or ANY_DIGIT.search(value)
+                         or (b":" in value and COLON_VALUE.search(value)) or CAPITALS.search(value)):
         return "", [], []
     t = value.decode()
     base = base_spans(t)

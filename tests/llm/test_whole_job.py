@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from regspark.llm import mixing
+from regspark.llm import mixing, pii
 
 
 @pytest.mark.parametrize("share", [0.005, 0.01, 0.11])
@@ -46,3 +46,16 @@ def test_mixing_rates_are_the_optimum(spark):
     for c in cells:
         slope = sum(o * e / c[1] for o, e in zip(off, c[2:], strict=True)) + pull * (rate[c[0]] - 1)
         assert abs(slope) < 1e-6 if rate[c[0]] > 0 else slope > -1e-6
+
+
+def test_pii_gate_skips_nothing():
+    """Texts without digits, @ or = may hold secrets too; the gate gives what the patterns give."""
+    for t, secret in (("password: CorrectHorseBatteryStaple", "CorrectHorseBatteryStaple"),
+                      ("token:'abcdefgh'", "abcdefgh"), ("id ABCDEFGHIJKLMNOPQRST end", "ABCDEFGHIJKLMNOPQRST")):
+        assert [t[a:b] for _, a, b, _ in pii.spans_of(t.encode())[2]] == [secret]
+    rng = random.Random(5)
+    parts = ["key", ":", "=", " ", "'", "abcdefgh", "ABCDEFGHIJ", "KLMNOPQRST", "é", "\n", "a@b.cc", "7", "x", "-", "pass: "]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        base = pii.base_spans(t)
+        assert pii.spans_of(t.encode())[1:] == (base, pii.candidates(t, base)), t
