@@ -41,7 +41,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-PAIR = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z][A-Za-z0-9_-]{1,30})[ ]?[=:][ ]?([\"']?)([A-Za-z0-9+/_.-]{8,512})(?![A-Za-z0-9+/_.-])")
+# A name is the rest of its run of name characters from the first part between dashes that starts with a letter.
+PAIR = re.compile(r"(?<![A-Za-z0-9_-])(?:(?:[0-9_][A-Za-z0-9_]*+)?-)*+([A-Za-z][A-Za-z0-9_-]++)[ ]?[=:][ ]?"
+                  r"([\"']?)([A-Za-z0-9+/_.-]{8,}+)")
 NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")

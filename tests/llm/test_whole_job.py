@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 
@@ -59,3 +61,20 @@ def test_pii_gate_skips_nothing():
         t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
         base = pii.base_spans(t)
         assert pii.spans_of(t.encode())[1:] == (base, pii.candidates(t, base)), t
+
+
+def test_pii_pairs_of_any_length():
+    """Long values and names are found whole, short ones as by the bounded pattern, all in linear time."""
+    for name, value in (("token", "eyJ" + "aB3-" * 1249 + "z"), ("a" * 40, "ab12cd34ef56ab78"), ("k" * 400, "Q9" * 400)):
+        t = f"see {name}={value}, end"
+        assert [t[a:b] for k, a, b, _ in pii.spans_of(t.encode())[2] if k == "secret"] == [value]
+    bounded = re.compile(r"(?<![A-Za-z0-9_])([A-Za-z][A-Za-z0-9_-]{1,30})[ ]?[=:][ ]?([\"']?)"
+                         r"([A-Za-z0-9+/_.-]{8,512})(?![A-Za-z0-9+/_.-])")
+    rng = random.Random(6)
+    for _ in range(50_000):
+        t = "".join(rng.choice("ab1_--==: '.\"+é" + "A" * 6) for _ in range(rng.randrange(1, 32)))
+        assert [m.span(k) for m in pii.PAIR.finditer(t) for k in (1, 3)] == [m.span(k) for m in bounded.finditer(t) for k in (1, 3)], t
+    start = time.process_time()
+    for t in ("a-" * 500_000, "1-" * 500_000, "-" * 1_000_000, "aa=aaaaaaa " * 100_000, "a" * 1_000_000, "aa=" + "b" * 1_000_000):
+        sum(1 for _ in pii.PAIR.finditer(t))
+    assert time.process_time() - start < 5
