@@ -113,6 +113,38 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     return ordered.mapInArrow(write, out_type)
 
 
+EXAMPLE = T.StructType([T.StructField("text", T.StringType()), T.StructField("loss", T.ArrayType(T.StructType([
+    T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+
+
+def examples(formatted: DataFrame) -> DataFrame:
+    """One row per conversation: conv_id, its rendered text and the ranges of characters under the loss mask.
+    The turns of a conversation follow each other, as ``format_conversations`` gives them."""
+    out_type = T.StructType([formatted.schema["conv_id"], *EXAMPLE.fields])
+
+    def join(batches):
+        schema, now, size = to_arrow_schema(out_type), None, 0
+        turns: list = []
+        ranges: list = []
+        for b in batches:
+            out: list = []
+            for conv, rendered, i, j in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if turns and conv != now:
+                    out.append((now, "".join(turns), ranges))
+                    turns, ranges, size = [], [], 0
+                now = conv
+                if i is not None and i < j:
+                    ranges.append({"start": size + i, "end": size + j})
+                turns.append(rendered)
+                size += len(rendered)
+            if out:
+                yield as_batch(schema, *map(list, zip(*out, strict=True)))
+        if turns:
+            yield as_batch(schema, [now], ["".join(turns)], [ranges])
+
+    return formatted.mapInArrow(join, out_type)
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """Read the formatted conversations back: one row of digests each; streams over rows, one turn at a time."""
     out_type = T.StructType([formatted.schema["conv_id"], T.StructField("n_turns", T.LongType()),

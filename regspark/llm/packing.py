@@ -1,7 +1,9 @@
 """Vector bin packing of tokenized examples under limits on tokens, segments and loss-bearing tokens.
 
 Each document is tokenized whole and cut into full sequences; what remains of it is an item
-with three sizes: tokens, one segment, loss-bearing tokens (all but the end mark). A
+with three sizes: tokens, one segment, loss-bearing tokens. In plain documents these are all but the
+end mark, so the limit on tokens binds first; with a column of loss ranges (``chat.examples``) they are
+the tokens that touch a range, and ``EXAMPLES`` limits them below the tokens. A
 bin takes, again and again, the item that fits and whose sizes have the largest
 weighted dot product with the bin's remaining room, until none fits.
 
@@ -10,7 +12,7 @@ shuffled and memory is bounded. Sequence ids hold the task's partition and a cou
 a task run again on the same partition gives the same ids.
 
 Defined cases: null text is empty and has the end mark alone; rows repeat as given (each is
-packed); a null id is kept; an empty table gives an empty result.
+packed); a null id is kept; an empty table gives an empty result; null loss ranges are none.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ class PackingConfig:
     buffer: int = 8192
 
 
+EXAMPLES = PackingConfig(loss=768)  # general default where the loss-bearing tokens are given
+
+
 class Encoder:
     """Ids as ``tokenizers`` gives them for the JSON file without special tokens added.
 
@@ -69,6 +74,16 @@ class Encoder:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self._fast.encode_ordinary(text), np.uint32)
 
+    def ids_under(self, text: str, ranges: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and for each token whether it touches one of the ranges [start, end) of characters."""
+        found = self.slow.encode(text, add_special_tokens=False)
+        marked = np.zeros(len(text) + 1, np.int64)
+        for r in ranges:
+            marked[r["start"]:r["end"]] = 1
+        upto = np.concatenate([[0], np.cumsum(marked)])
+        at = np.array(found.offsets, np.int64).reshape(-1, 2)
+        return np.array(found.ids, np.uint32), upto[at[:, 1]] > upto[at[:, 0]]
+
 
 _encoders: dict = {}
 
@@ -113,8 +128,13 @@ PIECE = T.StructType([T.StructField(n, T.LongType()) for n in (
 
 
 def pack_documents(docs: DataFrame, json_path: str, ranks: str | None = None, pattern: str | None = None,
-                   cfg: PackingConfig = PackingConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
+                   cfg: PackingConfig | None = None, key: str = "doc_id", text: str = "text", loss: str | None = None) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+
+    ``loss`` names a column of arrays of (start, end): the ranges of a text's characters under the loss. Without
+    it all tokens but the end mark are. ``cfg`` is ``PackingConfig()``, with ``loss`` ``EXAMPLES``.
+    """
+    cfg = cfg or (EXAMPLES if loss else PackingConfig())
     out_type = T.StructType([T.StructField(key, docs.schema[key].dataType), *PIECE.fields])
 
     def pack(batches):
@@ -134,28 +154,36 @@ def pack_documents(docs: DataFrame, json_path: str, ranks: str | None = None, pa
             for items in bins:
                 at = 0
                 for i in items:
-                    doc, start, length, crc, total, loss = held[i]
-                    out.append((doc, start, length, crc, total, sequence, at, loss))
+                    doc, start, length, crc, total, n_loss = held[i]
+                    out.append((doc, start, length, crc, total, sequence, at, n_loss))
                     at += length
                 sequence += 1
             held.clear()
             return out
 
-        step = min(cfg.tokens, cfg.loss)
         for batch, texts in chunks(batches, "_text"):
             out = []
-            for doc, value in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = np.append(enc.ids(value.decode()) if value else np.empty(0, np.uint32), np.uint32(cfg.end_id))
-                ids = ids.astype("<u4")
-                for start in range(0, len(ids), step):
-                    part = ids[start:start + step]
-                    loss = len(part) - (start + len(part) == len(ids))
+            under = batch.column(2).to_pylist() if loss else [None] * len(texts)
+            for doc, value, ranges in zip(batch.column(0).to_pylist(), texts, under, strict=True):
+                if loss:
+                    ids, bears = enc.ids_under(value.decode() if value else "", ranges or [])
+                else:
+                    ids = enc.ids(value.decode()) if value else np.empty(0, np.uint32)
+                    bears = np.ones(len(ids), bool)
+                ids = np.append(ids, np.uint32(cfg.end_id)).astype("<u4")
+                upto = np.concatenate([[0], np.cumsum(np.append(bears, False))])
+                start = 0
+                while start < len(ids):  # as many tokens as both limits allow
+                    most = int(np.searchsorted(upto, upto[start] + cfg.loss, "right")) - 1
+                    part = ids[start:min(start + cfg.tokens, most)]
+                    n_loss = int(upto[start + len(part)] - upto[start])
                     piece = (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids))
+                    start += len(part)
                     if len(part) == cfg.tokens:
-                        out.append((*piece, sequence, 0, loss))
+                        out.append((*piece, sequence, 0, n_loss))
                         sequence += 1
                     else:
-                        held.append((*piece, loss))
+                        held.append((*piece, n_loss))
                         if len(held) >= cfg.buffer:
                             out += flush()
             if out:
@@ -163,4 +191,5 @@ def pack_documents(docs: DataFrame, json_path: str, ranks: str | None = None, pa
         if held:
             yield rows(flush())
 
-    return docs.select(docs[key].alias("_key"), docs[text].alias("_text")).mapInArrow(pack, out_type)
+    given = [docs[loss].alias("_loss")] if loss else []
+    return docs.select(docs[key].alias("_key"), docs[text].alias("_text"), *given).mapInArrow(pack, out_type)

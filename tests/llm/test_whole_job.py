@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import re
 import time
+from collections import defaultdict
 
 import pytest
 
-from regspark.llm import mixing, pii
+from regspark.llm import chat, mixing, packing, pii
 
 
 @pytest.mark.parametrize("share", [0.005, 0.01, 0.11])
@@ -78,3 +79,34 @@ def test_pii_pairs_of_any_length():
     for t in ("a-" * 500_000, "1-" * 500_000, "-" * 1_000_000, "aa=aaaaaaa " * 100_000, "a" * 1_000_000, "aa=" + "b" * 1_000_000):
         sum(1 for _ in pii.PAIR.finditer(t))
     assert time.process_time() - start < 5
+
+
+def test_packing_limits_loss_of_conversations(spark):
+    """Prompt tokens bear no loss, and the limit on loss-bearing tokens binds before that on tokens."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    rng, turns = random.Random(8), []
+    for c in range(120):
+        for n in range(rng.randrange(1, 6)):
+            words = " ".join(rng.choice(["sun", "río", "tree"]) + str(rng.randrange(99)) for _ in range(rng.choice([3, 30, 400])))
+            turns.append((c, n, "assistant" if c % 3 == 0 or n % 2 else "user", words))
+    formatted = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    made = chat.examples(formatted)
+    args = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    tok, want = Tokenizer.from_file(args[0]), {}
+    for r in made.collect():
+        said = [t for c, _, role, t in sorted(turns) if c == r.conv_id and role == "assistant"]
+        assert [r.text[x.start:x.end] for x in r.loss] == said
+        found = tok.encode(r.text, add_special_tokens=False)
+        want[r.conv_id] = (len(found.ids) + 1, sum(any(a < x.end and b > x.start for x in r.loss) for a, b in found.offsets))
+    bins, of = defaultdict(list), defaultdict(list)
+    for r in packing.pack_documents(made, *args, key="conv_id", loss="loss").collect():
+        bins[r.sequence_id].append(r)
+        of[r.conv_id].append(r)
+    assert {c: (sum(r.length for r in x), sum(r.loss_tokens for r in x)) for c, x in of.items()} == want
+    sizes = [(sum(r.length for r in x), sum(r.loss_tokens for r in x)) for x in bins.values()]
+    limit = packing.EXAMPLES
+    assert limit.loss < limit.tokens and all(n <= limit.tokens and m <= limit.loss for n, m in sizes)
+    assert any(m == limit.loss and n < limit.tokens for n, m in sizes) and any(n > limit.loss for n, _ in sizes)
+    assert all(sorted(r.start for r in x)[0] == 0 for x in of.values())
