@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import chat, langid, licenses, mixing, neardup, packing, pii, quality, substring, topk
+from regspark.llm import (bpe, chat, importance, langid, licenses, mixing, neardup, packing, pii, quality, substring,
+                          topk)
 from regspark.llm.common import table
 
 def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +80,21 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op11_bpe(spark: SparkSession, d: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    decoded = bpe.decode_documents(bpe.encode_documents(table(spark, d, "documents"), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_importance(spark: SparkSession, d: str) -> DataFrame:
+    found = importance.draw_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_exact_topk, op3_substring_dedup, op4_pii, op5_chat_format, op6_language_id,
-    op7_quality_rules, op8_packing, op9_minhash_neardup, op10_mixing)}
+    op7_quality_rules, op8_packing, op9_minhash_neardup, op10_mixing, op11_bpe, op13_importance)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -186,10 +199,50 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id"""
 
+# The checksum goes over the distinct features of all texts, byte by byte.
+OP13_SQL = rf"""
+WITH RECURSIVE k AS (
+    SELECT 0 AS step, list_transform(range(256), lambda b: b::BIGINT) AS t
+    UNION ALL SELECT step + 1, list_transform(t, lambda c: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    FROM k WHERE step < 8),
+a AS (
+    SELECT 0 AS target, row_number() OVER () AS k, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+    UNION ALL SELECT 1, row_number() OVER (), NULL,
+           regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+    FROM benchmark),
+f AS (
+    SELECT target, k, array_to_string(w[i:i + n - 1], ' ') AS f
+    FROM (SELECT target, k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM a, (SELECT unnest([1, 2, 3]) AS n))),
+c AS (SELECT target, k, f, count(*) AS n FROM f GROUP BY target, k, f),
+h AS (
+    SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode(f)), 2),
+                  lambda i: ('0x' || substr(hex(encode(f)), i, 2))::BIGINT)),
+                  lambda r, b: xor(r >> 8, t[(xor(r, b) & 255) + 1])), 4294967295) % 10000 AS b
+    FROM (SELECT DISTINCT f FROM c), (SELECT t FROM k WHERE step = 8)),
+n AS (SELECT target, b, sum(n) AS n FROM c JOIN h USING (f) GROUP BY target, b),
+g AS (
+    SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM n WHERE target = 0) + 10000)::DOUBLE
+                 / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM n WHERE target = 1) + 10000)::DOUBLE)))::BIGINT AS gain
+    FROM n s LEFT JOIN n t ON t.b = s.b AND t.target = 1 WHERE s.target = 0),
+w AS (SELECT k, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+      FROM c JOIN h USING (f) JOIN g USING (b) WHERE target = 0 GROUP BY k),
+s AS (
+    SELECT a.k, a.doc_id, len(a.w) AS n_words, coalesce(w.n_features, 0) AS n_features, coalesce(w.weight, 0) AS weight,
+           coalesce(w.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(a.doc_id::VARCHAR, '')), 1, 8))::BIGINT
+                                                         + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM a LEFT JOIN w ON w.k = a.k WHERE a.target = 0),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, k) AS rank FROM s WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM r) THEN rank END AS rank
+FROM s LEFT JOIN r USING (k)"""
+
 ORACLES = {
     "op1_license_scan": _op1_sql(),
     "op2_exact_topk": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op5_chat_format": OP5_SQL,
     "op9_minhash_neardup": OP9_SQL,
+    "op13_importance": OP13_SQL,
 }
