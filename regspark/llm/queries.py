@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regspark.llm import (bpe, chat, importance, langid, licenses, mixing, neardup, packing, pii, quality, substring,
-                          topk)
+from regspark.llm import (bpe, chat, importance, langid, licenses, mixing, neardup, negatives, packing, pii,
+                          quality, substring, topk)
 from regspark.llm.common import table
 
 def op1_license_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +87,12 @@ def op11_bpe(spark: SparkSession, d: str) -> DataFrame:
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    given = table(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(given.select("vec_id", "embedding", label.alias("label")), F.col("id") % 100 == 0)
+
+
 def op13_importance(spark: SparkSession, d: str) -> DataFrame:
     found = importance.draw_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -94,7 +100,8 @@ def op13_importance(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_exact_topk, op3_substring_dedup, op4_pii, op5_chat_format, op6_language_id,
-    op7_quality_rules, op8_packing, op9_minhash_neardup, op10_mixing, op11_bpe, op13_importance)}
+    op7_quality_rules, op8_packing, op9_minhash_neardup, op10_mixing, op11_bpe, op12_hard_negatives,
+    op13_importance)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -199,6 +206,24 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, min(other) AS low FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id"""
 
+OP12_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS anchor_id, c.vec_id AS vec_id, q.label = c.label AS same,
+           list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
 # The checksum goes over the distinct features of all texts, byte by byte.
 OP13_SQL = rf"""
 WITH RECURSIVE k AS (
@@ -244,5 +269,6 @@ ORACLES = {
     "op3_substring_dedup": OP3_SQL,
     "op5_chat_format": OP5_SQL,
     "op9_minhash_neardup": OP9_SQL,
+    "op12_hard_negatives": OP12_SQL,
     "op13_importance": OP13_SQL,
 }
