@@ -1,23 +1,27 @@
 """Page extraction (X1-X9) over a table of landed pages.
 
-A page is one row. Its markup is read by a small parser in an Arrow-batched
-function, once per page, because nested tables, quoting, entities and implicit
-elements are beyond regular expressions; choosing tables, outcomes, rows and
-codes are native expressions over what it returns.
+A page is one row, its markup text or the bytes as they came. A native test tells flat pages: well-formed
+tables of one head and one body whose cells hold text alone (``FLAT``, one pass of possessive patterns). Their
+tables, rows and cells are cut out by built-in functions. All other pages (nested tables, missing
+end tags, odd quoting, entities, scripts) go to a small parser in an Arrow-batched function, for which
+flat pages are NULL. It reads each byte once, also of damaged markup: what is not ended (a comment, script, tag
+or quoted value) runs to the end of the page. A page that cannot be read (bytes that are no UTF-8, tables
+nested deeper than ``MAX_NESTED``) becomes an error record and leaves the other pages alone.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from regspark.functions.ids import GSTIN_LENGTH
+from regspark.functions.ids import GSTIN_LENGTH, strip_ws
 from regspark.functions.text import join_codes, stamp
 from regspark.operators.results import NO_RECORDS
 
@@ -27,6 +31,7 @@ RESULT_TABLE_CLASSES = ("table", "tbl", "inv", "exp", "table-bordered", "ng-tabl
 GENERIC_TABLE_CLASSES = ("table",)
 ERR_NO_TABLE = "Error: Results table not found"
 ERR_NO_ROWS = "Error: No results extracted"
+ERR_PAGE = "Error: "
 LABEL_TRADE_NAME = "Trade Name"
 LABEL_REG_DATE = "Date of Registration"
 LABEL_HSN = "HSN"
@@ -39,15 +44,96 @@ SECTIONS = frozenset(("tbody", "thead", "tfoot"))
 CELLS = frozenset(("td", "th"))
 ENDS_PARAGRAPH = frozenset(("p", "div", "table", "ul", "ol", "section", "h1", "h2", "h3", "h4", "h5", "h6"))
 
+MAX_NESTED = 16  # tables open at once; a row counts for each table around it, so work grows with the depth
+
 TEXTS = ArrayType(StringType())
-TABLES_TYPE = ArrayType(StructType().add("classes", TEXTS).add("headers", TEXTS).add("rows", ArrayType(TEXTS)))
-FIELDS_TYPE = StructType().add("trade_name", StringType()).add("registration_date", StringType()).add("hsn_codes", TEXTS)
+TABLE_TYPE = StructType().add("classes", TEXTS).add("headers", TEXTS).add("rows", ArrayType(TEXTS))
+TABLES_TYPE = StructType().add("tables", ArrayType(TABLE_TYPE)).add("error", StringType())
+FIELDS_TYPE = (StructType().add("trade_name", StringType()).add("registration_date", StringType())
+               .add("hsn_codes", TEXTS).add("error", StringType()))
+
+
+# -- flat pages: built-in functions -----------------------------------------------------------
+
+# Each loop is possessive, so a page is passed once whether it fits or not.
+_TEXT = r"(?:[^<&\xa0]++|&(?:amp|lt|gt|quot);)*+"
+_ATTRS = r"""(?:\s++[a-z-]++="[^"<>&]*+")*+"""
+_CELLS = rf"(?:<td{_ATTRS}>{_TEXT}</td>\s*+)*+"
+_HEAD = rf"(?:<thead>\s*+<tr{_ATTRS}>\s*+(?:<th{_ATTRS}>{_TEXT}</th>\s*+)*+</tr>\s*+</thead>\s*+)?+"
+_TABLE = (rf"""<table(?: class="[ !#-%'-;=?-~]*+")?+>\s*+{_HEAD}<tbody>\s*+(?:<tr{_ATTRS}>\s*+{_CELLS}</tr>\s*+)*+"""
+          r"</tbody>\s*+</table>")
+_OTHER = rf"</?+(?!(?:table|tbody|thead|tfoot|tr|td|th|script|style%s)\b)[a-z][a-z0-9]*+{_ATTRS}\s*+/?+>"
+_CARD = rf"<div{_ATTRS}>\s*+(?:<(h6|p){_ATTRS}>{_TEXT}</\1>\s*+)*+</div>"
+FLAT = rf"(?s)\A(?:[^<&\xa0]++|&(?:amp|lt|gt|quot);|{_TABLE}|{_OTHER % ''})*+\z"
+FLAT_ALT = rf"(?s)\A(?:[^<&\xa0]++|&(?:amp|lt|gt|quot);|{_TABLE}|{_CARD}|{_OTHER % '|h6|p'})*+\z"
+
+
+def _decoded(c: Column) -> Column:
+    """A flat page's text as it shows: its four entities decoded, outer white space dropped."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return strip_ws(c)
+
+
+def _pieces(c: Column, tag: str) -> Column:
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"<{tag}(?:\s[^>]*+)?+>([^<]*+)</{tag}>"), F.lit(1)), _decoded)
+
+
+def _flat_tables(html: Column) -> Column:
+    """``_tables`` of a flat page."""
+    def table(t):
+        css = F.regexp_extract(t, r'\A<table(?: class="([^"]*+)")?', 1)
+        rows = F.regexp_extract_all(F.substring_index(t, "<tbody>", -1), F.lit(r"(?s)<tr[^>]*+>(.*?)</tr>"), F.lit(1))
+        return F.struct(F.filter(F.split(css, " +"), lambda c: c != "").alias("classes"),
+                        _pieces(t, "th").alias("headers"), F.transform(rows, lambda r: _pieces(r, "td")).alias("rows"))
+
+    return F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<table[^>]*+>.*?</table>"), F.lit(0)), table)
+
+
+def _beside(rows: Column, label: str) -> Column:
+    """The cells after the first one of their row that holds ``label``."""
+    def after(r):
+        at = F.array_position(F.transform(r, lambda c: c.contains(label)), F.lit(True)).cast("int")
+        return F.when(at > 0, F.slice(r, at + 1, F.size(r))).otherwise(F.array().cast(TEXTS))
+
+    return F.flatten(F.transform(rows, after))
+
+
+def _flat_fields(html: Column) -> Column:
+    """``_fields`` of a flat page."""
+    def fields(tables):
+        rows = F.flatten(F.transform(tables, lambda t: t["rows"]))
+        coded = F.filter(tables, lambda t: F.array_join(t["classes"], " ").contains("table")
+                         & F.exists(t["headers"], lambda h: h.contains(LABEL_HSN)))
+        firsts = F.transform(F.filter(F.coalesce(F.get(coded, 0)["rows"], F.array().cast(ArrayType(TEXTS))),
+                                      lambda r: F.size(r) > 0), lambda r: r[0])
+        codes = _beside(rows, LABEL_HSN)
+        return F.struct(F.coalesce(F.get(_beside(rows, LABEL_TRADE_NAME), 0), F.lit("")).alias("trade_name"),
+                        F.coalesce(F.get(_beside(rows, LABEL_REG_DATE), 0), F.lit("")).alias("registration_date"),
+                        F.when(F.size(codes) > 0, codes).otherwise(firsts).alias("hsn_codes"),
+                        F.lit(None).cast("string").alias("error"))
+
+    return F.transform(F.array(_flat_tables(html)), fields)[0]  # the tables are cut out once
+
 
+def _flat_fields_alt(html: Column) -> Column:
+    """``_fields_alt`` of a flat page."""
+    def first(label):
+        return _decoded(F.regexp_extract(html, rf"<h6{_ATTRS}>[^<]*?{label}[^<]*+</h6>\s*+(?:<h6{_ATTRS}>[^<]*+</h6>\s*+)*+<p{_ATTRS}>([^<]*+)</p>", 1))
 
-# Comments and scripts; a tag with its name and attributes (quoted values may hold ">"); declarations; text.
-HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
-TOKEN = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>]++)*+)>|<[!?][^>]*>|([^<]+|<)""")
+    rows = F.regexp_extract_all(html, F.lit(r"(?s)<tr[^>]*+>(.*?)</tr>"), F.lit(1))
+    firsts = F.transform(rows, lambda r: _decoded(F.regexp_extract(r, r"<td[^>]*+>([^<]*+)</td>", 1)))
+    return F.struct(first(LABEL_TRADE_NAME).alias("trade_name"), first(LABEL_EFFECTIVE_DATE).alias("registration_date"),
+                    F.filter(firsts, lambda c: c != "").alias("hsn_codes"), F.lit(None).cast("string").alias("error"))
+
+
+# -- other pages: a parser --------------------------------------------------------------------
+
+# A tag with its name and attributes (values quoted after "=" may hold ">"), a declaration, or text.
+TOKEN = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))|[^>=]++|=)*+)(?:>|\Z)"""
+                   r"""|<[!?][^>]*+(?:>|\Z)|([^<]++|<)""")
 CLASS = re.compile(r"""(?i)(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+UNSEEN = {tag: re.compile(rf"(?i)</{tag}\s*+>") for tag in ("script", "style")}
 
 
 class PageTree:
@@ -56,55 +142,90 @@ class PageTree:
     ends of cells, rows, sections and paragraphs."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.end, self.data = [], [], [], []
-        self.css = {}  # class text of the tables
-        self._open: list[int] = []
-        for m in TOKEN.finditer(HIDDEN.sub("", html)):
+        self.parent, self.end = [], []
+        self.at: dict = {}  # elements by tag
+        self.text_at, self.text_data = [], []
+        self.first_text: dict = {}  # of an element
+        self.css: dict = {}  # class text of the tables
+        self.in_body, self.in_head = set(), set()  # rows of a tbody, header cells of a thead
+        self._open, self._depths = [], {}  # (element, tag) from the outermost; depths at which a tag is open
+        pos, size = 0, len(html)
+        while pos < size:
+            if html.startswith("<!--", pos):
+                stop = html.find("-->", pos + 4)
+                pos = size if stop < 0 else stop + 3
+                continue
+            m = TOKEN.match(html, pos)
+            pos = m.end()
             closing, name, attrs, data = m.groups()
             if data:
-                self._add("#text", unescape(data) if "&" in data else data)
+                self._text(unescape(data) if "&" in data else data)
             elif name:
-                self._ends(name.lower()) if closing else self._starts(name.lower(), attrs)
+                tag = name.lower()
+                if closing:
+                    self._ends(tag)
+                elif tag in UNSEEN:
+                    stop = UNSEEN[tag].search(html, pos)
+                    pos = stop.end() if stop else size
+                else:
+                    self._starts(tag, attrs)
         self._leave(0)
 
-    def _add(self, tag, data=""):
-        self.tag.append(tag)
-        self.parent.append(self._open[-1] if self._open else -1)
-        self.end.append(len(self.tag))
-        self.data.append(data)
-        return len(self.tag) - 1
+    def _add(self):
+        self.parent.append(self._open[-1][0] if self._open else -1)
+        self.end.append(len(self.parent))
+        return len(self.parent) - 1
+
+    def _text(self, data):
+        i = self._add()
+        self.text_at.append(i)
+        self.text_data.append(data)
+        self.first_text.setdefault(self.parent[i], data)
+
+    def _enter(self, tag):
+        i = self._add()
+        self.at.setdefault(tag, []).append(i)
+        if tag not in VOID_TAGS:
+            self._depths.setdefault(tag, []).append(len(self._open))
+            self._open.append((i, tag))
+        return i
 
     def _leave(self, depth):
-        for i in self._open[depth:]:
-            self.end[i] = len(self.tag)
+        for i, tag in reversed(self._open[depth:]):
+            self.end[i] = len(self.parent)
+            self._depths[tag].pop()
         del self._open[depth:]
 
+    def _innermost(self, tags):
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=-1)
+
     def _shut(self, tags, inside):
         """End the innermost open element of ``tags``, unless one of ``inside`` is nearer."""
-        for depth in range(len(self._open) - 1, -1, -1):
-            tag = self.tag[self._open[depth]]
-            if tag in tags:
-                return self._leave(depth)
-            if tag in inside:
-                return None
+        depth = self._innermost(tags)
+        if depth > self._innermost(inside):
+            self._leave(depth)
 
     def _starts(self, tag, attrs):
         if tag in CELLS:
             self._shut(CELLS, ("tr", "table"))
         elif tag == "tr":
             self._shut(("tr",), ("table",))
-            if self._open and self.tag[self._open[-1]] == "table":
-                self._open.append(self._add("tbody"))
+            if self._open and self._open[-1][1] == "table":
+                self._enter("tbody")
         elif tag in SECTIONS:
             self._shut(SECTIONS, ("table",))
         elif tag in ENDS_PARAGRAPH:
             self._shut(("p",), ("td", "th", "table"))
-        i = self._add(tag)
-        if tag == "table":
+        i = self._enter(tag)
+        if tag == "tr" and self._depths.get("tbody"):
+            self.in_body.add(i)
+        elif tag == "th" and self._depths.get("thead"):
+            self.in_head.add(i)
+        elif tag == "table":
             m = CLASS.search(attrs)
             self.css[i] = unescape(m[1] or m[2] or m[3] or "") if m else ""
-        if tag not in VOID_TAGS:
-            self._open.append(i)
+            if len(self._depths["table"]) > MAX_NESTED:
+                raise ValueError(f"tables are nested deeper than {MAX_NESTED}")
 
     def _ends(self, tag):
         if tag == "table":
@@ -112,50 +233,36 @@ class PageTree:
         else:
             self._shut((tag,), ("table",) if tag == "tr" or tag in CELLS or tag in SECTIONS else ("td", "th", "table"))
 
-    def inside(self, i, *tags):
-        return [j for j in range(i + 1, self.end[i]) if self.tag[j] in tags]
-
     def every(self, tag):
-        return [j for j, t in enumerate(self.tag) if t == tag]
+        return self.at.get(tag, [])
+
+    def inside(self, i, tag):
+        every = self.every(tag)
+        return every[bisect_left(every, i + 1):bisect_left(every, self.end[i])]
 
     def text(self, i):
         """Visible text, entities decoded, non-breaking blanks as blanks, stripped."""
-        return "".join(self.data[j] for j in range(i + 1, self.end[i])).replace("\xa0", " ").strip()
+        own = self.text_data[bisect_left(self.text_at, i + 1):bisect_left(self.text_at, self.end[i])]
+        return "".join(own).replace("\xa0", " ").strip()
 
     def labelled(self, tag, label):
         """Elements whose first own text holds ``label`` (its case counts)."""
-        out = []
-        for i in self.every(tag):
-            own = next((j for j in range(i + 1, self.end[i]) if self.tag[j] == "#text" and self.parent[j] == i), None)
-            if own is not None and label in self.data[own]:
-                out.append(i)
-        return out
+        return [i for i in self.every(tag) if label in self.first_text.get(i, "")]
 
     def values(self, tag, label, value_tag):
         """``value_tag`` siblings after the labelled elements, in document order."""
-        hits, by_parent = set(), {}
-        for i in self.every(value_tag):
-            by_parent.setdefault(self.parent[i], []).append(i)
+        first = {}
         for i in self.labelled(tag, label):
-            hits.update(j for j in by_parent.get(self.parent[i], ()) if j > i)
-        return [self.text(j) for j in sorted(hits)]
+            first.setdefault(self.parent[i], i)
+        return [self.text(j) for j in self.every(value_tag) if j > first.get(self.parent[j], j)]
 
-    def within(self, i, tag):
-        """Whether element ``i`` has an ancestor ``tag``."""
-        up = self.parent[i]
-        while up >= 0 and self.tag[up] != tag:
-            up = self.parent[up]
-        return up >= 0
 
-
-def _tables(html: str) -> list:
+def _tables(html: str) -> dict:
     t = PageTree(html)
-    body = {r for b in t.every("tbody") for r in t.inside(b, "tr")}
-    head = {h for s in t.every("thead") for h in t.inside(s, "th")}
-    return [{"classes": t.css[i].split(),
-             "headers": [t.text(h) for h in t.inside(i, "th") if h in head],
-             "rows": [[t.text(c) for c in t.inside(r, "td")] for r in t.inside(i, "tr") if r in body]}
-            for i in t.every("table")]
+    return {"tables": [{"classes": t.css[i].split(),
+                        "headers": [t.text(h) for h in t.inside(i, "th") if h in t.in_head],
+                        "rows": [[t.text(c) for c in t.inside(r, "td")] for r in t.inside(i, "tr") if r in t.in_body]}
+                       for i in t.every("table")]}
 
 
 def _fields(html: str) -> dict:
@@ -173,29 +280,49 @@ def _fields(html: str) -> dict:
 
 def _fields_alt(html: str) -> dict:
     t = PageTree(html)
-    firsts = {}
+    tables, firsts = set(t.in_body), {}
     for c in t.every("td"):
-        firsts.setdefault(t.parent[c], c)
-    codes = [t.text(c) for r, c in firsts.items()
-             if r >= 0 and t.tag[r] == "tr" and t.within(r, "tbody") and t.within(r, "table")]
+        if t.parent[c] in tables:
+            firsts.setdefault(t.parent[c], c)
+    inner = {r for i in t.every("table") for r in t.inside(i, "tr")}
     return {"trade_name": next(iter(t.values("h6", LABEL_TRADE_NAME, "p")), ""),
-            "registration_date": next(iter(t.values("h6", LABEL_EFFECTIVE_DATE, "p")), ""), "hsn_codes": codes}
+            "registration_date": next(iter(t.values("h6", LABEL_EFFECTIVE_DATE, "p")), ""),
+            "hsn_codes": [t.text(c) for r, c in firsts.items() if r in inner]}
+
+
+def read_page(read, html: str | bytes | None) -> dict | None:
+    """What ``read`` finds in a page, or its failure as ``error`` (X9); NULL stays NULL."""
+    if html is None:
+        return None
+    try:
+        return read(html if isinstance(html, str) else html.decode())
+    except Exception as e:  # noqa: BLE001 - one page's failure is its own record
+        return {"error": str(e)}
 
 
 def _parser(read, returns: DataType):
-    """A page reader as an Arrow-batched function of the html column (NULL reads as an empty page)."""
     arrow_type = to_arrow_type(returns)
 
     @F.arrow_udf(returns)
     def parse(html: pa.Array) -> pa.Array:
-        return pa.array([read(h or "") for h in html.to_pylist()], type=arrow_type)
+        return pa.array([read_page(read, h) for h in html.to_pylist()], type=arrow_type)
 
     return parse
 
 
-page_tables = _parser(_tables, TABLES_TYPE)             # every table: classes, header cells, body rows
-page_fields = _parser(_fields, FIELDS_TYPE)             # details, label and value cells
-page_fields_alt = _parser(_fields_alt, FIELDS_TYPE)     # details, headings and paragraphs
+parse_tables = _parser(_tables, TABLES_TYPE)            # every table: classes, header cells, body rows
+parse_fields = _parser(_fields, FIELDS_TYPE)            # details, label and value cells
+parse_fields_alt = _parser(_fields_alt, FIELDS_TYPE)    # details, headings and paragraphs
+
+
+def _read_pages(pages: DataFrame, keys, html: str, flat: str, native, parse) -> DataFrame:
+    """(keys, _html as text, _p): flat pages (also NULL ones, read as empty) by ``native``, the others by ``parse``."""
+    given, text = F.col(html), F.col(html).cast("string")
+    fits = F.coalesce(text.rlike(flat), F.lit(True))
+    if isinstance(pages.schema[html].dataType, BinaryType):
+        fits = fits & F.coalesce(F.is_valid_utf8(text), F.lit(True))
+    told = pages.select(*keys, F.coalesce(text, F.lit("")).alias("_html"), fits.alias("_flat"), F.when(~fits, given).alias("_other"))
+    return told.select(*keys, "_html", F.when(F.col("_flat"), native(F.col("_html"))).otherwise(parse("_other")).alias("_p"))
 
 
 def _with_classes(tables, classes) -> Column:
@@ -205,19 +332,23 @@ def _with_classes(tables, classes) -> Column:
 
 def chosen_tables(pages: DataFrame, keys, html: str) -> DataFrame:
     """Per page ``_tables``, those with the result-table classes; if there are none, any ``table``-class table."""
-    parsed = pages.select(*keys, F.coalesce(F.col(html).contains(NO_RECORDS), F.lit(False)).alias("_nr"),
-                          page_tables(F.col(html)).alias("_all"))
+    def native(h):
+        return F.struct(_flat_tables(h).alias("tables"), F.lit(None).cast("string").alias("error"))
+
+    parsed = _read_pages(pages, keys, html, FLAT, native, parse_tables).select(
+        *keys, F.col("_html").contains(NO_RECORDS).alias("_nr"), "_p.error", F.coalesce("_p.tables", F.array()).alias("_all"))
     specific = parsed.withColumn("_specific", _with_classes(F.col("_all"), RESULT_TABLE_CLASSES))
-    return specific.select(*keys, "_nr", F.when(F.size("_specific") > 0, F.col("_specific"))
+    return specific.select(*keys, "_nr", F.col("error").alias("_error"), F.when(F.size("_specific") > 0, F.col("_specific"))
                            .otherwise(_with_classes(F.col("_all"), GENERIC_TABLE_CLASSES)).alias("_tables"))
 
 
 def parse_result_pages(pages: DataFrame, keys=("pan", "page_no"), html: str = "html") -> DataFrame:
-    """Each page parsed once: ``_outcome`` (X2: 'No records found' is tested first) and
+    """Each page parsed once: ``_outcome`` (X2: 'No records found' is tested first, then a failure of the page) and
     ``_rows`` (X1 + X3: rows with at least four cells; shorter ones, such as footers, are skipped)."""
     rows = F.filter(F.flatten(F.transform("_tables", lambda t: t["rows"])), lambda r: F.size(r) >= 4)
-    found = chosen_tables(pages, keys, html).select(*keys, "_nr", F.size("_tables").alias("_nt"), rows.alias("_rows"))
+    found = chosen_tables(pages, keys, html).select(*keys, "_nr", "_error", F.size("_tables").alias("_nt"), rows.alias("_rows"))
     outcome = (F.when(F.col("_nr"), F.lit(NO_RECORDS))
+               .when(F.col("_error").isNotNull(), F.concat(F.lit(ERR_PAGE), F.col("_error")))
                .when(F.col("_nt") == 0, F.lit(ERR_NO_TABLE))
                .when(F.size("_rows") == 0, F.lit(ERR_NO_ROWS)))
     return found.select(*keys, outcome.alias("_outcome"), "_rows")
@@ -276,9 +407,10 @@ def _without_blanks(codes: Column) -> Column:
 
 def extract_details(pages: DataFrame, key: str = "gstin", html: str = "html") -> DataFrame:
     """X6 + X7 + X9: name, registration date, codes (blanks dropped, distinct, first order
-    kept); ``error`` for pages saying 'No records found' (their fields are NULL)."""
-    err = F.when(F.col(html).contains(NO_RECORDS), F.lit(NO_RECORDS))
-    parsed = pages.select(key, err.alias("error"), page_fields(F.col(html)).alias("_f"))
+    kept); ``error`` for pages saying 'No records found' and for pages that cannot be read (their fields are NULL)."""
+    parsed = _read_pages(pages, [key], html, FLAT, _flat_fields, parse_fields).select(
+        key, F.when(F.col("_html").contains(NO_RECORDS), F.lit(NO_RECORDS)).otherwise(F.col("_p.error")).alias("error"),
+        F.col("_p").alias("_f"))
     ok = F.col("error").isNull()
     return parsed.select(
         key,
@@ -290,10 +422,10 @@ def extract_details(pages: DataFrame, key: str = "gstin", html: str = "html") ->
 
 def extract_details_alt(pages: DataFrame, keys=("gstin", "page_no"), html: str = "html") -> DataFrame:
     """The second source's layout: heading and a paragraph beside it for name and effective
-    date, first cell of every table body row as a code, repeats kept, blanks dropped."""
-    parsed = pages.select(*keys, page_fields_alt(F.col(html)).alias("_f"))
-    return parsed.select(*keys, "_f.trade_name", "_f.registration_date",
-                         _without_blanks(F.col("_f.hsn_codes")).alias("hsn_codes"))
+    date, first cell of every table body row as a code, repeats kept, blanks dropped; ``error`` as in X9."""
+    parsed = _read_pages(pages, keys, html, FLAT_ALT, _flat_fields_alt, parse_fields_alt)
+    return parsed.select(*keys, "_p.trade_name", "_p.registration_date",
+                         _without_blanks(F.col("_p.hsn_codes")).alias("hsn_codes"), "_p.error")
 
 
 def details_with_text(details: DataFrame) -> DataFrame:

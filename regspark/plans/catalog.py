@@ -506,7 +506,7 @@ SELECT h.gstin, h.pos // 1000 AS page_no, d.trade_name, d.registration_date,
   string_agg(h.hsn_code, ', ' ORDER BY h.pos, h.hsn_code) AS hsn_codes
 FROM details_hsn h JOIN details d USING (gstin) GROUP BY h.gstin, h.pos // 1000, d.trade_name, d.registration_date"""))
 def q_extract_details_alt(spark, d):
-    return pg.details_with_text(pg.extract_details_alt(fp.detail_pages_alt(spark, d)))
+    return pg.details_with_text(pg.extract_details_alt(fp.detail_pages_alt(spark, d)).drop("error"))
 
 
 C_ITEMS = ("items", f"""

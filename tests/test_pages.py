@@ -97,3 +97,101 @@ def test_labels_are_case_sensitive_and_values_are_siblings(spark):
     a = spark.createDataFrame([("G", 0, alt)], "gstin string, page_no long, html string")
     r = pg.extract_details_alt(a).first()
     assert (r["trade_name"], r["registration_date"], r["hsn_codes"]) == ("", "01/02/2018", [])
+
+
+def _text(rng, *parts):
+    return "".join(rng.choice(parts) for _ in range(rng.randrange(4)))
+
+
+def _flat_page(rng):
+    """A page of the flat kind (now and then with something that makes it another kind)."""
+    words = ("Trade Name", "HSN", "Date of Registration", "Effective Date of registration", " ", "x &amp; y", "&lt;b&gt;", "\n", "\t", "é", "7")
+    rare = ("&eacute;", "\xa0", "<b>z</b>", "<!-- c -->", "<br>", "&", "<p>q", "</td>", "<table class='table'><tr><td>1</td></tr></table>")
+
+    def cell(tag):
+        attrs = rng.choice(["", "", ' colspan="3"', ' class="a b"', " width=3" if rng.random() < 0.1 else ""])
+        odd = rng.choice(rare) if rng.random() < 0.02 else ""
+        return f"<{tag}{attrs}>{_text(rng, *words)}{odd}</{tag}>"
+
+    def row(tag, n):
+        return "<tr>" + rng.choice(["", "\n "]).join(cell(tag) for _ in range(n)) + "</tr>"
+
+    def table():
+        css = rng.choice(["", ' class="table"', ' class="table tbl inv exp table-bordered ng-table"', ' class="table-striped  x"', ' class="other"'])
+        head = f"<thead>{row('th', rng.randrange(4))}</thead>" if rng.random() < 0.5 else ""
+        return f"<table{css}>{head}<tbody>" + "".join(row("td", rng.randrange(6)) for _ in range(rng.randrange(5))) + "</tbody></table>"
+
+    def card():
+        return "<div>" + "".join(f"<{t}>{_text(rng, *words)}</{t}>" for t in (rng.choice(["h6", "p"]) for _ in range(rng.randrange(6)))) + "</div>"
+
+    return "<html><body>" + "".join(rng.choice([table, table, card, lambda: '<div class="alert">hi</div>', lambda: "text "])()
+                                    for _ in range(rng.randrange(5))) + "</body></html>"
+
+
+def test_flat_pages_read_alike_both_ways(spark):
+    """Built-in functions and the parser agree on every page that the native test calls flat."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    html = [_flat_page(rng) for _ in range(1500)] + ["", "plain", "<p>x</p>", "a < b", "<table></table>"]
+    df = spark.createDataFrame(list(enumerate(html)), "i int, html string").repartition(4)
+    both = df.select("i", F.col("html").rlike(pg.FLAT).alias("flat"), F.col("html").rlike(pg.FLAT_ALT).alias("flat_alt"),
+                     pg._flat_tables(F.col("html")).alias("t"), pg._flat_fields(F.col("html")).alias("f"),
+                     pg._flat_fields_alt(F.col("html")).alias("a")).collect()
+    seen = [0, 0, 0]
+    for r in both:
+        h = html[r.i]
+        if r.flat:
+            assert [t.asDict() for t in r.t] == pg._tables(h)["tables"], h
+            assert {**r.f.asDict(), "error": 0} == {**pg._fields(h), "error": 0}, h
+        if r.flat_alt:
+            want = pg._fields_alt(h)
+            want["hsn_codes"] = [c for c in want["hsn_codes"] if c]
+            assert {**r.a.asDict(), "error": 0} == {**want, "error": 0}, h
+        seen = [seen[0] + r.flat, seen[1] + r.flat_alt, seen[2] + (not r.flat)]
+    assert seen[0] > 500 and seen[1] > 300 and seen[2] > 50
+
+
+def test_damaged_megabytes_are_read_in_a_second():
+    """Each kind of damage over a megabyte: time grows with the page, not with its square."""
+    import time
+
+    n = 1 << 20
+    kinds = ["<!--", "<!", "<script>", "<style ", "<td", '<td a="', "<td a='x", "<", "</", "<div>", "</p>", "<p>", "<td>", "<tr>", "&amp",
+             "<h6>Trade Name", "<h6>Trade Name</h6><p>v</p>", "<td>HSN</td>", "<tr><td>HSN</td><td>1</td></tr>", "<tbody>", "<thead><th>",
+             "<div></span>", "a=", "='", "<a =", "<table></td>"]
+    for kind in kinds:
+        page = "<table class=table>" + kind * (n // len(kind))
+        for read in (pg._tables, pg._fields, pg._fields_alt):
+            t0 = time.process_time()
+            pg.read_page(read, page)
+            assert time.process_time() - t0 < 4, kind  # about a second here; slack for a loaded machine
+
+
+def test_unended_markup_runs_to_the_end():
+    def rows(h):
+        return [t["rows"] for t in pg._tables(h)["tables"]]
+
+    good = "<table><tr><td>1</td></tr></table>"
+    assert rows(good + "<!-- <table>") == rows(good + "<script>" + good) == rows(good + "<td " + good) == [[["1"]]]
+    assert rows("<!-- x -->" + good + '<a title=">" href=\'">\'>' + good) == [[["1"]], [["1"]]]
+    assert rows('<table><tr><td ">2</td><td title="a>b">3</td></tr></table>') == [[["2", "3"]]]
+
+
+def test_broken_pages_become_error_records(spark):
+    ok = b'<table class="table"><tbody><tr><td>1</td><td>G</td><td>S</td><td>T</td></tr></tbody></table>'
+    deep = b'<table class="table"><tr><td>' * 40
+    pages = spark.createDataFrame([("A", 0, ok), ("B", 0, ok + b"\xff\xfe"), ("C", 0, deep), ("D", 0, None),
+                                   ("E", 0, b"No records found \xff"), ("F", 0, "<b>é</b>".encode() + ok)],
+                                  "pan string, page_no long, html binary")
+    out = {r.pan: (r.outcome, r.n_rows) for r in pg.page_outcomes(pages).collect()}
+    assert out["A"] == out["F"] == (None, 1) and out["D"] == (pg.ERR_NO_TABLE, 0) and out["E"] == ("No records found", 0)
+    assert out["B"][0].startswith("Error: 'utf-8' codec") and out["C"] == ("Error: tables are nested deeper than 16", 0)
+    items = {(r.pan, r.gstin, r.result and r.result[:6]) for r in pg.page_results(pages).collect()}
+    assert ("B", None, "Error:") in items and ("A", "G", None) in items and len(items) == 6
+    details = {r.pan: (r.trade_name, r.error and r.error[:7]) for r in pg.extract_details(pages, "pan").collect()}
+    assert details["A"] == ("", None) and details["B"] == (None, "'utf-8'") and details["E"] == (None, "No reco")
+    assert {r.pan: r.error is None for r in pg.extract_details_alt(pages, ("pan",)).collect()} == {
+        "A": True, "B": False, "C": False, "D": True, "E": False, "F": True}
