@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from regspark.functions.ids import is_valid_gstin, non_empty_or
 from regspark.functions.text import join_codes, stamp
 from regspark.operators.enrich import one_per_gstin
-from regspark.operators.ordering import first_by_key
+from regspark.operators.ordering import dense_ids, first_by_key
 from regspark.operators.schema import GSTIN_DATA_SCHEMA, conform, need_row_ids
 from regspark.operators.skew import DEFAULT, SkewConfig, salted_join, skew_join
 
@@ -49,6 +49,18 @@ def append_new(old: DataFrame, new: DataFrame, dedup: bool = False, skew: SkewCo
     return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(fresh, GSTIN_DATA_SCHEMA))
 
 
+def append_numbered(old: DataFrame, new: DataFrame, path: str, skew: SkewConfig = DEFAULT) -> DataFrame:
+    """J2 + U1 with row ids of the whole table: the new rows go on from the largest old id, in the order of
+    their own (landing) row ids. Responses landed twice thus get rows of their own, and J6 updates one row
+    per GSTIN. The numbered rows are written to ``path``."""
+    need_row_ids(old)
+    fresh = conform(fresh_rows(old, new, skew), GSTIN_DATA_SCHEMA)
+    start = old.agg(F.max("row_id")).first()[0] or 0
+    ordered = dense_ids(fresh.withColumn("_ord", F.col("row_id")), ["_ord", *[c for c in GSTIN_DATA_SCHEMA if c != "row_id"]],
+                        path, start)
+    return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(ordered, GSTIN_DATA_SCHEMA))
+
+
 def requested_with_details(requested: DataFrame, details: DataFrame) -> DataFrame:
     """Details of the valid requested GSTINs (semi join on the distinct valid ids)."""
     ids = requested.where(is_valid_gstin("gstin")).select("gstin").distinct()

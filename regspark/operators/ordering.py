@@ -61,6 +61,28 @@ def global_position(df: DataFrame, order_col: str = "row_id", out: str = "positi
             .drop("_bucket", "_local", "_offset"))
 
 
+def dense_ids(df: DataFrame, order, path: str, start: int = 0, out: str = "row_id") -> DataFrame:
+    """The rows with ids ``start + 1, start + 2, ...`` in the order of the columns ``order``, written to ``path``.
+
+    Rows are sorted over ranges and written once with their place in their partition; one count per
+    partition gives the offsets. No task holds more than a range, and rows equal in all of ``order`` get ids of their own.
+    """
+    spark = df.sparkSession
+    rest = df.drop(out)
+    rest.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).write.mode("errorifexists").parquet(path)
+    kept = spark.read.schema(rest.withColumn("_at", F.lit(0).cast("long")).schema).parquet(path)
+    part = F.shiftright("_at", 33)
+    sizes = kept.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    offsets, upto = [], start
+    for r in sizes:  # one row a partition
+        offsets.append((r["part"], upto))
+        upto += r["n"]
+    table = spark.createDataFrame(offsets, "_part long, _offset long")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (kept.withColumn("_part", part).join(F.broadcast(table), "_part")
+            .withColumn(out, F.col("_offset") + place + 1).select(*df.columns))
+
+
 def cut_batches(df: DataFrame, size: int = 10, order_col: str = "row_id") -> DataFrame:
     """L4: groups of ``size`` rows in order; the last group may be short."""
     pos = global_position(df, order_col)

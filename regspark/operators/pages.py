@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from regspark.functions.ids import GSTIN_LENGTH, strip_ws
+from regspark.functions.ids import GSTIN_LENGTH
 from regspark.functions.text import join_codes, stamp
 from regspark.operators.results import NO_RECORDS
 
@@ -44,6 +44,7 @@ SECTIONS = frozenset(("tbody", "thead", "tfoot"))
 CELLS = frozenset(("td", "th"))
 ENDS_PARAGRAPH = frozenset(("p", "div", "table", "ul", "ol", "section", "h1", "h2", "h3", "h4", "h5", "h6"))
 
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # what ``str.strip()`` drops
 MAX_NESTED = 16  # tables open at once; a row counts for each table around it, so work grows with the depth
 
 TEXTS = ArrayType(StringType())
@@ -70,9 +71,10 @@ FLAT_ALT = rf"(?s)\A(?:[^<&\xa0]++|&(?:amp|lt|gt|quot);|{_TABLE}|{_CARD}|{_OTHER
 
 def _decoded(c: Column) -> Column:
     """A flat page's text as it shows: its four entities decoded, outer white space dropped."""
+    whole = c
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return strip_ws(c)
+        whole = F.replace(whole, F.lit(entity), F.lit(char))
+    return F.btrim(F.when(c.contains("&"), whole).otherwise(c), F.lit(BLANKS))
 
 
 def _pieces(c: Column, tag: str) -> Column:

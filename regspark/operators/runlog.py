@@ -13,6 +13,7 @@ from regspark.operators.skew import salted_join, skew_join
 
 # --- fixed values -----------------------------------------------------------
 STATUS_COMPLETED = "completed"
+STATUS_ORDER = ("queued", "processing", "completed", "failed", "removed")
 ERR_NOT_IN_TABLE = "Failed to update Excel file"
 # ---------------------------------------------------------------------------
 
@@ -64,6 +65,42 @@ def latest_completed(jobs: DataFrame) -> DataFrame:
     return last.where(F.col("_last").isNotNull()).select("_last.job_id", "_last.result_file", "_last.end_time")
 
 
+def latest_states(changes: DataFrame) -> DataFrame:
+    """One row per job, its state after its last change (of equal times the later status); removed jobs (U3) drop out.
+
+    ``changes`` is (job_id, job struct with ``changed_at`` and ``status``). ``max_by`` combines map-side, so
+    a job with very many changes ships one row per partition.
+    """
+    rank = F.array_position(F.array(*[F.lit(x) for x in STATUS_ORDER]), F.col("job.status"))
+    last = changes.groupBy("job_id").agg(F.max_by("job", F.struct(F.col("job.changed_at").alias("at"), rank.alias("rank"))).alias("job"))
+    return last.where(F.coalesce(F.col("job.status"), F.lit("")) != "removed").select("job_id", "job.*")
+
+
+def progress_report(log: DataFrame) -> DataFrame:
+    """Q7 with A6-A9: per run its display fields, how far it came, and whether its result is the latest.
+
+    ``log`` is the run log with its nested records: counts come from aggregates inside a run's ``results``
+    array, else from its ``progress`` (a details run's totals, a mapping run's checkpoint count and time).
+    The latest result is one job id, a scalar subquery over three columns.
+    """
+    has = F.col("results").isNotNull()
+    ok = F.size(F.filter("results", lambda r: F.coalesce(r["success"], F.lit(False))))
+    total = F.coalesce(F.col("progress.total"), F.when(F.col("gstins").isNotNull(), F.size("gstins")))
+    processed = F.when(has, F.size("results")).otherwise(F.coalesce("progress.processed", "progress.processed_count"))
+    counted = log.select(
+        "job_id", short_id("job_id").alias("short_id"), "filename", "created_at",
+        capitalize_first("status").alias("status_label"),
+        run_label("parameters.headless", "parameters.test_mode", "parameters.limit", "parameters.resume").alias("params_label"),
+        total.cast("long").alias("total"), processed.cast("long").alias("processed"),
+        F.when(has, ok).otherwise(F.col("progress.successful")).cast("long").alias("successful"),
+        F.when(has, F.size("results") - ok).otherwise(F.col("progress.failed")).cast("long").alias("failed"),
+        F.get(F.filter("results", lambda r: r["error"].isNotNull()), 0)["error"].alias("first_error"),
+        F.col("progress.timestamp").alias("progress_at"))
+    last = latest_completed(log).select("job_id").scalar()
+    return counted.withColumns({"percent_done": percent("processed", "total"),
+                                "is_latest": F.coalesce(F.col("job_id") == last, F.lit(False))})
+
+
 def drop_runs(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     """Remove the listed runs from the log."""
     return jobs.join(ids.select("job_id").distinct(), "job_id", "left_anti")

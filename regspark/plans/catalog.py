@@ -8,6 +8,7 @@ and runs over them whole. Column names and types agree on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 from collections.abc import Callable
 
@@ -18,7 +19,9 @@ from regspark import fixture_pages as fp
 from regspark.fixtures import FIXTURE_SQL, _REF, _closure, fixture
 from regspark.functions.ids import WHITESPACE_CLASS, is_valid_pan, normalize_id
 from regspark.functions.text import not_available, parse_limit, export_name, backup_name, file_extension
+from regspark.operators import activity as ac
 from regspark.operators import enrich as en
+from regspark.operators import history as hs
 from regspark.operators import merge as mg
 from regspark.operators import ordering as od
 from regspark.operators import pages as pg
@@ -876,6 +879,181 @@ def q_checkpoint_roundtrip(spark, d):
     _, flat = sio.read_checkpoint(spark, path)
     return flat
 
+# --------------------------------------------------------------------------- X9: pages that cannot be read
+
+BROKEN = "substr(gstin, 11, 1) = '5'"
+
+
+@register("details_broken_pages", oracle(["requested_gstins", "details", "details_hsn"], C_CODES + [C_IDS, ("x", DETAILS_SELECT)], f"""
+SELECT gstin, CASE WHEN NOT bad THEN trade_name END AS trade_name, CASE WHEN NOT bad THEN registration_date END AS registration_date,
+  CASE WHEN NOT bad THEN hsn_codes END AS hsn_codes, CASE WHEN error IS NOT NULL THEN error WHEN bad THEN 'unreadable' END AS error
+FROM (SELECT *, {BROKEN} AS bad FROM x) t"""))
+def q_details_broken_pages(spark, d):
+    """Pages landed as bytes, some cut within a character: an error record each, all other rows as ever."""
+    pages = fp.detail_pages(spark, d).select("gstin", F.concat(
+        F.col("html").cast("binary"), F.when(F.expr(BROKEN), F.lit(bytearray(b"\xe2\x82"))).otherwise(F.lit(bytearray()))).alias("html"))
+    read = pg.details_with_text(pg.extract_details(pages))
+    return read.withColumn("error", F.when(F.col("error").startswith("'utf-8'"), "unreadable").otherwise(F.col("error")))
+
+
+# --------------------------------------------------------------------------- Q7, S11: progress and state changes
+
+def _jobs_with_results(spark, d):
+    """The run log's jobs with nested results (details runs) or checkpoint progress (mapping runs)."""
+    e = F.col("job_id").cast("long")
+    jobs = fx(spark, d, "jobs")
+    ids = F.transform(F.sequence(F.lit(1).cast("long"), e % 6 + 2), lambda i: F.concat(F.lit("G"), i.cast("string")))
+
+    def result(g, i):
+        bad = (e + i) % 3 == 0
+        return F.struct(g.alias("gstin"), (~bad).alias("success"), F.when(bad, F.concat(F.lit("No records found: "), g)).alias("error"))
+
+    details = e % 2 == 0
+    null = F.lit(None)
+    progress = F.struct(null.cast("long").alias("total"), null.cast("long").alias("processed"), null.cast("long").alias("successful"),
+                        null.cast("long").alias("failed"), (e % 50).alias("processed_count"), F.col("start_time").alias("timestamp"))
+    return jobs.withColumns({
+        "gstins": F.when(details, ids),
+        "results": F.when(details, F.transform(F.slice(ids, 1, (e % 6).cast("int")), result)),
+        "progress": F.when(~details, progress)})
+
+
+@register("run_progress", oracle(["jobs"], [("h", RUN_HISTORY_SELECT), ("latest", """
+SELECT job_id FROM jobs WHERE status = 'completed' AND result_file IS NOT NULL ORDER BY end_time DESC, job_id DESC LIMIT 1"""),
+    ("j", """
+SELECT job_id, e, CASE WHEN e % 2 = 0 THEN e % 6 + 2 END AS total, CASE WHEN e % 2 = 0 THEN e % 6 ELSE e % 50 END AS processed,
+  CASE WHEN e % 2 = 0 THEN len(list_filter(range(0, e % 6), lambda i: (e + i) % 3 <> 0)) END AS successful,
+  CASE WHEN e % 2 = 0 THEN len(list_filter(range(0, e % 6), lambda i: (e + i) % 3 = 0)) END AS failed,
+  CASE WHEN e % 2 = 0 THEN list_min(list_filter(range(0, e % 6), lambda i: (e + i) % 3 = 0)) END AS first_failed,
+  CASE WHEN e % 2 <> 0 THEN start_time END AS progress_at
+FROM (SELECT *, CAST(job_id AS BIGINT) AS e FROM jobs) t""")], """
+SELECT h.*, CAST(total AS DOUBLE) AS total, processed, CAST(successful AS DOUBLE) AS successful, CAST(failed AS DOUBLE) AS failed,
+  CASE WHEN first_failed IS NOT NULL THEN concat('No records found: G', CAST(first_failed + 1 AS VARCHAR)) END AS first_error,
+  progress_at, CAST(floor(100.0 * processed / total + 0.5) AS DOUBLE) AS percent_done,
+  h.job_id IN (SELECT job_id FROM latest) AS is_latest
+FROM h JOIN j USING (job_id)"""))
+def q_run_progress(spark, d):
+    """Q7 with A6-A9 over the persisted run log."""
+    path = scratch_path(spark, "runlog")
+    sio.write_run_log(_jobs_with_results(spark, d), path)
+    return nullable_counts(pl.run_progress(sio.read_run_log(spark, path)), "total", "successful", "failed", "percent_done")
+
+
+@register("run_log_states", oracle(["jobs"], [], """
+SELECT job_id, filename, status, created_at, file_path, start_time, end_time, result_file, error,
+  coalesce(end_time, start_time, created_at) AS changed_at
+FROM jobs WHERE CAST(job_id AS BIGINT) % 16 <> 3"""))
+def q_run_log_states(spark, d):
+    """S11 + U3: jobs queued, started, ended and removed by appended changes, read as one row per job."""
+    path, to, jobs = scratch_path(spark, "runlog"), scratch_path(spark, "runlog-compact"), fx(spark, d, "jobs")
+    null = F.lit(None)
+    queued = jobs.withColumns({"status": F.lit("queued"), "start_time": null.cast("timestamp_ntz"), "end_time": null.cast("timestamp_ntz"),
+                               "result_file": null.cast("string"), "error": null.cast("string"), "changed_at": F.col("created_at")})
+    started = (queued.drop("start_time").join(jobs.select("job_id", "start_time"), "job_id").where(F.col("start_time").isNotNull())
+               .withColumns({"status": F.lit("processing"), "changed_at": F.col("start_time")}))
+    ended = jobs.where(F.col("end_time").isNotNull()).withColumn("changed_at", F.col("end_time"))
+    removed = ended.where(F.col("job_id").cast("long") % 16 == 3).withColumn("status", F.lit("removed"))
+    for change in (ended, queued, removed, started):  # in any order
+        sio.append_run_changes(change, path)
+    sio.compact_run_log(spark, path, to)
+    return sio.read_run_states(spark, to).select("job_id", "filename", "status", "created_at", "file_path", "start_time",
+                                                 "end_time", "result_file", "error", "changed_at")
+
+
+# --------------------------------------------------------------------------- U1, J6: row ids of the whole table
+
+@register("append_numbered_upsert", oracle(["gstin_sheet", "lookup_results", "details", "details_hsn", "requested_gstins"], C_CODES + [
+    C_DDREQ,
+    ("twice", """
+SELECT 1 AS run, * FROM lookup_results WHERE length(gstin) = 15 AND seen_at < TIMESTAMP '1998-04-01 00:00:00'
+UNION ALL SELECT 2, * FROM lookup_results WHERE length(gstin) = 15"""),
+    ("landed", "SELECT * FROM twice UNION ALL SELECT * FROM twice"),
+    ("add1", """
+SELECT (SELECT max(row_id) FROM gstin_sheet) + row_number() OVER (ORDER BY ord, pan, gstin, gstin_status, state) AS row_id,
+  pan AS pan_reference, gstin, gstin_status, state
+FROM landed WHERE run = 1 AND gstin NOT IN (SELECT gstin FROM gstin_sheet WHERE gstin IS NOT NULL)"""),
+    ("one", "SELECT row_id, pan_reference, gstin, gstin_status, state, false AS fresh FROM gstin_sheet UNION ALL SELECT *, true FROM add1"),
+    ("add2", """
+SELECT (SELECT max(row_id) FROM one) + row_number() OVER (ORDER BY ord, pan, gstin, gstin_status, state) AS row_id,
+  pan AS pan_reference, gstin, gstin_status, state
+FROM landed WHERE run = 2 AND gstin NOT IN (SELECT gstin FROM one WHERE gstin IS NOT NULL)"""),
+    ("s", "SELECT * FROM one UNION ALL SELECT *, true FROM add2"),
+    ("hits", "SELECT f.row_id, u.trade_name, u.registration_date, u.codes FROM (SELECT gstin, min(row_id) AS row_id FROM s GROUP BY gstin) f JOIN ddreq u USING (gstin)")],
+    f"""
+SELECT s.row_id, s.pan_reference, s.gstin, s.gstin_status, s.state, nullif(h.trade_name, '') AS trade_name,
+  nullif(h.registration_date, '') AS registration_date, nullif(h.codes, '') AS hsn_codes,
+  CASE WHEN h.row_id IS NOT NULL OR s.fresh THEN {AS_OF_SQL} END AS last_updated
+FROM s LEFT JOIN hits h USING (row_id)"""))
+def q_append_numbered_upsert(spark, d):
+    """Two runs append from landings that hold each response twice; ids stay unique, and J6 updates one row a GSTIN."""
+    results, table = fx(spark, d, "lookup_results"), _gstin_sheet(spark, d)
+    for landing in (results.where(F.col("seen_at") < F.expr("TIMESTAMP_NTZ '1998-04-01 00:00:00'")), results):
+        table = mg.append_numbered(table, mg.new_gstin_rows(landing.unionByName(landing), AS_OF), scratch_path(spark, "appended"))
+    return mg.upsert_details_first(table, _found(spark, d), AS_OF)
+
+
+# --------------------------------------------------------------------------- O1, O4, O5
+
+LOAD_TIMES = [AS_OF + dt.timedelta(days=30 * i) for i in range(3)]
+
+
+@register("details_history", oracle(["details", "details_hsn"], C_CODES + [
+    ("old", "SELECT gstin, trade_name, registration_date, codes, substr(gstin, 11, 1) AS c FROM dd"),
+    ("new", "SELECT gstin, concat(trade_name, ' Ltd') AS trade_name, registration_date, codes FROM old WHERE c IN ('1', '3')")], f"""
+SELECT gstin, trade_name, registration_date, nullif(codes, '') AS hsn_codes, {AS_OF_SQL} AS valid_from,
+  CASE WHEN c IN ('1', '3') THEN {AS_OF_SQL} + INTERVAL 30 DAY END AS valid_to FROM old WHERE c <> '7'
+UNION ALL SELECT gstin, trade_name, registration_date, nullif(codes, ''), {AS_OF_SQL} + INTERVAL 30 DAY, NULL FROM new
+UNION ALL SELECT gstin, trade_name, registration_date, nullif(codes, ''), {AS_OF_SQL} + INTERVAL 30 DAY, NULL FROM old WHERE c = '7'"""))
+def q_details_history(spark, d):
+    """O1 over three landed loads: the second changes, adds and lacks firms, the third is the second again."""
+    all_details = _details_arrays(spark, d)
+    c = F.substring("gstin", 11, 1)
+    first = all_details.where(c != "7")
+    second = all_details.where(c != "5").withColumn("trade_name", F.when(c.isin("1", "3"), F.concat("trade_name", F.lit(" Ltd"))).otherwise(F.col("trade_name")))
+    history = hs.first_load(first, LOAD_TIMES[0])
+    for load, at in zip((second, second), LOAD_TIMES[1:], strict=True):
+        path = scratch_path(spark, "history")
+        history.write.parquet(path)
+        history = hs.apply_load(spark.read.schema(history.schema).parquet(path), load, at)
+    codes = F.when(F.size("hsn_codes") > 0, F.array_join("hsn_codes", ", "))
+    return history.select("gstin", "trade_name", "registration_date", codes.alias("hsn_codes"), "valid_from", "valid_to")
+
+
+def _hsn_level(n):
+    return f"SELECT {n} AS level, substr(hsn_code, 1, {n}) AS hsn_code, count(DISTINCT gstin) AS gstins FROM h WHERE length(hsn_code) >= {n} GROUP BY 2"
+
+
+@register("hsn_activity", oracle(["details_hsn"], [
+    ("h", "SELECT gstin, CASE WHEN pos % 5 = 0 THEN concat(hsn_code, '10') WHEN pos % 7 = 0 THEN concat(hsn_code, '2030') ELSE hsn_code END AS hsn_code FROM details_hsn")],
+    "SELECT 0 AS level, '' AS hsn_code, count(DISTINCT gstin) AS gstins FROM h UNION ALL " + " UNION ALL ".join(map(_hsn_level, ac.HSN_LEVELS))))
+def q_hsn_activity(spark, d):
+    """Firms per HSN chapter, heading, subheading and item, each firm once per subtotal."""
+    pos, code = F.col("pos"), F.col("hsn_code")
+    longer = F.when(pos % 5 == 0, F.concat(code, F.lit("10"))).when(pos % 7 == 0, F.concat(code, F.lit("2030"))).otherwise(code)
+    return ac.hsn_activity(fx(spark, d, "details_hsn").select("gstin", longer.alias("hsn_code")))
+
+
+DATE_TEXT = """CASE substr(gstin, 11, 1)
+  WHEN '1' THEN concat(y, '-', m, '-', a) WHEN '3' THEN concat(a, '-', m, '-', y) WHEN '5' THEN 'not given'
+  WHEN '7' THEN ' ' WHEN '9' THEN concat(' ', a, '.', m, '.', y) ELSE concat(a, '/', m, '/', y) END"""
+DATE_PARTS = """SELECT gstin, substr(registration_date, 1, 2) AS a, substr(registration_date, 4, 2) AS m,
+  CAST(2006 + 2 * CAST(substr(gstin, 10, 1) AS INT) AS VARCHAR(9)) AS y FROM {}"""
+
+
+@register("registration_ages", oracle(["details"], [
+    ("t", DATE_PARTS.format("details")),
+    ("g", "SELECT CASE WHEN substr(gstin, 11, 1) NOT IN ('5', '7') THEN make_date(y::INT, m::INT, a::INT) END AS dt, substr(gstin, 11, 1) AS c FROM t"),
+    ("b", """SELECT CASE WHEN c = '7' THEN 7 WHEN dt IS NULL THEN 6 WHEN dt > DATE '2025-01-01' THEN 5
+  WHEN n < 1 THEN 0 WHEN n < 3 THEN 1 WHEN n < 5 THEN 2 WHEN n < 10 THEN 3 ELSE 4 END AS bucket_no
+  FROM (SELECT *, date_sub('year', dt, DATE '2025-01-01') AS n FROM g) q""")], """
+SELECT bucket_no, ['under 1 year', '1 to 2 years', '3 to 4 years', '5 to 9 years', '10 years and more', 'in the future', 'unreadable',
+  'missing'][bucket_no + 1] AS bucket, count(*) AS n FROM b GROUP BY bucket_no"""))
+def q_registration_ages(spark, d):
+    """Firms by age of their registration, dates given in several formats."""
+    fx(spark, d, "details").createOrReplaceTempView("regspark_ages")
+    texts = spark.sql(f"SELECT {DATE_TEXT} AS registration_date FROM ({DATE_PARTS.format('regspark_ages')})")
+    return ac.registration_ages(texts, AS_OF)
+
 
 @register("discover_inputs_kinds", """
 SELECT 'csv' AS extension, true AS accepted, true AS sized UNION ALL SELECT 'parquet', false, true""")

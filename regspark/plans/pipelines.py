@@ -167,6 +167,13 @@ def run_report(log: DataFrame) -> DataFrame:
     return run_history(flat)
 
 
+def run_progress(log: DataFrame) -> DataFrame:
+    """Q7 with progress: every run with its counts, percentage and whether its result is the latest."""
+    from regspark.operators.runlog import progress_report
+
+    return progress_report(log)
+
+
 def load_tables(spark, root: str, as_of: _dt.datetime, legacy_csv: str | None = None):
     """Q1's front (S1, C4, C5, S8): the current two-table version under ``root``; when
     it lacks a table (old layout), the one-sheet CSV ``legacy_csv`` is converted

@@ -18,6 +18,7 @@ from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, Ma
 
 from regspark.functions.ids import NA_TOKENS, null_if_tokens
 from regspark.functions.text import file_extension, stamp
+from regspark.operators.runlog import latest_states
 from regspark.session import hadoop_fs, path_exists
 
 # --- fixed values -----------------------------------------------------------
@@ -59,6 +60,7 @@ JOB_RECORD = StructType([
     StructField("parameters", StructType([
         StructField("headless", BooleanType()), StructField("test_mode", BooleanType()),
         StructField("limit", IntegerType()), StructField("resume", BooleanType())])),
+    StructField("changed_at", TimestampNTZType()),
 ])
 RUN_LOG_LINE = MapType(StringType(), JOB_RECORD)
 # Schemas of the landed responses (S12): what came back per PAN and per GSTIN.
@@ -238,8 +240,8 @@ def read_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 # --- S11: run log --------------------------------------------------------------------------
 
-def write_run_log(jobs: DataFrame, path: str) -> None:
-    """The run log as JSON lines, each an object keyed by job id (one job per line).
+def _run_lines(jobs: DataFrame) -> DataFrame:
+    """JSON lines, each an object keyed by job id.
 
     A field is the column of its name; a column that ``jobs`` lacks is left out of the
     record. ``job_id`` and the run options may stand as plain columns.
@@ -249,7 +251,31 @@ def write_run_log(jobs: DataFrame, path: str) -> None:
         given["parameters"] = F.struct("headless", "test_mode", F.col("max_pans").alias("limit"), "resume")
     rec = F.struct(*[given.get(f.name, F.col(f.name) if f.name in jobs.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                      for f in JOB_RECORD.fields])
-    jobs.select(F.to_json(F.create_map("job_id", rec), JSON_OPTIONS).alias("value")).write.mode("errorifexists").text(path)
+    return jobs.select(F.to_json(F.create_map("job_id", rec), JSON_OPTIONS).alias("value"))
+
+
+def write_run_log(jobs: DataFrame, path: str) -> None:
+    """The run log as JSON lines, one job per line, in a new folder."""
+    _run_lines(jobs).write.mode("errorifexists").text(path)
+
+
+def append_run_changes(jobs: DataFrame, path: str) -> None:
+    """The present records of changed jobs (with ``changed_at``) added to the log; nothing is rewritten, so writers
+    do not meet. A job is removed (U3) by a record of status ``removed``."""
+    if "changed_at" not in jobs.columns:
+        raise ValueError("a change needs its time, changed_at")
+    _run_lines(jobs).write.mode("append").text(path)
+
+
+def read_run_states(spark: SparkSession, path: str) -> DataFrame:
+    """One row per job, as its last change left it."""
+    lines = spark.read.text(path)
+    return latest_states(lines.select(F.explode(F.from_json("value", RUN_LOG_LINE, JSON_OPTIONS)).alias("job_id", "job")))
+
+
+def compact_run_log(spark: SparkSession, path: str, to: str) -> None:
+    """The log's present state as a new log with one line per job."""
+    _run_lines(read_run_states(spark, path)).write.mode("errorifexists").text(to)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
