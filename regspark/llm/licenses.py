@@ -1,8 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block (a line) holds the set of its words; it matches a template if it contains at
+Blocks are overlapping windows of words, across lines and paragraphs, as notices are wrapped in files.
+A template has a reach, the power of two that holds ``SLACK`` times its words; its blocks are the windows of
+twice the reach that start at multiples of the reach, so every passage of up to reach words lies whole in one.
+A block holds the set of its words; it matches a template of its reach if it contains at
 least ``threshold`` of the template's distinct words. Words are ordered by their number
-of blocks in all documents, rarest first. Filters, all exact:
+of documents, rarest first. Filters, all exact:
 
 * prefix: a match shares one of the template's ``m - a + 1`` rarest words (m words, of
   which a are needed) and one of the block's ``s - a + 1`` rarest;
@@ -10,14 +13,14 @@ of blocks in all documents, rarest first. Filters, all exact:
 * position: at the first shared word, what is left on either side must reach ``a``.
 
 Template words are a bounded parameter (``MAX_TEMPLATE_WORDS``, checked), so they and their counts
-are literals; blocks without any prefix word never leave their row. All steps are
+are literals; only windows around prefix words leave their row. All steps are
 DataFrame functions.
 
 Beside it, phrases are found at every place where their words stand consecutively.
 
 Defined cases: null text is empty; rows repeat as given (rows of one id and text get
-equal results); a null id is kept; ties of words in the order go by the word; an empty
-table gives an empty result; other columns do not matter.
+equal results); a null id is kept; ties of words in the order go by the word; texts of any length are
+scanned whole; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from regspark.llm.common import ascii_lower, store
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_TEMPLATE_WORDS = 20_000
+SLACK = 1.25
 
 # The phrases and labels of the base scan.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -70,19 +74,36 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, th, blocks): the words of every line."""
+def reach(text: str) -> int:
+    """Words of a passage in which a template is looked for: a power of two."""
+    n = len("".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).split())
+    return 1 << max(0, math.ceil(math.log2(max(1, SLACK * n))))
+
+
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, th, words): the words of every text."""
     low = ascii_lower(F.coalesce(docs[text], F.lit("")))
-    rows = docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("th"), low.alias("low"))
-    words = F.transform(F.split("low", "\n", -1), lambda b: F.filter(F.split(b, SEPARATOR, -1), lambda w: w != ""))
-    return rows.select("id", "th", words.alias("blocks"))
+    return docs.select(docs[key].alias("id"), F.xxhash64(docs[text]).alias("th"),
+                       F.filter(F.split(low, SEPARATOR, -1), lambda w: w != "").alias("words"))
+
+
+def word_counts(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Number of documents that hold each word of the templates."""
+    held = rows.select(F.explode(F.array_intersect("words", strings(vocabulary))).alias("word"))
+    return {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def block_counts(blocks: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Number of blocks of all documents that hold each word of the templates."""
-    held = F.flatten(F.transform("blocks", lambda b: F.array_intersect(b, strings(vocabulary))))
-    rows = blocks.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    return {r["word"]: r["n"] for r in rows}
+def _windows(words: Column, size: int, prefixes: list[str], order: list[str]) -> Column:
+    """Array of (reach, block, words in global order) of the windows of a reach that hold a prefix word."""
+    own = strings(prefixes)
+    spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(own, F.get(words, i)))
+    near = F.flatten(F.transform(spots, lambda i: F.array(F.floor(i / size), F.floor(i / size) - 1)))
+    blocks = F.filter(F.array_distinct(near), lambda k: k >= 0)
+    found = F.transform(blocks, lambda k: F.struct(
+        F.lit(size).alias("reach"), k.cast("long").alias("block"),
+        F.array_intersect(strings(order), F.slice(words, (k * size + 1).cast("int"), 2 * size)).alias("words")))
+    return F.when(F.arrays_overlap(words, own), found).otherwise(
+        F.array().cast("array<struct<reach:int,block:bigint,words:array<string>>>"))
 
 
 def _phrase_places(words: Column, phrase: str, label: str) -> Column:
@@ -106,29 +127,29 @@ def _places(words: Column, phrases) -> Column:
 
 
 def match_templates(candidates: DataFrame, spark, templates, order: list[str], threshold: float) -> DataFrame:
-    """(id, th, block, template, label, containment) of all matches among (id, th, block, words in global order)."""
+    """(id, th, reach, block, template, label, containment) of all matches among (id, th, reach, block, words in global order)."""
     place = {w: i for i, w in enumerate(order)}
     index, full = [], []
     for t, (label, text) in enumerate(templates):
         words = sorted(template_words(text), key=place.__getitem__)
         m, a = len(words), needed(len(words), threshold)
-        index += [(w, t, i + 1, m, a) for i, w in enumerate(words[:m - a + 1])]
+        index += [(w, reach(text), t, i + 1, m, a) for i, w in enumerate(words[:m - a + 1])]
         full.append((t, label, words))
-    inverted = spark.createDataFrame(index, "word string, template int, i int, m int, a int")
+    inverted = spark.createDataFrame(index, "word string, reach int, template int, i int, m int, a int")
     whole = spark.createDataFrame(full, "template int, label string, t_words array<string>")
     least = min(a for *_, a in index)
     s = F.size("words")
     rows = (candidates.filter(s >= least)
-            .select("id", "th", "block", "words", s.alias("s"),
+            .select("id", "th", "reach", "block", "words", s.alias("s"),
                     F.posexplode(F.slice("words", F.lit(1), F.greatest(s - least + 1, F.lit(1)))).alias("j", "word")))
-    pairs = (rows.join(F.broadcast(inverted), "word").withColumn("j", F.col("j") + 1)
+    pairs = (rows.join(F.broadcast(inverted), ["word", "reach"]).withColumn("j", F.col("j") + 1)
              .filter((F.col("s") >= F.col("a")) & (F.col("j") <= F.col("s") - F.col("a") + 1)))
-    first = (pairs.groupBy("id", "th", "block", "words", "s", "template", "m", "a")
+    first = (pairs.groupBy("id", "th", "reach", "block", "words", "s", "template", "m", "a")
              .agg(F.min("i").alias("i"), F.min("j").alias("j"))
              .filter(F.least(F.col("m") - F.col("i"), F.col("s") - F.col("j")) + 1 >= F.col("a")))
     shared = F.size(F.array_intersect("words", "t_words"))
     return (first.join(F.broadcast(whole), "template").withColumn("shared", shared).filter(F.col("shared") >= F.col("a"))
-            .select("id", "th", "block", "template", "label", (F.col("shared") / F.col("m")).alias("containment")))
+            .select("id", "th", "reach", "block", "template", "label", (F.col("shared") / F.col("m")).alias("containment")))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8,
@@ -138,24 +159,23 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
     if len(vocabulary) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates have {len(vocabulary)} words; the bound is {MAX_TEMPLATE_WORDS}")
-    blocks = _blocks(docs, key, text)
-    counts = block_counts(blocks, vocabulary)
+    rows = _words(docs, key, text)
+    counts = word_counts(rows, vocabulary)
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
-    prefixes = set()
+    prefixes: dict[int, set] = {}
     for _, t in templates:
         words = sorted(template_words(t), key=place.__getitem__)
-        prefixes |= set(words[:len(words) - needed(len(words), threshold) + 1])
+        prefixes.setdefault(reach(t), set()).update(words[:len(words) - needed(len(words), threshold) + 1])
 
-    hopeful = F.filter("blocks", lambda b: F.arrays_overlap(b, strings(sorted(prefixes))))
-    rows = blocks.select("id", "th", F.flatten("blocks").alias("words"), hopeful.alias("hopeful"))
+    windows = F.concat(*[_windows(F.col("words"), size, sorted(own), order) for size, own in sorted(prefixes.items())])
     marked = rows.select("id", "th", F.size("words").cast("long").alias("n_words"),
                          F.when(F.size("words") > 0, _places(F.col("words"), phrases)).alias("places"),
-                         F.transform("hopeful", lambda b: F.array_intersect(strings(order), b)).alias("hopeful"))
+                         F.when(F.size("words") > 0, windows).alias("windows"))
     kept = store(marked, "licenses")
 
-    candidates = (kept.filter(F.size("hopeful") > 0).select("id", "th", "hopeful").dropDuplicates(["id", "th"])
-                  .select("id", "th", F.posexplode("hopeful").alias("block", "words")))
+    candidates = (kept.filter(F.size("windows") > 0).select("id", "th", "windows").dropDuplicates(["id", "th"])
+                  .select("id", "th", F.inline("windows")))
     matches = match_templates(candidates, spark, templates, order, threshold)
     found = (matches.groupBy(F.col("id").alias("m_id"), F.col("th").alias("m_th"))
              .agg(F.collect_set("label").alias("labels"), F.max("containment").alias("containment")))

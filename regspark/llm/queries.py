@@ -121,15 +121,15 @@ def _op1_sql() -> str:
     shares = []
     for label, text in licenses.TEMPLATES:
         words = licenses.template_words(text)
-        shares.append(f"""SELECT k, '{label}' AS label,
-            max(len(list_intersect(bw, {listed(words)}))) AS shared, {len(words)} AS m FROM b GROUP BY k
+        shares.append(f"""SELECT k, '{label}' AS label, max(len(list_intersect(bw, {listed(words)}))) AS shared, {len(words)} AS m
+            FROM (SELECT k, words[s + 1:s + {2 * licenses.reach(text)}] AS bw
+                  FROM (SELECT k, words, unnest(range(0, len(words), {licenses.reach(text)})) AS s FROM w)) b GROUP BY k
             HAVING max(len(list_intersect(bw, {listed(words)}))) >= {licenses.needed(len(words), 0.8)}""")
     return f"""
     WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low
                FROM documents),
     w AS (SELECT k, doc_id, regexp_extract_all(low, {split}) AS words FROM d),
     p AS (SELECT k, doc_id, len(words) AS n_words, list_concat({places[0]}, {places[1]}, {places[2]}) AS places FROM w),
-    b AS (SELECT k, regexp_extract_all(unnest(string_split(low, chr(10))), {split}) AS bw FROM d),
     t AS ({' UNION ALL '.join(shares)}),
     h AS (SELECT k, list(label) AS found, max(shared::DOUBLE / m) AS containment FROM t GROUP BY k)
     SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base,

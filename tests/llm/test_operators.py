@@ -61,13 +61,48 @@ def test_licenses(spark, docs, empty):
         want = set()
         for lab, t in licenses.TEMPLATES:
             tw = set(licenses.template_words(t))
-            for line in low.split("\n"):
-                if len(tw & set(split.findall(line))) >= licenses.needed(len(tw), 0.8):
+            size = licenses.reach(t)
+            for k in range(0, len(words), size):
+                if len(tw & set(words[k:k + 2 * size])) >= licenses.needed(len(tw), 0.8):
                     want.add(lab)
         assert set(r.labels or []) == want, i
     assert licenses.scan_licenses(empty).count() == 0
 
 
+WRAPPED = {  # the usual layout of notices in files: wrapped lines, comment marks, text before and behind
+    "mit": """// Copyright (c) the authors
+// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal
+// in the Software without restriction""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:""",
+    "mpl": """# This Source Code Form is subject to the terms of the Mozilla Public
+
+# License, v. 2.0. If a copy of the MPL was not distributed with this""",
+    "cc0": """To the extent possible under law, the author(s) have dedicated
+all copyright and related and neighboring
+rights to this work to the public domain. To the extent possible under law,
+the author has waived all copyright and related or neighboring
+rights to this work.""",
+    "gpl": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License"""}
+
+
+def test_wrapped_notices(spark):
+    filler = " ".join(f"w{i}" for i in range(1000))
+    rows = [(f"{lab}-{n}", f"{filler[:n]}\n{text}\n{filler}") for lab, text in WRAPPED.items() for n in (0, 31, 97, 3900)]
+    rows += [("none", "Free software is software; the work is under way, and the source of this copy is the author's own. " + filler),
+             ("apart", "licensed " + filler + " mozilla " + filler + " public license source code form subject terms")]
+    got = {r.doc_id: (r.labels, r.containment) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name, (labels, share) in got.items():
+        if name in ("none", "apart"):
+            assert labels is None, name
+        else:
+            assert labels == [name.split("-")[0]] and share >= 0.8, name
+
+
 # -- 2 exact top-k --------------------------------------------------------------------------
 
 def test_topk(spark):
