@@ -2,17 +2,18 @@
 
 A window of ``window`` bytes (zero padded) passes filters of widths 2, 3 and 4 over its
 bytes, a maximum over all positions per filter, a ReLU and a softmax over the learned
-languages. It is trained with Adam on a bounded sample of labelled windows
-(``per_language`` windows a language, ``max_languages`` languages, those with most
-labelled rows). A document's prediction takes all windows of its whole text: the mean
+languages. It is trained with Adam on a bounded sample of labelled windows, each of another
+text (``per_language`` windows a language, ``windows`` in all, shared equally by all languages there
+are). A document's prediction takes all windows of its whole text: the mean
 log-probabilities, weighted by bytes.
 
 For prediction, filters of up to four bytes are two lookups in tables indexed by byte
 pairs, in batches of ``batch`` windows, so memory does not depend on the text.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; so is every
-text if there is no labelled row; rows repeat as given; ties go to the first language
-by name; an empty table gives an empty result.
+text if there is no labelled row; rows repeat as given, and copies of a text count once in the
+sample; ties go to the first language by name; texts of any length are predicted from all their
+windows; an empty table gives an empty result; of ``docs`` only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from regspark.llm.common import as_batch, bounded_sample, chunks
+from regspark.llm.common import as_batch, chunks
 
 WIDTHS = (2, 3, 4)
 LETTER = re.compile(rb"[A-Za-z]")
@@ -38,7 +39,7 @@ class LangConfig:
     window: int = 256
     filters: int = 16  # of each width
     per_language: int = 1000
-    max_languages: int = 200
+    windows: int = 40_000
     epochs: int = 4
     rate: float = 0.02
     batch: int = 64
@@ -149,12 +150,23 @@ def has_letter(value: bytes | None) -> bool:
 
 
 def sample(labelled: DataFrame, cfg: LangConfig, text: str, lang: str) -> list:
-    """At most ``per_language`` windows of each language: one of each text, at a place and in an order set by hashes."""
+    """At most ``per_language`` windows of each language: one of each distinct text, at a place and in an order set by
+    its hash. Only about twice as many texts as are taken, those below a cut in the hash, leave their partition."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     at = F.pmod(F.xxhash64(F.lit("place"), F.col(text)), F.greatest(F.length(text) - cfg.window, F.lit(1)))
     cut = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("order"),
                       F.substring(F.col(text), (at + 1).cast("int"), F.lit(cfg.window)).alias("text"))
-    picked = bounded_sample(cut, "lang", "order", cfg.per_language, cfg.max_languages)
+    sizes = cut.groupBy("lang").agg(F.count_distinct("order").alias("n")).collect()  # a row a language, as the network has
+    if not sizes:
+        return []
+    per = max(1, min(cfg.per_language, cfg.windows // len(sizes)))
+    known = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in sizes], "lang string, n long")
+    place = F.pmod("order", F.lit(1 << 31))
+    near = (cut.join(F.broadcast(known), "lang")
+            .filter(place <= F.least(F.lit(1.0), (2.0 * per + 50) / F.col("n")) * float(1 << 31))
+            .groupBy("lang", "order").agg(F.min("text").alias("text")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(place, "order"))
+    picked = near.withColumn("_place", first).filter(F.col("_place") <= per)
     return picked.orderBy("lang", "order", "text").select("lang", "text").collect()
 
 
@@ -162,6 +174,7 @@ def train(labelled: DataFrame, cfg: LangConfig = LangConfig(), text: str = "text
     """Network of a bounded sample; a part of the windows is shortened, as short texts occur too."""
     rows = sample(labelled, cfg, text, lang)
     languages = sorted({r[0] for r in rows})
+    index = {name: k for k, name in enumerate(languages)}
     net = ByteCNN(languages, cfg)
     if len(languages) > 1:
         rng = np.random.default_rng(cfg.seed)
@@ -170,7 +183,7 @@ def train(labelled: DataFrame, cfg: LangConfig = LangConfig(), text: str = "text
             b = r[1].encode()[:cfg.window]
             for k, part in enumerate((b, b[:int(rng.integers(6, 97))])):
                 x[2 * i + k, :len(part)] = np.frombuffer(part, np.uint8)
-                y[2 * i + k] = languages.index(r[0])
+                y[2 * i + k] = index[r[0]]
         net.train(x, y)
     return net
 

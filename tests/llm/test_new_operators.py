@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from regspark.llm import bpe, importance, negatives, queries
+from regspark.llm import bpe, importance, langid, negatives, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -283,3 +283,52 @@ def test_kth_place_of_ties(spark):
     order = sorted(range(50), key=lambda i: (-(5 - i % 2), i % 3, i))
     for k in (1, 2, 25, 26, 50):
         assert importance.kth_place(rows, k, "k", importance.DrawConfig(pivots=3))["d"] == order[k - 1]
+
+
+# -- 6 language identification: the sample and the network ----------------------------------------
+
+def made_up(rnd, language, n):
+    """Words of a made-up language: its own syllables."""
+    own = random.Random(language)
+    syllables = ["".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)]
+    return " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rnd = random.Random(8)
+    rows = [("de", made_up(rnd, "de", 60)) for _ in range(100)] + [("fr", made_up(rnd, "fr", 60)) for _ in range(100)]
+    rows += [rows[0]] * 400 + [("fr", None), ("fr", ""), (None, "x")]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    cfg = langid.LangConfig(per_language=40)
+    got = langid.sample(df, cfg, "text", "lang")
+    assert sorted(r.lang for r in got) == ["de"] * 40 + ["fr"] * 40
+    assert len({r.text for r in got}) == 80
+    net = langid.train(df, langid.LangConfig(per_language=80))
+    held = [(lang, made_up(rnd, lang, 30).encode()) for lang in ("de", "fr") for _ in range(50)]
+    found = net.predict_many([t for _, t in held])
+    assert sum(net.languages[k] == lang for (k, _), (lang, _) in zip(found, held, strict=True)) >= 95
+
+
+def test_three_hundred_languages_are_learned(spark):
+    rnd = random.Random(9)
+    names = [f"l{i:03d}" for i in range(300)]
+    df = spark.createDataFrame([(n, made_up(rnd, n, 50)) for n in names for _ in range(8)], "lang string, text string")
+    net = langid.train(df, langid.LangConfig(windows=300 * 6, filters=32, epochs=12))
+    assert net.languages == names
+    found = net.predict_many([made_up(rnd, n, 50).encode() for n in names])
+    assert sum(net.languages[k] == n for (k, _), n in zip(found, names, strict=True)) > 200
+
+
+def test_forward_pass(spark):
+    """The lookup tables give what the filters say, position by position."""
+    rng = np.random.default_rng(2)
+    net = langid.ByteCNN(["a", "b", "c"], langid.LangConfig(window=20, filters=3))
+    net.bias, net.out_bias = rng.normal(size=9).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    x = rng.integers(0, 256, (5, 20)).astype(np.uint8)
+    for row, got in zip(x, net.log_probabilities(x), strict=True):
+        h = []
+        for w in net.w:
+            at = [sum(w[o][row[p + o]] for o in range(len(w))) for p in range(20 - 3)]
+            h.append(np.max(at, 0))
+        z = np.maximum(np.concatenate(h) + net.bias, 0) @ net.out + net.out_bias
+        assert np.allclose(got, z - np.log(np.exp(z).sum()), atol=1e-4)
