@@ -443,7 +443,7 @@ def test_mixing(spark, docs, empty):
             marks.append((i, *kinds[k][1:]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([*marks, (None, 1, 0), (9999, 1, 1), (0, None, None), marks[1]], "doc_id long, quality int, toxic int")
-    cfg = mixing.MixConfig(shares={"clean": 0.7, "poor": 0.2, "toxic": 0.1}, budget=1.0, steps=200)
+    cfg = mixing.MixConfig(shares={"clean": 0.7, "poor": 0.2, "toxic": 0.1}, budget=1.0)
     got = mixing.mix_report(df, labels, cfg).collect()
     assert all(r.domain == of[r.doc_id] for r in got)
     total = sum(r.n_tokens for r in got)

@@ -31,7 +31,7 @@ def test_stages(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name]).fetchdf()
     got = queries.QUERIES[name](spark, DIR).toPandas()
