@@ -23,6 +23,7 @@ from regspark.operators import activity as ac
 from regspark.operators import enrich as en
 from regspark.operators import history as hs
 from regspark.operators import merge as mg
+from regspark.operators import names as nm
 from regspark.operators import ordering as od
 from regspark.operators import pages as pg
 from regspark.operators import results as rs
@@ -1033,6 +1034,20 @@ def q_hsn_activity(spark, d):
     return ac.hsn_activity(fx(spark, d, "details_hsn").select("gstin", longer.alias("hsn_code")))
 
 
+@register("own_name_matches", oracle(["details", "pan_sheet"], [
+    ("f", "SELECT gstin, regexp_replace(lower(trade_name), '[^a-z0-9]+', '', 'g') AS k FROM details WHERE trade_name <> ''"),
+    ("g", "SELECT k, count(DISTINCT gstin) AS n, min(gstin) AS gstin FROM f GROUP BY k"),
+    ("o", "SELECT row_id, concat('TRADE - ', substr(trim(pan), 1, 5), ' Pvt. Ltd') AS name FROM pan_sheet WHERE pan IS NOT NULL")], """
+SELECT row_id, name, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN gstin END AS gstin,
+  CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS match
+FROM o LEFT JOIN g ON k = regexp_replace(regexp_replace(lower(name), ' pvt. ltd$', ''), '[^a-z0-9]+', '', 'g')"""))
+def q_own_name_matches(spark, d):
+    """O3: names of one's own list, written another way, against the trade names of the firms."""
+    own = fx(spark, d, "pan_sheet").where(F.col("pan").isNotNull()).select(
+        "row_id", F.concat(F.lit("TRADE - "), F.substring(F.trim("pan"), 1, 5), F.lit(" Pvt. Ltd")).alias("name"))
+    return nm.match_names(own, fx(spark, d, "details"))
+
+
 DATE_TEXT = """CASE substr(gstin, 11, 1)
   WHEN '1' THEN concat(y, '-', m, '-', a) WHEN '3' THEN concat(a, '-', m, '-', y) WHEN '5' THEN 'not given'
   WHEN '7' THEN ' ' WHEN '9' THEN concat(' ', a, '.', m, '.', y) ELSE concat(a, '/', m, '/', y) END"""

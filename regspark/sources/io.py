@@ -11,7 +11,7 @@ import os
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, MapType, StringType,
                                StructField, StructType, TimestampNTZType)
@@ -24,7 +24,10 @@ from regspark.session import hadoop_fs, path_exists
 # --- fixed values -----------------------------------------------------------
 ALLOWED_EXTENSIONS = ("xlsx", "xls", "csv")
 MAX_UPLOAD_BYTES = 16 * 1024 * 1024
-CSV_QUOTING = {"escape": '"', "multiLine": "true"}
+CSV_QUOTING = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+SPLIT_SHIFT = 20  # splits of a file start at least 2^20 bytes apart
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):/+"  # written with one slash or three
+MAX_SPLIT_FILES = 1 << 14  # files of a folder whose rows are numbered by split; of more files each is read by one task
 COMPLETE_MARKER = "_COMPLETE"
 # JSON time stamps keep microseconds (the default format stops at milliseconds).
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -155,32 +158,53 @@ def read_landed(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 # --- S2, S3, S4, S10: CSV ----------------------------------------------------------
 
-def read_sheet(spark: SparkSession, path: str, na_tokens=NA_TOKENS, row_id: str | None = "row_id") -> DataFrame:
+def read_sheet(spark: SparkSession, path: str, na_tokens=NA_TOKENS, row_id: str | None = "row_id",
+               multi_line: bool | None = None) -> DataFrame:
     """S2/S3 + S4: a CSV sheet with a header row, every column as text (ids stay text),
     missing-value spellings turned into NULL, and a ``row_id`` in file order.
 
-    Quotes are doubled inside quoted cells and a quoted cell may hold line breaks, so a
-    file is read by one task. ``row_id`` increases by file path, then place in the file; it is not dense.
+    Quotes are doubled inside quoted cells. A file is split over tasks unless a quoted cell holds a line break
+    (``multi_line``; ``None`` looks for one), in which case one task reads it. ``row_id`` increases by file
+    path, then place in the file (of up to 256 GB); it is not dense.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).options(**CSV_QUOTING).csv(path))
+    reader = spark.read.option("header", True).option("inferSchema", False).options(**CSV_QUOTING)
+    if multi_line is None:
+        multi_line = holds_line_breaks(spark, path)
+    df = reader.option("multiLine", multi_line).csv(path)
     cols = [null_if_tokens(F.col(f"`{c}`").cast("string"), na_tokens).alias(c) for c in df.columns]
     if row_id is None or row_id in df.columns:
         return df.select(*cols)
+    files = sorted(re.sub(SCHEME, r"\1:/", f) for f in df.inputFiles())
+    if len(files) > MAX_SPLIT_FILES and not multi_line:
+        df, multi_line = reader.option("multiLine", True).csv(path), True
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = df.select(*cols, F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
-    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()
-    numbered = files.withColumn("_n", F.row_number().over(Window.orderBy("_file")) - 1)  # one row per file
-    return (rows.join(numbered, "_file").withColumn(row_id, F.col("_n").cast("long") * (1 << 33) + F.col("_place"))
-            .drop("_file", "_n", "_place"))
+    own = F.regexp_replace(F.col("_metadata.file_path"), SCHEME, "$1:/")
+    rows = df.select(*cols, own.alias("_file"), F.col("_metadata.file_block_start").alias("_at"), place.alias("_place"))
+    numbered = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _n long")
+    if len(files) <= MAX_SPLIT_FILES:
+        numbered = F.broadcast(numbered)  # the listed paths, not the rows, are sent
+    listed = F.coalesce(F.col("_n"), F.raise_error(F.concat(F.lit("file was not listed: "), "_file")).cast("long"))
+    if multi_line:
+        number = listed * (1 << 33) + F.col("_place")
+    else:  # file, split within it, place within the task
+        number = listed * (1 << 49) + F.shiftright("_at", SPLIT_SHIFT) * (1 << 31) + F.col("_place")
+    return rows.join(numbered, "_file", "left").withColumn(row_id, number).drop("_file", "_n", "_at", "_place")
+
+
+def holds_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell goes over a line end: some line then has an odd number of quotes. Reads the files as
+    lines, split over tasks, until such a line is found."""
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not lines.where(quotes % 2 == 1).limit(1).isEmpty()
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A CSV written by ``write_csv`` back exactly: every column as text, a quoted
     empty field as '', an empty unquoted field as NULL (no missing-value tokens)."""
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("nullValue", "\u0001").option("emptyValue", "").options(**CSV_QUOTING)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+            .option("multiLine", holds_line_breaks(spark, path) if multi_line is None else multi_line).csv(path))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:

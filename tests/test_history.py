@@ -119,3 +119,15 @@ def test_registration_ages(spark):
     got = [(r.bucket, r.n) for r in activity.registration_ages(df, T0).collect()]
     assert got == [("under 1 year", 1), ("1 to 2 years", 1), ("5 to 9 years", 6), ("10 years and more", 1), ("in the future", 1),
                    ("unreadable", 2), ("missing", 2)]
+
+
+def test_own_names(spark):
+    from regspark.operators import names
+
+    firms = spark.createDataFrame([("G1", "Acme Traders Pvt. Ltd."), ("G2", "ACME TRADERS"), ("G3", "M/s Böhm & Sons"), ("G4", "Ltd"),
+                                   ("G5", None), ("G3", "Bohm"), (None, "Zed")], "gstin string, trade_name string")
+    own = spark.createDataFrame([(1, "The Acme-Traders Limited"), (2, "böhm and sons"), (3, "zed"), (4, "Pvt Ltd"), (5, None), (2, "BOHM")],
+                                "id int, name string")
+    got = sorted((r.id, r.matches, r.gstin, r.match) for r in names.match_names(own, firms).collect())
+    assert got == [(1, 2, None, "ambiguous"), (2, 1, "G3", "unique"), (2, 1, "G3", "unique"), (3, 0, None, "none"),
+                   (4, 0, None, "none"), (5, 0, None, "none")]

@@ -121,6 +121,24 @@ def test_csv_quotes_line_breaks_and_file_order(spark):
     assert {r["a"] for r in back} == {'12, "A" Block\nX'}
 
 
+def test_one_large_csv_is_split(spark):
+    path = scratch_path(spark, "t csv")  # a blank in the path
+    df = spark.range(120_000).select(F.col("id").cast("string").alias("k"), F.lit('a "quoted, b" c').alias("a"), F.lit("x" * 60).alias("b"))
+    sio.write_csv(df.orderBy(F.col("k").cast("long")), path, single_file=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(2 << 20))
+    try:
+        assert not sio.holds_line_breaks(spark, path)
+        sheet = sio.read_sheet(spark, path)
+        assert sheet.select("k").rdd.getNumPartitions() > 3
+        ids = [(r.row_id, int(r.k)) for r in sheet.select("row_id", "k").collect()]
+        assert len({i for i, _ in ids}) == 120_000 and [k for _, k in sorted(ids)] == list(range(120_000))
+        whole = sio.read_sheet(spark, path, multi_line=True)
+        assert whole.select("k").rdd.getNumPartitions() == 1 and whole.count() == 120_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_run_log_keeps_every_field(spark):
     path = scratch_path(spark, "t-log")
     job = spark.sql("""SELECT 'j' AS job_id, 'f.csv' AS filename, 'failed' AS status, 'batch' AS type, 'boom' AS error,
