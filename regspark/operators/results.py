@@ -52,10 +52,30 @@ def rollup_parts(results: DataFrame) -> DataFrame:
         F.min(F.when(err, F.struct(F.col("ord").alias("o"), F.col("result").alias("text")))).alias("error"))
 
 
+def combine_parts(parts: DataFrame) -> DataFrame:
+    """One row a PAN out of its parts."""
+    return parts.groupBy("pan").agg(F.sum("gstin_count").alias("gstin_count"),
+                                    F.bool_or("no_records").alias("no_records"), F.min("error").alias("error"))
+
+
+def add_to_state(state: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
+    """``combine_parts`` of a state (one row a PAN) and new parts. An outer join, so a state that lies in
+    ``buckets`` buckets by ``pan`` is not shuffled."""
+    new = combine_parts(parts.repartition(buckets, "pan")).toDF("pan", "_count", "_none", "_error")
+    joined = state.where(F.col("pan").isNotNull()).join(new.where(F.col("pan").isNotNull()), "pan", "full_outer")
+    return joined.select(
+        "pan", (F.coalesce("gstin_count", F.lit(0)) + F.coalesce("_count", F.lit(0))).cast("long").alias("gstin_count"),
+        (F.coalesce("no_records", F.lit(False)) | F.coalesce("_none", F.lit(False))).alias("no_records"),
+        F.least("error", "_error").alias("error"))
+
+
 def merge_parts(parts: DataFrame) -> DataFrame:
     """(pan, gstin_count, status) of PANs whose items came in several parts."""
-    whole = parts.groupBy("pan").agg(F.sum("gstin_count").alias("gstin_count"),
-                                     F.bool_or("no_records").alias("no_records"), F.min("error").alias("error"))
+    return with_status(combine_parts(parts))
+
+
+def with_status(whole: DataFrame) -> DataFrame:
+    """(pan, gstin_count, status) of combined parts (A4)."""
     status = (F.when(F.col("gstin_count") > 0, F.lit(STATUS_SUCCESS))
               .when(F.col("no_records"), F.lit(STATUS_NONE_FOUND))
               .otherwise(F.coalesce(F.col("error.text"), F.lit(STATUS_UNKNOWN))))

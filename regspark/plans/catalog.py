@@ -32,6 +32,7 @@ from regspark.operators import schema as sc
 from regspark.operators import validate as va
 from regspark.plans import pipelines as pl
 from regspark.session import AS_OF, AS_OF_SQL, scratch_path
+from regspark.sources import buckets as bk
 from regspark.sources import io as sio
 from regspark.streaming.apply_results import land_results, stream_apply_results, stream_map_pans
 
@@ -793,6 +794,68 @@ def q_stream_map_pans_gstin_data(spark, d):
     return _stream_map_pans(spark, d)[1]
 
 
+def _stream_two_runs(spark, d):
+    """Every response, landed in two halves with a run after each: the second run goes on from the first one's state."""
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("landing", "stream-out", "stream-ckpt"))
+    lr = fx(spark, d, "lookup_results")
+    for half in (0, 1):
+        land_results(lr.where(F.col("ord") % 2 == half), landing)
+        tables = stream_map_pans(spark, landing, fx(spark, d, "pan_sheet"), _gstin_sheet(spark, d), out, ckpt, AS_OF)
+    return tables
+
+
+@register("stream_resumed_pan_data", oracle(["pan_sheet", "lookup_results"], [C_V, C_FIRSTS, C_ROLLUP, C_UPD], PAN_DATA_SELECT))
+def q_stream_resumed_pan_data(spark, d):
+    """T1 resumed: PANs whose items lie in the landings of both runs."""
+    return nullable_counts(_stream_two_runs(spark, d)[0], "gstin_count")
+
+
+# --------------------------------------------------------------------------- repeated runs on bucketed tables
+
+BUCKETS = 8
+
+
+def _landed_by_pan(spark, d):
+    """The responses landed in two loads, bucketed by ``pan``."""
+    path, lr = scratch_path(spark, "by-pan"), fx(spark, d, "lookup_results")
+    for half in (0, 1):
+        bk.write_bucketed(lr.where(F.col("ord") % 2 == half), path, "pan", BUCKETS)
+    return bk.read_bucketed(spark, path)
+
+
+@register("status_by_pan_bucketed", ORACLES["status_by_pan"])
+def q_status_by_pan_bucketed(spark, d):
+    """J3, A1-A5 over responses that lie bucketed by ``pan``."""
+    chosen = pl.select_responses(fx(spark, d, "pan_sheet"), _landed_by_pan(spark, d))
+    return rs.status_by_pan(chosen.valid, chosen.results).select("pan", "row_id", "gstin_count", "raw_gstin_count", "status")
+
+
+@register("append_indexed_runs", oracle(["gstin_sheet", "lookup_results"], [C_OLD, c_new()], f"""
+SELECT {GSTIN_COLS} FROM old UNION ALL SELECT {GSTIN_COLS} FROM newrows n
+WHERE row_id % 2 = 0 OR NOT EXISTS (SELECT 1 FROM newrows e WHERE e.gstin = n.gstin AND e.row_id % 2 = 0)"""))
+def q_append_indexed_runs(spark, d):
+    """J2, U1 in two runs (responses of even and of odd order): the second one knows what the first appended."""
+    rows, index = scratch_path(spark, "appended"), scratch_path(spark, "gstin-index")
+    lr, out = fx(spark, d, "lookup_results"), _gstin_sheet(spark, d)
+    bk.add_keys(out, index, "gstin", 0, BUCKETS)
+    for run in (1, 2):
+        out = out.unionByName(pl.append_run(spark, lr.where(F.col("ord") % 2 == run - 1), rows, index, run, AS_OF))
+    return out
+
+
+@register("run_summary_observed", oracle(Q1_FIX, _q1_ctes(None), f"""
+SELECT 'unique_pans' AS metric, count(*) AS value FROM firsts
+UNION ALL SELECT 'invalid_pan_rows', count(*) FROM pan_sheet WHERE pan IS NOT NULL AND NOT regexp_matches({NORM('pan')}, '{PAT}')
+UNION ALL SELECT 'gstin_rows', count(*) FROM ({APPEND_SELECT}) t
+UNION ALL SELECT 'unique_gstins', count(DISTINCT gstin) FROM ({APPEND_SELECT}) t
+UNION ALL SELECT 'added_gstin_rows', count(*) FROM newrows"""))
+def q_run_summary_observed(spark, d):
+    """A10 of a whole Q1 run, observed while its tables are written."""
+    _, counts = pl.run_mapping(fx(spark, d, "pan_sheet"), _gstin_sheet(spark, d), fx(spark, d, "lookup_results"), AS_OF,
+                               scratch_path(spark, "workbook"), done=fx(spark, d, "done_keys"), resume=True)
+    return spark.createDataFrame(sorted(counts.items()), "metric string, value bigint")
+
+
 # --------------------------------------------------------------------------- IO round trips
 
 @register("two_table_roundtrip", oracle(Q1_FIX, _q1_ctes(None), APPEND_SELECT))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from regspark.functions.ids import is_valid_pan, normalize_id
 from regspark.operators.enrich import enrich, lookup_details
-from regspark.operators.merge import (append_new, new_gstin_rows, requested_with_details,
+from regspark.operators.merge import (fresh_rows, new_gstin_rows, requested_with_details,
                                       upsert_details_all, upsert_details_first)
 from regspark.operators.ordering import first_n
 from regspark.operators.pages import extract_details, landed_items, page_results
@@ -17,7 +19,9 @@ from regspark.operators.runlog import batch_outcomes, batch_progress, latest_com
 from regspark.operators.skew import DEFAULT as SKEW, SkewConfig, hot_keys, hot_keys_by_column, salted_join
 from regspark.operators.schema import (GSTIN_DATA_SCHEMA, GSTIN_EXPORT_NAMES, PAN_DATA_SCHEMA, conform, need_row_ids,
                                        simplified_export, to_sheet_names)
+from regspark.session import scratch_path
 from regspark.sources import io as sio
+from regspark.sources.buckets import Bucketed, add_keys, read_bucketed, rows_of, unknown_rows
 from regspark.sources.io import RESULT_ITEM
 from regspark.operators.validate import normalize_valid_pans, split_gstins
 
@@ -53,6 +57,28 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
     up (A1, A4) and written to the first sheet row of each PAN (J4); their
     15-character GSTINs not yet in the table are appended (J2, U1).
     """
+    chosen = select_responses(pan_data, responses, done, resume, limit, test_mode, validate, skew, checkpointed)
+    new_pan, fresh = mapped(chosen, gstin_data, as_of, match, skew)
+    return new_pan, conform(gstin_data, GSTIN_DATA_SCHEMA).unionByName(fresh)
+
+
+@dataclass(frozen=True)
+class Selection:
+    """What a mapping run works on: the sheet, its valid PANs, the responses that take part, the hot GSTINs."""
+
+    pan_data: DataFrame
+    valid: DataFrame
+    results: DataFrame
+    hot_gstins: list
+
+
+def select_responses(pan_data: DataFrame, responses: DataFrame | Bucketed, done: DataFrame | None = None, resume: bool = False,
+                     limit: int | None = None, test_mode: bool = False, validate: bool = True,
+                     skew: SkewConfig = SKEW, checkpointed: DataFrame | None = None) -> Selection:
+    """The first half of Q1: A3, J1, L1, L2 and the responses of the chosen PANs.
+
+    ``responses`` may be a table bucketed by ``pan`` (``sources.buckets``), which is then not shuffled.
+    """
     if validate:
         check_key_column(pan_data)
     need_row_ids(pan_data)
@@ -71,16 +97,77 @@ def map_pans(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, a
     chosen = todo.select("pan") if keys is None else todo.select("pan").unionByName(keys)
     # hot PANs and GSTINs are found once, on the landed responses (a plain scan),
     # and used by both salted joins below
-    hot = hot_keys_by_column(responses, ["pan", "gstin"], skew)
-    results = salted_join(responses, chosen.distinct(), "pan", "left_semi", hot["pan"], skew.salts)
+    if isinstance(responses, Bucketed):
+        hot = hot_keys_by_column(responses.cold.unionByName(responses.hot), ["pan", "gstin"], skew)
+        cold, beside = rows_of(responses, chosen.distinct())
+        results = cold.unionByName(beside)
+    else:
+        hot = hot_keys_by_column(responses, ["pan", "gstin"], skew)
+        results = salted_join(responses, chosen.distinct(), "pan", "left_semi", hot["pan"], skew.salts)
     if resume and done is not None and checkpointed is not None:
         cols = ["pan", *RESULT_ITEM.names]
         kept = salted_join(checkpointed, done.select("pan").distinct(), "pan", "left_semi", hot["pan"], skew.salts)
         results = results.select(cols).unionByName(kept.select(cols))
-    new_pan = apply_results(pan_data, rollup_results(results), as_of, match=match,
-                            firsts=valid if match != "raw" else None)
-    new_gstin = append_new(gstin_data, new_gstin_rows(results, as_of), skew=skew, hot=hot["gstin"])
-    return new_pan, new_gstin
+    return Selection(pan_data, valid, results, hot["gstin"])
+
+
+def mapped(chosen: Selection, gstin_data: DataFrame, as_of: _dt.datetime, match: str = "normalized",
+           skew: SkewConfig = SKEW) -> tuple[DataFrame, DataFrame]:
+    """The second half of Q1: (updated pan_data (A1, A4, J4), rows to append to gstin_data (J2, U1))."""
+    new_pan = apply_results(chosen.pan_data, rollup_results(chosen.results), as_of, match=match,
+                            firsts=chosen.valid if match != "raw" else None)
+    fresh = fresh_rows(gstin_data, new_gstin_rows(chosen.results, as_of), skew, chosen.hot_gstins)
+    return new_pan, conform(fresh, GSTIN_DATA_SCHEMA)
+
+
+def run_mapping(pan_data: DataFrame, gstin_data: DataFrame, responses: DataFrame, as_of: _dt.datetime, root: str,
+                match: str = "normalized", skew: SkewConfig = SKEW, **options) -> tuple[str, dict]:
+    """Q1 as a job: both tables written as a new version of ``root``; (version, counts of the run (A10)).
+
+    The valid PANs and the chosen responses, which both tables need, are written once. The counts are
+    observed on the writes themselves, so no table is read again for them; distinct counts are counts
+    of frames that hold one row a key.
+    """
+    spark = pan_data.sparkSession
+    seen = {n: Observation() for n in ("valid", "known", "pan", "gstin", "fresh")}
+
+    def written(df: DataFrame, name: str, **counts) -> DataFrame:
+        path = scratch_path(spark, f"run-{name}")
+        (df.observe(seen[name], *[c.alias(n) for n, c in counts.items()]) if counts else df).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    n = F.count(F.lit(1))
+    chosen = select_responses(pan_data, responses, skew=skew, **options)
+    chosen = replace(chosen, valid=written(chosen.valid, "valid", unique_pans=n), results=written(chosen.results, "results"))
+    old = conform(gstin_data, GSTIN_DATA_SCHEMA)
+    known = written(old.where(F.col("gstin").isNotNull()).select("gstin").distinct(), "known", known_gstins=n)
+    new_pan, fresh = mapped(chosen, known, as_of, match, skew)
+    fresh = written(fresh, "rows")
+    written(fresh.select("gstin").distinct(), "fresh", new_gstins=n)
+    pan = normalize_id("pan")
+    new_pan = new_pan.observe(seen["pan"], F.count_if(pan.isNotNull() & ~is_valid_pan(pan, normalized=True)).alias("invalid_pan_rows"))
+    both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    both = both.observe(seen["gstin"], n.alias("gstin_rows"), F.coalesce(F.sum("_new"), F.lit(0)).alias("added_gstin_rows")).drop("_new")
+    version = sio.write_two_tables(new_pan, both, root)
+    counts = {k: v for o in seen.values() for k, v in o.get.items()}
+    counts["unique_gstins"] = counts.pop("known_gstins") + counts.pop("new_gstins")
+    return version, counts
+
+
+def append_run(spark, responses: DataFrame, rows_dir: str, index_dir: str, run: int, as_of: _dt.datetime,
+               skew: SkewConfig = SKEW) -> DataFrame:
+    """J2 + U1 of one run of many, against an index of the table's GSTINs bucketed by ``gstin``.
+
+    The rows go to ``rows_dir/run=<run>`` first, their keys to the index then. A run that is repeated
+    after a failure finds and overwrites its own rows. Run 0 is the table the index was made from.
+    """
+    index, new = read_bucketed(spark, index_dir), new_gstin_rows(responses, as_of)
+    fresh = unknown_rows(new, index, run, hot_keys(responses, "gstin", skew))
+    path = f"{rows_dir.rstrip('/')}/run={run}"
+    fresh.write.mode("overwrite").parquet(path)
+    fresh = spark.read.schema(fresh.schema).parquet(path)
+    add_keys(fresh, index_dir, "gstin", run, index.buckets)
+    return fresh
 
 
 def update_details(target: DataFrame, requested: DataFrame, details: DataFrame, as_of: _dt.datetime,
@@ -144,8 +231,9 @@ def update_latest(spark, log: DataFrame, requested: DataFrame, details: DataFram
     if last is None:
         raise ValidationError("No completed run with a result to update")
     root = last["result_file"]
+    base = sio.current_version(spark, root)
     pan_data, gstin_data = sio.read_two_tables(spark, root)
-    sio.write_two_tables(pan_data, update_details(gstin_data, requested, details, as_of), root)
+    sio.write_two_tables(pan_data, update_details(gstin_data, requested, details, as_of), root, based_on=base)
     return root
 
 

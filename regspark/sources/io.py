@@ -11,6 +11,7 @@ import os
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, IntegerType, LongType, MapType, StringType,
@@ -89,21 +90,49 @@ def _local(path: str) -> str:
 
 # --- S1, S8, S9: two-table workbook -------------------------------------------
 
-def write_two_tables(pan_data: DataFrame, gstin_data: DataFrame, root: str) -> str:
+class VersionConflict(RuntimeError):
+    """Another writer has made a newer version than the one this write started from."""
+
+
+def write_two_tables(pan_data: DataFrame, gstin_data: DataFrame, root: str, based_on: str | None = None) -> str:
     """Both tables into a fresh version directory, then its marker (S9 keeps the old).
 
     Versions are numbered; the current one is the last that holds the marker, so a
-    write that fails at any point leaves the earlier version current.
+    write that fails at any point leaves the earlier version current. Each writer reserves
+    a number of its own. A writer that passes the version it read as ``based_on`` gets
+    ``VersionConflict``, before or after its tables are written, if another one is current by then.
     """
     spark = pan_data.sparkSession
+    _check_base(spark, root, based_on)
     number = max((int(v.split("-")[1]) for v in _versions(spark, root)), default=0) + 1
+    while not _reserved(spark, root, number):
+        number += 1
     target = os.path.join(root, f"v-{number:010d}-{uuid.uuid4().hex}")
     pan_data.write.mode("errorifexists").parquet(os.path.join(target, "pan_data"))
     gstin_data.write.mode("errorifexists").parquet(os.path.join(target, "gstin_data"))
+    _check_base(spark, root, based_on)
     spark.range(1).coalesce(1).write.mode("errorifexists").parquet(os.path.join(target, COMPLETE_MARKER))
     return target
 
 
+def _check_base(spark: SparkSession, root: str, based_on: str | None) -> None:
+    if based_on is not None and current_version(spark, root) != based_on:
+        raise VersionConflict(f"{based_on} is no longer the current version under {root}")
+
+
+def _reserved(spark: SparkSession, root: str, number: int) -> bool:
+    """Whether this writer got the number: its file can be made only once."""
+    hit = hadoop_fs(spark, os.path.join(root, "_numbers", f"{number:010d}"))
+    if hit is None:  # no JVM gateway: the random part of the folder's name keeps writers apart
+        return True
+    try:
+        return bool(hit[0].createNewFile(hit[1]))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The last complete version directory; None if there is none (any other failure is an error)."""
     for version in reversed(_versions(spark, root)):

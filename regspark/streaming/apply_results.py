@@ -13,15 +13,20 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regspark.operators.merge import new_gstin_rows
-from regspark.operators.results import apply_results, merge_parts, rollup_parts
+from regspark.operators.results import add_to_state, apply_results, combine_parts, rollup_parts, with_status
 from regspark.operators.schema import GSTIN_DATA_SCHEMA, PAN_DATA_SCHEMA, conform
-from regspark.operators.skew import skew_join
-from regspark.session import scratch_path
+from regspark.operators.skew import SkewConfig, skew_join
+from regspark.session import path_exists, scratch_path
+from regspark.sources.buckets import Bucketed, read_bucketed, write_bucketed
+from regspark.sources.io import COMPLETE_MARKER, table_names
+
+PARTS = "pan string, gstin_count bigint, no_records boolean, error struct<o: bigint, text: string>"
 
 
 def land_results(results: DataFrame, landing_dir: str, files: int | None = None) -> None:
@@ -68,11 +73,42 @@ def stream_apply_results(spark: SparkSession, landing_dir: str, old: DataFrame,
     return conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
 
 
+def _last_state(spark: SparkSession, state_dir: str) -> tuple[int, Bucketed | None]:
+    """(last epoch in it, table) of the newest complete state; (-1, None) before the first."""
+    for name in sorted(table_names(spark, state_dir), reverse=True):
+        path = os.path.join(state_dir, name)
+        if path_exists(spark, os.path.join(path, COMPLETE_MARKER, "_SUCCESS")):
+            return int(name.split("-")[1]), read_bucketed(spark, path)
+    return -1, None
+
+
+def _advance_state(spark: SparkSession, upd_dir: str, state_dir: str) -> DataFrame:
+    """The state with every epoch's parts in it: the newest one plus the epochs after it, written as a new one.
+
+    The state holds one row a PAN, bucketed by ``pan``. Earlier epochs are not read again, and the state is
+    not shuffled. A state without its marker (a run that died) is passed over.
+    """
+    upto, state = _last_state(spark, state_dir)
+    epochs = {int(n.split("=")[1]): n for n in table_names(spark, upd_dir)}
+    later = [os.path.join(upd_dir, n) for e, n in epochs.items() if e > upto]
+    if not later:
+        return state.cold
+    parts = spark.read.schema(PARTS).parquet(*later)
+    buckets = state.buckets if state else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = (add_to_state(state.cold, parts, buckets) if state
+             else combine_parts(parts.repartition(buckets, "pan")))
+    path = os.path.join(state_dir, f"upto-{max(epochs):010d}-{uuid.uuid4().hex}")
+    write_bucketed(whole.where(F.col("pan").isNotNull()), path, "pan", buckets, SkewConfig(enabled=False), placed=True)
+    spark.range(1).coalesce(1).write.parquet(os.path.join(path, COMPLETE_MARKER))
+    return read_bucketed(spark, path).cold
+
+
 def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old: DataFrame, out_dir: str,
                     checkpoint_dir: str, as_of: _dt.datetime, bytes_per_trigger: int = 1 << 30):
     """T1 with the PAN table: every micro-batch rolls up its PANs (A1, A4) and
-    appends new GSTIN rows (J2, U1); at the end the PAN table takes each PAN's
-    rollup over all batches (J4), so a PAN's items may come in any files. Returns (pan_data, gstin_data).
+    appends new GSTIN rows (J2, U1); at the end of a run its parts are added to a state kept
+    per PAN, and the PAN table takes each PAN's state (J4), so a PAN's items may come in any
+    files of any run. Returns (pan_data, gstin_data).
     """
     keys = _known_gstins(old)
     upd_dir, new_dir = os.path.join(out_dir, "pan_updates"), os.path.join(out_dir, "new_gstins")
@@ -82,8 +118,8 @@ def stream_map_pans(spark: SparkSession, landing_dir: str, sheet: DataFrame, old
         _write_epoch(skew_join(new_gstin_rows(batch, as_of), keys, "gstin", "left_anti"), new_dir, epoch)
 
     _run(spark, landing_dir, checkpoint_dir, bytes_per_trigger, per_batch)
-    whole = merge_parts(spark.read.parquet(upd_dir).drop("epoch"))
-    pan_data = apply_results(conform(sheet, PAN_DATA_SCHEMA), whole, as_of)
+    state = _advance_state(spark, upd_dir, os.path.join(out_dir, "pan_state"))
+    pan_data = apply_results(conform(sheet, PAN_DATA_SCHEMA), with_status(state), as_of)
     appended = spark.read.parquet(new_dir).drop("epoch")
     gstin_data = conform(old, GSTIN_DATA_SCHEMA).unionByName(conform(appended, GSTIN_DATA_SCHEMA))
     return pan_data, gstin_data

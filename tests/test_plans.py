@@ -14,7 +14,8 @@ WRITERS = {"enrich_sheet", "processed_count", "stream_apply_results", "two_table
            "checkpoint_roundtrip", "discover_inputs", "ingest_pages_status", "ingest_pages",
            "stream_map_pans_pan_data", "single_details_latest", "map_pans_resumed_pan_data",
            "map_pans_resumed_gstin_data", "map_from_pages_pan_data", "map_from_pages_gstin_data", "two_table_roundtrip_pan",
-           "discover_inputs_kinds", "stream_map_pans_gstin_data"}
+           "discover_inputs_kinds", "stream_map_pans_gstin_data", "stream_resumed_pan_data",
+           "append_indexed_runs", "run_summary_observed"}
 NAMES = [n for n in E.queries() if n not in WRITERS]
 
 
