@@ -3,12 +3,14 @@
 The language model is a modified Kneser-Ney model of order 4 over 64 symbol
 classes (letters folded, digits, white space, punctuation, UTF-8 lead and
 continuation bytes). Spark counts its 4-grams over whole texts in two rounds: a first
-model is counted over all documents and scores all of them; the final one is counted over
-every document whose score lies in the core of its language (``median`` plus or minus
-``core * spread``), so junk that is common in the corpus does not teach the model that it is
-usual. The counts grow with the corpus; their keys are at most 64^4 (16.8 million), which
-bounds what the driver gathers and broadcasts. The model is kept as sorted arrays of packed
-n-grams with their log-probabilities; a task spreads the highest order over a direct table.
+model is counted over all documents and scores all of them; a second one over every
+document whose score lies in the core of its language (``median`` plus or minus
+``core * spread``). The verdict is that of their mixture: the model of all documents has the
+share ``background``, the core the rest, so every document counts, while junk that is common
+in the corpus does not teach the model that it is usual. The counts grow with the corpus;
+their keys are at most 64^4 (16.8 million), which bounds what the driver gathers and
+broadcasts. A model is kept as sorted arrays of packed n-grams with their log-probabilities;
+a task spreads the highest order over a direct table.
 
 A document's verdict is true if its mean log-probability per byte lies within its
 language's band: ``median - low * spread - slack`` to ``median + high * spread + slack``,
@@ -52,6 +54,7 @@ class QualityConfig:
     least_words: int = 50
     repeat_percent: int = 50
     core: float = 1.0
+    background: float = 0.05
     low: float = 6.0
     high: float = 6.0
     least_spread: float = 0.012
@@ -180,6 +183,24 @@ class KneserNey:
         return out
 
 
+class Blend(KneserNey):
+    """Mixture of the model of all documents (with the share ``share``) and that of the core.
+
+    The core's n-grams are among those of all documents, so the latter are the sorted keys.
+    """
+
+    def __init__(self, whole: KneserNey, core: KneserNey, share: float):
+        self.whole, self.core, self.share = whole, core, share
+        keys = whole.keys[ORDER]
+        self.keys, self.logp = {ORDER: keys}, {ORDER: self.log_probability(keys)}
+
+    def log_probability(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            whole, core = np.log(self.share), np.log1p(-self.share)
+        return np.logaddexp(whole + self.whole.log_probability(keys, order),
+                            core + self.core.log_probability(keys, order)).astype(np.float32)
+
+
 def gathered(counts: DataFrame) -> KneserNey:
     """Model of (key, n) rows; at most 64^4 of them reach the driver."""
     t = counts.toArrow()
@@ -187,7 +208,7 @@ def gathered(counts: DataFrame) -> KneserNey:
 
 
 def train(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text: str = "text", lang: str = "lang") -> KneserNey:
-    """Model of the documents in the core of their language, as judged by a first model of all documents."""
+    """Model of all documents, mixed with one of those in the core of their language by the first's judgement."""
     rows = docs.select(docs[lang].alias("_q_l"), docs[text].alias("_q_text"))
     first = gathered(count_ngrams(rows.select("_q_text"), "_q_text"))
     scored = store(score_rows(rows, first, ["_q_l"], "_q_text", rules=False), "quality-first")
@@ -204,7 +225,7 @@ def train(docs: DataFrame, cfg: QualityConfig = QualityConfig(), text: str = "te
     inside = with_limits(rows, limits, "_q_l").select("_q_text", "_q_lo", "_q_hi")
     model = gathered(count_ngrams(inside, "_q_text", in_core))
     discard(limits)
-    return model if len(model.keys[ORDER]) else first
+    return Blend(first, model, cfg.background) if len(model.keys[ORDER]) else first
 
 
 def rule_counts(texts: list) -> dict[str, np.ndarray]:
