@@ -1,8 +1,11 @@
 """Exact top-k inner-product search over norm-ordered buckets.
 
 Vectors are quantised, range-partitioned by length (then id) and packed into buckets of at
-most ``bucket`` vectors of similar length. Queries travel in blocks with a threshold each:
-the k-th score within the bucket of the greatest lengths, which is a valid lower bound.
+most ``bucket`` vectors of similar length. Each query has a threshold: the k-th score within
+the bucket of the greatest lengths, which is a valid lower bound. A vector shorter than
+``threshold / |q|`` (the query's need) cannot enter its result, so queries are ordered by need
+and travel in blocks, and a group of blocks meets only the groups of buckets whose greatest
+length reaches its least need; the groups are matched by length levels before any vector moves.
 For a bucket of greatest length L and a query q, only vectors of cosine at least
 ``t = threshold / (|q| L)`` can enter the result, so per query and bucket
 
@@ -17,8 +20,8 @@ goes through its buckets. A task holds one group of buckets and one group of que
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a
 null id, take no part; repeated rows count once, and of different vectors with one id the
 smallest (by components) counts; missing trailing components count as zero, an empty
-vector scores 0; ties go to the smaller id; an empty table gives an empty result.
-Scores must fit in a 64-bit integer.
+vector scores 0; ties go to the smaller id; an empty table gives an empty result;
+further columns are not read. Scores must fit in a 64-bit integer.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regspark.llm.common import store
@@ -69,8 +72,9 @@ def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x @ y.T
 
 
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """Buckets of up to ``size`` consecutive rows of (id, v, norm): ids, components and dims as bytes."""
+def _packed(rows: DataFrame, size: int, group: str) -> DataFrame:
+    """Buckets of up to ``size`` consecutive rows of (id, v, norm, floor, need): columns as bytes, the greatest
+    length, the least need and, as ``group``, the partition."""
     def pack(frames):
         for p in frames:
             for i in range(0, len(p), size):
@@ -78,9 +82,29 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
                 dims = max((len(v) for v in part.v), default=0)
                 yield pd.DataFrame({"ids": [part.id.to_numpy(np.int64).tobytes()], "dims": [dims],
                                     "vs": [_matrix(part.v, dims).tobytes()], "n": [len(part)],
-                                    "norms": [part.norm.to_numpy(np.float64).tobytes()], "top": [float(part.norm.max())]})
+                                    "norms": [part.norm.to_numpy(np.float64).tobytes()], "top": [float(part.norm.max())],
+                                    "floors": [part.floor.to_numpy(np.float64).tobytes()], "need": [float(part.need.min())]})
 
-    return rows.mapInPandas(pack, "ids binary, dims int, vs binary, n int, norms binary, top double")
+    packed = rows.mapInPandas(pack, "ids binary, dims int, vs binary, n int, norms binary, top double, floors binary, need double")
+    return packed.withColumn(group, F.spark_partition_id())
+
+
+def _level(length: Column) -> Column:
+    """Lengths in steps of an eighth of an octave; -1 below 1 (whole components: only the zero vector)."""
+    return F.when(length >= 1, F.floor(F.log2(length) * 8)).otherwise(-1).cast("int")
+
+
+def group_pairs(buckets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(g, h): the groups of buckets whose greatest length reaches the least need of a group of blocks.
+
+    An equi-join on length levels (at most 8 for each binary digit of a length), so only pairs that
+    can hold a result, and those of the need's own level, are formed.
+    """
+    tops = buckets.groupBy("g").agg(F.max("top").alias("top")).withColumn("level", _level(F.col("top")))
+    last = tops.agg(F.coalesce(F.max("level"), F.lit(-1))).first()[0]
+    needs = blocks.groupBy("h").agg(F.min("need").alias("need")).filter(_level(F.col("need")) <= last)
+    needs = needs.withColumn("level", F.explode(F.sequence(_level(F.col("need")), F.lit(last))))
+    return tops.join(needs, "level").filter("top >= need").select("g", "h")
 
 
 def _unpack(r):
@@ -148,34 +172,35 @@ def top_k(vectors: DataFrame, is_query, cfg: TopKConfig = TopKConfig(), key: str
     """(query_id, rank, vec_id, score) for the rows whose ``id`` meets ``is_query`` (a column expression)."""
     spark = vectors.sparkSession
     rows = store(quantised(vectors, cfg, key, vector), "vectors")
-    total = rows.count()
-    slots = max(1, -(-total // cfg.bucket))
-    ordered = (rows.repartitionByRange(slots, F.desc("norm"), F.col("id")).sortWithinPartitions(F.desc("norm"), "id"))
-    buckets = store(_packed(ordered, cfg.bucket).withColumn("bucket", F.monotonically_increasing_id()), "vector-buckets")
     queries = rows.filter(is_query)
-    spread = queries.repartition(max(1, -(-queries.count() // cfg.query_block)), "id")
-    lead = spark.sparkContext.broadcast(buckets.orderBy(F.desc("top"), "bucket").limit(1).collect())  # one bucket at most
+
+    def ordered(frame, block, blocks_a_group, *by):
+        groups = max(1, -(-frame.count() // (block * blocks_a_group)))
+        return frame.repartitionByRange(groups, *by).sortWithinPartitions(*by)
+
+    plain = rows.withColumns({"floor": F.lit(0.0), "need": F.lit(0.0)})
+    buckets = store(_packed(ordered(plain, cfg.bucket, cfg.buckets_a_group, F.desc("norm"), F.col("id")), cfg.bucket, "g"),
+                    "vector-buckets")
+    lead = spark.sparkContext.broadcast(buckets.orderBy(F.desc("top"), "g", "ids").limit(1).collect())  # one bucket at most
 
     def seed(frames):
         for p in frames:
-            floors = []
-            for r in p.itertuples():
-                qid, q, qn = _unpack(r)
+            for i in range(0, len(p), cfg.query_block):
+                part = p.iloc[i:i + cfg.query_block]
+                qid, qn = part.id.to_numpy(np.int64), part.norm.to_numpy(np.float64)
+                q = _matrix(part.v, max((len(v) for v in part.v), default=0))
                 best = Best(len(qid), cfg.k, np.full(len(qid), -np.inf))
                 for bucket in lead.value:
                     search(best, qid, q, qn, _unpack(bucket), cfg)
-                floors.append(best.floor.astype(np.float64).tobytes())
-            yield p[["ids", "dims", "vs", "n", "norms"]].assign(floors=floors)
-
-    blocks = store(_packed(spread, cfg.query_block).mapInPandas(
-        seed, "ids binary, dims int, vs binary, n int, norms binary, floors binary"), "query-blocks")
-
-    n_groups = max(1, -(-buckets.count() // cfg.buckets_a_group))
-    q_groups = max(1, -(-blocks.count() // cfg.blocks_a_group))
-    left = (buckets.withColumn("g", F.pmod(F.xxhash64("bucket"), F.lit(n_groups)).cast("int"))
-            .withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1)))))
-    right = (blocks.withColumn("h", F.pmod(F.xxhash64("ids"), F.lit(q_groups)).cast("int"))
-             .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))))
+                need = np.where((best.floor > 0) & (qn > 0), best.floor * (1 - 2e-9) / np.maximum(qn, 1e-300), 0.0)
+                yield part.assign(floor=best.floor, need=need)
+
+    spread = queries.repartition(max(1, -(-queries.count() // cfg.query_block)), "id")
+    seeded = store(spread.mapInPandas(seed, "id long, v array<long>, norm double, floor double, need double"), "queries")
+    blocks = store(_packed(ordered(seeded, cfg.query_block, cfg.blocks_a_group, F.col("need"), F.col("id")), cfg.query_block, "h"),
+                   "query-blocks")
+    pairs = store(group_pairs(buckets, blocks), "group-pairs")
+    left, right = buckets.join(pairs, "g"), blocks.join(pairs, "h")
 
     def compare(b: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(r) for r in b.sort_values("top", ascending=False).itertuples()]
