@@ -25,6 +25,13 @@ def new_gstin_rows(results: DataFrame, as_of: _dt.datetime) -> DataFrame:
     return conform(rows, GSTIN_DATA_SCHEMA)
 
 
+def stale_gstins(gstin_data: DataFrame, as_of: _dt.datetime, days: int = 90) -> DataFrame:
+    """O2: (gstin, last_updated) of the GSTINs whose latest update is more than ``days`` days before ``as_of``,
+    or that were never updated: what a regular refresh (Q2) looks up again. Each once, whichever row was updated."""
+    latest = gstin_data.where(is_valid_gstin("gstin")).groupBy("gstin").agg(F.max("last_updated").alias("last_updated"))
+    return latest.where(F.col("last_updated").isNull() | (F.col("last_updated") < stamp(as_of - _dt.timedelta(days=days))))
+
+
 def fresh_rows(old: DataFrame, new: DataFrame, skew: SkewConfig = DEFAULT, hot: list | None = None) -> DataFrame:
     """The new rows whose GSTIN is not in the old table."""
     keys = old.where(F.col("gstin").isNotNull()).select("gstin").distinct()

@@ -390,9 +390,14 @@ def page_results(pages: DataFrame, keys=("pan", "page_no"), html: str = "html")
         *keys, F.col("item_no").cast("long").alias("item_no"), "_i.*")
 
 
+def item_order() -> Column:
+    """Page and item number in one whole number, which a hash aggregate can hold."""
+    return F.shiftleft(F.col("page_no"), 32) + F.col("item_no")
+
+
 def landed_items(items: DataFrame, as_of) -> DataFrame:
     """Q5's items as landed lookup results: ``ord`` is page and item number in one, ``seen_at`` the run time."""
-    return items.select("pan", (F.shiftleft(F.col("page_no"), 32) + F.col("item_no")).alias("ord"),
+    return items.select("pan", item_order().alias("ord"),
                         "gstin", "gstin_status", "state", "result", stamp(as_of).alias("seen_at"))
 
 

@@ -84,30 +84,35 @@ def with_status(whole: DataFrame) -> DataFrame:
 
 def rollup_results(results: DataFrame, order=None) -> DataFrame:
     """Per PAN: count of 15-character GSTINs (A1), of any GSTIN (A2), the first
-    error text in item order (A5) and the status (A4).
-
-    The counts and flags are fixed-width partial aggregates (hash aggregation,
-    combined map-side, so a PAN with a huge result list ships one row per
-    partition). Only the error items, a small subset, go through the text
-    aggregate that picks the first error; it is joined back on ``pan``, and both
-    sides are already partitioned by it.
+    error text in item order (A5) and the status (A4), in one pass over the items.
+
+    The items of a PAN are first counted per error text (items without an error
+    share the text NULL): all figures are then fixed-width partial aggregates
+    (hash aggregation, combined map-side, so a PAN with a huge result list ships one
+    row per partition and error text, spread over tasks by that text). The second
+    aggregate picks the first error out of one row per PAN and text; only there
+    does a text go through an aggregate.
     """
     err = F.coalesce(F.col("result"), F.lit("")).contains(ERROR_MARK)
     order = F.col("ord") if order is None else order
-    counts = results.groupBy("pan").agg(
-        F.count_if(is_valid_gstin("gstin")).alias("gstin_count"),
-        F.count("gstin").alias("raw_gstin_count"),
-        F.bool_or(_any_contains(NO_RECORDS)).alias("_no_records"),
-        F.bool_or(err).alias("_has_error"),
+    by_text = results.groupBy("pan", F.when(err, F.col("result")).alias("_error")).agg(
+        F.count_if(is_valid_gstin("gstin")).alias("_valid"),
+        F.count("gstin").alias("_any"),
+        F.bool_or(_any_contains(NO_RECORDS)).alias("_none"),
+        F.min(order).alias("_first"),
+    )
+    first = F.when(F.col("_error").isNotNull(), F.struct(F.col("_first").alias("o"), F.col("_error").alias("text")))
+    agg = by_text.groupBy("pan").agg(
+        F.sum("_valid").alias("gstin_count"),
+        F.sum("_any").alias("raw_gstin_count"),
+        F.bool_or("_none").alias("_no_records"),
+        F.min(first)["text"].alias("first_error"),
     )
-    errors = (results.where(err).groupBy(F.col("pan").alias("_epan"))
-              .agg(F.min_by(F.col("result"), F.struct(order.alias("o"), F.col("result"))).alias("first_error")))
-    agg = counts.join(errors, (F.col("pan") == F.col("_epan")) & F.col("_has_error"), "left").drop("_epan")
     status = (F.when(F.col("gstin_count") > 0, F.lit(STATUS_SUCCESS))
               .when(F.col("_no_records"), F.lit(STATUS_NONE_FOUND))
               .when(F.col("first_error").isNotNull(), F.col("first_error"))
               .otherwise(F.lit(STATUS_UNKNOWN)))
-    return agg.withColumn("status", status).drop("_no_records", "_has_error")
+    return agg.withColumn("status", status).drop("_no_records")
 
 
 def status_by_pan(valid: DataFrame, results: DataFrame) -> DataFrame:

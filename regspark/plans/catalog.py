@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from regspark import fixture_pages as fp
 from regspark.fixtures import FIXTURE_SQL, _REF, _closure, fixture
 from regspark.functions.ids import WHITESPACE_CLASS, is_valid_pan, normalize_id
-from regspark.functions.text import not_available, parse_limit, export_name, backup_name, file_extension
+from regspark.functions.text import not_available, parse_limit, export_name, backup_name, file_extension, stamp
 from regspark.operators import activity as ac
 from regspark.operators import enrich as en
 from regspark.operators import history as hs
@@ -1111,6 +1111,16 @@ def q_own_name_matches(spark, d):
     return nm.match_names(own, fx(spark, d, "details"))
 
 
+@register("stale_gstins", oracle(["lookup_results"], [
+    ("t", f"SELECT gstin, CASE WHEN ord % 11 <> 0 THEN {AS_OF_SQL} - to_days(CAST(ord % 200 AS INT)) END AS t FROM lookup_results WHERE length(gstin) = 15")], f"""
+SELECT gstin, max(t) AS last_updated FROM t GROUP BY gstin
+HAVING max(t) IS NULL OR max(t) < {AS_OF_SQL} - to_days(90)"""))
+def q_stale_gstins(spark, d):
+    """O2: GSTINs due for a refresh, the table's rows being updated over the last 200 days."""
+    updated = F.when(F.expr("ord % 11 <> 0"), stamp(AS_OF) - F.expr("make_dt_interval(int(ord % 200))"))
+    return mg.stale_gstins(fx(spark, d, "lookup_results").select("gstin", updated.alias("last_updated")), AS_OF)
+
+
 DATE_TEXT = """CASE substr(gstin, 11, 1)
   WHEN '1' THEN concat(y, '-', m, '-', a) WHEN '3' THEN concat(a, '-', m, '-', y) WHEN '5' THEN 'not given'
   WHEN '7' THEN ' ' WHEN '9' THEN concat(' ', a, '.', m, '.', y) ELSE concat(a, '/', m, '/', y) END"""

@@ -13,7 +13,7 @@ from regspark.operators.enrich import enrich, lookup_details
 from regspark.operators.merge import (fresh_rows, new_gstin_rows, requested_with_details,
                                       upsert_details_all, upsert_details_first)
 from regspark.operators.ordering import first_n
-from regspark.operators.pages import extract_details, landed_items, page_results
+from regspark.operators.pages import extract_details, item_order, landed_items, page_results
 from regspark.operators.results import apply_results, pending_pans, rollup_results
 from regspark.operators.runlog import batch_outcomes, batch_progress, latest_completed
 from regspark.operators.skew import DEFAULT as SKEW, SkewConfig, hot_keys, hot_keys_by_column, salted_join
@@ -210,13 +210,13 @@ def ingest_pages(lookup_pages: DataFrame, detail_pages: DataFrame, items_dir: st
 
     With ``items_dir`` the extracted items are written there once (the landed
     ``lookup_results`` of this run) and the rollup reads that table, so the
-    pages are parsed a single time although the rollup reads its input twice.
+    pages are parsed a single time for both outputs.
     """
     items = page_results(lookup_pages)
     if items_dir is not None:
         items.write.mode("errorifexists").parquet(items_dir)
         items = lookup_pages.sparkSession.read.schema(items.schema).parquet(items_dir)
-    return items, rollup_results(items, order=F.struct("page_no", "item_no")), extract_details(detail_pages)
+    return items, rollup_results(items, order=item_order()), extract_details(detail_pages)
 
 
 def single_details(target: DataFrame, gstin: DataFrame, details: DataFrame, as_of: _dt.datetime) -> DataFrame:

@@ -39,10 +39,20 @@ def test_resume_and_append_are_anti_joins(spark):
 def test_rollup_counts_use_hash_aggregation(spark):
     plan = physical(E.queries()["status_by_pan"](spark, SF))
     assert "HashAggregate" in plan
-    # the only sort-based aggregate is the first-error text over the error rows
+    # the only sort-based aggregate is that of the first error, over the counts per error text
     assert plan.count("SortAggregate") <= 2
 
 
+def test_rollup_reads_its_items_once(spark):
+    from regspark.operators.results import rollup_results
+    from regspark.plans.catalog import fx
+
+    plan = physical(rollup_results(fx(spark, SF, "lookup_results")))
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    scan, counts = plan.index("FileScan"), plan.rindex("HashAggregate")
+    assert plan.rindex("SortAggregate") < counts < scan  # (plans read upwards) items are counted by hash first
+
+
 def test_scans_are_pruned(spark):
     plan = physical(E.queries()["status_by_pan"](spark, SF))
     for line in plan.splitlines():

@@ -161,3 +161,24 @@ def test_retry_failed_and_key_validation(spark):
             pass
         else:
             raise AssertionError("expected a validation error")
+
+
+def test_first_error_of_many_texts(spark):
+    """A PAN whose every item has an error text of its own, equal texts at several places, and ties in the order."""
+    rows = [("HOTPN0000H", 5000 - i, None, None, None, f"Error: {i % 1700}") for i in range(5000)]
+    rows += [("TIEPN0000T", 1, None, None, None, t) for t in ("Error: b", "Error: a", None)]
+    rows += [("ONEPN0000O", 2, None, None, None, "Error: late"), ("ONEPN0000O", 1, None, None, None, "Error: twice"),
+             ("ONEPN0000O", 9, None, None, None, "Error: twice"), ("NILPN0000N", 1, None, None, None, None)]
+    got = {r["pan"]: r["status"] for r in rs.rollup_results(spark.createDataFrame(rows, ITEM).repartition(7)).collect()}
+    assert got == {"HOTPN0000H": f"Error: {4999 % 1700}", "TIEPN0000T": "Error: a", "ONEPN0000O": "Error: twice", "NILPN0000N": "Unknown"}
+
+
+def test_stale_gstins(spark):
+    from regspark.operators.merge import stale_gstins
+
+    day = lambda n: AS_OF - dt.timedelta(days=n)
+    rows = [("A" * 15, day(91)), ("A" * 15, day(200)), ("B" * 15, day(90)), ("C" * 15, day(300)), ("C" * 15, day(1)),
+            ("D" * 15, None), ("E" * 15, None), ("E" * 15, day(2)), ("short", None), (None, None)]
+    df = spark.createDataFrame(rows, "gstin string, last_updated timestamp_ntz")
+    assert sorted(map(tuple, stale_gstins(df, AS_OF).collect()), key=str) == [("A" * 15, day(91)), ("D" * 15, None)]
+    assert stale_gstins(df, AS_OF, days=0).count() == 5
