@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regspark.functions.ids import strip_ws
+from regspark.operators.skew import DEFAULT, SkewConfig, hot_keys
 
 # --- fixed values -----------------------------------------------------------
 HSN_LEVELS = (2, 4, 6, 8)  # digits of chapter, heading, subheading and tariff item
@@ -16,20 +17,30 @@ DATE_FORMATS = ("dd/MM/yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "dd MMM yyyy", "dd.MM.
 AGE_BUCKETS = ((1, "under 1 year"), (3, "1 to 2 years"), (5, "3 to 4 years"), (10, "5 to 9 years"), (None, "10 years and more"))
 
 
-def hsn_activity(codes: DataFrame, key: str = "gstin", code: str = "hsn_code") -> DataFrame:
+def hsn_activity(codes: DataFrame, key: str = "gstin", code: str = "hsn_code", skew: SkewConfig = DEFAULT) -> DataFrame:
     """(level, hsn_code, gstins): how many GSTINs are active under each code of 2, 4, 6 and 8 digits, and
-    in all (level 0). A GSTIN counts once in every subtotal, however many codes it holds below it."""
-    known = codes.where(F.col(key).isNotNull() & (F.coalesce(F.col(code), F.lit("")) != "")).select(key, code).distinct()
-    names = [f"hsn{n}" for n in HSN_LEVELS]
-    cut = known.select(key, *[F.when(F.length(code) >= n, F.substring(code, 1, n)).alias(c) for n, c in zip(HSN_LEVELS, names)])
-    rolled = cut.rollup(*names).agg(F.count_distinct(key).alias("gstins"), F.grouping_id().alias("_g"))
-    level = F.lit(0)
-    for k, n in enumerate(HSN_LEVELS):  # the deepest column that is not rolled up
-        level = F.when(F.col("_g") == (1 << len(HSN_LEVELS) - 1 - k) - 1, F.lit(n)).otherwise(level)
-    deepest = F.coalesce(*[F.when(level == n, F.col(c)) for n, c in zip(HSN_LEVELS, names)], F.lit(""))
-    # codes shorter than a level have no subtotal on it
-    return (rolled.select(level.alias("level"), deepest.alias("hsn_code"), "gstins")
-            .where((F.col("level") == 0) | (F.length("hsn_code") == F.col("level"))))
+    in all (level 0). A GSTIN counts once in every subtotal, however many codes it holds below it.
+
+    Each GSTIN's codes are read in order: those that share their first digits stand together, so a code opens a
+    subtotal for its GSTIN where the one before it begins otherwise. Tasks hold a sort, which spills, and no set of
+    GSTINs; only the repeats of a hot GSTIN are dropped before the shuffle.
+    """
+    known = codes.where(F.col(key).isNotNull() & (F.coalesce(F.col(code), F.lit("")) != "")).select(key, code)
+    hot = hot_keys(known, key, skew)
+    if hot:
+        known = known.where(~F.col(key).isin(hot)).unionByName(known.where(F.col(key).isin(hot)).distinct())
+    read = known.select(F.col(code).alias("_code"), F.lag(code).over(Window.partitionBy(key).orderBy(code)).alias("_before"))
+
+    def opened(n):
+        start = F.substring("_code", 1, n)
+        return F.when((F.length("_code") >= n) & ~F.coalesce(F.startswith("_before", start), F.lit(False)),
+                      F.struct(F.lit(n).alias("level"), start.alias("hsn_code")))
+
+    # level 0 is opened by the first code; codes shorter than a level have no subtotal on it
+    opens = F.array(F.when(F.col("_before").isNull(), F.struct(F.lit(0).alias("level"), F.lit("").alias("hsn_code"))),
+                    *[opened(n) for n in HSN_LEVELS])
+    each = read.select(F.explode_outer(opens).alias("_o")).where(F.col("_o").isNotNull()).select("_o.*")
+    return each.groupBy("level", "hsn_code").agg(F.count(F.lit(1)).alias("gstins"))
 
 
 def tolerant_date(c: str, formats=DATE_FORMATS) -> Column:

@@ -112,6 +112,29 @@ def test_hsn_activity(spark):
     assert got == {(0, ""): 3, (2, "01"): 2, (4, "0101"): 2, (6, "010120"): 1, (6, "010199"): 1, (8, "01012030"): 1}
 
 
+def test_hsn_activity_holds_no_set_of_gstins(spark):
+    """Random codes with repeats and a hot GSTIN against plain sets; GSTINs are sorted (which spills), not kept in a hash table."""
+    import random
+
+    from regspark.operators.skew import SkewConfig
+
+    rng = random.Random(5)
+    rows = [("G0" if rng.random() < 0.3 else f"G{rng.randrange(200)}", "".join(rng.choice("01é") for _ in range(rng.randrange(10))))
+            for _ in range(4000)]
+    rows += [(None, "0101"), ("G1", None)]
+    df = spark.createDataFrame(rows, "gstin string, hsn_code string").repartition(5)
+    want = {}
+    for g, c in rows:
+        for n in (0, 2, 4, 6, 8):
+            if g and c and len(c) >= n:
+                want.setdefault((n, c[:n]), set()).add(g)
+    for skew in (SkewConfig(sample_fraction=1.0, share=0.1), SkewConfig(enabled=False)):
+        out = activity.hsn_activity(df, skew=skew)
+        assert {(r.level, r.hsn_code): r.gstins for r in out.collect()} == {k: len(v) for k, v in want.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "HashAggregate(keys=" in x and "gstin" in x.split("functions=")[0]]
+
+
 def test_registration_ages(spark):
     texts = ["01/07/2017", "2017-07-01", " 01-07-2017 ", "01 Jul 2017", "01.07.2017", "31/02/2017", "soon", "", None, "01/01/2026",
              "02/01/2024", "01/01/2024", "01/01/2015", "02/01/2015"]
