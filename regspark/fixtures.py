@@ -122,20 +122,22 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # and scale-factor folder, written as Parquet below ``spark.checkpoint.dir``
 # (S12), and read from there by every query, as landed tables would be.
 LANDED = ("base", "pan_sheet", "lookup_results", "details", "details_hsn")
+LANDED_ROWS = 1 << 17  # of one file
 _LANDED_PATHS: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """``build()`` written once as a Parquet table and read back (later calls read only)."""
-    from regspark.session import app_id, parallelism, path_exists, scratch_path
+    from regspark.session import app_id, path_exists, scratch_path
 
     key = (app_id(spark), sf_dir, name)
     hit = _LANDED_PATHS.get(key)
     if hit is None or not path_exists(spark, hit[0] + "/_SUCCESS"):
         path = scratch_path(spark, f"landed-{name}")
         df = build()
-        # many files, like a landing folder, so reads are parallel at any size
-        df.repartition(parallelism(spark)).write.mode("errorifexists").parquet(path)
+        # many files, like a landing folder, so reads are parallel at any size; each task writes
+        # what it made, as dealing the rows out anew would move, sort and spill them all once more
+        df.write.mode("errorifexists").option("maxRecordsPerFile", LANDED_ROWS).parquet(path)
         hit = (path, df.schema)
         _LANDED_PATHS[key] = hit
     return spark.read.schema(hit[1]).parquet(hit[0])
