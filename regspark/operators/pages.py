@@ -5,7 +5,8 @@ tables of one head and one body whose cells hold text alone (``FLAT``, one pass
 tables, rows and cells are cut out by built-in functions. All other pages (nested tables, missing
 end tags, odd quoting, entities, scripts) go to a small parser in an Arrow-batched function, for which
 flat pages are NULL. It reads each byte once, also of damaged markup: what is not ended (a comment, script, tag
-or quoted value) runs to the end of the page. A page that cannot be read (bytes that are no UTF-8, tables
+or quoted value) runs to the end of the page. The parser counts as non-deterministic, so that no filter on its results
+is moved below it, which would read every page again for each mention of them. A page that cannot be read (bytes that are no UTF-8, tables
 nested deeper than ``MAX_NESTED``) becomes an error record and leaves the other pages alone.
 """
 
@@ -309,7 +310,7 @@ def _parser(read, returns: DataType):
     def parse(html: pa.Array) -> pa.Array:
         return pa.array([read_page(read, h) for h in html.to_pylist()], type=arrow_type)
 
-    return parse
+    return parse.asNondeterministic()
 
 
 parse_tables = _parser(_tables, TABLES_TYPE)            # every table: classes, header cells, body rows
@@ -318,13 +319,17 @@ parse_fields_alt = _parser(_fields_alt, FIELDS_TYPE)    # details, headings and
 
 
 def _read_pages(pages: DataFrame, keys, html: str, flat: str, native, parse) -> DataFrame:
-    """(keys, _html as text, _p): flat pages (also NULL ones, read as empty) by ``native``, the others by ``parse``."""
+    """(keys, _nr: the page says 'No records found', _p): flat pages (also NULL ones, read as empty) by ``native``, the
+    others by ``parse``. Flat pages are read first, so only what they hold waits beside the parser, not their markup."""
     given, text = F.col(html), F.col(html).cast("string")
     fits = F.coalesce(text.rlike(flat), F.lit(True))
     if isinstance(pages.schema[html].dataType, BinaryType):
         fits = fits & F.coalesce(F.is_valid_utf8(text), F.lit(True))
-    told = pages.select(*keys, F.coalesce(text, F.lit("")).alias("_html"), fits.alias("_flat"), F.when(~fits, given).alias("_other"))
-    return told.select(*keys, "_html", F.when(F.col("_flat"), native(F.col("_html"))).otherwise(parse("_other")).alias("_p"))
+    told = pages.select(*keys, given.alias("_given"), F.coalesce(text, F.lit("")).alias("_html"), fits.alias("_flat"))
+    read = told.select(*keys, F.col("_html").contains(NO_RECORDS).alias("_nr"), F.when(F.col("_flat"), native(F.col("_html"))).alias("_native"),
+                       F.when(~F.col("_flat"), F.col("_given")).alias("_other"))
+    # both uses of ``_native`` keep its projection a step of its own, below the parser
+    return read.select(*keys, "_nr", F.when(F.col("_native").isNotNull(), F.col("_native")).otherwise(parse("_other")).alias("_p"))
 
 
 def _with_classes(tables, classes) -> Column:
@@ -338,7 +343,7 @@ def chosen_tables(pages: DataFrame, keys, html: str) -> DataFrame:
         return F.struct(_flat_tables(h).alias("tables"), F.lit(None).cast("string").alias("error"))
 
     parsed = _read_pages(pages, keys, html, FLAT, native, parse_tables).select(
-        *keys, F.col("_html").contains(NO_RECORDS).alias("_nr"), "_p.error", F.coalesce("_p.tables", F.array()).alias("_all"))
+        *keys, "_nr", "_p.error", F.coalesce("_p.tables", F.array()).alias("_all"))
     specific = parsed.withColumn("_specific", _with_classes(F.col("_all"), RESULT_TABLE_CLASSES))
     return specific.select(*keys, "_nr", F.col("error").alias("_error"), F.when(F.size("_specific") > 0, F.col("_specific"))
                            .otherwise(_with_classes(F.col("_all"), GENERIC_TABLE_CLASSES)).alias("_tables"))
@@ -360,8 +365,9 @@ def extract_result_rows(pages: DataFrame, keys=("pan", "page_no"), html: str = "
     """X1 + X3 + X5: one row per result row: serial, GSTIN, status, state (cells 1-4)
     and ``bad_length`` (kept, only flagged, when the GSTIN is not 15 characters)."""
     k = list(keys)
-    parsed = parse_result_pages(pages, k, html).where(F.col("_outcome").isNull())
-    return parsed.select(*k, F.posexplode("_rows").alias("row_no", "_c")).select(
+    parsed = parse_result_pages(pages, k, html)
+    rows = F.posexplode_outer(F.when(F.col("_outcome").isNull(), F.col("_rows"))).alias("row_no", "_c")
+    return parsed.select(*k, rows).where(F.col("row_no").isNotNull()).select(
         *k, F.col("row_no").cast("long").alias("row_no"),
         F.col("_c")[0].alias("serial"), F.col("_c")[1].alias("gstin"),
         F.col("_c")[2].alias("gstin_status"), F.col("_c")[3].alias("state"),
@@ -386,7 +392,7 @@ def page_results(pages: DataFrame, keys=("pan", "page_no"), html: str = "html")
     fail = F.array(F.struct(null.alias("serial"), null.alias("gstin"), null.alias("gstin_status"),
                             null.alias("state"), F.col("_outcome").alias("result")))
     items = F.when(F.col("_outcome").isNull(), F.transform("_rows", item)).otherwise(fail)
-    return parsed.select(*keys, F.posexplode(items).alias("item_no", "_i")).select(
+    return parsed.select(*keys, F.posexplode_outer(items).alias("item_no", "_i")).select(  # never empty
         *keys, F.col("item_no").cast("long").alias("item_no"), "_i.*")
 
 
@@ -416,7 +422,7 @@ def extract_details(pages: DataFrame, key: str = "gstin", html: str = "html") ->
     """X6 + X7 + X9: name, registration date, codes (blanks dropped, distinct, first order
     kept); ``error`` for pages saying 'No records found' and for pages that cannot be read (their fields are NULL)."""
     parsed = _read_pages(pages, [key], html, FLAT, _flat_fields, parse_fields).select(
-        key, F.when(F.col("_html").contains(NO_RECORDS), F.lit(NO_RECORDS)).otherwise(F.col("_p.error")).alias("error"),
+        key, F.when(F.col("_nr"), F.lit(NO_RECORDS)).otherwise(F.col("_p.error")).alias("error"),
         F.col("_p").alias("_f"))
     ok = F.col("error").isNull()
     return parsed.select(

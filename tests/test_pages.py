@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from regspark.operators import pages as pg
 
 SPEC = '<table class="ng-table table tbl inv exp table-bordered">'
@@ -195,3 +197,23 @@ def test_broken_pages_become_error_records(spark):
     assert details["A"] == ("", None) and details["B"] == (None, "'utf-8'") and details["E"] == (None, "No reco")
     assert {r.pan: r.error is None for r in pg.extract_details_alt(pages, ("pan",)).collect()} == {
         "A": True, "B": False, "C": False, "D": True, "E": False, "F": True}
+
+
+def test_filters_on_the_results_do_not_read_pages_again(spark):
+    """One flat test and one parser a page, whatever is filtered or exploded above them."""
+    from regspark.operators import merge
+
+    ok = '<table class="table"><tbody><tr><td>1</td><td>G</td><td>S</td><td>T</td></tr></tbody></table>'
+    pages = spark.createDataFrame([("A", 0, ok), ("B", 0, ok + "<p>q"), ("C", 0, "No records found"), ("D", 0, "<p>x</p>"), ("E", 0, None)],
+                                  "pan string, page_no long, html string")
+    firms = pages.select(F.concat(F.lit("27ABCDE1234F1Z"), "pan").alias("gstin"), "html")
+    rows, results = pg.extract_result_rows(pages), pg.page_results(pages)
+    found = merge.requested_with_details(firms.select("gstin"), pg.extract_details(firms))
+    for df in (rows, results.where(F.col("result").isNull()), found):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("(?s)<table[^>]*+>.*?</table>") == 1
+        assert not [x for x in plan.splitlines() if "ArrowEvalPython" in x and "html" in x]
+    assert sorted(r.pan for r in rows.collect()) == ["A", "B"]
+    assert sorted((r.pan, r.result) for r in results.collect()) == [
+        ("A", None), ("B", None), ("C", pg.NO_RECORDS), ("D", pg.ERR_NO_TABLE), ("E", pg.ERR_NO_TABLE)]
+    assert sorted(r.gstin[-1] for r in found.collect()) == ["A", "B", "D", "E"]
