@@ -125,6 +125,14 @@ def _reserved(spark: SparkSession, root: str, number: int) -> bool:
     hit = hadoop_fs(spark, os.path.join(root, "_numbers", f"{number:010d}"))
     if hit is None:  # no JVM gateway: the random part of the folder's name keeps writers apart
         return True
+    if hit[0].getUri().getScheme() == "file":  # Hadoop looks first and creates then; two writers may pass between
+        path = hit[1].toUri().getPath()
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        try:
+            os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
     try:
         return bool(hit[0].createNewFile(hit[1]))
     except Py4JJavaError as e:
