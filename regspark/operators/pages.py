@@ -2,7 +2,7 @@
 
 A page is one row, its markup text or the bytes as they came. A native test tells flat pages: well-formed
 tables of one head and one body whose cells hold text alone (``FLAT``, one pass of possessive patterns). Their
-tables, rows and cells are cut out by built-in functions. All other pages (nested tables, missing
+tables, rows and cells are cut out, and labels looked up, by built-in functions. All other pages (nested tables, missing
 end tags, odd quoting, entities, scripts) go to a small parser in an Arrow-batched function, for which
 flat pages are NULL. It reads each byte once, also of damaged markup: what is not ended (a comment, script, tag
 or quoted value) runs to the end of the page. The parser counts as non-deterministic, so that no filter on its results
@@ -93,30 +93,37 @@ def _flat_tables(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<table[^>]*+>.*?</table>"), F.lit(0)), table)
 
 
-def _beside(rows: Column, label: str) -> Column:
-    """The cells after the first one of their row that holds ``label``."""
-    def after(r):
-        at = F.array_position(F.transform(r, lambda c: c.contains(label)), F.lit(True)).cast("int")
-        return F.when(at > 0, F.slice(r, at + 1, F.size(r))).otherwise(F.array().cast(TEXTS))
+# A table of the class "table" with a header cell that holds the code label.
+_CODED = rf"""\A<table class="(?=[^"]*?table)[^"]*+">\s*+<thead>\s*+<tr[^>]*+>\s*+(?:<th[^>]*+>(?![^<]*?{LABEL_HSN})[^<]*+</th>\s*+)*+<th[^>]*+>[^<]*?{LABEL_HSN}"""
 
-    return F.flatten(F.transform(rows, after))
+
+def _labelled(label: str) -> str:
+    """A body cell of a flat page whose text holds ``label``, which is free of entities and thus found undecoded;
+    a cell is passed once, however often it holds the label."""
+    return rf"<td[^>]*+>(?>[^<]*?{label})[^<]*+</td>"
+
+
+def _first_beside(html: Column, label: str) -> Column:
+    """The cell after the first labelled one that is not its row's last; '' if there is none."""
+    return _decoded(F.regexp_extract(html, rf"{_labelled(label)}\s*+<td[^>]*+>([^<]*+)</td>", 1))
+
+
+def _all_beside(html: Column, label: str) -> Column:
+    """The cells after the first one of their row that holds ``label``: the one beside it, then on from the last match."""
+    return F.transform(F.regexp_extract_all(html, F.lit(rf"(?:\G(?!\A)|{_labelled(label)})\s*+<td[^>]*+>([^<]*+)</td>"), F.lit(1)), _decoded)
 
 
 def _flat_fields(html: Column) -> Column:
-    """``_fields`` of a flat page."""
-    def fields(tables):
-        rows = F.flatten(F.transform(tables, lambda t: t["rows"]))
-        coded = F.filter(tables, lambda t: F.array_join(t["classes"], " ").contains("table")
-                         & F.exists(t["headers"], lambda h: h.contains(LABEL_HSN)))
-        firsts = F.transform(F.filter(F.coalesce(F.get(coded, 0)["rows"], F.array().cast(ArrayType(TEXTS))),
-                                      lambda r: F.size(r) > 0), lambda r: r[0])
-        codes = _beside(rows, LABEL_HSN)
-        return F.struct(F.coalesce(F.get(_beside(rows, LABEL_TRADE_NAME), 0), F.lit("")).alias("trade_name"),
-                        F.coalesce(F.get(_beside(rows, LABEL_REG_DATE), 0), F.lit("")).alias("registration_date"),
-                        F.when(F.size(codes) > 0, codes).otherwise(firsts).alias("hsn_codes"),
-                        F.lit(None).cast("string").alias("error"))
-
-    return F.transform(F.array(_flat_tables(html)), fields)[0]  # the tables are cut out once
+    """``_fields`` of a flat page. Labels are looked up in the page itself; tables are cut out only where no label is."""
+    def codes(beside):
+        coded = F.filter(F.regexp_extract_all(html, F.lit(r"(?s)<table[^>]*+>.*?</table>"), F.lit(0)), lambda t: t.rlike(_CODED))
+        firsts = F.regexp_extract_all(F.substring_index(F.coalesce(F.get(coded, 0), F.lit("")), "<tbody>", -1),
+                                      F.lit(r"<tr[^>]*+>\s*+<td[^>]*+>([^<]*+)</td>"), F.lit(1))
+        return F.when(F.size(beside) > 0, beside).otherwise(F.transform(firsts, _decoded))
+
+    return F.struct(_first_beside(html, LABEL_TRADE_NAME).alias("trade_name"), _first_beside(html, LABEL_REG_DATE).alias("registration_date"),
+                    F.transform(F.array(_all_beside(html, LABEL_HSN)), codes)[0].alias("hsn_codes"),  # the cells are found once
+                    F.lit(None).cast("string").alias("error"))
 
 
 def _flat_fields_alt(html: Column) -> Column:

@@ -217,3 +217,29 @@ def test_filters_on_the_results_do_not_read_pages_again(spark):
     assert sorted((r.pan, r.result) for r in results.collect()) == [
         ("A", None), ("B", None), ("C", pg.NO_RECORDS), ("D", pg.ERR_NO_TABLE), ("E", pg.ERR_NO_TABLE)]
     assert sorted(r.gstin[-1] for r in found.collect()) == ["A", "B", "D", "E"]
+
+
+def test_labels_are_looked_up_without_cutting_rows_into_cells(spark):
+    """Flat pages: as the parser reads them, from the page itself (cutting out every cell took most of a run)."""
+    def table(*rows, css="table", head=""):
+        return f'<table class="{css}">{head}<tbody>' + "".join(f"<tr>{r}</tr>" for r in rows) + "</tbody></table>"
+
+    coded = "<thead><tr>\n<th>No</th><th width=\"3\">HSN Code</th><th>HSN</th></tr></thead>"
+    html = [
+        table("<td>x</td><td>HSN</td><td>1</td>\n <td>HSN 2</td><td>3</td>", "<td>HSN</td>", "<td>4</td><td>5</td>", "<td>HSN</td><td>6</td>"),
+        table('<td title="HSN">x</td><td>1</td>', "<td>hsn</td><td>2</td>") + "HSN" + table("<td>HSN &amp; more</td><td> &lt;7&gt;&amp;lt; </td>"),
+        table("<td>Trade Name</td>", "<td>no</td>", "<td>a</td><td>My Trade Name:</td><td> A &gt; B </td><td>c</td>", "<td>Trade Name</td><td>D</td>"),
+        table("<td>Date of Registration</td><td></td>", "<td>Date of Registration</td><td>01/07/2017</td>"),
+        table("<td>1</td>", css="other", head=coded) + table("<td>2</td>") + table("<td> 3 </td><td>x</td>", "", "<td>&amp;4</td>", css="x tables", head=coded)
+        + table("<td>5</td>", head=coded),
+        table(css="table", head=coded) + table("<td>6</td>", head=coded),
+        table("<td>7</td>", css="table " * 50, head="<thead><tr>" + "<th>a</th>" * 5000 + "<th>HSN</th></tr></thead>"),
+        table("<td>1</td><td>HSN</td>", head=coded), table("<td>" + "HSN" * 200_000 + "</td>"), "HSN Trade Name", "<p>HSN</p><p>1</p>", ""]
+    df = spark.createDataFrame(list(enumerate(html)), "i int, html string")
+    got = df.select("i", F.col("html").rlike(pg.FLAT).alias("flat"), pg._flat_fields(F.col("html")).alias("f")).collect()
+    assert all(r.flat for r in got)
+    assert {r.i: {**r.f.asDict(), "error": 0} for r in got} == {i: {**pg._fields(h), "error": 0} for i, h in enumerate(html)}
+    codes = {r.i: r.f.hsn_codes for r in got}
+    assert codes[0] == ["1", "HSN 2", "3", "6"] and codes[1] == ["<7>&lt;"] and codes[4] == ["3", "&4"] and codes[5] == [] and codes[7] == ["1"]
+    plan = pg.extract_details(df, "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert "(.*?)</tr>" not in plan and "array_position" not in plan
