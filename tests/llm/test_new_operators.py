@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -198,6 +199,93 @@ def test_bounds_hold_and_prune(spark):
     assert len(asked) == 20 and max(r["count"] for r in asked) < (index.counts > 0).sum() / 2
 
 
+def test_a_question_goes_once_to_each_shelf(spark):
+    """Requests hold a question's vector per shelf of cells, not per cell, and exactly the cells its bounds leave."""
+    x = np.random.default_rng(6).normal(size=(900, 16))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    cfg = negatives.MiningConfig(rows_a_cell=4, block=32, blocks_a_task=4)
+    rows = negatives.quantised(df, cfg.scale, "vec_id", "embedding", "label")
+    index = negatives.build(rows, cfg)
+    assert len(index.cells) > 100 and 5 <= len(index.shelves) <= 9
+    assert sum(len(b.labels) for b in index.blocks.collect()) == 900
+    first, second = index.bounds(np.floor(x[:40] * cfg.scale))
+    least = int(np.median(first[:, :, None] + second[:, None, :]))
+    state = (rows.filter("id < 40").withColumn("slots", F.array(F.struct(F.lit(0).alias("slot"), F.lit(least).cast("long").alias("low"), F.lit(1 << 62).alias("high"))))
+             .withColumn("upto", F.lit(0)).withColumn("reach", F.array(F.lit(least).cast("long"))))
+    asked = negatives._ask(state.select("id", "label", "v", "slots", "upto", "reach"), index, 1 << 40).collect()
+    assert len({(r.id, r.shelf) for r in asked}) == len(asked) <= 40 * len(index.shelves)
+    got = {i: set() for i in range(40)}
+    for r in asked:
+        lo, hi = next(s[1:] for s in index.shelves if s[0] == r.shelf)
+        got[r.id] |= set(index.cells[lo:hi][np.unpackbits(np.frombuffer(r.cells, np.uint8))[:hi - lo] > 0].tolist())
+        assert np.frombuffer(r.v, index.kind).tolist() == np.floor(x[r.id] * cfg.scale).astype(int).tolist()
+    for i in range(40):
+        bound = (first[i][:, None] + second[i]).ravel()
+        assert got[i] == {c for c in index.cells.tolist() if bound[c] >= least}
+
+
+@pytest.mark.parametrize("heap", [0, 1 << 30])
+def test_waves_visit_each_cell_once_by_falling_bound(monkeypatch, heap):
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 3, (12, 9)) * rng.integers(1, 40, (12, 9))
+    index = negatives.Index(2, (None, None), (None, None), counts, 200, "<i8", None)
+    monkeypatch.setattr(negatives, "HEAP_CELLS", heap)
+    for _ in range(20):
+        first, second = np.round(rng.normal(size=12), 1), np.round(rng.normal(size=9), 1)  # many ties
+        bound = (first[:, None] + second).ravel()
+        done, seen, lowest = 0, [], np.inf
+        for budget in (30, 90, 270, 1 << 40):
+            own, upto = index.next_cells(first, second, done, -1, budget)
+            b = bound[index.cells[own]]
+            assert (b < lowest).all() and (b >= -1).all() and upto >= done
+            assert upto == (bound >= (b.min() if budget < 1 << 40 else -1)).sum()
+            assert (index.sizes[own].sum() >= budget) == (budget < 1 << 40)
+            done, lowest, seen = upto, b.min(initial=lowest), seen + own.tolist()
+        assert sorted(seen) == np.flatnonzero(bound[index.cells] >= -1).tolist()
+        assert len(index.next_cells(first, second, done, -1, 1 << 40)[0]) == 0
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("shape", ["sparse", "dense", "ties", "large"])
+def test_tiles_keep_the_best_of_each_window(monkeypatch, shape, same):
+    """All windows of all questions against plain products, with tiles smaller than the group."""
+    monkeypatch.setattr(negatives, "TILE_QUESTIONS", 7)
+    monkeypatch.setattr(negatives, "TILE_ROWS", 50)
+    rng = np.random.default_rng(8)
+    n, g, dims, limit = 400, 30, 6, 3
+    counts = rng.integers(0, 30, (6, 5))
+    counts[2, 3] += n - counts.sum() if n > counts.sum() else 0
+    n = int(counts.sum())
+    index = negatives.Index(dims, (None, None), (None, None), counts, 10 ** 6, "<i8", None)
+    size = {"large": 1 << 28}.get(shape, 100)
+    x, q = rng.integers(-size, size, (n, dims)), rng.integers(-size, size, (g, dims))
+    if shape == "ties":
+        x[::2] = x[0]
+    cell = np.repeat(index.cells, index.sizes)
+    ids = np.concatenate([np.sort(part) for part in np.split(rng.permutation(n), np.cumsum(index.sizes)[:-1])])
+    labels, qlabels = rng.integers(0, 4, n).astype(str), rng.integers(0, 4, g).astype(str)
+    wanted = rng.random((g, len(index.cells))) < 0.7
+    score = q @ x.T
+    low = np.quantile(score, {"sparse": 0.97}.get(shape, 0.1)).astype(int)
+    slots = [[{"slot": k + 1, "low": int(low), "high": int(np.quantile(score, 1 - 0.2 * k))} for k in range(1 + i % 3)] for i in range(g)]
+    reach = [[int(low) + 5 * k for k in range(len(s))] for s in slots]
+    edges = [0, *np.cumsum(index.sizes)]
+    runs = [slice(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+    blocks = pa.table({"shelf": [0] * len(runs), "cell": index.cells, "ids": [ids[r].astype("<i8").tobytes() for r in runs],
+                       "labels": [labels[r].tolist() for r in runs], "vs": [x[r].tobytes() for r in runs]})
+    asked = pa.table({"shelf": [0] * g, "id": np.arange(g), "label": qlabels.tolist(), "v": [v.tobytes() for v in q], "slots": slots,
+                      "reach": reach, "cells": [r.tobytes() for r in np.packbits(wanted, axis=1)]})
+    got = negatives._score(blocks, asked, index, same, limit)
+    want = []
+    for i in range(g):
+        fit = ((labels == qlabels[i]) == same) & (ids != i) & wanted[i][np.searchsorted(index.cells, cell)]
+        for s, r in zip(slots[i], reach[i], strict=True):
+            at = np.flatnonzero(fit & (score[i] >= r) & (score[i] <= s["high"]))
+            want += [(i, s["slot"], int(ids[k]), int(score[i, k])) for k in at[np.lexsort((ids[at], -score[i, at]))][:limit]]
+    assert sorted(zip(*(got.column(c).to_pylist() for c in ("id", "slot", "found", "score")), strict=True)) == sorted(want)
+    assert negatives._score(blocks.slice(0, 0), asked, index, same, limit).num_rows == 0
+
+
 # -- 13 importance resampling -----------------------------------------------------------------
 
 def features(text, buckets=10_000):
