@@ -63,10 +63,10 @@ class MiningConfig:
     rows_a_cell: int = 512
     max_codes: int = 256
     block: int = 2048
-    blocks_a_task: int = 8  # at least; from 64 shelves on they grow to shelf_rows
-    shelf_rows: int = 131_072
-    questions_a_task: int = 2048  # at least; from 4 tasks a shelf on they grow to most_questions
-    most_questions: int = 32_768
+    blocks_a_task: int = 8  # at least; from 64 shelves on they grow to shelf_values
+    shelf_values: int = 1 << 23  # components of vectors
+    questions_a_task: int = 2048  # at least; from 4 tasks a shelf on they grow to question_values
+    question_values: int = 1 << 21
     first_rows: int = 2048  # of a question's first wave
     growth: int = 8
     seed: int = 12
@@ -248,7 +248,8 @@ def build(rows: DataFrame, cfg: MiningConfig) -> Index | None:
 
     def assign(batches):
         schema = to_arrow_schema(placed_type)
-        for b in batches:
+        step = max(1, (1 << 19) // dims)
+        for b in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
             whole = matrix(b.column(2), dims)
             of, far = [], []
             for part, centre in zip((whole[:, :cut].astype(np.float64), whole[:, cut:].astype(np.float64)), centres, strict=True):
@@ -265,7 +266,7 @@ def build(rows: DataFrame, cfg: MiningConfig) -> Index | None:
         counts[i, j] = r["n"]
         radii[0][i], radii[1][j] = max(radii[0][i], r["a"]), max(radii[1][j], r["b"])
     few = cfg.block * cfg.blocks_a_task
-    index = Index(dims, centres, radii, counts, max(few, min(cfg.shelf_rows, n // 64)), kind, None)
+    index = Index(dims, centres, radii, counts, max(few, min(cfg.shelf_values // dims, n // 64)), kind, None)
     block_type = T._parse_datatype_string(BLOCK)
 
     def pack(batches):
@@ -474,7 +475,7 @@ def _salted(blocks: DataFrame, requests: DataFrame, index: Index, cfg: MiningCon
     other way round."""
     spark = blocks.sparkSession
     asked = {r["shelf"]: r["n"] for r in requests.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
-    most = max(cfg.questions_a_task, min(cfg.most_questions, max(asked.values()) // 4))
+    most = max(cfg.questions_a_task, min(cfg.question_values // index.dims, max(asked.values()) // 4))
     rows = [(shelf, max(1, round(int(index.sizes[lo:hi].sum()) / index.shelf_rows)), max(1, -(-asked[shelf] // most)))
             for shelf, lo, hi in index.shelves if shelf in asked]
     table = F.broadcast(spark.createDataFrame(rows, "shelf int, n_s int, n_t int"))  # at most the number of shelves
